@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import table
@@ -21,5 +21,56 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_simhash": op3_simhash}
+def _sha(strings: Column) -> Column:
+    return F.sha2(F.array_join(strings, ","), 256)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.decontaminate import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("leak_spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "leak_items").select(
+        "doc_id", "n_words", "n_hit", F.size("leak_items").cast("bigint").alias("n_items"), _sha(F.col("leak_items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.sharding import size_of, write_shards
+
+    return write_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.secret_scan import secret_spans
+
+    spans = F.col("secret_spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+    shown = lambda xs: F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return secret_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        _sha(shown(F.filter(spans, lambda s: s["kind"] != "entropy"))).alias("base_sha256"), F.array_join(shown(spans), ",").alias("spans"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = predict(docs, train(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_simhash": op3_simhash,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_sharding": op6_sharding,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_language_id": op10_language_id,
+}
 ORACLE_SQL: dict[str, str] = {}
