@@ -21,6 +21,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _byte_bpe() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _sha(strings: Column) -> Column:
     return F.sha2(F.array_join(strings, ","), 256)
 
@@ -35,6 +41,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.token_files import ids_crc32, read_token_files, write_token_files
+
+    return ids_crc32(read_token_files(spark, *write_token_files(table(spark, sf_dir, "documents"), _byte_bpe())))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.bpe import decode_documents, encode_documents
+
+    both = decode_documents(encode_documents(table(spark, sf_dir, "documents"), _byte_bpe()), _byte_bpe())
+    return both.select(
+        "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), _sha(F.col("token_ids").cast("array<string>")).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256")
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.sharding import size_of, write_shards
 
@@ -67,8 +88,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_files": op2_token_files,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
+    "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op8_secret_scan": op8_secret_scan,
     "op10_language_id": op10_language_id,

@@ -1,0 +1,82 @@
+import hashlib
+import json
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tallyloom.llm.bpe import Merges, PieceStream, decode, decode_documents, decode_table, encode_documents, encoder, lookahead, merge_bytes
+from tallyloom.llm.queries import op5_bpe
+from tests.llm.helpers import AWKWARD, awkward, documents, with_clashes
+
+PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
+HF = Tokenizer.from_file(PATH)
+MORE = [
+    "  <|endoftext|>  a<|endoftext|><|endoftext|>\n\n", "x" * 30000 + " y", "ab1" * 9000, "don't" * 3000, " " * 9000, "\n" * 5000 + "a", "=" * 7000 + "'s", "日本語" * 2500, "a　　b   c",
+    "<|endoftext|" * 900, "'" * 5000 + "re", "é" * 4093 + "'ll x", "q" * 4095 + "'re", "1" * 4094 + "a" * 5000 + "   " + "b" * 3000, "x" * 3000 + "<|endoftext|>" + "y" * 5000 + "<|endo", "<|endoftext|>" * 500,
+]
+
+
+def hf(t):
+    return HF.encode(t or "", add_special_tokens=False).ids
+
+
+def test_ids_match_the_library(spark, sf_dir):
+    enc = encoder(PATH)
+    for t in [*AWKWARD, *MORE, *[r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]]:
+        assert enc.encode(t).tolist() == hf(t), (t or "")[:80]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab 's\n\t1é漢'lTHe.<|endoftext>  \x1c"), max_size=80))
+def test_any_text_matches_the_library(t):
+    assert encoder(PATH).encode(t).tolist() == hf(t)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("ab 's\n1éT.<|endoftext>"), max_size=60), st.integers(1, 9), st.integers(1, 300))
+def test_blocks_of_any_size_match_the_library(t, block, times):
+    t = t * times
+    got = [i for ids in encoder(PATH).encode_blocks(t[k : k + block] for k in range(0, len(t), block)) for i in ids]
+    assert got == hf(t)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("thein gao", min_size=1, max_size=40), st.integers(40, 200))
+def test_lookahead_makes_tokens_final(t, times):
+    m = encoder(PATH).m
+    data = (t.replace(" ", "") or "a").encode() * times
+    s = PieceStream(m)
+    out = [i for k in range(0, len(data), 100) for i in s.feed(data[k : k + 100])]
+    assert len(s.held) < 4 * m.lookahead + m.longest + 100
+    assert out + s.finish() == merge_bytes(data, m)
+
+
+def test_improper_merge_lists_are_refused(tmp_path):
+    assert lookahead([(b"a", b"b"), (b"ab", b"a"), (b"c", b"ab")]) == 4
+    for bad in ([(b"ab", b"c")], [(b"a", b"b"), (b"a", b"b")]):
+        with pytest.raises(ValueError):
+            lookahead(bad)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 50256), max_size=60), st.integers(1, 7))
+def test_decoder_matches_the_library(ids, block):
+    import numpy as np
+
+    assert decode(np.array(ids, dtype=np.int32), decode_table(PATH), block) == HF.decode(ids, skip_special_tokens=False)
+
+
+def test_query_and_awkward_rows(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in op5_bpe(spark, sf_dir).collect():
+        ids = hf(docs[r["doc_id"]])
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(HF.decode(ids, skip_special_tokens=False)))
+    rows = with_clashes(awkward(spark))
+    got = decode_documents(encode_documents(rows, PATH), PATH).collect()
+    want = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    assert len(got) == rows.count() and all(r["decoded_text"] == want[r["doc_id"]] for r in got)
+    assert decode_documents(encode_documents(rows.limit(0), PATH), PATH).count() == 0
