@@ -65,6 +65,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.kneser_ney import score_documents, train_model
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model = train_model(docs.filter(~held_out))
+    return score_documents(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.secret_scan import secret_spans
 
@@ -93,6 +104,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_secret_scan": op8_secret_scan,
     "op10_language_id": op10_language_id,
 }
