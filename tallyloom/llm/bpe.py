@@ -338,9 +338,10 @@ def decode_table(path: str) -> list[bytes]:
     return Merges(path).table()
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and token_ids of every text. path: a tokenizer file that is there on all executors."""
-    schema = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
+def encode_documents(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
+    """doc_id and token_ids of every text, and text itself if asked for. path: a tokenizer file that is there on all executors."""
+    fields = [("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32()))] + [("text", pa.string())] * keep_text
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -348,9 +349,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             found = [b"".join(enc.parts(t)) for t in b.column("text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
-            yield record_batch({"doc_id": b.column("doc_id"), "token_ids": ids}, schema)
+            yield record_batch({"doc_id": b.column("doc_id"), "token_ids": ids, "text": b.column("text")}, schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, token_ids array<int>")
+    ddl = "doc_id bigint, token_ids array<int>" + ", text string" * keep_text
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ddl)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _byte_bpe() -> str:
+def byte_bpe_path() -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -44,13 +44,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.token_files import ids_crc32, read_token_files, write_token_files
 
-    return ids_crc32(read_token_files(spark, *write_token_files(table(spark, sf_dir, "documents"), _byte_bpe())))
+    return ids_crc32(read_token_files(spark, *write_token_files(table(spark, sf_dir, "documents"), byte_bpe_path())))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.bpe import decode_documents, encode_documents
 
-    both = decode_documents(encode_documents(table(spark, sf_dir, "documents"), _byte_bpe()), _byte_bpe())
+    both = decode_documents(encode_documents(table(spark, sf_dir, "documents"), byte_bpe_path()), byte_bpe_path())
     return both.select(
         "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), _sha(F.col("token_ids").cast("array<string>")).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256")
     )
@@ -88,6 +88,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.license_scan import license_scan
+
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.langid import predict, train
 
@@ -106,6 +113,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_secret_scan": op8_secret_scan,
+    "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
