@@ -21,7 +21,9 @@ unless all of its component are null. Repeated rows: a row each. Empty table: no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -32,6 +34,7 @@ from xxhash import xxh64_intdigest
 
 from tallyloom.llm.common import kept, record_batch, text_of
 from tallyloom.llm.components import connected_components
+from tallyloom.llm.kneser_ney import mix
 
 SEED = 42
 PIVOTS = 8
@@ -41,22 +44,30 @@ SCALES = ((1 << 22, 2), (1 << 28, 3), (1 << 34, 4), (1 << 62, 6))
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Unsigned 64 bits. The work space is a chunk of shingles, whatever the length of the text."""
-    words = text_of(text).lower().split()
-    if not words:
-        return 0
-    joined = memoryview(b" ".join(words))
-    stops = list(accumulate(len(w) + 1 for w in words))
+def wide_fingerprint(text: str | None, width: int = 4, words: int = 1) -> np.ndarray:
+    """`words` unsigned 64-bit integers; the first is the plain fingerprint, the others come from hashes mixed further.
+    The work space is a chunk of shingles, whatever the length of the text."""
+    tokens = text_of(text).lower().split()
+    if not tokens:
+        return np.zeros(words, dtype="<u8")
+    joined = memoryview(b" ".join(tokens))
+    stops = list(accumulate(len(w) + 1 for w in tokens))
     starts = [0, *stops[:-1]]
-    n = max(1, len(words) - width + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
+    n = max(1, len(tokens) - width + 1)
+    ones = np.zeros((words, BITS), dtype=np.int64)
     for at in range(0, n, _CHUNK):
         to = min(n, at + _CHUNK)
-        ends = stops[at + width - 1 : to + width - 1] if len(words) >= width else [stops[-1]]
+        ends = stops[at + width - 1 : to + width - 1] if len(tokens) >= width else [stops[-1]]
         hashes = np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts[at:to], ends, strict=True)], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for k in range(words):
+            h = hashes if k == 0 else mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Unsigned 64 bits."""
+    return int(wide_fingerprint(text, width)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -136,9 +147,91 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
     return rows.join(roots.join(lead, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; all columns stay. Rows with a null doc_id stay, as
+@dataclass(frozen=True)
+class SimilarParams:
+    """Near duplicates by estimated similarity of shingle sets, for radii at which 64 bits say too little."""
+
+    width: int = 5
+    similarity: float = 0.8
+    #: 64-bit words of a fingerprint.
+    words: int = 16
+    #: Chance that a pair at just that similarity meets in a band; more alike ones meet more surely.
+    recall: float = 0.98
+    #: Bits of a band beyond log2 of the distinct fingerprints: chance meetings stay a share of the rows at any size.
+    spare_bits: int = 2
+
+    def agreement(self) -> float:
+        """The share of bits that texts of this Jaccard similarity agree on."""
+        return 1 - math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+
+    def radius(self) -> int:
+        return int(BITS * self.words * (1 - self.agreement()))
+
+
+def _differ(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _bands(distinct: DataFrame, n: int, p: SimilarParams) -> DataFrame:
+    """(key, node): key holds the band's number and its bits of the fingerprint."""
+    bits = min(40, max(12, math.ceil(math.log2(n + 1)) + p.spare_bits))
+    bands = math.ceil(math.log(1 - p.recall) / math.log(1 - p.agreement() ** bits))
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    chosen = np.stack([rng.choice(BITS * p.words, bits, replace=False) for _ in range(bands)])
+    powers = (1 << np.arange(bits)).astype(np.int64)
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fp = b.column("fp").values.to_numpy().reshape(b.num_rows, p.words)
+            on = np.unpackbits(fp.view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+            keys = np.stack([on[:, c] @ powers | k << 40 for k, c in enumerate(chosen)], axis=1)
+            yield record_batch({"key": keys.ravel(), "node": np.repeat(b.column("node").to_numpy(), bands)}, schema)
+
+    return distinct.select("node", "fp").mapInArrow(run, "key bigint, node bigint")
+
+
+def similar_groups(docs: DataFrame, p: SimilarParams = SimilarParams()) -> DataFrame:
+    """doc_id and group_id, the smallest doc_id that links between documents of at least that similarity reach.
+
+    Wide fingerprints are compared where they agree on all bits of a band. As with the 64-bit links, each is first held
+    against two hubs of its bucket, and only across the components that gives are pairs formed; every link is verified
+    on all bits. Pivot distances discard nothing at this radius: those of unrelated texts differ far less than it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_fingerprint(t, p.width, p.words) for t in b.column("text").to_pylist()]
+            flat = np.concatenate([np.empty(0, "<u8"), *fps]).astype("<u8").view(np.int64)
+            yield record_batch({"doc_id": b.column("doc_id"), "fp": pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * p.words, pa.int32()), pa.array(flat))}, schema)
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp array<bigint>").withColumn("node", F.xxhash64("fp"))
+    rows = kept(rows, "wide")
+    distinct = kept(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct")
+    members = _bands(distinct, distinct.count(), p)
+    hubs = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
+    shared = kept(members.join(hubs, "key"), "buckets")
+    pairs = shared.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).filter("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    side = lambda c: distinct.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
+    close = _differ(F.col("fp_u"), F.col("fp_v")) <= p.radius()
+    near = kept(connected_components(pairs.join(side("u"), "u").join(side("v"), "v").filter(close).select("u", "v")), "near")
+    labelled = kept(shared.select("key", "node").join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    several = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
+    open_ = labelled.join(several, "key", "left_semi").join(distinct.select("node", "fp"), "node")
+    a, b = open_.select("key", F.col("root").alias("u"), F.col("fp").alias("fp_u")), open_.select("key", F.col("root").alias("v"), F.col("fp").alias("fp_v"))
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & close).select("u", "v")
+    joined = kept(connected_components(across), "joined")
+    roots = distinct.join(near, "node", "left").withColumn("mid", F.coalesce("root", "node")).select("node", "first_id", "mid").join(joined.select(F.col("node").alias("mid"), "root"), "mid", "left")
+    roots = kept(roots.select("node", "first_id", F.coalesce("root", "mid").alias("root")), "roots")
+    lead = roots.groupBy("root").agg(F.min("first_id").alias("group_id"))
+    return rows.select("doc_id", "node").join(roots.join(lead, "root").select("node", "group_id"), "node").select("doc_id", "group_id")
+
+
+def drop_near_duplicates(docs: DataFrame, p: SimilarParams = SimilarParams()) -> DataFrame:
+    """One document of each group, that with the smallest doc_id; all columns stay. Rows with a null doc_id stay, as
     they can't be told apart; of rows that repeat the kept doc_id, any one stays."""
-    found = near_duplicates(docs, width, max_bits).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    found = similar_groups(docs, p).filter("doc_id = group_id").select(F.col("doc_id").alias("_kept")).distinct()
     one = docs.join(found, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))

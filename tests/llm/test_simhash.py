@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from tallyloom.llm.queries import op3_simhash
-from tallyloom.llm.simhash import drop_near_duplicates, fingerprint, fingerprint_components, near_duplicates
+from tallyloom.llm.simhash import SimilarParams, drop_near_duplicates, fingerprint, fingerprint_components, near_duplicates, similar_groups, wide_fingerprint
 from tests.llm.helpers import AWKWARD, awkward, documents, with_clashes
 
 
@@ -90,8 +91,54 @@ def test_one_of_many_near_copies_stays(spark):
     texts = []
     for i in range(30):
         w = list(base)
-        w[rng.randrange(400)] = f"edit{i}"
+        for _ in range(i % 4):
+            w[rng.randrange(400)] = f"edit{i}"
         texts.append(" ".join(w))
     texts += [" ".join(f"other{rng.randint(0, 10**6)}" for _ in range(100)) for _ in range(10)]
     left = [r["doc_id"] for r in drop_near_duplicates(documents(spark, texts)).select("doc_id").collect()]
-    assert 0 in left and set(range(30, 40)) <= set(left) and len(left) <= 20
+    assert sorted(left) == [0, *range(30, 40)]
+
+
+def brute_groups(texts, p=SimilarParams()):
+    """{doc_id: smallest doc_id of its group}, from all pairs."""
+    ids, fps, root = sorted(texts), {}, {}
+    for d in ids:
+        fps.setdefault(wide_fingerprint(texts[d], p.width, p.words).tobytes(), []).append(d)
+    keys = list(fps)
+    bits = np.unpackbits(np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1), axis=1).astype(np.float32)
+    same = bits @ bits.T + (1 - bits) @ (1 - bits).T
+    root = {k: k for k in range(len(keys))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(*np.nonzero(same >= 64 * p.words - p.radius())):
+        if a < b:
+            root[find(b)] = find(a)
+    least = {}
+    for k in range(len(keys)):
+        least[find(k)] = min(*fps[keys[k]], least.get(find(k), 1 << 60), 1 << 60)
+    return {d: least[find(k)] for k in range(len(keys)) for d in fps[keys[k]]}
+
+
+def test_groups_match_all_pairs(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.read.parquet(f"{d}/documents.parquet")).collect()}
+    want = brute_groups(texts)
+    wrong = [k for k in texts if got[k] != want[k]]
+    assert len(wrong) <= 0.005 * len(texts) and len(set(want.values())) < 0.97 * len(texts)
+
+
+def test_estimate_follows_jaccard():
+    rng = random.Random(2)
+    p = SimilarParams()
+    for edits, alike in ((4, True), (40, False)):
+        a = [f"w{rng.randint(0, 10**6)}" for _ in range(500)]
+        b = list(a)
+        for k in range(edits):
+            b[k * 500 // edits] = f"x{k}"
+        x, y = (wide_fingerprint(" ".join(t), p.width, p.words) for t in (a, b))
+        assert (int(np.bitwise_count(x ^ y).sum()) <= p.radius()) == alike
