@@ -202,7 +202,7 @@ def lexical_diversity(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", F.round(fx.lexical_diversity(t), 6).alias("diversity"), F.size(t).cast("bigint").alias("n"))
 
 
-@query("select round(min(n), 6)::double lo, round(max(n), 6)::double hi, round(avg(n), 6) mean, quantile_cont(n, 0.5) p50, quantile_cont(n, 0.75) p75, quantile_cont(n, 0.9) p90, round(quantile_cont(n, 0.95), 6) p95, round(quantile_cont(n, 0.99), 6) p99, round(stddev_pop(n), 6) sd from (select length(text)::double n from documents)")
+@query("select round(min(n), 6)::double lo, round(max(n), 6)::double hi, round(avg(n), 6) mean, round(quantile_cont(n, 0.5), 6) p50, round(quantile_cont(n, 0.75), 6) p75, round(quantile_cont(n, 0.9), 6) p90, round(quantile_cont(n, 0.95), 6) p95, round(quantile_cont(n, 0.99), 6) p99, round(stddev_pop(n), 6) sd from (select length(text)::double n from documents)")
 def len_percentiles(spark, d):
     n = F.length("text").cast("double")
     q = {f"p{p}": F.round(F.percentile(n, p / 100), 6).alias(f"p{p}") for p in (50, 75, 90, 95, 99)}
