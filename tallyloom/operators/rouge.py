@@ -21,14 +21,96 @@ def f_measure(hits: Column, n_pred: Column, n_ref: Column) -> Column:
     return F.when(hits > 0, 2.0 * hits / (n_pred + n_ref)).otherwise(F.lit(0.0))
 
 
-def rouge_n(df: DataFrame, id_: str, pred: str, ref: str, n: int) -> DataFrame:
+def rouge_n(df: DataFrame, id_: str, pred: str, ref: str, n: int, stemmed: bool = False) -> DataFrame:
     """id and rouge: F1 of the n-gram multisets, counted by group so long texts stay distributed."""
-    side = lambda c, k: df.select(id_, F.explode(ngrams(tokens(F.col(c)), n)).alias("g"), F.lit(k).alias("k"))
-    per = side(pred, 0).unionByName(side(ref, 1)).groupBy(id_, "g").agg(F.sum(1 - F.col("k")).alias("p"), F.sum("k").alias("r"))
+    base = df.select(id_, *[(stem_udf(tokens(F.col(c))) if stemmed else tokens(F.col(c))).alias(a) for c, a in ((pred, "_p"), (ref, "_r"))])
+    side = lambda c, k: base.select(id_, F.explode(ngrams(F.col(c), n)).alias("g"), F.lit(k).alias("k"))
+    per = side("_p", 0).unionByName(side("_r", 1)).groupBy(id_, "g").agg(F.sum(1 - F.col("k")).alias("p"), F.sum("k").alias("r"))
     sums = per.groupBy(id_).agg(F.sum(F.least("p", "r")).alias("hits"), F.sum("p").alias("np"), F.sum("r").alias("nr"))
     return df.select(id_).join(sums, id_, "left").select(id_, F.coalesce(f_measure(F.col("hits"), F.col("np"), F.col("nr")), F.lit(0.0)).alias("rouge"))
 
 
+def stem(word: str) -> str:
+    """A light English stem: plural, -ed and -ing endings, and a final y, as in the first steps of Porter's algorithm.
+
+    m counts vowel-consonant changes of a stem; words of up to three letters stay, as scorers leave them."""
+    if len(word) <= 3:
+        return word
+    vowel = lambda w, i: w[i] in "aeiou" or (w[i] == "y" and i > 0 and w[i - 1] not in "aeiou")
+    has = lambda w: any(vowel(w, i) for i in range(len(w)))
+    shape = lambda w: "".join("v" if vowel(w, i) else "c" for i in range(len(w)))
+    m = lambda w: shape(w).replace("vv", "v").count("vc") if w else 0
+    if word.endswith("sses") or word.endswith("ies"):
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    cut = None
+    if word.endswith("eed"):
+        word = word[:-1] if m(word[:-3]) > 0 else word
+    elif word.endswith("ed") and has(word[:-2]):
+        cut = word[:-2]
+    elif word.endswith("ing") and has(word[:-3]):
+        cut = word[:-3]
+    if cut is not None:
+        double = len(cut) > 1 and cut[-1] == cut[-2] and not vowel(cut, len(cut) - 1) and cut[-1] not in "lsz"
+        short = m(cut) == 1 and len(cut) > 2 and shape(cut)[-3:] == "cvc" and cut[-1] not in "wxy"
+        word = cut + "e" if cut.endswith(("at", "bl", "iz")) or (short and not double) else cut[:-1] if double else cut
+    return word[:-1] + "i" if word.endswith("y") and has(word[:-1]) else word
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stem_udf(tokens_: pd.Series) -> pd.Series:
+    return tokens_.map(lambda ws: [stem(w) for w in ws])
+
+
+def union_common(pred: list[list[str]], ref: list[list[str]]) -> int:
+    """Words of the reference's sentences that lie in a longest common subsequence with some sentence of the prediction,
+    each word of the prediction counted as often as it is there."""
+    from collections import Counter
+
+    left, hits = Counter(w for s in pred for w in s), 0
+    for r in ref:
+        on: set[int] = set()
+        for p in pred:
+            on |= set(common_places(r, p))
+        for i in sorted(on):
+            if left[r[i]] > 0:
+                left[r[i]] -= 1
+                hits += 1
+    return hits
+
+
+def common_places(a: list[str], b: list[str]) -> list[int]:
+    """Places in a of one longest common subsequence."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.append(i - 1)
+            i, j = i - 1, j - 1
+        elif t[i - 1][j] >= t[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+@F.pandas_udf(T.LongType())
+def union_udf(pred: pd.Series, ref: pd.Series) -> pd.Series:
+    lists = lambda x: [[stem(w) for w in s] for s in x]
+    return pd.Series([union_common(lists(p), lists(r)) for p, r in zip(pred, ref, strict=True)])
+
+
+def rouge_lsum(df: DataFrame, id_: str, pred: str, ref: str) -> DataFrame:
+    """id and rouge: F1 of the union of common subsequences of sentences, which are lines; stemmed."""
+    lines = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), tokens)
+    size = lambda x: F.size(F.flatten(x))
+    return df.select(id_, lines(pred).alias("_p"), lines(ref).alias("_r")).select(id_, f_measure(union_udf("_p", "_r"), size(F.col("_p")), size(F.col("_r"))).alias("rouge"))
+
+
 def common_length(a: list[str], b: list[str]) -> int:
     row = [0] * (len(b) + 1)
     for x in a:
@@ -43,6 +125,6 @@ def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_length(list(x), list(y)) for x, y in zip(a, b, strict=True)])
 
 
-def rouge_l(df: DataFrame, id_: str, pred: str, ref: str) -> DataFrame:
-    p, r = tokens(F.col(pred)), tokens(F.col(ref))
+def rouge_l(df: DataFrame, id_: str, pred: str, ref: str, stemmed: bool = False) -> DataFrame:
+    p, r = (stem_udf(tokens(F.col(c))) if stemmed else tokens(F.col(c)) for c in (pred, ref))
     return df.select(id_, f_measure(lcs_udf(p, r), F.size(p), F.size(r)).alias("rouge"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as fx
 from tallyloom.functions.token_types import token_type, type_label
-from tallyloom.operators import clustering, commands, events, rouge, similarity, tables, tasks
+from tallyloom.operators import clustering, commands, events, models, rouge, similarity, tables, tasks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -416,6 +416,21 @@ def rouge_l(spark, d):
     return rouge.rouge_l(_answers(spark, d), "id", "pred", "ref").withColumn("rouge", F.round("rouge", 6))
 
 
+@query()
+def rouge_lsum(spark, d):
+    return rouge.rouge_lsum(_answers(spark, d), "id", "pred", "ref").withColumn("rouge", F.round("rouge", 6))
+
+
+@query()
+def rouge1_stemmed(spark, d):
+    return rouge.rouge_n(_answers(spark, d), "id", "pred", "ref", 1, stemmed=True).withColumn("rouge", F.round("rouge", 6))
+
+
+@query()
+def described_activity(spark, d):
+    return models.describe_activity(union_activity(spark, d)).select("type", "name", "description").distinct()
+
+
 _KIND = "case doc_id % 4 when 0 then 'file-directory-App' when 1 then 'Command' when 2 then 'Commande' else 'directory/App' end"
 _NAME = "case doc_id % 3 when 0 then lang || ' - ' || source || ' - app' when 1 then source else lang || ' ' || source end"
 

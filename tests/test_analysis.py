@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyloom.operators import clustering as cl
-from tallyloom.operators import rouge, tables
+from tallyloom.operators import models, rouge, tables
 from tallyloom.sources import readers, sinks
 from tallyloom.streaming import snapshots
 
@@ -68,3 +68,21 @@ def test_stream_of_snapshots(spark, tmp_path):
     finally:
         q.stop()
     assert got == [(1, "closed", "b"), (1, "opened", "c"), (1, "opened", "c"), (2, "closed", "a"), (2, "closed", "c")]
+
+
+def test_stems_and_lsum(spark):
+    for word, want in {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agree", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "falling": "fall", "happy": "happi", "sky": "sky", "sized": "size", "conflated": "conflate"}.items():
+        assert rouge.stem(word) == want
+    df = spark.createDataFrame([(1, "cats running", "the cat runs\nagain"), (2, "a b\nc d", "c d\na b")], "id long, p string, r string")
+    f1 = lambda d: {r["id"]: round(r["rouge"], 4) for r in d.collect()}
+    assert f1(rouge.rouge_n(df, "id", "p", "r", 1, stemmed=True)) == {1: 0.6667, 2: 1.0}
+    assert f1(rouge.rouge_l(df, "id", "p", "r", stemmed=True)) == {1: 0.6667, 2: 0.5}
+    assert f1(rouge.rouge_lsum(df, "id", "p", "r")) == {1: 0.6667, 2: 1.0}
+
+
+def test_models_plug_in(spark):
+    df = spark.createDataFrame([("Command", "ls -l"), ("directory/App", "x")], "type string, name string")
+    assert [r["description"] for r in models.describe_activity(df, lambda ps: [p.upper() for p in ps]).collect()][0].startswith("DESCRIBE THE SHELL COMMAND: LS -L")
+    assert models.describe_activity(df).columns == ["type", "name", "description"]
+    v = models.encode_texts(df.withColumn("id", F.col("name")), "name")
+    assert all(r["agrees"] for r in models.stored_vectors_agree(v, v, "id").collect())
