@@ -32,6 +32,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,21 +65,36 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        #: An added token parts a text before anything else, so stretches between two of them are encoded as if each stood alone.
+        self.mark, self.mark_id = next(((t.content, i) for i, t in added.items()), (None, None))
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _alone(self, s: str) -> bytes:
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _together(self, parts: list[str]) -> Iterator[bytes]:
+        ids = np.array(self.tokenizer.encode(self.mark.join(parts), add_special_tokens=False).ids, dtype="<u4")
+        cuts, raw = 4 * np.flatnonzero(ids == self.mark_id), ids.tobytes()
+        for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True):
+            yield raw[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The serialized ids of each text."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        cache = self.cache
+        if len(cache) > CACHE:
+            cache.clear()
         cut = [_STRETCH.findall(t or "") for t in texts]
-        new = [s for s in {s for c in cut for s in c if s not in self.cache}]
-        rare = {s: x for s, x in zip(new, self._encode(new), strict=True)}
-        self.cache.update((s, x) for s, x in rare.items() if len(s) <= LONG)
-        get = lambda s: self.cache.get(s) or rare[s]
-        return [b"".join([get(s) for s in c]) for c in cut]
+        new = [s for s in set(chain.from_iterable(cut)) if s not in cache]
+        plain = [s for s in new if self.mark and self.mark not in s]
+        cache.update((s, self._alone(s)) for s in new if not self.mark or self.mark in s)
+        for k in range(0, len(plain), 2000):
+            cache.update(zip(plain[k : k + 2000], self._together(plain[k : k + 2000]), strict=True))
+        out = [b"".join([cache[s] for s in c]) for c in cut]
+        for s in new:
+            if len(s) > LONG:
+                del cache[s]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -196,9 +212,11 @@ def read_dictionary(path: str) -> bytes:
         return f.read()
 
 
-def read_token_files(spark, path: str, manifest: list[dict]) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and token_ids of every document, from the files."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int64()))])
+def read_token_files(spark, path: str, manifest: list[dict], ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit
+    integers) and, if asked for, token_ids of every document, all from the files."""
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("token_ids", pa.list_(pa.int64()))] * ids
+    schema = pa.schema(fields)
     rows, before = [], 0
     for m in manifest:
         rows.append((m["uri"], before))
@@ -213,24 +231,13 @@ def read_token_files(spark, path: str, manifest: list[dict]) -> DataFrame:
                 starts = at + np.concatenate(([0], np.cumsum(f.counts)[:-1]))
                 for k in range(0, len(f), 200):
                     top = min(len(f), k + 200)
-                    ids = [f[i] for i in range(k, top)]
-                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).astype(np.int64)))
-                    doc_ids = pa.array(f.ids[k:top], mask=~f.valid[k:top])
-                    yield record_batch({"doc_id": doc_ids, "start": starts[k:top], "n_tokens": offsets[1:].astype(np.int64) - offsets[:-1], "token_ids": lists}, schema)
+                    found = [f[i] for i in range(k, top)]
+                    sizes = np.array([len(x) for x in found], dtype=np.int64)
+                    out = {"doc_id": pa.array(f.ids[k:top], mask=~f.valid[k:top]), "start": starts[k:top], "n_tokens": sizes, "ids_crc32": [zlib.crc32(x) for x in found]}
+                    if ids:
+                        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                        out["token_ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int64)))
+                    yield record_batch(out, schema)
 
     files = spark.createDataFrame(rows, "uri string, before bigint").repartition(max(1, len(rows)))
-    return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, token_ids array<bigint>")
-
-
-def ids_crc32(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32, of the ids as little-endian unsigned 32-bit integers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("token_ids")
-            sums = [zlib.crc32(ids[k].values.to_numpy().astype("<u4").tobytes()) for k in range(len(ids))]
-            yield record_batch({"doc_id": b.column("doc_id"), "start": b.column("start"), "n_tokens": b.column("n_tokens"), "ids_crc32": sums}, schema)
-
-    return read.mapInArrow(crc, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", token_ids array<bigint>" * ids)
