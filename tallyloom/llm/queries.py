@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import table
+from tallyloom.llm.oracle import ORACLE_SQL  # noqa: F401  read with QUERIES
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +117,3 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
