@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read back: this cuts the lineage."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what kept() has written for these frames, once nothing that is still to be computed reads it."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -66,6 +77,13 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned 64-bit integers that spreads every bit (SplitMix64's finish)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyloom.llm.common import SPACE_CLASS, kept, open_fs, record_batch, shared_dir, text_of, write_bytes
+from tallyloom.llm.common import SPACE_CLASS, forget, kept, mix64, open_fs, record_batch, shared_dir, text_of, write_bytes
 
 U64 = np.dtype("<u8")
 BEGIN, END = (np.uint64(xxh64_intdigest(m, 42)) for m in (b" begin", b" end"))  # words have no space, so these are no words
@@ -57,18 +57,12 @@ class LmParams:
     hot_share: float = 0.002
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def bigram_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(ctx * np.uint64(0x9E3779B97F4A7C15) + word)
+    return mix64(ctx * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def bucket_of(ctx: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    spread = np.where(np.isin(ctx, hot), mix(ctx + word * np.uint64(0x9E3779B97F4A7C15)), mix(ctx)) if len(hot) else mix(ctx)
+    spread = np.where(np.isin(ctx, hot), mix64(ctx + word * np.uint64(0x9E3779B97F4A7C15)), mix64(ctx)) if len(hot) else mix64(ctx)
     return (spread % np.uint64(buckets)).astype(np.int32)
 
 
@@ -181,6 +175,7 @@ def hot_contexts(train: DataFrame, p: LmParams) -> np.ndarray:
     words = kept(words, "sample")
     total = words.agg(F.sum("count").alias("n")).first()["n"] or 0
     rows = [r["w"] for r in words.filter(F.col("count") > p.hot_share * total).collect()]
+    forget(words)
     return np.array(sorted([xxh64_intdigest(w.encode().lower(), 42) for w in rows if w] + [int(BEGIN)]), dtype=U64)
 
 
@@ -238,7 +233,7 @@ def train_model(train: DataFrame, p: LmParams = LmParams()) -> Model:
                 ("word", word, {"tokens": n, "types": np.ones(len(n))}),
             ):
                 ks, _, *sums = grouped_sums(k, *(v.astype(U64) for v in values.values()))
-                to = (mix(ks) % np.uint64(buckets)).astype(np.int32)
+                to = (mix64(ks) % np.uint64(buckets)).astype(np.int32)
                 for s in np.unique(to).tolist():
                     o = to == s
                     yield record_batch({"kind": [kind], "slot": [s], "blob": [pack(key=np.diff(ks[o], prepend=U64.type(0)), **{c: v[o] for c, v in zip(values, sums, strict=True)})]}, _BLOCKS)
@@ -267,6 +262,7 @@ def train_model(train: DataFrame, p: LmParams = LmParams()) -> Model:
             t2 += unpack(r["blob"])["t"]
         elif kind == "word":
             t1 += unpack(r["blob"])["t"]
+    forget(counted)
     model.bigrams, model.words = discounts(t2[:4].tolist()), discounts(t1[:4].tolist())
     model.vocabulary, model.types, model.train_tokens = int(t1[4]), int(t1[5]), int(t1[6])
     model.freed = float(model.words[1] * t1[0] + model.words[2] * t1[1] + model.words[3] * (t1[4] - t1[0] - t1[1]))
@@ -333,8 +329,8 @@ def log_probabilities(m: Model, ctx: np.ndarray, word: np.ndarray) -> tuple[np.n
     buckets = np.uint64(len(m.files["word"]))
     ws, wi = np.unique(word, return_inverse=True)
     cs, ci = np.unique(ctx, return_inverse=True)
-    tokens, types = look_up(m.files["word"], (mix(ws) % buckets).astype(np.int32), ws, 2).T
-    total, one, two, more = look_up(m.files["context"], (mix(cs) % buckets).astype(np.int32), cs, 4).T
+    tokens, types = look_up(m.files["word"], (mix64(ws) % buckets).astype(np.int32), ws, 2).T
+    total, one, two, more = look_up(m.files["context"], (mix64(cs) % buckets).astype(np.int32), cs, 4).T
     key, at, back = np.unique(bigram_key(ctx, word), return_index=True, return_inverse=True)
     n = look_up(m.files["bigram"], bucket_of(ctx[at], word[at], m.hot, int(buckets)), key, 1)[:, 0][back]
     if m.types:

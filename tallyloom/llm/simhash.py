@@ -32,9 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyloom.llm.common import kept, record_batch, text_of
+from tallyloom.llm.common import forget, kept, mix64, record_batch, text_of
 from tallyloom.llm.components import connected_components
-from tallyloom.llm.kneser_ney import mix
 
 SEED = 42
 PIVOTS = 8
@@ -60,7 +59,7 @@ def wide_fingerprint(text: str | None, width: int = 4, words: int = 1) -> np.nda
         ends = stops[at + width - 1 : to + width - 1] if len(tokens) >= width else [stops[-1]]
         hashes = np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts[at:to], ends, strict=True)], dtype="<u8")
         for k in range(words):
-            h = hashes if k == 0 else mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+            h = hashes if k == 0 else mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
             ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
 
@@ -132,6 +131,7 @@ def fingerprint_components(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     a, b = open_.alias("a"), open_.alias("b")
     across = a.join(b, (F.col("a.mask") == F.col("b.mask")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") < F.col("b.root")) & _near("a", "b", max_bits))
     joined = kept(connected_components(across.select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))), "joined")
+    forget(shared, labelled)
     return (
         fps.select("fp").join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("mid", F.coalesce("root", "fp")).drop("root")
         .join(joined.withColumnRenamed("node", "mid"), "mid", "left").select("fp", F.coalesce("root", "mid").alias("root"))
@@ -225,6 +225,7 @@ def similar_groups(docs: DataFrame, p: SimilarParams = SimilarParams()) -> DataF
     joined = kept(connected_components(across), "joined")
     roots = distinct.join(near, "node", "left").withColumn("mid", F.coalesce("root", "node")).select("node", "first_id", "mid").join(joined.select(F.col("node").alias("mid"), "root"), "mid", "left")
     roots = kept(roots.select("node", "first_id", F.coalesce("root", "mid").alias("root")), "roots")
+    forget(distinct, shared, near, labelled, joined)
     lead = roots.groupBy("root").agg(F.min("first_id").alias("group_id"))
     return rows.select("doc_id", "node").join(roots.join(lead, "root").select("node", "group_id"), "node").select("doc_id", "group_id")
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import _STRETCH, CACHE, LONG
-from tallyloom.llm.common import kept, open_fs, record_batch, shared_dir, write_bytes
+from tallyloom.llm.common import forget, kept, open_fs, record_batch, shared_dir, write_bytes
 
 MAGIC = b"TLTOKEN1"
 
@@ -177,6 +177,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, p: TokenFileParams = Toke
 
     ordered = frames.repartitionByRange(int(size // p.file_bytes) + 1, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "crc")
     rows = ordered.select("doc_id", "n_tokens", "frame").mapInArrow(write, "part int, uri string, docs bigint, tokens bigint").collect()
+    forget(frames)
     return path, [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 
 
