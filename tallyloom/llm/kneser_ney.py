@@ -249,9 +249,9 @@ def train_model(train: DataFrame, p: LmParams = LmParams()) -> Model:
             yield record_batch({"kind": [f"file:{uri}"], "slot": [slot], "blob": [facts]}, _BLOCKS)
 
     ddl = "kind string, slot int, blob binary"
-    counted = train.select("text").mapInArrow(count, ddl).repartition(buckets, "slot").sortWithinPartitions("slot").mapInArrow(merge_bigrams, ddl)
+    counted = train.select("text").mapInArrow(count, ddl).repartitionById(buckets, F.col("slot")).sortWithinPartitions("slot").mapInArrow(merge_bigrams, ddl)
     counted = kept(counted, "lm-parts")
-    rest = counted.filter("kind in ('context', 'word')").repartition(buckets, "kind", "slot").sortWithinPartitions("kind", "slot").mapInArrow(merge_rest, ddl)
+    rest = counted.filter("kind in ('context', 'word')").repartitionById(2 * buckets, 2 * F.col("slot") + (F.col("kind") == "word").cast("int")).sortWithinPartitions("kind", "slot").mapInArrow(merge_rest, ddl)
     model = Model(hot, {k: [None] * buckets for k in ("bigram", "context", "word")}, np.zeros(4), np.zeros(4))
     t2, t1 = np.zeros(5), np.zeros(7)
     for r in [*counted.filter("kind like 'file:%'").collect(), *rest.collect()]:

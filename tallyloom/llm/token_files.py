@@ -32,7 +32,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bpe import _STRETCH, CACHE, LONG
+from tallyloom.llm.bpe import _STRETCH, LONG
 from tallyloom.llm.common import forget, kept, open_fs, record_batch, shared_dir, write_bytes
 
 MAGIC = b"TLTOKEN1"
+#: Remembered stretches of a generation.
+GENERATION = 500_000
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,9 @@ class LibraryEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         #: An added token parts a text before anything else, so stretches between two of them are encoded as if each stood alone.
         self.mark, self.mark_id = next(((t.content, i) for i, t in added.items()), (None, None))
-        self.cache: dict[str, bytes] = {}
+        #: Two generations: when the young one is full it becomes the old one, so what is in use stays.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _alone(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -81,20 +84,22 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The serialized ids of each text."""
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
+        if len(self.young) > GENERATION:
+            self.old, self.young = self.young, {}
+        young, old, fresh, new = self.young, self.old, {}, []
         cut = [_STRETCH.findall(t or "") for t in texts]
-        new = [s for s in set(chain.from_iterable(cut)) if s not in cache]
-        plain = [s for s in new if self.mark and self.mark not in s]
-        cache.update((s, self._alone(s)) for s in new if not self.mark or self.mark in s)
-        for k in range(0, len(plain), 2000):
-            cache.update(zip(plain[k : k + 2000], self._together(plain[k : k + 2000]), strict=True))
-        out = [b"".join([cache[s] for s in c]) for c in cut]
-        for s in new:
-            if len(s) > LONG:
-                del cache[s]
-        return out
+        got = [list(map(young.get, c)) for c in cut]
+        for s in {s for c, g in zip(cut, got, strict=True) for s, x in zip(c, g, strict=True) if x is None}:
+            if (x := old.get(s)) is not None:
+                fresh[s] = x
+            elif self.mark is None or self.mark in s:
+                fresh[s] = self._alone(s)
+            else:
+                new.append(s)
+        for k in range(0, len(new), 2000):
+            fresh.update(zip(new[k : k + 2000], self._together(new[k : k + 2000]), strict=True))
+        young.update((s, x) for s, x in fresh.items() if len(s) <= LONG)
+        return [b"".join([x or fresh[s] for s, x in zip(c, g, strict=True)]) for c, g in zip(cut, got, strict=True)]
 
 
 @lru_cache(maxsize=2)
