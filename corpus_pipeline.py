@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 stage's docs. A stage works on all that its predecessor kept:
 
 1. quality rules: documents that the rules reject go.
-2. SimHash near-dedup: one document of each group stays, that with the smallest doc_id.
+2. near-dedup by the exact similarity of shingle sets: one document of each group stays, that with the smallest doc_id.
 3. benchmark decontamination: leaked spans are cut out; documents that are almost all leak go.
 4. secret scan: secrets are replaced by a mark.
 5. BPE: token ids of what is left, and whether decoding them gives the text back.

@@ -149,83 +149,152 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
 
 @dataclass(frozen=True)
 class SimilarParams:
-    """Near duplicates by estimated similarity of shingle sets, for radii at which 64 bits say too little."""
+    """Near duplicates by the Jaccard similarity of their sets of shingles."""
 
     width: int = 5
     similarity: float = 0.8
-    #: 64-bit words of a fingerprint.
+    #: 64-bit words of a wide fingerprint or a parity.
     words: int = 16
-    #: Chance that a pair at just that similarity meets in a band; more alike ones meet more surely.
-    recall: float = 0.98
-    #: Bits of a band beyond log2 of the distinct fingerprints: chance meetings stay a share of the rows at any size.
-    spare_bits: int = 2
 
     def agreement(self) -> float:
-        """The share of bits that texts of this Jaccard similarity agree on."""
+        """The share of bits that texts of this Jaccard similarity agree on, on average."""
         return 1 - math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
 
     def radius(self) -> int:
         return int(BITS * self.words * (1 - self.agreement()))
 
 
-def _differ(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+#: Counters of the sketch that says which shingles are common, the share of texts it counts (one in so many), and the count from which it matters.
+COUNTERS, COUNTED, COMMON = 1 << 20, 16, 4
+_EPS = 1e-9
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct shingle hashes, unsigned and ascending; a text without words has none."""
+    tokens = text_of(text).lower().split()
+    if not tokens:
+        return np.empty(0, dtype="<u8")
+    joined = memoryview(b" ".join(tokens))
+    stops = list(accumulate(len(w) + 1 for w in tokens))
+    ends = stops[width - 1 :] or stops[-1:]
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *stops], ends)), dtype="<u8", count=len(ends)))
+
 
+def parity(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Bit k is set if an odd number of the hashes falls on it. Two sets have at least as many elements not in common as
+    their parities have differing bits: each of those turns one bit."""
+    on = np.bincount(((hashes >> np.uint64(24)) % np.uint64(BITS * words)).astype(np.int64), minlength=BITS * words) & 1
+    return np.packbits(on.astype(np.uint8), bitorder="little").view("<u8")
 
-def _bands(distinct: DataFrame, n: int, p: SimilarParams) -> DataFrame:
-    """(key, node): key holds the band's number and its bits of the fingerprint."""
-    bits = min(40, max(12, math.ceil(math.log2(n + 1)) + p.spare_bits))
-    bands = math.ceil(math.log(1 - p.recall) / math.log(1 - p.agreement() ** bits))
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    chosen = np.stack([rng.choice(BITS * p.words, bits, replace=False) for _ in range(bands)])
-    powers = (1 << np.arange(bits)).astype(np.int64)
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, "<u8"), *arrays]).astype("<u8").view(np.int64)))
+
+
+def _ranks(docs: DataFrame, p: SimilarParams) -> np.ndarray:
+    """How common the shingles of each counter are, on a rough scale. It only orders shingles, so any values give the same groups."""
+    schema = pa.schema([("counter", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            fp = b.column("fp").values.to_numpy().reshape(b.num_rows, p.words)
-            on = np.unpackbits(fp.view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            keys = np.stack([on[:, c] @ powers | k << 40 for k, c in enumerate(chosen)], axis=1)
-            yield record_batch({"key": keys.ravel(), "node": np.repeat(b.column("node").to_numpy(), bands)}, schema)
+            found = [shingle_set(t, p.width) for t in b.column("text").to_pylist()]
+            at, n = np.unique(np.concatenate([np.empty(0, "<u8"), *found]).astype("<u8") % np.uint64(COUNTERS), return_counts=True)
+            yield record_batch({"counter": at.astype(np.int64), "n": n}, schema)
 
-    return distinct.select("node", "fp").mapInArrow(run, "key bigint, node bigint")
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).mapInArrow(run, "counter bigint, n bigint")
+    common = some.groupBy("counter").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).toArrow()
+    ranks = np.zeros(COUNTERS, dtype=np.uint8)
+    ranks[common["counter"].to_numpy()] = np.minimum(255, 4 * np.log2(common["n"].to_numpy())).astype(np.uint8)
+    return ranks
 
 
-def similar_groups(docs: DataFrame, p: SimilarParams = SimilarParams()) -> DataFrame:
-    """doc_id and group_id, the smallest doc_id that links between documents of at least that similarity reach.
+def _first_shingles(docs: DataFrame, p: SimilarParams) -> DataFrame:
+    """doc_id, text_hash, node (a hash of the shingle set), its size n and parity, and keys: the rarest shingles, so many that two
+    sets of at least the similarity have one of them in common."""
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(docs, p))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("parity", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, p.width) for t in b.column("text").to_pylist()]
+            nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in found], dtype="<u8").view(np.int64)
+            keys = [s[np.lexsort((s, ranks.value[s % np.uint64(COUNTERS)]))][: len(s) - math.ceil(p.similarity * len(s) - _EPS) + 1] for s in found]
+            yield record_batch({"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "node": nodes, "n": [len(s) for s in found], "parity": _lists([parity(s, p.words) for s in found]), "keys": _lists(keys)}, schema)
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n int, parity array<bigint>, keys array<bigint>")
 
-    Wide fingerprints are compared where they agree on all bits of a band. As with the 64-bit links, each is first held
-    against two hubs of its bucket, and only across the components that gives are pairs formed; every link is verified
-    on all bits. Pivot distances discard nothing at this radius: those of unrelated texts differ far less than it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.list_(pa.int64()))])
+
+def _sets(docs: DataFrame, wanted: DataFrame, p: SimilarParams) -> DataFrame:
+    """node and hashes, its shingle set, of the wanted (node, doc_id, text_hash)."""
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprint(t, p.width, p.words) for t in b.column("text").to_pylist()]
-            flat = np.concatenate([np.empty(0, "<u8"), *fps]).astype("<u8").view(np.int64)
-            yield record_batch({"doc_id": b.column("doc_id"), "fp": pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * p.words, pa.int32()), pa.array(flat))}, schema)
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp array<bigint>").withColumn("node", F.xxhash64("fp"))
-    rows = kept(rows, "wide")
-    distinct = kept(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct")
-    members = _bands(distinct, distinct.count(), p)
+            yield record_batch({"node": b.column("node"), "hashes": _lists([shingle_set(t, p.width) for t in b.column("text").to_pylist()])}, schema)
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    found = rows.join(wanted, (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    return found.mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
+
+
+def _enough(shared: Column, n_u: Column, n_v: Column, p: SimilarParams) -> Column:
+    """Sets of these sizes with so many shingles in common have at least the similarity."""
+    return shared * (1 + p.similarity) >= p.similarity * (n_u + n_v) - _EPS
+
+
+def _differ(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _may_be_alike(p: SimilarParams) -> Column:
+    """Not ruled out by sizes and parities, for columns n and parity of u and v. No link is ruled out."""
+    size = F.col("n_u") + F.col("n_v")
+    return _enough(F.least("n_u", "n_v"), F.col("n_u"), F.col("n_v"), p) & _enough((size - _differ(F.col("parity_u"), F.col("parity_v"))) / 2, F.col("n_u"), F.col("n_v"), p)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, p: SimilarParams) -> DataFrame:
+    """The pairs of at least the similarity, by their whole sets."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    return both.filter(_enough(F.size(F.array_intersect("of_u", "of_v")), F.size("of_u"), F.size("of_v"), p)).select(pairs.columns)
+
+
+def similar_groups(docs: DataFrame, p: SimilarParams = SimilarParams()) -> DataFrame:
+    """doc_id and group_id, the smallest doc_id that links between documents of at least that similarity reach.
+
+    All links are found, and no others: sets of at least the similarity s have one of the first n - ceil(s n) + 1
+    shingles in common, in any one order of all shingles (here the rare ones first, so that few texts meet by common
+    ones). Pairs that sizes and parities can't rule out are verified by their whole sets. As with the 64-bit links, each
+    set is first held against two hubs of its bucket, and only across the components that gives are pairs formed. Texts
+    of the same set, as exact copies, are one node."""
+    rows = kept(_first_shingles(docs, p), "wide")
+    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("text_hash", "doc_id").alias("first_hash"), F.first("text_hash").alias("any_hash"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("keys").alias("keys"))
+    distinct = kept(distinct.withColumn("text_hash", F.coalesce("first_hash", "any_hash")).drop("first_hash", "any_hash"), "distinct")
+    members = distinct.select("node", F.explode("keys").alias("key"))
     hubs = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
     shared = kept(members.join(hubs, "key"), "buckets")
+    side = lambda c: distinct.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    wanted = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct, "node").select("node", F.col("first_id").alias("doc_id"), "text_hash")
     pairs = shared.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).filter("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    side = lambda c: distinct.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
-    close = _differ(F.col("fp_u"), F.col("fp_v")) <= p.radius()
-    near = kept(connected_components(pairs.join(side("u"), "u").join(side("v"), "v").filter(close).select("u", "v")), "near")
+    pairs = kept(pairs.join(side("u"), "u").join(side("v"), "v").filter(_may_be_alike(p)).select("u", "v"), "pairs")
+    asked = kept(wanted(pairs), "wanted")
+    sets = kept(_sets(docs, asked, p), "sets")
+    near = kept(connected_components(_alike(pairs, sets, p)), "near")
     labelled = kept(shared.select("key", "node").join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
     several = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-    open_ = labelled.join(several, "key", "left_semi").join(distinct.select("node", "fp"), "node")
-    a, b = open_.select("key", F.col("root").alias("u"), F.col("fp").alias("fp_u")), open_.select("key", F.col("root").alias("v"), F.col("fp").alias("fp_v"))
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & close).select("u", "v")
+    open_ = labelled.join(several, "key", "left_semi").join(distinct.select("node", "n", "parity"), "node")
+    a, b = (open_.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"), F.col("root").alias(f"root_{c}")) for c in "uv")
+    meet = a.join(b, (a["key"] == b["key"]) & (F.col("root_u") < F.col("root_v")) & _may_be_alike(p))
+    meet = kept(meet.select("u", "v", "root_u", "root_v").distinct(), "meet")
+    later = kept(wanted(meet).join(asked.select("node"), "node", "left_anti"), "wanted")
+    more = kept(_sets(docs, later, p), "sets")
+    across = _alike(meet, sets.unionByName(more), p).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
     joined = kept(connected_components(across), "joined")
     roots = distinct.join(near, "node", "left").withColumn("mid", F.coalesce("root", "node")).select("node", "first_id", "mid").join(joined.select(F.col("node").alias("mid"), "root"), "mid", "left")
     roots = kept(roots.select("node", "first_id", F.coalesce("root", "mid").alias("root")), "roots")
-    forget(distinct, shared, near, labelled, joined)
+    forget(distinct, shared, pairs, asked, sets, near, labelled, meet, later, more, joined)
     lead = roots.groupBy("root").agg(F.min("first_id").alias("group_id"))
     return rows.select("doc_id", "node").join(roots.join(lead, "root").select("node", "group_id"), "node").select("doc_id", "group_id")
 

@@ -142,3 +142,49 @@ def test_estimate_follows_jaccard():
             b[k * 500 // edits] = f"x{k}"
         x, y = (wide_fingerprint(" ".join(t), p.width, p.words) for t in (a, b))
         assert (int(np.bitwise_count(x ^ y).sum()) <= p.radius()) == alike
+
+
+def brute_jaccard(texts, width=5):
+    """{doc_id: smallest doc_id of its group}, from the exact similarity of all pairs of sets of shingles, at least 4/5."""
+    sets, root = {}, {d: d for d in texts}
+    for d, t in texts.items():
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sets[d] = {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            n = len(sets[a] & sets[b])
+            if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
+def test_groups_are_those_of_exact_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = similar_groups(docs).collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == brute_jaccard({r["doc_id"]: r["text"] for r in docs.collect()})
+
+
+def test_links_at_the_very_similarity(spark):
+    rng = random.Random(3)
+    texts = []
+    for kind in range(60):  # 360 of 450 shingles in common, one less, one more; short texts; repeated lines
+        w = [f"k{kind}w{i}" for i in range(409)]
+        texts += [" ".join(w), " ".join(w[: 364 + kind % 3 - 1] + [f"k{kind}x{i}" for i in range(45 - kind % 3 + 1)])]
+        n = rng.randint(1, 12)
+        texts += [" ".join(w[:n]), " ".join(w[: n - 1] if n > 1 else w)]
+    line = " ".join(f"line{i}" for i in range(14))
+    rest = " ".join(f"rest{i}" for i in range(40))
+    texts += [f"{line} {line} {rest}", " ".join([line] * 7 + [rest]), "", None, " \n"]
+    common = " ".join(f"common{i}" for i in range(120))
+    texts += [f"{common} " + " ".join(f"own{rng.randrange(10**6)}" for _ in range(rng.choice([10, 20, 25]))) for _ in range(40)]
+    got = {r["doc_id"]: r["group_id"] for r in similar_groups(documents(spark, texts)).collect()}
+    assert got == brute_jaccard(dict(enumerate(texts)))
