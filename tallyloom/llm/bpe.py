@@ -248,18 +248,17 @@ class Encoder:
         held = ""
         for block in blocks:
             held += block
-            keep = 0
+            tail = ""
+            # Text before an added token is whole; the stretch after the last one may hold the start of another.
             for seg in self._segments(held):
                 if isinstance(seg, int):
+                    if tail:
+                        yield text.feed(tail)
                     yield [*text.finish(), seg]
                     text = Segment(self.m)
-                    keep = 0
+                    tail = ""
                 else:
-                    keep = len(seg)
-                    if seg is not None and not held.endswith(seg):
-                        yield text.feed(seg)
-            # The last stretch of text may hold the start of an added token.
-            tail = held[len(held) - keep :] if keep else ""
+                    tail = seg
             cut = max(0, len(tail) - widest + 1)
             if cut:
                 yield text.feed(tail[:cut])

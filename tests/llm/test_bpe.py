@@ -80,3 +80,18 @@ def test_query_and_awkward_rows(spark, sf_dir):
     want = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
     assert len(got) == rows.count() and all(r["decoded_text"] == want[r["doc_id"]] for r in got)
     assert decode_documents(encode_documents(rows.limit(0), PATH), PATH).count() == 0
+
+
+def test_a_segment_before_an_added_token_may_equal_the_end():
+    for t in ("a<|endoftext|>" + "a" * 3000, "ab<|endoftext|>" + "x" * 5000 + "ab", "a<|endoftext|>" * 400 + "a", "a" * 4096 + "<|endoftext|>" + "a" * 4096):
+        ids = encoder(PATH).encode(t)
+        assert ids.tolist() == hf(t) and decode(ids, decode_table(PATH)) == t
+        for block in (1, 7, 100, 2500):
+            assert [i for ids in encoder(PATH).encode_blocks(t[k : k + block] for k in range(0, len(t), block)) for i in ids] == hf(t)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "ab", " ", "'s", "<|endoftext|>", "<|endo"]), max_size=30), st.integers(1, 40), st.integers(1, 60))
+def test_blocks_with_whole_added_tokens_match_the_library(parts, block, times):
+    t = "".join(parts) * times
+    assert [i for ids in encoder(PATH).encode_blocks(t[k : k + block] for k in range(0, len(t), block)) for i in ids] == hf(t)
