@@ -21,9 +21,7 @@ unless all of its component are null. Repeated rows: a row each. Empty table: no
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -32,41 +30,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyloom.llm.common import forget, kept, mix64, record_batch, text_of
+from tallyloom.llm.common import forget, kept, record_batch, text_of
 from tallyloom.llm.components import connected_components
 
 SEED = 42
-PIVOTS = 8
+#: Reference fingerprints. Of pairs that meet by chance, each leaves about 57 %.
+PIVOTS = 24
 BITS = 64
 #: (distinct fingerprints up to here, blocks beyond max_bits that a bucket fixes): wider keys for larger tables, so that chance meetings stay few.
 SCALES = ((1 << 22, 2), (1 << 28, 3), (1 << 34, 4), (1 << 62, 6))
 _CHUNK = 1 << 16
 
 
-def wide_fingerprint(text: str | None, width: int = 4, words: int = 1) -> np.ndarray:
-    """`words` unsigned 64-bit integers; the first is the plain fingerprint, the others come from hashes mixed further.
-    The work space is a chunk of shingles, whatever the length of the text."""
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The fingerprint of these hashes, signed."""
+    ones = sum((_bit_counts(hashes[k : k + _CHUNK]) for k in range(0, len(hashes), _CHUNK)), np.zeros(BITS, dtype=np.int64))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Unsigned 64 bits. The work space is a chunk of shingles beside the text."""
     tokens = text_of(text).lower().split()
     if not tokens:
-        return np.zeros(words, dtype="<u8")
+        return 0
     joined = memoryview(b" ".join(tokens))
     stops = list(accumulate(len(w) + 1 for w in tokens))
     starts = [0, *stops[:-1]]
     n = max(1, len(tokens) - width + 1)
-    ones = np.zeros((words, BITS), dtype=np.int64)
+    ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, _CHUNK):
         to = min(n, at + _CHUNK)
         ends = stops[at + width - 1 : to + width - 1] if len(tokens) >= width else [stops[-1]]
-        hashes = np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts[at:to], ends, strict=True)], dtype="<u8")
-        for k in range(words):
-            h = hashes if k == 0 else mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
-            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
-
-
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Unsigned 64 bits."""
-    return int(wide_fingerprint(text, width)[0])
+        ones += _bit_counts(np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts[at:to], ends, strict=True)], dtype="<u8"))
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -86,21 +86,30 @@ def pivots() -> list[int]:
     return [int(np.uint64(xxh64_intdigest(f"pivot {k}".encode(), SEED)).view(np.int64)) for k in range(PIVOTS)]
 
 
-def _pivot_table(fp: Column) -> Column:
-    """The distances to all pivots, a byte each."""
-    packed = F.lit(0).cast("bigint")
+def pivot_table(fp: Column) -> Column:
+    """The distances to all pivots, five bits each, twelve in a 64-bit integer.
+
+    A distance is nearly always from 16 to 47; what is beyond is taken for the nearest of these. That makes two distances
+    differ by no more than they do, so no link is discarded."""
+    words = [F.lit(0).cast("bigint")] * -(-PIVOTS // 12)
     for k, p in enumerate(pivots()):
-        packed = packed.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("bigint"), 8 * k))
-    return packed
+        away = F.least(F.greatest(F.bit_count(fp.bitwiseXOR(F.lit(p))) - 16, F.lit(0)), F.lit(31)).cast("bigint")
+        words[k // 12] = words[k // 12].bitwiseOR(F.shiftleft(away, 5 * (k % 12)))
+    return F.struct(*[w.alias(f"w{i}") for i, w in enumerate(words)])
 
 
-def _near(a: str, b: str, max_bits: int) -> Column:
-    """Not discarded by any pivot, and verified. a, b: aliases of rows with fp and its distances in piv."""
+def not_discarded(a: Column, b: Column, max_bits: int) -> Column:
+    """No coordinate of the two rows of the pivot table differs by more than max_bits."""
     cond = F.lit(True)
     for k in range(PIVOTS):
-        at = lambda side: F.shiftrightunsigned(F.col(f"{side}.piv"), 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
+        at = lambda piv: F.shiftrightunsigned(piv[f"w{k // 12}"], 5 * (k % 12)).bitwiseAND(F.lit(31))  # noqa: B023, E731
         cond = cond & (F.abs(at(a) - at(b)) <= max_bits)
-    return cond & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= max_bits)
+    return cond
+
+
+def _near(a: str, b: str, max_bits: int) -> Column:
+    """Not discarded by any pivot, and verified. a, b: aliases of rows with fp and its distances in piv."""
+    return not_discarded(F.col(f"{a}.piv"), F.col(f"{b}.piv"), max_bits) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= max_bits)
 
 
 def _masks(n: int, max_bits: int) -> list[int]:
@@ -112,196 +121,56 @@ def _masks(n: int, max_bits: int) -> list[int]:
     return [int(np.uint64(sum(whole[i] for i in c)).view(np.int64)) for c in combinations(range(blocks), fixed)]
 
 
-def fingerprint_components(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(fp, root) for the distinct fingerprints of fps (column fp): root is the same for all that links connect."""
+def buckets(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Distinct fingerprints fp with piv, their row of the pivot table, in every bucket (mask, part) that holds another
+    one, with the bucket's hubs lo and hi (fp and piv each). A written table."""
     masks = _masks(fps.count(), max_bits)
-    members = fps.select("fp", _pivot_table(F.col("fp")).alias("piv")).select(
+    members = fps.select("fp", pivot_table(F.col("fp")).alias("piv")).select(
         "fp", "piv", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "part")
     )
     key = ["mask", "part"]
-    hubs = members.groupBy(*key).agg(F.min(F.struct("fp", "piv")).alias("lo"), F.max(F.struct("fp", "piv")).alias("hi"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = kept(members.join(hubs, key), "buckets")
+    # Written, so that the join reads plain exchanges, of which Spark can split large partitions.
+    hubs = kept(members.groupBy(*key).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi"), "hubs")
+    hub = lambda c: F.struct(F.col(c).alias("fp"), pivot_table(F.col(c)).alias("piv")).alias(c)
+    out = kept(members.join(hubs, key).select("fp", "piv", *key, hub("lo"), hub("hi")), "buckets")
+    forget(hubs)
+    return out
+
+
+def hub_links(shared: DataFrame, max_bits: int) -> DataFrame:
+    """(u, v): the links between members of buckets() and the hubs of their buckets."""
     star = lambda hub: shared.alias("a").filter((F.col("a.fp") != F.col(f"{hub}.fp")) & _near("a", hub, max_bits)).select(F.col("a.fp").alias("u"), F.col(f"{hub}.fp").alias("v"))
-    near = kept(connected_components(star("lo").unionByName(star("hi"))), "near")
+    return star("lo").unionByName(star("hi"))
 
+
+def fingerprint_components(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(fp, root) for the distinct fingerprints of fps (column fp), a written table: root is the same for all that links connect."""
+    shared = buckets(fps, max_bits)
+    near = connected_components(hub_links(shared, max_bits))
+    key = ["mask", "part"]
     labelled = shared.select("fp", "piv", *key).join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     labelled = kept(labelled, "labelled")
-    several = labelled.groupBy(*key).agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select(*key)
+    several = kept(labelled.groupBy(*key).agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select(*key), "several")
     open_ = labelled.join(several, key, "left_semi")
     a, b = open_.alias("a"), open_.alias("b")
     across = a.join(b, (F.col("a.mask") == F.col("b.mask")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") < F.col("b.root")) & _near("a", "b", max_bits))
-    joined = kept(connected_components(across.select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))), "joined")
-    forget(shared, labelled)
-    return (
+    joined = connected_components(across.select(F.col("a.root").alias("u"), F.col("b.root").alias("v")))
+    out = kept(
         fps.select("fp").join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("mid", F.coalesce("root", "fp")).drop("root")
-        .join(joined.withColumnRenamed("node", "mid"), "mid", "left").select("fp", F.coalesce("root", "mid").alias("root"))
-    )
+        .join(joined.withColumnRenamed("node", "mid"), "mid", "left").select("fp", F.coalesce("root", "mid").alias("root")), "roots"
+    )
+    forget(shared, labelled, several, near, joined)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach."""
     rows = kept(fingerprints(docs, width), "fingerprints")
     fps = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = kept(fps.join(fingerprint_components(fps, max_bits), "fp"), "roots")
-    lead = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(roots.join(lead, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-@dataclass(frozen=True)
-class SimilarParams:
-    """Near duplicates by the Jaccard similarity of their sets of shingles."""
-
-    width: int = 5
-    similarity: float = 0.8
-    #: 64-bit words of a wide fingerprint or a parity.
-    words: int = 16
-
-    def agreement(self) -> float:
-        """The share of bits that texts of this Jaccard similarity agree on, on average."""
-        return 1 - math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
-
-    def radius(self) -> int:
-        return int(BITS * self.words * (1 - self.agreement()))
-
-
-#: Counters of the sketch that says which shingles are common, the share of texts it counts (one in so many), and the count from which it matters.
-COUNTERS, COUNTED, COMMON = 1 << 20, 16, 4
-_EPS = 1e-9
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """The distinct shingle hashes, unsigned and ascending; a text without words has none."""
-    tokens = text_of(text).lower().split()
-    if not tokens:
-        return np.empty(0, dtype="<u8")
-    joined = memoryview(b" ".join(tokens))
-    stops = list(accumulate(len(w) + 1 for w in tokens))
-    ends = stops[width - 1 :] or stops[-1:]
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *stops], ends)), dtype="<u8", count=len(ends)))
-
-
-def parity(hashes: np.ndarray, words: int) -> np.ndarray:
-    """Bit k is set if an odd number of the hashes falls on it. Two sets have at least as many elements not in common as
-    their parities have differing bits: each of those turns one bit."""
-    on = np.bincount(((hashes >> np.uint64(24)) % np.uint64(BITS * words)).astype(np.int64), minlength=BITS * words) & 1
-    return np.packbits(on.astype(np.uint8), bitorder="little").view("<u8")
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, "<u8"), *arrays]).astype("<u8").view(np.int64)))
-
-
-def _ranks(docs: DataFrame, p: SimilarParams) -> np.ndarray:
-    """How common the shingles of each counter are, on a rough scale. It only orders shingles, so any values give the same groups."""
-    schema = pa.schema([("counter", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(t, p.width) for t in b.column("text").to_pylist()]
-            at, n = np.unique(np.concatenate([np.empty(0, "<u8"), *found]).astype("<u8") % np.uint64(COUNTERS), return_counts=True)
-            yield record_batch({"counter": at.astype(np.int64), "n": n}, schema)
-
-    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).mapInArrow(run, "counter bigint, n bigint")
-    common = some.groupBy("counter").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).toArrow()
-    ranks = np.zeros(COUNTERS, dtype=np.uint8)
-    ranks[common["counter"].to_numpy()] = np.minimum(255, 4 * np.log2(common["n"].to_numpy())).astype(np.uint8)
-    return ranks
-
-
-def _first_shingles(docs: DataFrame, p: SimilarParams) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the shingle set), its size n and parity, and keys: the rarest shingles, so many that two
-    sets of at least the similarity have one of them in common."""
-    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(docs, p))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("parity", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(t, p.width) for t in b.column("text").to_pylist()]
-            nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in found], dtype="<u8").view(np.int64)
-            keys = [s[np.lexsort((s, ranks.value[s % np.uint64(COUNTERS)]))][: len(s) - math.ceil(p.similarity * len(s) - _EPS) + 1] for s in found]
-            yield record_batch({"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "node": nodes, "n": [len(s) for s in found], "parity": _lists([parity(s, p.words) for s in found]), "keys": _lists(keys)}, schema)
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n int, parity array<bigint>, keys array<bigint>")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, p: SimilarParams) -> DataFrame:
-    """node and hashes, its shingle set, of the wanted (node, doc_id, text_hash)."""
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield record_batch({"node": b.column("node"), "hashes": _lists([shingle_set(t, p.width) for t in b.column("text").to_pylist()])}, schema)
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-    found = rows.join(wanted, (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    return found.mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
-
-
-def _enough(shared: Column, n_u: Column, n_v: Column, p: SimilarParams) -> Column:
-    """Sets of these sizes with so many shingles in common have at least the similarity."""
-    return shared * (1 + p.similarity) >= p.similarity * (n_u + n_v) - _EPS
-
-
-def _differ(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def _may_be_alike(p: SimilarParams) -> Column:
-    """Not ruled out by sizes and parities, for columns n and parity of u and v. No link is ruled out."""
-    size = F.col("n_u") + F.col("n_v")
-    return _enough(F.least("n_u", "n_v"), F.col("n_u"), F.col("n_v"), p) & _enough((size - _differ(F.col("parity_u"), F.col("parity_v"))) / 2, F.col("n_u"), F.col("n_v"), p)
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, p: SimilarParams) -> DataFrame:
-    """The pairs of at least the similarity, by their whole sets."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.filter(_enough(F.size(F.array_intersect("of_u", "of_v")), F.size("of_u"), F.size("of_v"), p)).select(pairs.columns)
-
-
-def similar_groups(docs: DataFrame, p: SimilarParams = SimilarParams()) -> DataFrame:
-    """doc_id and group_id, the smallest doc_id that links between documents of at least that similarity reach.
-
-    All links are found, and no others: sets of at least the similarity s have one of the first n - ceil(s n) + 1
-    shingles in common, in any one order of all shingles (here the rare ones first, so that few texts meet by common
-    ones). Pairs that sizes and parities can't rule out are verified by their whole sets. As with the 64-bit links, each
-    set is first held against two hubs of its bucket, and only across the components that gives are pairs formed. Texts
-    of the same set, as exact copies, are one node."""
-    rows = kept(_first_shingles(docs, p), "wide")
-    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("text_hash", "doc_id").alias("first_hash"), F.first("text_hash").alias("any_hash"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("keys").alias("keys"))
-    distinct = kept(distinct.withColumn("text_hash", F.coalesce("first_hash", "any_hash")).drop("first_hash", "any_hash"), "distinct")
-    members = distinct.select("node", F.explode("keys").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
-    shared = kept(members.join(hubs, "key"), "buckets")
-    side = lambda c: distinct.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
-    wanted = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct, "node").select("node", F.col("first_id").alias("doc_id"), "text_hash")
-    pairs = shared.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).filter("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = kept(pairs.join(side("u"), "u").join(side("v"), "v").filter(_may_be_alike(p)).select("u", "v"), "pairs")
-    asked = kept(wanted(pairs), "wanted")
-    sets = kept(_sets(docs, asked, p), "sets")
-    near = kept(connected_components(_alike(pairs, sets, p)), "near")
-    labelled = kept(shared.select("key", "node").join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
-    several = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-    open_ = labelled.join(several, "key", "left_semi").join(distinct.select("node", "n", "parity"), "node")
-    a, b = (open_.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"), F.col("root").alias(f"root_{c}")) for c in "uv")
-    meet = a.join(b, (a["key"] == b["key"]) & (F.col("root_u") < F.col("root_v")) & _may_be_alike(p))
-    meet = kept(meet.select("u", "v", "root_u", "root_v").distinct(), "meet")
-    later = kept(wanted(meet).join(asked.select("node"), "node", "left_anti"), "wanted")
-    more = kept(_sets(docs, later, p), "sets")
-    across = _alike(meet, sets.unionByName(more), p).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
-    joined = kept(connected_components(across), "joined")
-    roots = distinct.join(near, "node", "left").withColumn("mid", F.coalesce("root", "node")).select("node", "first_id", "mid").join(joined.select(F.col("node").alias("mid"), "root"), "mid", "left")
-    roots = kept(roots.select("node", "first_id", F.coalesce("root", "mid").alias("root")), "roots")
-    forget(distinct, shared, pairs, asked, sets, near, labelled, meet, later, more, joined)
-    lead = roots.groupBy("root").agg(F.min("first_id").alias("group_id"))
-    return rows.select("doc_id", "node").join(roots.join(lead, "root").select("node", "group_id"), "node").select("doc_id", "group_id")
-
-
-def drop_near_duplicates(docs: DataFrame, p: SimilarParams = SimilarParams()) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; all columns stay. Rows with a null doc_id stay, as
-    they can't be told apart; of rows that repeat the kept doc_id, any one stays."""
-    found = similar_groups(docs, p).filter("doc_id = group_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(found, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    components = fingerprint_components(fps, max_bits)
+    roots = kept(fps.join(components, "fp"), "roots")
+    lead = kept(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "lead")
+    named = kept(roots.join(lead, "root").select("fp", "component_id"), "named")
+    forget(fps, components, roots, lead)
+    # rows is not grouped here, so Spark splits the partition of a fingerprint that very many rows have.
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -27,6 +27,9 @@ def with_clashes(df):
     """Extra columns under names that an operator might use for its own."""
     from pyspark.sql import functions as F
 
-    for c in ("fingerprint", "shard", "score", "n_words", "h", "key", "bucket", "words", "spans", "id"):
+    for c in (
+        "fingerprint", "shard", "score", "n_words", "h", "key", "bucket", "words", "spans", "id", "row", "hash", "node", "root", "lead", "copies", "text_hash", "u", "v", "fp",
+        "_kept", "_id", "_hash", "_row", "_trusted", "_clean", "_n_words", "_score", "_found", "_copy", "weights", "g", "t", "f",
+    ):
         df = df.withColumn(c, F.lit("clash"))
     return df

@@ -9,7 +9,7 @@ from tallyloom.llm.quality_rules import quality_scores
 from tallyloom.llm.secret_scan import EntropyParams, find_spans
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_decontaminate import words
-from tests.llm.test_simhash import brute_groups
+from tests.llm.test_similar import brute_jaccard
 
 HF = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -20,7 +20,7 @@ def test_run_matches_a_plain_version(spark, sf_dir):
     keep = {r["doc_id"] for r in quality_scores(docs, table(spark, sf_dir, "labels")).filter("kept").collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in keep}
     assert 0.6 * docs.count() < len(texts) < docs.count()
-    lead = brute_groups(texts)
+    lead = brute_jaccard(texts)
     texts = {d: t for d, t in texts.items() if lead[d] == d}
     items = [(str(r["item_id"]), words(r["text"])) for r in table(spark, sf_dir, "benchmark").collect()]
     items = [(i, w) for i, w in items if len(w) >= 10]

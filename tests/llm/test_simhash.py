@@ -1,11 +1,11 @@
 import random
 import re
 
-import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyloom.llm.queries import op3_simhash
-from tallyloom.llm.simhash import SimilarParams, drop_near_duplicates, fingerprint, fingerprint_components, near_duplicates, similar_groups, wide_fingerprint
+from tallyloom.llm.simhash import PIVOTS, fingerprint, fingerprint_components, near_duplicates, not_discarded, pivot_table, pivots
 from tests.llm.helpers import AWKWARD, awkward, documents, with_clashes
 
 
@@ -78,113 +78,19 @@ def test_awkward_rows(spark):
     assert len(rows) == docs.count()
     zero = [r for r in rows if r["fp"] == 0]
     assert len(zero) == 4 and all(r["component_id"] == 0 for r in zero)
-    one = drop_near_duplicates(docs)
-    assert one.columns == docs.columns
-    ids = [r["doc_id"] for r in one.select("doc_id").collect()]
-    assert 0 in ids and 1 not in ids and ids.count(8) == 1 and 9 not in ids
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_one_of_many_near_copies_stays(spark):
-    rng = random.Random(1)
-    base = [f"word{rng.randint(0, 10**6)}" for _ in range(400)]
-    texts = []
-    for i in range(30):
-        w = list(base)
-        for _ in range(i % 4):
-            w[rng.randrange(400)] = f"edit{i}"
-        texts.append(" ".join(w))
-    texts += [" ".join(f"other{rng.randint(0, 10**6)}" for _ in range(100)) for _ in range(10)]
-    left = [r["doc_id"] for r in drop_near_duplicates(documents(spark, texts)).select("doc_id").collect()]
-    assert sorted(left) == [0, *range(30, 40)]
-
-
-def brute_groups(texts, p=SimilarParams()):
-    """{doc_id: smallest doc_id of its group}, from all pairs."""
-    ids, fps, root = sorted(texts), {}, {}
-    for d in ids:
-        fps.setdefault(wide_fingerprint(texts[d], p.width, p.words).tobytes(), []).append(d)
-    keys = list(fps)
-    bits = np.unpackbits(np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1), axis=1).astype(np.float32)
-    same = bits @ bits.T + (1 - bits) @ (1 - bits).T
-    root = {k: k for k in range(len(keys))}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in zip(*np.nonzero(same >= 64 * p.words - p.radius())):
-        if a < b:
-            root[find(b)] = find(a)
-    least = {}
-    for k in range(len(keys)):
-        least[find(k)] = min(*fps[keys[k]], least.get(find(k), 1 << 60), 1 << 60)
-    return {d: least[find(k)] for k in range(len(keys)) for d in fps[keys[k]]}
-
-
-def test_groups_match_all_pairs(spark):
-    d = "/root/testdata/sf0.01"
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    got = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.read.parquet(f"{d}/documents.parquet")).collect()}
-    want = brute_groups(texts)
-    wrong = [k for k in texts if got[k] != want[k]]
-    assert len(wrong) <= 0.005 * len(texts) and len(set(want.values())) < 0.97 * len(texts)
-
-
-def test_estimate_follows_jaccard():
-    rng = random.Random(2)
-    p = SimilarParams()
-    for edits, alike in ((4, True), (40, False)):
-        a = [f"w{rng.randint(0, 10**6)}" for _ in range(500)]
-        b = list(a)
-        for k in range(edits):
-            b[k * 500 // edits] = f"x{k}"
-        x, y = (wide_fingerprint(" ".join(t), p.width, p.words) for t in (a, b))
-        assert (int(np.bitwise_count(x ^ y).sum()) <= p.radius()) == alike
-
-
-def brute_jaccard(texts, width=5):
-    """{doc_id: smallest doc_id of its group}, from the exact similarity of all pairs of sets of shingles, at least 4/5."""
-    sets, root = {}, {d: d for d in texts}
-    for d, t in texts.items():
-        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-        w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        sets[d] = {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(texts)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            n = len(sets[a] & sets[b])
-            if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d: find(d) for d in ids}
-
-
-def test_groups_are_those_of_exact_similarity(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = similar_groups(docs).collect()
-    assert {r["doc_id"]: r["group_id"] for r in got} == brute_jaccard({r["doc_id"]: r["text"] for r in docs.collect()})
-
-
-def test_links_at_the_very_similarity(spark):
-    rng = random.Random(3)
-    texts = []
-    for kind in range(60):  # 360 of 450 shingles in common, one less, one more; short texts; repeated lines
-        w = [f"k{kind}w{i}" for i in range(409)]
-        texts += [" ".join(w), " ".join(w[: 364 + kind % 3 - 1] + [f"k{kind}x{i}" for i in range(45 - kind % 3 + 1)])]
-        n = rng.randint(1, 12)
-        texts += [" ".join(w[:n]), " ".join(w[: n - 1] if n > 1 else w)]
-    line = " ".join(f"line{i}" for i in range(14))
-    rest = " ".join(f"rest{i}" for i in range(40))
-    texts += [f"{line} {line} {rest}", " ".join([line] * 7 + [rest]), "", None, " \n"]
-    common = " ".join(f"common{i}" for i in range(120))
-    texts += [f"{common} " + " ".join(f"own{rng.randrange(10**6)}" for _ in range(rng.choice([10, 20, 25]))) for _ in range(40)]
-    got = {r["doc_id"]: r["group_id"] for r in similar_groups(documents(spark, texts)).collect()}
-    assert got == brute_jaccard(dict(enumerate(texts)))
+def test_pivots_discard_no_link(spark):
+    """Of random pairs of 0 to 16 differing bits, all of 4 or fewer stay, and few of the others."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(4000):
+        a = rng.choice([rng.getrandbits(64), 0, (1 << 64) - 1])
+        b = a ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 16)))
+        rows.append((signed(a), signed(b), (a ^ b).bit_count()))
+    rows += [(p, ~p, 64) for p in pivots()]
+    df = spark.createDataFrame(rows, "a long, b long, bits int").select("bits", pivot_table(F.col("a")).alias("pa"), pivot_table(F.col("b")).alias("pb"))
+    got = df.select("bits", not_discarded(F.col("pa"), F.col("pb"), 4).alias("stays")).collect()
+    assert len(pivots()) == PIVOTS and all(r["stays"] for r in got if r["bits"] <= 4)
+    assert sum(r["stays"] for r in got if r["bits"] >= 12) <= 0.1 * sum(r["bits"] >= 12 for r in got)
