@@ -24,7 +24,7 @@ from tallyloom.llm.decontaminate import remove_leaks
 from tallyloom.llm.quality_rules import quality_filter
 from tallyloom.llm.queries import byte_bpe_path
 from tallyloom.llm.secret_scan import redact
-from tallyloom.llm.simhash import drop_near_duplicates
+from tallyloom.llm.similar import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
