@@ -6,7 +6,8 @@ the merge list. All three are done on a stream of blocks with constant work spac
 - A place after a character that is no white space and before white space always parts two pieces, so the stretches
   between such places are encoded on their own. Short ones are remembered in a cache of bounded size.
 - A stretch longer than `LONG` characters is read in blocks. A piece is final once it ends `MARGIN` characters before
-  what has been read; a piece that fills the block goes on as an open run of one character class.
+  what has been read; a piece that fills the block goes on as an open run of one character class. Of a run of white
+  space the last character is held back: it belongs to the next piece if there is one.
 - An open run's bytes go to a merge buffer. `lookahead(merges)` bytes after a token's end suffice to make it final,
   so such tokens are emitted and only the rest is kept.
 
@@ -49,14 +50,30 @@ from tallyloom.llm.common import record_batch
 LONG = 2048
 BLOCK = 4096
 MARGIN = 4
-CACHE = 200_000
+CACHE = 100_000
 
 #: White space as the pattern's \s has it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space and the stretch after it; each match ends before white space or at the end.
 _STRETCH = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CLASSES = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
+_SPACES = regex.compile(r"\s+")
+_CLASSES = [*[regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")], _SPACES]
+
+#: What a tokenizer file must say for the pattern above and these added tokens to be its own. Fixed values.
+_EXPECTED = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "post_processor": None}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def check_spec(spec: dict) -> None:
+    """Refuse a tokenizer file that works in another way than this module does."""
+    pre = {k: v for k, v in (spec.get("pre_tokenizer") or {}).items() if k != "trim_offsets"}
+    found = {"normalizer": spec.get("normalizer"), "pre_tokenizer": pre, "post_processor": spec.get("post_processor")}
+    model = {k: spec["model"].get(k, v) for k, v in _MODEL.items()}
+    # The parts of an added token may be changed by a normalizer only, and there is none.
+    odd = [t["content"] for t in spec["added_tokens"] if any(t.get(k, False) for k in ("single_word", "lstrip", "rstrip"))]
+    if found != _EXPECTED or model != _MODEL or odd:
+        raise ValueError(f"not a plain byte-level BPE file: {found}, {model}, added tokens {odd}")
 
 
 def byte_letters() -> dict[int, str]:
@@ -74,6 +91,7 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         model = spec["model"]
         back = {c: b for b, c in byte_letters().items()}
         raw = lambda s: bytes(back[c] for c in s)
@@ -280,9 +298,11 @@ class Segment:
         if self.run is not None:  # inside a long piece of one character class
             more = self.run.match(self.held)
             n = more.end() if more else 0
+            if self.run is _SPACES and (n < len(self.held) or not last):
+                n -= 1
             out += self.stream.feed(self.held[:n].encode())
             self.held = self.held[n:]
-            if not self.held and not last:
+            if len(self.held) <= (self.run is _SPACES) and not last:
                 return out
             out += self.stream.finish()
             self.run = self.stream = None
@@ -293,11 +313,12 @@ class Segment:
             out += merge_bytes(x[0].encode(), self.m)
             end = x.end()
         self.held = self.held[end:]
-        if len(self.held) > LONG and not last and (x := _PIECE.match(self.held)) and x.end() == len(self.held) and not x[0][-1].isspace():
+        if len(self.held) > LONG and not last and (x := _PIECE.match(self.held)) and x.end() == len(self.held):
             self.run = next(c for c in _CLASSES if c.match(x[0][-1]))
             self.stream = PieceStream(self.m)
-            out += self.stream.feed(self.held.encode())
-            self.held = ""
+            n = len(self.held) - (self.run is _SPACES)
+            out += self.stream.feed(self.held[:n].encode())
+            self.held = self.held[n:]
         return out
 
     def finish(self) -> list[int]:
@@ -334,23 +355,26 @@ def encoder(path: str) -> Encoder:
 
 @lru_cache(maxsize=2)
 def decode_table(path: str) -> list[bytes]:
-    return Merges(path).table()
+    return encoder(path).m.table()
+
 
+def encode_documents(docs: DataFrame, path: str, keep_text: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id and token_ids of every text, text itself if asked for, and decoded_text, what the decoder makes of these ids.
 
-def encode_documents(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
-    """doc_id and token_ids of every text, and text itself if asked for. path: a tokenizer file that is there on all executors."""
-    fields = [("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32()))] + [("text", pa.string())] * keep_text
+    path: a tokenizer file that is there on all executors. Decoding here spares a second Python worker for each task."""
+    fields = [("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32()))] + [("text", pa.string())] * keep_text + [("decoded_text", pa.string())] * decoded
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, table = encoder(path), decode_table(path) if decoded else []
         for b in batches:
             found = [b"".join(enc.parts(t)) for t in b.column("text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
-            yield record_batch({"doc_id": b.column("doc_id"), "token_ids": ids, "text": b.column("text")}, schema)
+            back = [decode(np.frombuffer(x, dtype="<u4"), table) for x in found] if decoded else None
+            yield record_batch({"doc_id": b.column("doc_id"), "token_ids": ids, "text": b.column("text"), "decoded_text": back}, schema)
 
-    ddl = "doc_id bigint, token_ids array<int>" + ", text string" * keep_text
+    ddl = "doc_id bigint, token_ids array<int>" + ", text string" * keep_text + ", decoded_text string" * decoded
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ddl)
 
 

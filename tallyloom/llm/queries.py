@@ -49,9 +49,9 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyloom.llm.bpe import decode_documents, encode_documents
+    from tallyloom.llm.bpe import encode_documents
 
-    both = decode_documents(encode_documents(table(spark, sf_dir, "documents"), byte_bpe_path()), byte_bpe_path())
+    both = encode_documents(table(spark, sf_dir, "documents"), byte_bpe_path(), decoded=True)
     return both.select(
         "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), _sha(F.col("token_ids").cast("array<string>")).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256")
     )

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 
 import public_tokenizers
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyloom.llm.bpe import Merges, PieceStream, decode, decode_documents, decode_table, encode_documents, encoder, lookahead, merge_bytes
+from tallyloom.llm.bpe import Merges, PieceStream, check_spec, decode, decode_documents, decode_table, encode_documents, encoder, lookahead, merge_bytes
 from tallyloom.llm.queries import op5_bpe
 from tests.llm.helpers import AWKWARD, awkward, documents, with_clashes
 
@@ -77,6 +78,8 @@ def test_query_and_awkward_rows(spark, sf_dir):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(HF.decode(ids, skip_special_tokens=False)))
     rows = with_clashes(awkward(spark))
     got = decode_documents(encode_documents(rows, PATH), PATH).collect()
+    key = lambda rs: sorted((str(r["doc_id"]), r["token_ids"], r["decoded_text"]) for r in rs)
+    assert key(got) == key(encode_documents(rows, PATH, decoded=True).collect())
     want = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
     assert len(got) == rows.count() and all(r["decoded_text"] == want[r["doc_id"]] for r in got)
     assert decode_documents(encode_documents(rows.limit(0), PATH), PATH).count() == 0
@@ -95,3 +98,32 @@ def test_a_segment_before_an_added_token_may_equal_the_end():
 def test_blocks_with_whole_added_tokens_match_the_library(parts, block, times):
     t = "".join(parts) * times
     assert [i for ids in encoder(PATH).encode_blocks(t[k : k + block] for k in range(0, len(t), block)) for i in ids] == hf(t)
+
+
+def test_white_space_runs_are_streamed():
+    """Runs that end in a piece or in the text, of all kinds of white space, in blocks of any size; time grows with the length, not its square."""
+    for t in (" " * 5000 + "a", " " * 5000, "x" + "\n" * 4097 + " y", "\t" * 3000 + "\n" * 3000 + " 's", " " * 4000 + "<|endoftext|>" + " " * 4000 + "b", "\u3000" * 2500 + "1", " " * 2049 + "\x1c" + " " * 5000 + "."):
+        for block in (1, 7, 100, 2500, 4096):
+            assert [i for ids in encoder(PATH).encode_blocks(t[k : k + block] for k in range(0, len(t), block)) for i in ids] == hf(t), (t[:9], block)
+    took = []
+    for n in (1 << 20, 1 << 22):
+        start = time.perf_counter()
+        ids = encoder(PATH).encode(" " * n + "a")
+        took.append(time.perf_counter() - start)
+        assert sum(len(encoder(PATH).m.bytes[i]) for i in set(ids.tolist())) and decode(ids, decode_table(PATH)) == " " * n + "a"
+    assert took[1] < 10 * took[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", " ", "  ", "\n", "\t", "\xa0", "1", ".", "<|endoftext|>"]), max_size=12), st.lists(st.integers(1, 3000), min_size=12, max_size=12), st.integers(500, 5000))
+def test_long_runs_in_blocks_match_the_library(parts, times, block):
+    t = "".join(p * n for p, n in zip(parts, times))
+    assert [i for ids in encoder(PATH).encode_blocks(t[k : k + block] for k in range(0, len(t), block)) for i in ids] == hf(t)
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    check_spec(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"pre_tokenizer": None}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}, {"model": {**spec["model"], "ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            check_spec(spec | change)
