@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bpe import decode_documents, encode_documents
+from tallyloom.llm.bpe import encode_documents
 from tallyloom.llm.common import kept, table
 from tallyloom.llm.decontaminate import remove_leaks
 from tallyloom.llm.quality_rules import quality_filter
@@ -48,8 +48,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = encode_documents(docs, byte_bpe_path(), keep_text=True)
-    both = decode_documents(encoded, byte_bpe_path())
+    """doc_id, n_tokens, token_ids and round_trip. A null text has no tokens and comes back as the empty text, which counts as its own."""
+    both = encode_documents(docs, byte_bpe_path(), keep_text=True, decoded=True)
     return both.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", (F.col("decoded_text") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
