@@ -5,22 +5,25 @@ bounded size; each block becomes one automaton of all substrings of its items. A
 state and the longest matching length after each word tell which windows end there: `window` consecutive words of an
 item, or a whole item of fewer words. Words inside a window are hit; runs of hit words are spans.
 
-Blocks. A Spark job writes each block as a file in the shared folder; workers load one block at a time, for up to
-`batch_bytes` of text, so memory is bounded by a block and a batch however large the benchmark is.
+Blocks. A Spark job builds each block's automaton and writes it to a file in the shared folder; a worker reads it from
+there and keeps up to `held_blocks` of them, those used last. With more blocks than that, up to `batch_bytes` of text is
+held against one after another. So memory is bounded by blocks and a batch however large the benchmark is.
 
 Cases. Null or empty text has no words and no spans. Items without words match nothing. Items with the same item_id
 count once, null item_ids are not listed but their words are hit. An empty benchmark hits nothing. Repeated rows: a
-row each. Very long texts are streamed whole. Other columns are ignored by find_leaks; remove_leaks keeps them.
+row each. Very long texts are streamed whole. Other columns are ignored by find_leaks; remove_leaks keeps them,
+and null texts as they are.
 """
 
 from __future__ import annotations
 
-import json
+import pickle
 import re
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +41,7 @@ class LeakParams:
     min_span: int = 10
     max_coverage: float = 0.8
     block_words: int = 100_000
+    held_blocks: int = 4
     batch_bytes: int = 16 << 20
 
 
@@ -149,7 +153,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def write_blocks(benchmark: DataFrame, p: LeakParams) -> list[str]:
-    """The URIs of the block files, in order. The driver sees their names only."""
+    """The URIs of the files with the blocks' automata, in order. The driver sees their names only."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter(F.length("text") > 0)
     # A word takes two bytes at least, with the white space after it.
     n = int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // (6 * p.block_words)) + 1
@@ -157,13 +161,11 @@ def write_blocks(benchmark: DataFrame, p: LeakParams) -> list[str]:
     schema = pa.schema([("block", pa.int32()), ("uri", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         block, held = None, []
 
         def flush():
-            uri = f"{path}/{block}-{uuid.uuid4().hex}.json"
-            write_bytes(uri, json.dumps(held).encode())
+            uri = f"{path}/{block}-{uuid.uuid4().hex}.automaton"
+            write_bytes(uri, pickle.dumps(SuffixAutomaton(held, p.window), protocol=5))
             return record_batch({"block": [block], "uri": [uri]}, schema)
 
         for b in batches:
@@ -172,7 +174,7 @@ def write_blocks(benchmark: DataFrame, p: LeakParams) -> list[str]:
                     yield flush()
                     held = []
                 block = k
-                held.append((i, t))
+                held.append((i, words_of(t)))
         if held:
             yield flush()
 
@@ -181,16 +183,44 @@ def write_blocks(benchmark: DataFrame, p: LeakParams) -> list[str]:
     return [r["uri"] for r in sorted(rows, key=lambda r: r["block"])]
 
 
-_loaded: dict[tuple, SuffixAutomaton] = {}
+_loaded: OrderedDict[str, SuffixAutomaton] = OrderedDict()
 
 
-def _automaton(uri: str, window: int) -> SuffixAutomaton:
-    if (uri, window) not in _loaded:
-        _loaded.clear()  # one at a time
+def _automaton(uri: str, held_blocks: int) -> SuffixAutomaton:
+    """As the block's task has stored it; a worker builds none."""
+    if uri not in _loaded:
+        while len(_loaded) >= held_blocks:
+            _loaded.popitem(last=False)
         where, path = open_fs(uri)
         with where.open_input_stream(path) as f:
-            _loaded[uri, window] = SuffixAutomaton([(i, words_of(t)) for i, t in json.loads(f.read())], window)
-    return _loaded[uri, window]
+            _loaded[uri] = pickle.loads(f.read())
+    _loaded.move_to_end(uri)
+    return _loaded[uri]
+
+
+def _batched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Batches put together up to so many bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matches(texts: list[str | None], uris: list[str], p: LeakParams) -> tuple[list[list], list[set]]:
+    """The windows found in each text, and the items."""
+    spans, items = [[] for _ in texts], [set() for _ in texts]
+    for uri in uris:
+        auto = _automaton(uri, p.held_blocks)
+        for k, t in enumerate(texts):
+            found, names = auto.stream(words_of(t))
+            spans[k] += found
+            items[k] |= names
+    return spans, items
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
@@ -199,33 +229,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("leak_spans", pa.list_(span)), ("leak_items", pa.list_(pa.string()))])
 
-    def done(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-        n, spans, items = [0] * len(ids), [[] for _ in ids], [set() for _ in ids]
-        for b, uri in enumerate(uris or [None]):
-            auto = _automaton(uri, p.window) if uri else None
-            for k, t in enumerate(texts):
-                words = words_of(t)
-                n[k] = len(words)
-                if auto:
-                    found, names = auto.stream(words)
-                    spans[k] = _merge([*map(tuple, spans[k]), *found]) if found else spans[k]
-                    items[k] |= names
-        yield record_batch({
-            "doc_id": ids, "n_words": n, "leak_spans": [[{"start": s, "end": e} for s, e in x] for x in spans],
-            "leak_items": [sorted(i for i in x if i is not None) for x in items],
-        }, schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
-        for b in batches:
-            ids += b.column("doc_id").to_pylist()
-            texts += b.column("text").to_pylist()
-            size += b.nbytes
-            if len(uris) < 2 or size >= p.batch_bytes:
-                yield from done(ids, texts)
-                ids, texts, size = [], [], 0
-        if ids:
-            yield from done(ids, texts)
+        for b in _batched(batches, p.batch_bytes if len(uris) > p.held_blocks else 1):
+            texts = b.column("text").to_pylist()
+            spans, items = _matches(texts, uris, p)
+            yield record_batch({
+                "doc_id": b.column("doc_id").to_pylist(), "n_words": [len(words_of(t)) for t in texts], "leak_spans": [[{"start": s, "end": e} for s, e in _merge(x)] for x in spans],
+                "leak_items": [sorted(i for i in x if i is not None) for x in items],
+            }, schema)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id bigint, n_words bigint, leak_spans array<struct<start:bigint,end:bigint>>, leak_items array<string>"
@@ -242,27 +253,26 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakPara
     """
     uris = write_blocks(benchmark, p)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        texts = texts.tolist()
-        spans: list[list] = [[] for _ in texts]
-        for uri in uris:
-            auto = _automaton(uri, p.window)
-            for k, t in enumerate(texts):
-                spans[k] += [x for x in auto.stream(words_of(t))[0] if x[1] - x[0] >= p.window]
-        out = []
-        for t, found in zip(texts, spans, strict=True):
-            cut = [x for x in _merge(found) if x[1] - x[0] >= p.min_span] if found else []
-            if cut:
-                places = [m.span() for m in _WORD.finditer(t)]
-                if sum(e - s for s, e in cut) > p.max_coverage * len(places):
-                    t = None
-                else:
-                    for s, e in reversed(cut):
-                        t = t[: places[s][0]].rstrip(" ") + t[places[e - 1][1] :]
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    row = docs.select(F.struct(*docs.columns).alias("_row"), clean(F.coalesce("text", F.lit(""))).alias("_clean"))
-    kept_rows = row.filter(F.col("_clean").isNotNull())
-    return kept_rows.select(*[(F.when(F.col("_row.text").isNotNull(), F.col("_clean")).alias("text") if c == "text" else F.col("_row")[c].alias(c)) for c in docs.columns])
+    def cleaned(t: str, found: list) -> str | None:
+        cut = [x for x in _merge([x for x in found if x[1] - x[0] >= p.window]) if x[1] - x[0] >= p.min_span]
+        if not cut:
+            return t
+        places = [m.span() for m in _WORD.finditer(t)]
+        if sum(e - s for s, e in cut) > p.max_coverage * len(places):
+            return None
+        out, end = [], 0
+        for s, e in cut:
+            out.append(t[end : places[s][0]].rstrip(" "))
+            end = places[e - 1][1]
+        return "".join([*out, t[end:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batched(batches, p.batch_bytes if len(uris) > p.held_blocks else 1):
+            at = b.schema.get_field_index("text")
+            texts = b.column(at).to_pylist()
+            spans, _ = _matches(texts, uris, p)
+            clean = [t if t is None else cleaned(t, x) for t, x in zip(texts, spans, strict=True)]
+            stay = pa.array([t is None or c is not None for t, c in zip(texts, clean, strict=True)], pa.bool_())
+            yield from b.set_column(at, b.schema.field(at), pa.array(clean, b.schema.field(at).type)).filter(stay).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,8 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyloom.llm.decontaminate import LeakParams, SuffixAutomaton, find_leaks, remove_leaks
+from tallyloom.llm import decontaminate
+from tallyloom.llm.decontaminate import LeakParams, SuffixAutomaton, find_leaks, remove_leaks, write_blocks
 from tallyloom.llm.queries import op4_decontaminate
 from tests.llm.helpers import awkward, documents, with_clashes
 
@@ -55,7 +56,19 @@ def bench(spark, rows):
 def test_blocks_give_what_one_automaton_gives(spark, sf_dir):
     docs, b = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     key = lambda df: sorted((r["doc_id"], r["n_words"], str(r["leak_spans"]), str(r["leak_items"])) for r in df.collect())
-    assert key(find_leaks(docs, b)) == key(find_leaks(docs, b, LeakParams(block_words=100, batch_bytes=10_000)))
+    many = LeakParams(block_words=100, batch_bytes=10_000)
+    assert key(find_leaks(docs, b)) == key(find_leaks(docs, b, many))
+    texts = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
+    assert texts(remove_leaks(docs, b)) == texts(remove_leaks(docs, b, many)) != texts(docs)
+
+
+def test_blocks_are_built_by_their_own_tasks_only(spark, sf_dir, monkeypatch):
+    """A worker reads automata that are stored, however many there are, and holds a bounded number."""
+    uris = write_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), LeakParams(block_words=100))
+    assert len(uris) > 6
+    monkeypatch.setattr(SuffixAutomaton, "__init__", None)
+    for uri in uris * 2:
+        assert decontaminate._automaton(uri, 3).window == 10 and len(decontaminate._loaded) <= 3
 
 
 def test_awkward_rows_and_removal(spark):
