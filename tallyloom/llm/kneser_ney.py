@@ -6,8 +6,8 @@ first token's context. Words are known by their XXH64 (seed 42).
     p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p(w)        p(w) = max(t(w) - E(t(w)), 0) / T + h / (V + 1)
 
 c: counts; t(w): distinct contexts of w; T: distinct bigrams; V: distinct tokens; D, E: the three discounts of each
-order from its counts of counts; g, h: the mass that the discounts free, so p sums to 1 over the V tokens and one for
-all unknown ones. A context that training has not seen leaves p(w).
+order from its counts of counts, `FLOOR` at least; g, h: the mass that the discounts free, so p sums to 1 over the V
+tokens and one for all unknown ones, and is never 0. A context that training has not seen leaves p(w).
 
 Jobs. (1) Each partition counts its bigrams in chunks of `chunk_tokens` and sends compact blocks to buckets. A bucket is
 chosen by the context's hash; contexts that hold more than `hot_share` of the tokens of a bounded sample of documents
@@ -16,8 +16,9 @@ merges its blocks, writes its sorted array of (bigram hash, count), and sends wh
 (bigrams with count 1, 2, more; tokens) to slots. (3) Each slot merges and writes its sorted arrays. The driver gets the names
 of files and their sums. (4) Scoring looks the hashes of a batch up in the files, mapped read-only.
 
-Files are written under names of their own by each attempt and count only if the manifest names them. A folder that is
-not local is fetched into the worker's temporary folder on first use.
+Files are written under names of their own by each attempt and count only if the manifest names them. What is not in a
+file system that can be mapped is fetched on first use into the folder that Spark keeps for an executor's files and
+deletes with it.
 
 Cases. Null or empty text: the end token only. No training rows: every probability is 1, scores 0. Repeated rows: each
 counts. Null doc_id: trained on, not held out.
@@ -28,7 +29,6 @@ from __future__ import annotations
 import hashlib
 import io
 import os
-import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -37,6 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -46,6 +47,8 @@ from tallyloom.llm.common import SPACE_CLASS, forget, kept, mix64, open_fs, reco
 U64 = np.dtype("<u8")
 BEGIN, END = (np.uint64(xxh64_intdigest(m, 42)) for m in (b" begin", b" end"))  # words have no space, so these are no words
 _WORDS_HELD = 300_000
+#: The least discount. Small corpora have counts of counts that would give none or a negative one; then nothing would be left for what follows a context for the first time.
+FLOOR = 0.05
 
 
 @dataclass(frozen=True)
@@ -148,9 +151,9 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
 
 
 def discounts(t: list[int]) -> np.ndarray:
-    """Entries 0 to 3: what is taken off a count of 0, 1, 2, 3 or more."""
+    """Entries 0 to 3: what is taken off a count of 0, 1, 2, 3 or more; FLOOR at least, 0.5 where counts of counts don't tell."""
     y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
-    d = [0.0] + [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.0), float(k)) if t[k - 1] else 0.5 for k in (1, 2, 3)]
+    d = [0.0] + [min(max(k - (k + 1) * y * t[k] / t[k - 1], FLOOR), float(k)) if t[k - 1] else 0.5 for k in (1, 2, 3)]
     return np.array(d)
 
 
@@ -180,7 +183,7 @@ def hot_contexts(train: DataFrame, p: LmParams) -> np.ndarray:
 
 
 def train_model(train: DataFrame, p: LmParams = LmParams()) -> Model:
-    spark = train.sparkSession
+    spark, train = train.sparkSession, train.select("doc_id", "text")
     path = shared_dir(spark, "lm")
     hot = hot_contexts(train, p)
     size = train.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -278,7 +281,7 @@ def mapped(uri: str) -> list[np.ndarray]:
         if uri.startswith("file:"):
             path = open_fs(uri)[1]
         else:
-            path = os.path.join(tempfile.gettempdir(), "lm-" + hashlib.sha256(uri.encode()).hexdigest())
+            path = os.path.join(SparkFiles.getRootDirectory(), "lm-" + hashlib.sha256(uri.encode()).hexdigest())
             if not os.path.exists(path):
                 where, remote = open_fs(uri)
                 part = f"{path}.{uuid.uuid4().hex}"

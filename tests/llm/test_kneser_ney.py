@@ -91,3 +91,18 @@ def test_awkward_rows(spark):
     assert {(r["score"], r["base_score"], r["n_known"]) for r in score_documents(docs, none).collect()} == {(0.0, 0.0, 0)}
     assert score_documents(docs.limit(0), m).count() == 0
     assert token_hashes(None).tolist() == [int(END)]
+
+
+def test_no_probability_is_zero(spark):
+    """Small corpora of odd counts of counts: every score is finite, and the mass of each context is one."""
+    rng = np.random.default_rng(8)
+    corpora = [["a"], ["a a a a a"], ["a b", "a b", "a b"], ["x y z"] * 3 + ["x x"], [""]]
+    corpora += [[" ".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(rng.integers(1, 7))] * int(rng.integers(1, 4)) for _ in range(7)]
+    for texts in corpora:
+        m = train_model(documents(spark, texts))
+        words = np.append(np.unique(np.concatenate([token_hashes(t) for t in texts])), [np.uint64(12345)])
+        for v in ("a", "b", "never"):
+            x, _ = log_probabilities(m, np.full(len(words), token_hashes(v)[0]), words)
+            assert np.isfinite(x).all() and (10**x).sum() == pytest.approx(1), texts
+    for t in ([0, 5, 0, 0], [1, 0, 0, 0], [3, 9, 1, 40], [0, 0, 0, 0], [5, 1, 9, 9]):
+        assert (discounts(t)[1:] > 0).all() and (discounts(t) <= [0, 1, 2, 3]).all()
