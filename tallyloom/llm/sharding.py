@@ -1,7 +1,6 @@
 """Two-pass external shuffle into shards.
 
-Pass 1 scatters the rows over buckets by a seeded hash of doc_id (of the text where doc_id is null), so many that a
-bucket fits a worker's memory. Pass 2 reads a bucket into one task, puts it in a fixed order (doc_id, then CRC-32 of
+Pass 1 scatters the rows over buckets by a seeded hash of doc_id and text, so many that a bucket fits a worker's memory. Pass 2 reads a bucket into one task, puts it in a fixed order (doc_id, then CRC-32 of
 the text), shuffles it with a seeded Fisher-Yates shuffle and writes it. A row's place in the whole order is the rows of
 all earlier buckets plus its place in its own; cutting that order into `shards` runs whose lengths differ by at most one
 gives the law `rows`. As a bucket's rows are consecutive, it is written to one or two shards, not to all.
@@ -9,8 +8,9 @@ gives the law `rows`. As a bucket's rows are consecutive, it is written to one o
 The result depends on the rows, the seed and the bucket size only, not on the partitioning or on retried tasks. The
 order of equal rows (same doc_id and CRC-32) can't be told.
 
-Cases. Null text: size 8, CRC-32 of no bytes. Copies of a text spread over buckets by their doc_id. A bucket is bounded
-by the hash unless single rows exceed it. Empty table: no rows. Input columns named shard or slot are replaced.
+Cases. Null text: size 8, CRC-32 of no bytes. Copies of a text spread over buckets by their doc_id, rows of one doc_id or
+of none by their texts; only rows that repeat both share a bucket. A bucket is bounded by the hash unless these or single
+rows exceed it. Empty table: no rows. Input columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -42,8 +42,7 @@ def size_of(text: Column) -> Column:
 
 
 def _fine(p: ShardParams) -> Column:
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(p.seed), "text")).otherwise(F.xxhash64(F.lit(p.seed), "doc_id"))
-    return F.pmod(key, F.lit(p.max_buckets)).cast("int")
+    return F.pmod(F.xxhash64(F.lit(p.seed), "doc_id", "text"), F.lit(p.max_buckets)).cast("int")
 
 
 def shuffle_permutation(n: int, seed: int, bucket: int) -> np.ndarray:

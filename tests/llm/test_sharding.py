@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyloom.llm.queries import op6_sharding
 from tallyloom.llm.sharding import ShardParams, shuffle_permutation, write_shards
@@ -48,3 +49,24 @@ def test_awkward_rows(spark):
     check(rows, 24)
     assert write_shards(docs.limit(0)).count() == 0
     assert set(write_shards(docs).columns) == set(docs.columns) | {"slot"}
+
+
+def test_placement_matches_a_plain_version(spark):
+    """Buckets by hash, each put in order, shuffled with its own seed, laid end to end and cut into shards."""
+    texts = [f"text {i % 40} " * (i % 7) for i in range(400)] + [None, ""]
+    docs = documents(spark, texts, [*range(300), *[7] * 100, None, None])
+    p = ShardParams(shards=5, bucket_bytes=1500)
+    rows = docs.select("doc_id", "text", F.xxhash64(F.lit(p.seed), "doc_id", "text").alias("h")).collect()
+    size, buckets = sum(len((r["text"] or "").encode()) + 8 for r in rows), 1
+    while buckets * p.bucket_bytes < size:
+        buckets *= 2
+    order = []
+    for k in range(buckets):
+        own = sorted((r["doc_id"] is None, r["doc_id"] or 0, zlib.crc32((r["text"] or "").encode())) for r in rows if r["h"] % p.max_buckets % buckets == k)
+        order += [own[i] for i in shuffle_permutation(len(own), p.seed, k)]
+    cuts = [s * len(order) // p.shards for s in range(p.shards + 1)]
+    want = Counter((*x[:2], x[2], s, i - cuts[s]) for s in range(p.shards) for i, x in enumerate(order) if cuts[s] <= i < cuts[s + 1])
+    got = Counter((r["doc_id"] is None, r["doc_id"] or 0, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in write_shards(docs, p).collect())
+    assert got == want
+    per = Counter(r["h"] % p.max_buckets % buckets for r in rows if r["doc_id"] == 7)
+    assert max(per.values()) < 50
