@@ -31,10 +31,11 @@ def op9(p: LicenseParams = LicenseParams()) -> str:
 with d as (select doc_id, {_WORDS} w from documents),
 g as (select doc_id, i pos, array_to_string(w[i + 1:i + {p.k}], ' ') gram from d, unnest(range(0, len(w) - {p.k} + 1)) t(i)),
 t(template, label, t_grams, q, gram) as (values {', '.join(rows)}),
-b as (select doc_id, template, label, t_grams, pos - q diag, count(*) votes, min(pos) f, max(pos) l from g join t using (gram) group by all),
+b as (select doc_id, template, label, t_grams, pos - q diag, bit_or(1::bigint << q) places, min(pos) f, max(pos) l from g join t using (gram) group by all),
 s as (select *, sum(fresh) over (partition by doc_id, template order by diag) run from (select *, case when diag - lag(diag) over (partition by doc_id, template order by diag) <= {p.slack} then 0 else 1 end fresh from b)),
-r as (select doc_id, template, label, t_grams, run, least(sum(votes) / t_grams::double, 1.0) cov, min(f) f, max(l) + {p.k} - 1 l from s group by doc_id, template, label, t_grams, run),
-m as (select doc_id, max(cov) score, list(label) filter (where cov >= {p.coverage} and l - f + 1 <= (t_grams + {p.k} - 1) * {1 + p.stretch} + {p.slack}) ls from r group by doc_id),
+r as (select *, cov >= {p.coverage} and l - f + 1 <= (t_grams + {p.k} - 1) * {1 + p.stretch} + {p.slack} ok from (select doc_id, template, label, t_grams, run, bit_count(bit_or(places)) / t_grams::double cov, min(f) f, max(l) + {p.k} - 1 l from s group by doc_id, template, label, t_grams, run)),
+o as (select distinct a.doc_id, a.template, a.run from r a join r b on a.doc_id = b.doc_id and a.ok and b.ok and a.label <> b.label and a.cov < b.cov and a.f <= b.l and b.f <= a.l),
+m as (select doc_id, max(cov) score, list(label) filter (where ok and hit is null) ls from r left join (select *, true hit from o) o using (doc_id, template, run) group by doc_id),
 x as (select doc_id, i - case when label = 'gpl' then 3 else 2 end start, label from (select doc_id, i, case when w[i - 1] = 'mit' then 'mit' when w[i - 1] = 'apache' then 'apache' when w[i - 1] = 'public' and w[i - 2] = 'general' then 'gpl' end label
   from d, unnest(range(2, len(w) + 1)) t(i) where w[i] = 'license') where label is not null),
 a as (select doc_id, count(*) n, min(start) f, max(start) l, list(label) ls from x group by doc_id),
