@@ -45,7 +45,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.token_files import read_token_files, write_token_files
 
-    return read_token_files(spark, *write_token_files(table(spark, sf_dir, "documents"), byte_bpe_path()), ids=False)
+    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), byte_bpe_path()), ids=False)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,15 @@ A file holds, all little-endian:
     16 bytes     unsigned 64-bit n and place of the index
 so a reader that wants one document reads the end, the index and one frame.
 
+A folder holds the files, `dictionary`, and `manifest`, a Parquet table with a row a file: part (its place in the order),
+name, docs, tokens, and the dictionary's SHA-256 in hexadecimal. The manifest is written last, by the job that writes the files, and
+the reader starts from it; so a folder can be read from its path alone, and a folder without one is unfinished.
+
 Jobs. Documents are encoded and compressed where they are read and written to the shared folder; these short rows are
-then range-partitioned by doc_id, and each partition streams its frames into one file, so a task holds no more than an
-index. Files are named by the manifest only: a retried task writes another file, and what an earlier attempt left is not
-read. Documents with equal doc_id lie next to each other in the order of token count, then CRC-32.
+then range-partitioned by doc_id, token count, CRC-32 and a random number drawn with them, and each partition streams its frames into one
+file, so a task holds no more than an index, and rows of one doc_id may go to many. Files are named by the manifest only: a
+retried task writes another file, and what an earlier attempt left is not read. Documents with equal doc_id lie next to
+each other in the order of token count, then CRC-32.
 
 Cases. Null or empty text: just the end id. Null doc_id: sorts first. Empty table: no files. Repeated rows: stored twice.
 """
@@ -37,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import _STRETCH, LONG
@@ -134,34 +139,35 @@ def train_dictionary(docs: DataFrame, path: str, p: TokenFileParams) -> bytes:
         return b""
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, p: TokenFileParams = TokenFileParams(), path: str | None = None) -> tuple[str, list[dict]]:
-    """Write the files; returns the folder and the manifest: uri, documents and tokens of each file, in order."""
+def write_token_files(docs: DataFrame, tokenizer: str, p: TokenFileParams = TokenFileParams(), path: str | None = None) -> str:
+    """Write the files and their manifest; returns the folder."""
     path = path or shared_dir(docs.sparkSession, "tokens")
     raw = train_dictionary(docs, tokenizer, p)
     write_bytes(f"{path}/dictionary", raw)
-    packed = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("frame", pa.binary())])
+    packed = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("salt", pa.int32()), ("frame", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = library_encoder(tokenizer), np.array([p.end_id], dtype="<u4").tobytes()
         z = zstandard.ZstdCompressor(level=p.level, dict_data=_zstd_dict(raw))
+        rng = np.random.default_rng(TaskContext.get().partitionId())
         for b in batches:
             ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
-            yield record_batch({"doc_id": b.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "crc": [zlib.crc32(x) for x in ids], "frame": [z.compress(x) for x in ids]}, packed)
+            yield record_batch({"doc_id": b.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "crc": [zlib.crc32(x) for x in ids], "salt": rng.integers(0, 1 << 31, len(ids)), "frame": [z.compress(x) for x in ids]}, packed)
 
-    frames = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pack, "doc_id bigint, n_tokens bigint, crc bigint, frame binary")
+    frames = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pack, "doc_id bigint, n_tokens bigint, crc bigint, salt int, frame binary")
     frames = kept(frames, "frames")
     size = frames.agg(F.sum(F.length("frame")).alias("b")).first()["b"] or 0
     digest = hashlib.sha256(raw).digest()
-    listed = pa.schema([("part", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+    listed = pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("dictionary", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, offsets, counts, ids = None, 40, [], [], []
-        uri = f"{path}/part-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.tokens"
+        name = f"part-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.tokens"
         for b in batches:
             if not b.num_rows:
                 continue
             if out is None:
-                where, file = open_fs(uri)
+                where, file = open_fs(f"{path}/{name}")
                 where.create_dir(file.rpartition("/")[0], recursive=True)
                 out = where.open_output_stream(file)
                 out.write(MAGIC + digest)
@@ -178,12 +184,21 @@ def write_token_files(docs: DataFrame, tokenizer: str, p: TokenFileParams = Toke
         out.write(bytes(i is not None for i in ids))
         out.write(struct.pack("<QQ", len(ids), at))
         out.close()
-        yield record_batch({"part": [TaskContext.get().partitionId()], "uri": [uri], "docs": [len(ids)], "tokens": [sum(counts)]}, listed)
+        yield record_batch({"part": [TaskContext.get().partitionId()], "name": [name], "docs": [len(ids)], "tokens": [sum(counts)], "dictionary": [digest.hex()]}, listed)
 
-    ordered = frames.repartitionByRange(int(size // p.file_bytes) + 1, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "crc")
-    rows = ordered.select("doc_id", "n_tokens", "frame").mapInArrow(write, "part int, uri string, docs bigint, tokens bigint").collect()
+    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "crc", "salt"]
+    ordered = frames.repartitionByRange(int(size // p.file_bytes) + 1, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "n_tokens", "frame").mapInArrow(write, "part int, name string, docs bigint, tokens bigint, dictionary string").write.parquet(f"{path}/manifest")
     forget(frames)
-    return path, [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
+    return path
+
+
+def read_manifest(spark, path: str) -> DataFrame:
+    """part, name, docs, tokens, dictionary and before, the tokens of all files before it: a row a file."""
+    files = spark.read.schema("part int, name string, docs bigint, tokens bigint, dictionary string").parquet(f"{path}/manifest")
+    # One partition, but of a few bytes for each file.
+    before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return files.withColumn("before", F.coalesce(before, F.lit(0)))
 
 
 class TokenFile:
@@ -218,22 +233,17 @@ def read_dictionary(path: str) -> bytes:
         return f.read()
 
 
-def read_token_files(spark, path: str, manifest: list[dict], ids: bool = True) -> DataFrame:
+def read_token_files(spark, path: str, ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit
     integers) and, if asked for, token_ids of every document, all from the files."""
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("token_ids", pa.list_(pa.int64()))] * ids
     schema = pa.schema(fields)
-    rows, before = [], 0
-    for m in manifest:
-        rows.append((m["uri"], before))
-        before += m["tokens"]
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = None
         for b in batches:
-            for uri, at in zip(b.column("uri").to_pylist(), b.column("before").to_pylist(), strict=True):
+            for name, at in zip(b.column("name").to_pylist(), b.column("before").to_pylist(), strict=True):
                 dictionary = read_dictionary(path) if dictionary is None else dictionary
-                f = TokenFile(uri, dictionary)
+                f = TokenFile(f"{path}/{name}", dictionary)
                 starts = at + np.concatenate(([0], np.cumsum(f.counts)[:-1]))
                 for k in range(0, len(f), 200):
                     top = min(len(f), k + 200)
@@ -245,5 +255,6 @@ def read_token_files(spark, path: str, manifest: list[dict], ids: bool = True) -
                         out["token_ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int64)))
                     yield record_batch(out, schema)
 
-    files = spark.createDataFrame(rows, "uri string, before bigint").repartition(max(1, len(rows)))
+    files = read_manifest(spark, path).select("name", "before")
+    files = files.repartition(max(1, files.count()), "name")
     return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", token_ids array<bigint>" * ids)

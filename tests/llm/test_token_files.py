@@ -5,7 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tallyloom.llm.queries import op2_token_files
-from tallyloom.llm.token_files import TokenFile, TokenFileParams, read_dictionary, read_token_files, write_token_files
+from tallyloom.llm.token_files import TokenFile, TokenFileParams, read_dictionary, read_manifest, read_token_files, write_token_files
 from tests.llm.helpers import awkward, documents, with_clashes
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -28,13 +28,14 @@ def test_query_round_trip(spark, sf_dir):
 
 def test_many_files_and_single_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
-    path, manifest = write_token_files(docs, PATH, TokenFileParams(file_bytes=40_000))
-    assert len(manifest) > 2
+    path = write_token_files(docs, PATH, TokenFileParams(file_bytes=40_000))
+    manifest = read_manifest(spark, path).orderBy("part").collect()
+    assert len(manifest) > 2 and [m["before"] for m in manifest] == [sum(x["tokens"] for x in manifest[:k]) for k in range(len(manifest))]
     raw = read_dictionary(path)
     assert raw
     texts, seen = {r["doc_id"]: r["text"] for r in docs.collect()}, []
     for m in manifest:
-        f = TokenFile(m["uri"], raw)
+        f = TokenFile(f"{path}/{m['name']}", raw)
         assert len(f) == m["docs"] and f[len(f) // 2].tolist() == ids_of(texts[int(f.ids[len(f) // 2])])
         seen += f.ids.tolist()
     assert seen == sorted(texts)
@@ -42,9 +43,24 @@ def test_many_files_and_single_documents(spark, sf_dir):
 
 def test_awkward_rows(spark):
     docs = with_clashes(awkward(spark))
-    path, manifest = write_token_files(docs, PATH)
-    rows = read_token_files(spark, path, manifest).collect()
+    rows = read_token_files(spark, write_token_files(docs, PATH)).collect()
     want = sorted([(r["doc_id"] is not None, r["doc_id"] or 0, ids_of(r["text"])) for r in docs.collect()], key=lambda x: (x[0], x[1], len(x[2])))
     assert [(r["doc_id"] is not None, r["doc_id"] or 0, r["token_ids"]) for r in sorted(rows, key=lambda r: r["start"])] == want
-    assert read_token_files(spark, *write_token_files(docs.limit(0), PATH)).count() == 0
-    assert read_token_files(spark, *write_token_files(documents(spark, ["only one"]), PATH)).first()["token_ids"] == ids_of("only one")
+    assert read_token_files(spark, write_token_files(docs.limit(0), PATH)).count() == 0
+    assert read_token_files(spark, write_token_files(documents(spark, ["only one"]), PATH)).first()["token_ids"] == ids_of("only one")
+
+
+def test_rows_of_one_id_go_to_many_files(spark):
+    texts = [f"some words {i} " * 40 for i in range(300)] + ["the very same"] * 300
+    path = write_token_files(documents(spark, texts, [5] * 600), PATH, TokenFileParams(file_bytes=3000))
+    assert max(m["docs"] for m in read_manifest(spark, path).collect()) < 300
+    rows = sorted(read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:k]) for k in range(600)]
+    assert sorted(r["token_ids"] for r in rows) == sorted(map(ids_of, texts))
+
+
+def test_files_beside_the_manifest_are_not_read(spark):
+    path = write_token_files(documents(spark, ["one", "two"]), PATH)
+    with open(path.removeprefix("file://") + "/part-0000000-left.tokens", "wb") as f:
+        f.write(b"what a lost attempt has left")
+    assert read_token_files(spark, path).count() == 2
