@@ -21,9 +21,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, as a URI; below a local temporary folder only where that setting is unset."""
+    """A new folder below spark.checkpoint.dir, as a URI; below a local temporary folder only where that setting is unset
+    and driver and executors are one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "dir" not in _own:
             _own["dir"] = tempfile.mkdtemp(prefix="tallyloom-")
             atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)

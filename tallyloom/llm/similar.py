@@ -135,9 +135,11 @@ def _ranks(docs: DataFrame, p: SimilarParams) -> np.ndarray:
             yield record_batch({"counter": at.astype(np.int64), "n": n}, schema)
 
     some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).mapInArrow(run, "counter bigint, n bigint")
-    common = some.groupBy("counter").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).toArrow()
-    ranks = np.zeros(COUNTERS, dtype=np.uint8)
-    ranks[common["counter"].to_numpy()] = np.minimum(255, 4 * np.log2(common["n"].to_numpy())).astype(np.uint8)
+    rank = F.least(F.lit(127), F.floor(3 * F.log2("n"))).cast("tinyint")
+    # Five bytes a counter, so five MB at most, whatever the number of documents.
+    common = some.groupBy("counter").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).select(F.col("counter").cast("int"), rank.alias("rank")).toArrow()
+    ranks = np.zeros(COUNTERS, dtype=np.int8)
+    ranks[common["counter"].to_numpy()] = common["rank"].to_numpy()
     return ranks
 
 
