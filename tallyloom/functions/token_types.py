@@ -55,7 +55,7 @@ def looks(t: Column, kind: str) -> Column:
 
 def token_type(token: Column, main: Column, previous: Column, index: Column) -> Column:
     """First match wins. previous is the element before, with its command (`tcpdump -i`), null if there is none."""
-    t = F.trim(token)
+    t = F.regexp_replace(token, r"^\s+|\s+$", "")
     inner = F.when(F.length(t) > 1, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise("")
     last = F.element_at(F.split(F.trim(previous), r"\s+"), -1)
     later_option = F.exists(F.slice(F.split(t, r"\s+"), 2, 1 << 20), lambda w: w.startswith("-"))

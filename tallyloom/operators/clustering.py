@@ -32,14 +32,26 @@ def linkage(dist: np.ndarray) -> list[tuple[float, int, int]]:
     n = len(d)
     np.fill_diagonal(d, np.inf)
     size, out = np.ones(n), []
+    # The nearest of each row, the lowest of equal ones; a merge changes few of them, so the whole takes about n^2 steps.
+    near = d.argmin(axis=1) if n else np.empty(0, dtype=int)
+    least = d[np.arange(n), near]
     for _ in range(n - 1):
-        a, b = sorted(divmod(int(np.argmin(d)), n))
+        a = int(np.argmin(least))
+        a, b = sorted((a, int(near[a])))
         out.append((float(d[a, b]), a, b))
         row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
         d[a], d[:, a] = row, row
         d[a, a] = np.inf
         d[b], d[:, b] = np.inf, np.inf
         size[a] += size[b]
+        lost = (near == a) | (near == b)
+        closer = ~lost & ((row < least) | ((row == least) & (a < near)))
+        near[closer], least[closer] = a, row[closer]
+        again = np.flatnonzero(lost & np.isfinite(d).any(axis=1))
+        again = np.append(again[again != a], a)
+        near[again] = d[again].argmin(axis=1)
+        least[again] = d[again, near[again]]
+        least[b] = np.inf
     return out
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,32 +33,76 @@ def rouge_n(df: DataFrame, id_: str, pred: str, ref: str, n: int, stemmed: bool
     return df.select(id_).join(sums, id_, "left").select(id_, F.coalesce(f_measure(F.col("hits"), F.col("np"), F.col("nr")), F.lit(0.0)).alias("rouge"))
 
 
-def stem(word: str) -> str:
-    """A light English stem: plural, -ed and -ing endings, and a final y, as in the first steps of Porter's algorithm.
+#: The endings of Porter's algorithm (1980, with its author's later additions), each with what takes its place, in the order of
+#: trial; the first that fits decides. Steps 2 and 3 need a stem of measure above 0, step 4 above 1.
+STEP_2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"),
+    ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log"),
+)
+STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def _shape(word: str) -> str:
+    """v for each vowel, c for each consonant; y is a vowel after a consonant."""
+    out = ""
+    for i, ch in enumerate(word):
+        out += "v" if ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c") else "c"
+    return out
+
+
+def _measure(stem_: str) -> int:
+    """How often a run of vowels is followed by one of consonants."""
+    return len(re.findall("v+c+", _shape(stem_)))
+
+
+def _ends_short(word: str) -> bool:
+    """Consonant, vowel, consonant, the last none of w, x, y."""
+    return _shape(word).endswith("cvc") and word[-1] not in "wxy"
+
 
-    m counts vowel-consonant changes of a stem; words of up to three letters stay, as scorers leave them."""
+def _ends_double(word: str) -> bool:
+    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
+
+
+def _replaced(word: str, endings: tuple, least: int) -> str:
+    """The longest of the endings goes, if what is before it measures more than `least`."""
+    for end, new in sorted(endings, key=lambda e: -len(e[0])):
+        if word.endswith(end):
+            head = word[: len(word) - len(end)]
+            return head + new if _measure(head) > least and (end != "ion" or head.endswith(("s", "t"))) else word
+    return word
+
+
+@lru_cache(maxsize=1 << 16)
+def stem(word: str) -> str:
+    """The stem of a word by Porter's algorithm. Words of up to three letters stay, as scorers leave them."""
     if len(word) <= 3:
         return word
-    vowel = lambda w, i: w[i] in "aeiou" or (w[i] == "y" and i > 0 and w[i - 1] not in "aeiou")
-    has = lambda w: any(vowel(w, i) for i in range(len(w)))
-    shape = lambda w: "".join("v" if vowel(w, i) else "c" for i in range(len(w)))
-    m = lambda w: shape(w).replace("vv", "v").count("vc") if w else 0
-    if word.endswith("sses") or word.endswith("ies"):
+    if word.endswith(("sses", "ies")):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
-    cut = None
     if word.endswith("eed"):
-        word = word[:-1] if m(word[:-3]) > 0 else word
-    elif word.endswith("ed") and has(word[:-2]):
-        cut = word[:-2]
-    elif word.endswith("ing") and has(word[:-3]):
-        cut = word[:-3]
-    if cut is not None:
-        double = len(cut) > 1 and cut[-1] == cut[-2] and not vowel(cut, len(cut) - 1) and cut[-1] not in "lsz"
-        short = m(cut) == 1 and len(cut) > 2 and shape(cut)[-3:] == "cvc" and cut[-1] not in "wxy"
-        word = cut + "e" if cut.endswith(("at", "bl", "iz")) or (short and not double) else cut[:-1] if double else cut
-    return word[:-1] + "i" if word.endswith("y") and has(word[:-1]) else word
+        word = word[:-1] if _measure(word[:-3]) > 0 else word
+    else:
+        cut = next((word[: -len(e)] for e in ("ed", "ing") if word.endswith(e)), None)
+        if cut is not None and "v" in _shape(cut):
+            word = cut
+            if word.endswith(("at", "bl", "iz")):
+                word += "e"
+            elif _ends_double(word) and word[-1] not in "lsz":
+                word = word[:-1]
+            elif _measure(word) == 1 and _ends_short(word):
+                word += "e"
+    if word.endswith("y") and "v" in _shape(word[:-1]):
+        word = word[:-1] + "i"
+    word = _replaced(word, STEP_2, 0)
+    word = _replaced(word, STEP_3, 0)
+    word = _replaced(word, tuple((e, "") for e in STEP_4), 1)
+    if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _ends_short(word[:-1]))):
+        word = word[:-1]
+    return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -128,3 +175,12 @@ def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 def rouge_l(df: DataFrame, id_: str, pred: str, ref: str, stemmed: bool = False) -> DataFrame:
     p, r = (stem_udf(tokens(F.col(c))) if stemmed else tokens(F.col(c)) for c in (pred, ref))
     return df.select(id_, f_measure(lcs_udf(p, r), F.size(p), F.size(r)).alias("rouge"))
+
+
+def rouge_means(scores: dict[str, DataFrame]) -> DataFrame:
+    """metric and mean of several score frames (id, rouge)."""
+    out = None
+    for name, df in scores.items():
+        one = df.agg(F.lit(name).alias("metric"), F.avg("rouge").alias("mean"))
+        out = one if out is None else out.unionByName(one)
+    return out

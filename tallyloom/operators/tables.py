@@ -59,10 +59,23 @@ def anti_new(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return new.dropDuplicates([key]).join(known, key, "left_anti")
 
 
+#: Patterns that first_containing tries as one array; more are joined row by row.
+MOST_PATTERNS = 10_000
+
+
 def first_containing(items: DataFrame, known: DataFrame, text: str, pattern: str, ord_: str) -> DataFrame:
-    """The first known pattern that an item's text contains. known must be small: its size is the caller's dictionary."""
-    hit = items.join(F.broadcast(known), F.contains(F.lower(text), F.lower(pattern)))
-    return hit.groupBy(*items.columns).agg(F.min_by(pattern, ord_).alias(pattern))
+    """items with the first known pattern that their text contains, null if there is none. Repeated rows stay.
+
+    The patterns are one broadcast array, so no text is shuffled. Where there are more than MOST_PATTERNS, items and
+    patterns are joined and the least place is found by a row number instead."""
+    place = F.struct(F.col(ord_).alias("o"), F.col(pattern).alias("p"))
+    if known.count() <= MOST_PATTERNS:
+        all_ = known.agg(F.array_sort(F.collect_list(place)).alias("\x00known"))
+        hit = F.filter(F.col("`\x00known`"), lambda k: F.contains(F.lower(F.col(text)), F.lower(k["p"])))
+        return items.crossJoin(F.broadcast(all_)).select(*[F.col(c) for c in items.columns], F.get(hit, F.lit(0))["p"].alias(pattern))
+    rows = items.select(F.struct("*").alias("r"), F.monotonically_increasing_id().alias("n"))
+    met = rows.join(known.select(place.alias("k")), F.contains(F.lower(F.col(f"r.{text}")), F.lower(F.col("k.p"))), "left")
+    return met.groupBy("n").agg(F.first("r").alias("r"), F.min("k").alias("k")).select("r.*", F.col("k.p").alias(pattern))
 
 
 def token_frequency(df: DataFrame, tokens: Column) -> DataFrame:
@@ -73,10 +86,18 @@ def most_common(freq: DataFrame, k: int) -> DataFrame:
     return freq.orderBy(F.desc("n"), "token").limit(k)
 
 
-def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
-    """Rows per bin of equal width; the last one holds its upper edge."""
-    b = F.least(F.width_bucket(value, F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins))
-    return df.filter(value.between(low, high)).groupBy(b.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, value: Column, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Rows per bin of equal width, the last one with its upper edge; low and high are the least and largest value unless
+    given. Values below and above given limits are bins 0 and bins + 1; only nulls are in none."""
+    v = df.select(value.cast("double").alias("v")).filter("v is not null")
+    if low is None or high is None:
+        ends = v.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
+        low, high = ends["a"] if low is None else low, ends["b"] if high is None else high
+    if low is None or low == high:
+        b = F.lit(1)
+    else:
+        b = F.when(F.col("v") == high, bins).when(F.col("v") < low, 0).when(F.col("v") > high, bins + 1).otherwise(F.least(F.floor(bins * (F.col("v") - low) / (high - low)) + 1, F.lit(bins)))
+    return v.groupBy(b.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def resume_point(df: DataFrame, number: str, pos: str) -> DataFrame:
@@ -86,3 +107,18 @@ def resume_point(df: DataFrame, number: str, pos: str) -> DataFrame:
 def sampled(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows in a seeded order that does not depend on partitions."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def seeded_shuffle(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """All rows with their place in a seeded order, the same for any partitioning if the key tells rows apart."""
+    return renumber(df.withColumn("_by", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))), [F.col("_by"), F.col(key)], 0, name).drop("_by")
+
+
+def zip_by_place(streams: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Several streams side by side: name -> (frame, order column, value column). Row k of each meets row k of the others;
+    where one has ended its value is null."""
+    out = None
+    for name, (df, order, value) in streams.items():
+        one = renumber(df.select(F.col(order).alias("_o"), F.col(value).alias(name)), [F.col("_o")]).select("n", name)
+        out = one if out is None else out.join(one, "n", "full")
+    return out

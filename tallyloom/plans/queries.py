@@ -7,25 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as fx
 from tallyloom.functions.token_types import token_type, type_label
-from tallyloom.operators import clustering, commands, events, models, rouge, similarity, tables, tasks
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from tallyloom.operators import clustering, events, models, rouge, similarity, tables, tasks
+from tallyloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  read from here
+from tallyloom.plans.registry import table as _t
 
 def _numbered(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """The events of a kind, numbered by time within their user."""
@@ -209,9 +193,11 @@ def len_percentiles(spark, d):
     return _t(spark, d, "documents").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.round(F.avg(n), 6).alias("mean"), *q.values(), F.round(F.stddev_pop(n), 6).alias("sd"))
 
 
-@query("select least(cast(floor(length(text) / 100.0) as bigint) + 1, 30) bin, count(*) n from documents where length(text) <= 3000 group by 1")
+@query("""with l as (select length(text)::double x from documents where text is not null), m as (select min(x) a, max(x) b from l)
+select case when a = b then 1 else least(cast(floor(30 * (x - a) / (b - a)) as bigint) + 1, 30) end bin, count(*) n from l, m group by 1""")
 def len_hist(spark, d):
-    return tables.histogram(_t(spark, d, "documents"), F.length("text"), 0, 3000, 30)
+    """30 bins from the shortest to the longest text."""
+    return tables.histogram(_t(spark, d, "documents"), F.length("text"), 30)
 
 
 @query("select count(*) filter (n > m) / count(*)::double as share from (select length(text) n, avg(length(text)) over () m from documents)")
@@ -272,7 +258,7 @@ def _type_sql(main: str) -> str:
     return f"case when tok = '' then 'arg' when tok = '{main}' then 'cmd' when (tok[1] = '''' and tok[-1] = '''') or (tok[1] = '\"' and tok[-1] = '\"') then 'string' {' '.join(whens)} when tok[1] = '-' then 'option' else 'arg' end"
 
 
-_TOK = """(select 'd' || doc_id id, coalesce(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')[1], '') tok from documents union all select 'u' || page_id, url from pages
+_TOK = """(select 'd' || doc_id || ':' || (i - 1) id, w[i] tok from (select doc_id, regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') w from documents), unnest(range(1, len(w) + 1)) t(i) union all select 'u' || page_id, url from pages
 union all select 'h' || page_id, split_part(split_part(url, '://', 2), '/', 1) from pages union all select 'p' || page_id, '/' || split_part(split_part(url, '://', 2), '/', 2) from pages union all select 'n' || o_orderkey, cast(o_orderkey as varchar) from orders)"""
 
 
@@ -281,43 +267,13 @@ def token_types(spark, d):
     p = _t(spark, d, "pages")
     rest = F.split_part("url", F.lit("://"), F.lit(2))
     one = lambda df, mark, key, c: df.select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), c.alias("tok"))
-    rows = one(_t(spark, d, "documents"), "d", "doc_id", F.coalesce(F.split("text", r"\s+")[0], F.lit(""))).unionByName(one(p, "u", "page_id", F.col("url")))
+    words = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "tok"))
+    rows = words.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string")).alias("id"), "tok").unionByName(one(p, "u", "page_id", F.col("url")))
     rows = rows.unionByName(one(p, "h", "page_id", F.split_part(rest, F.lit("/"), F.lit(1)))).unionByName(one(p, "p", "page_id", F.concat(F.lit("/"), F.split_part(rest, F.lit("/"), F.lit(2)))))
     rows = rows.unionByName(one(_t(spark, d, "orders"), "n", "o_orderkey", F.col("o_orderkey").cast("string")))
     return rows.select("id", "tok", token_type(F.col("tok"), F.lit("curl"), F.lit(None).cast("string"), F.lit(1)).alias("type"))
 
 
-COMMANDS = ["sudo tar -xvz /tmp/a.tar && ls -la /home/u", "git commit -m 'a msg' | grep x", "ping host.example.com", "nmap -sV 10.0.0.1 -p 80", "./run.sh now; curl https://x.example.com/a", "unknowncmd foo --bar=3", ""]
-DICTIONARY = [
-    ("a.json", "tar", 0, 0, "tar {{[-x|--extract]}} {{[-v|--verbose]}} {{[-z|--gzip]}} {{path}}", "Extract a compressed archive"),
-    ("a.json", "ls", 0, 0, "ls -l", "Long listing"), ("a.json", "ls", 1, 0, "ls -a", "List hidden entries"), ("b.json", "git", 0, 0, "git commit {{[-m|--message]}} {{text}}", "Commit with a message"),
-    ("b.json", "unknowncmd", 0, 0, "unknowncmd --bar={{value}}", "Set the bar"), ("b.json", "ping", 0, 0, "ping {{host}}", "Ping a host"),
-]
-
-
-def _dictionary(spark):
-    return spark.createDataFrame(DICTIONARY, "file string, cmd_name string, entry_ord int, pattern_ord int, pattern string, description string")
-
-
-def _commands(spark):
-    return spark.createDataFrame(list(enumerate(COMMANDS)), "id bigint, command string")
-
-
-@query()
-def cmd_elements(spark, d):
-    return commands.command_parts(_commands(spark)).select("id", F.col("part").cast("bigint").alias("part"), "text", F.array_join("elems", "|").alias("elems"))
-
-
-@query()
-def cmd_describe(spark, d):
-    return commands.describe_commands(_commands(spark), _dictionary(spark)).select("id", F.col("part").cast("bigint").alias("part"), F.array_join("descriptions", "|").alias("descriptions"))
-
-
-@query()
-def cmd_patterns(spark, d):
-    return commands.pattern_table(_dictionary(spark)).select("cmd_name", F.array_join("loose", "|").alias("key"), "description")
-
-
 _U = "u as (select vec_id, label, embedding::double[] v from embeddings)"
 _PAIR = f"{_U}, p as (select a.label, a.vec_id i, b.vec_id j, greatest(1 - list_cosine_similarity(a.v, b.v), 0) dist from u a join u b on a.label = b.label and a.vec_id < b.vec_id)"
 
@@ -331,9 +287,26 @@ def cos_pairs(spark, d):
     return similarity.group_pairs(_emb(spark, d), "label", "vec_id").withColumn("dist", F.round("dist", 6))
 
 
-@query(f"with {_PAIR} select label, i, j from p where 1 - dist > 0.75")
+_BLOCKS = "k as (select label g, list(m order by dim) v from (select label, dim, avg(x) m from (select label, unnest(range(0, 64)) dim, unnest(embedding)::double x from embeddings) group by all) group by label)"
+
+
+@query(f"with {_BLOCKS} select a.g a, b.g b, round(list_cosine_similarity(a.v, b.v), 6) sim from k a join k b on a.g < b.g where list_cosine_similarity(a.v, b.v) > 0.1")
 def dangerous_pairs(spark, d):
-    return similarity.close_pairs(_emb(spark, d), "label", "vec_id").select("label", "i", "j")
+    """Pairs of groups whose blocks are closer than a limit; the limit here is one that some of these blocks pass."""
+    return similarity.close_blocks(_emb(spark, d), "label", least=0.1).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"with {_PAIR}, c as (select label, avg(dist) c from p group by label) select round(avg(c), 6) mean_cohesion from c")
+def mean_cohesion(spark, d):
+    return similarity.mean_cohesion(similarity.cohesion(_emb(spark, d), "label")).select(F.round("mean_cohesion", 6).alias("mean_cohesion"))
+
+
+@query(f"""with {_U}, s as (select a.vec_id q, b.vec_id vec_id, list_cosine_similarity(a.v, b.v) sim from u a join u b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by q order by round(sim, 9) desc, vec_id) rank from s) select q, vec_id, rank, round(sim, 6) sim from r where rank <= 10""")
+def nearest10(spark, d):
+    """The ten nearest vectors of every query against all rows; queries are the vectors whose id is divisible by 100."""
+    e = _emb(spark, d)
+    return similarity.nearest(e.filter("vec_id % 100 = 0"), e, "vec_id", 10).withColumn("sim", F.round("sim", 6))
 
 
 @query("select label, dim::bigint dim, round(avg(x), 6) mean from (select label, unnest(range(0, 64)) dim, unnest(embedding)::double x from embeddings) group by all")
@@ -365,7 +338,7 @@ def inter_overlap(spark, d):
 @query(f"with {_PAIR}, n as (select label, count(*) n from u group by label) select n.label, n.n, round(coalesce(avg(dist), 0), 6) cohesion, round(coalesce(2 * sum(dist) / (any_value(n.n) * any_value(n.n)), 0), 6) cohesion_diag from n left join p using (label) group by n.label, n.n")
 def cohesion(spark, d):
     e = _emb(spark, d)
-    c = similarity.cohesion(similarity.group_pairs(e, "label", "vec_id"), e, "label")
+    c = similarity.cohesion(e, "label")
     return c.select("label", "n", F.round("cohesion", 6).alias("cohesion"), F.round("cohesion_diag", 6).alias("cohesion_diag"))
 
 
@@ -426,6 +399,29 @@ def rouge1_stemmed(spark, d):
     return rouge.rouge_n(_answers(spark, d), "id", "pred", "ref", 1, stemmed=True).withColumn("rouge", F.round("rouge", 6))
 
 
+@query()
+def rouge_means(spark, d):
+    """The four scores, stemmed, on average."""
+    a = _answers(spark, d)
+    arg = (a, "id", "pred", "ref")
+    found = {"rouge1": rouge.rouge_n(*arg, 1, stemmed=True), "rouge2": rouge.rouge_n(*arg, 2, stemmed=True), "rougeL": rouge.rouge_l(*arg, stemmed=True), "rougeLsum": rouge.rouge_lsum(*arg)}
+    return rouge.rouge_means(found).withColumn("mean", F.round("mean", 6))
+
+
+@query()
+def cluster_metrics(spark, d):
+    """Of each label's clusters: their number, those of two or more, the mean cohesion of these, and the mean silhouette."""
+    e = _emb(spark, d)
+    found = clustering.cluster_groups(e, "label", "vec_id").select(F.col("id").alias("vec_id"), F.concat_ws(":", "label", "cluster").alias("c"))
+    v = e.join(found, "vec_id").select("vec_id", "c", "embedding")
+    sizes = similarity.cohesion(v, "c").withColumn("label", F.split_part("c", F.lit(":"), F.lit(1)).cast("int"))
+    per = sizes.groupBy("label").agg(F.count("*").alias("clusters"), F.count_if(F.col("n") >= 2).alias("clusters2"), F.round(F.avg(F.when(F.col("n") >= 2, F.col("cohesion"))), 6).alias("mean_cohesion"))
+    # A silhouette compares clusters of the same label only, so every label is taken as a table of its own.
+    s = similarity.silhouette(v, "c", "vec_id", within=F.split_part("c", F.lit(":"), F.lit(1)))
+    sil = s.groupBy(F.split_part("c", F.lit(":"), F.lit(1)).cast("int").alias("label")).agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
+    return per.join(sil, "label")
+
+
 @query()
 def described_activity(spark, d):
     return models.describe_activity(union_activity(spark, d)).select("type", "name", "description").distinct()
@@ -462,12 +458,12 @@ def resume_point(spark, d):
 @query("select doc_id, min(kw) as kw from (select doc_id, kw from (select doc_id, lower(text) t from documents) join (select unnest(['license', 'token', 'trash']) kw) on contains(t, kw)) group by doc_id")
 def first_containing(spark, d):
     known = spark.createDataFrame([(0, "license"), (1, "token"), (2, "trash")], "ord int, kw string")
-    return tables.first_containing(_t(spark, d, "documents").select("doc_id", "text"), known, "text", "kw", "ord").select("doc_id", "kw")
+    return tables.first_containing(_t(spark, d, "documents").select("doc_id", "text"), known, "text", "kw", "ord").filter("kw is not null").select("doc_id", "kw")
 
 
-@query("select doc_id, trim(replace(lower(left(text, 60)), '\"', '')) task, case when contains(text, ' - ') then 'file-directory-App' else 'directory/App' end as type from documents")
+@query("select doc_id, md5(trim(replace(lower(text), '\"', ''))) task, case when contains(text, ' - ') then 'file-directory-App' else 'directory/App' end as type from documents")
 def normalised_tasks(spark, d):
-    return _t(spark, d, "documents").select("doc_id", fx.normalize_task(F.left("text", F.lit(60))).alias("task"), fx.entry_type(F.col("text")).alias("type"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(fx.normalize_task(F.col("text"))).alias("task"), fx.entry_type(F.col("text")).alias("type"))
 
 
 @query("select user_id, event_type, count(*) n, round(sum(value), 4) total from events group by user_id, event_type having count(*) >= 2")
@@ -478,3 +474,6 @@ def cluster_sizes(spark, d):
 @query()
 def type_labels(spark, d):
     return token_types(spark, d).select("type", type_label(F.col("type")).alias("label")).distinct()
+
+
+from tallyloom.plans import activity_queries, format_queries  # noqa: E402, F401  they register their queries

@@ -1,7 +1,7 @@
 """Readers of the activity formats. Each takes a frame of lines (source, pos, value) or a path, and returns typed rows.
 
-The order of lines has a meaning in most formats, so it is read with them: a file is one record, split into numbered
-lines. Files of one day are small; many files are read in parallel.
+The order of lines has a meaning in most formats, so lines are numbered as they are read. A large file is read by blocks
+like any text, and the lines of each block are shifted by those of the blocks before it.
 """
 
 from __future__ import annotations
@@ -14,8 +14,13 @@ DICTIONARY = "map<string,array<struct<description:string,cmd:string,cmds:array<s
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """source (file), pos (from 0) and value of every line."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.regexp_replace("value", "\r?\n$", "").alias("value"))
-    return whole.select("source", F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    at = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("n"), "value")
+    within = F.row_number().over(Window.partitionBy("source", "block").orderBy("n")) - 1
+    counts = rows.groupBy("source", "block").agg(F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select("source", "block", before.alias("before"))
+    return rows.withColumn("k", within).join(shifts, ["source", "block"]).select("source", (F.col("k") + F.col("before")).cast("int").alias("pos"), "value")
 
 
 def number(lines: DataFrame, order: list[Column], by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
@@ -66,12 +71,12 @@ def activity_commas(lines: DataFrame, legacy: bool = False) -> DataFrame:
     rest = F.slice(p, 6, F.size(p))
     name = F.array_join(rest, " ") if legacy else F.trim(F.split("value", ",", 6)[5])
     kind = F.when(F.lower(p[4]).isin("commande", "command"), "Command").otherwise(p[4])
-    return lines.filter(F.size(p) >= 6).select("source", "pos", p[0].cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), p[3].cast("double").alias("minutes"), kind.alias("type"), name.alias("name"))
+    return lines.filter(F.size(p) >= 6).select("source", "pos", p[0].cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), p[3].try_cast("double").alias("minutes"), kind.alias("type"), name.alias("name"))
 
 
 def activity_tabs(lines: DataFrame) -> DataFrame:
     p = F.split("value", "\t")
-    return lines.filter((F.trim("value") != "") & (F.size(p) >= 6)).select("source", "pos", p[0].cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), p[3].cast("double").alias("minutes"), p[4].alias("type"), p[5].alias("name"))
+    return lines.filter((F.trim("value") != "") & (F.size(p) >= 6)).select("source", "pos", p[0].cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), p[3].try_cast("double").alias("minutes"), p[4].alias("type"), p[5].alias("name"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

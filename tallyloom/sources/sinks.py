@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +42,15 @@ def version(df: DataFrame, path: str, name: str) -> str:
 def commands_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
     """Command activity into a database table, without the epoch."""
     df.drop("epoch").write.jdbc(url, table, mode="append", properties=properties)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset and Spark runs in one process, a temporary one that goes with it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="activity-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

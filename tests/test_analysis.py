@@ -71,7 +71,9 @@ def test_stream_of_snapshots(spark, tmp_path):
 
 
 def test_stems_and_lsum(spark):
-    for word, want in {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agree", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "falling": "fall", "happy": "happi", "sky": "sky", "sized": "size", "conflated": "conflate"}.items():
+    for word, want in {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "falling": "fall", "happy": "happi", "sky": "sky", "sized": "size", "conflated": "conflat", "relational": "relat", "conditional": "condit", "valenci": "valenc", "digitizer": "digit", "radically": "radic", "vietnamization": "vietnam", "predication": "predic", "operator": "oper",
+                       "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope", "formality": "formal", "sensibiliti": "sensibl", "triplicate": "triplic", "formative": "form", "electrical": "electr", "goodness": "good", "revival": "reviv", "allowance": "allow",
+                       "inference": "infer", "airliner": "airlin", "adjustable": "adjust", "replacement": "replac", "adoption": "adopt", "communism": "commun", "activate": "activ", "effective": "effect", "probate": "probat", "cease": "ceas", "controller": "control", "roll": "roll", "generalizations": "gener", "oscillators": "oscil"}.items():
         assert rouge.stem(word) == want
     df = spark.createDataFrame([(1, "cats running", "the cat runs\nagain"), (2, "a b\nc d", "c d\na b")], "id long, p string, r string")
     f1 = lambda d: {r["id"]: round(r["rouge"], 4) for r in d.collect()}
@@ -86,3 +88,49 @@ def test_models_plug_in(spark):
     assert models.describe_activity(df).columns == ["type", "name", "description"]
     v = models.encode_texts(df.withColumn("id", F.col("name")), "name")
     assert all(r["agrees"] for r in models.stored_vectors_agree(v, v, "id").collect())
+
+
+def test_linkage_picks_the_lowest_of_equal_pairs():
+    """The same merges as a search of the whole matrix at each step, ties included."""
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 9, 25):
+        for d in (cl.distances(rng.normal(size=(n, 5))), np.abs(np.subtract.outer(*[rng.integers(0, 4, n)] * 2)).astype(float), np.ones((n, n))):
+            own, size, want = d.copy(), np.ones(n), []
+            np.fill_diagonal(own, np.inf)
+            for _ in range(n - 1):
+                a, b = sorted(divmod(int(np.argmin(own)), n))
+                want.append((own[a, b], a, b))
+                row = (size[a] * own[a] + size[b] * own[b]) / (size[a] + size[b])
+                own[a], own[:, a] = row, row
+                own[a, a] = own[b] = np.inf
+                own[:, b] = np.inf
+                size[a] += size[b]
+            assert cl.linkage(d) == want
+
+
+def test_first_containing_keeps_repeated_rows(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "A b c"), (1, "A b c"), (2, "none"), (3, None)], "id long, text string")
+    known = spark.createDataFrame([(1, "c"), (0, "B"), (2, "a")], "o int, kw string")
+    for most in (10_000, 0):
+        monkeypatch.setattr(tables, "MOST_PATTERNS", most)
+        got = tables.first_containing(items, known, "text", "kw", "o").collect()
+        assert sorted((r["id"], r["kw"]) for r in got if r["kw"]) == [(1, "B"), (1, "B")] and len(got) == 4
+
+
+def test_histogram_counts_every_value(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 1.0, 2.5, 5.0, 9.9, 10.0, None, -3.0, 12.0)], "x double")
+    count = lambda *a: {r["bin"]: r["n"] for r in tables.histogram(df, F.col("x"), *a).collect()}
+    assert count(2, 0.0, 10.0) == {0: 1, 1: 3, 2: 3, 3: 1} and sum(count(30).values()) == 8 and count(1) == {1: 8}
+    assert tables.histogram(df.limit(0), F.col("x"), 3).count() == 0
+
+
+def test_lines_of_a_large_file_keep_their_order(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("\n".join(f"line {i}" + " x" * (i % 50) for i in range(5000)))
+    (tmp_path / "small.txt").write_text("a\n\nb\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = readers.ordered_lines(spark, str(tmp_path))
+        got = [r["value"].split(" x")[0] for r in rows.filter("source like '%big.txt'").orderBy("pos").collect()]
+        assert got == [f"line {i}" for i in range(5000)] and rows.select("source", "pos").distinct().count() == 5003
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
