@@ -229,12 +229,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, p: SimilarParams) -> DataFrame:
     return found.mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
 
-def _links(docs: DataFrame, rows: DataFrame, sides: DataFrame, pairs: DataFrame, p: SimilarParams) -> DataFrame:
+def _links(docs: DataFrame, firsts: DataFrame, sides: DataFrame, pairs: DataFrame, p: SimilarParams) -> DataFrame:
     """The pairs that are links."""
     judged = kept(_judged(pairs, sides, p), "judged")
     unsure = judged.filter("not sure").drop("sure")
     nodes = unsure.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = kept(rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).select("node", "at.*"), "wanted")
+    wanted = kept(firsts.join(nodes, "node"), "wanted")
     sets = kept(_sets(docs, wanted, p), "sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
     looked = unsure.join(side("u"), "u").join(side("v"), "v").filter(_enough(F.size(F.array_intersect("of_u", "of_v")), F.size("of_u"), F.size("of_v"), p))
@@ -257,10 +257,11 @@ def _simhash_pairs(sides: DataFrame, p: SimilarParams) -> DataFrame:
 
 def _components(docs: DataFrame, wide: DataFrame, p: SimilarParams) -> DataFrame:
     """(node, root) of every node with a link, as a written table."""
-    rows = wide.select("node", "doc_id", "text_hash")
+    # One row of each node, found before any join, so that copies are put together where they are read.
+    firsts = kept(wide.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).select("node", "at.*"), "firsts")
     sides = kept(wide.filter("keys is not null").select("node", "fp", "n", "small", "sketch").dropDuplicates(["node"]), "sides")
     pairs = _simhash_pairs(sides, p)
-    linked = _links(docs, rows, sides, pairs, p)
+    linked = _links(docs, firsts, sides, pairs, p)
     copies = connected_components(linked)
     forget(pairs, linked)
 
@@ -273,7 +274,7 @@ def _components(docs: DataFrame, wide: DataFrame, p: SimilarParams) -> DataFrame
     pairs = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
     small = lambda c: sides.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("small").alias(f"small_{c}"))
     pairs = kept(pairs.join(small("u"), "u").join(small("v"), "v").filter(_may_be_alike(p)).select("u", "v"), "pairs")
-    linked = _links(docs, rows, sides, pairs, p)
+    linked = _links(docs, firsts, sides, pairs, p)
     near = connected_components(linked.unionByName(copies.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     forget(copies, hubs, pairs, linked)
 
@@ -285,9 +286,9 @@ def _components(docs: DataFrame, wide: DataFrame, p: SimilarParams) -> DataFrame
     a, b = (open_.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("small").alias(f"small_{c}"), F.col("root").alias(f"root_{c}")) for c in "uv")
     meet = a.join(b, (a["key"] == b["key"]) & (F.col("root_u") < F.col("root_v")) & _may_be_alike(p))
     meet = kept(meet.select("u", "v", "root_u", "root_v").distinct(), "meet")
-    across = _links(docs, rows, sides, meet, p)
+    across = _links(docs, firsts, sides, meet, p)
     joined = connected_components(across.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
-    forget(sides, open_, meet, across)
+    forget(firsts, sides, open_, meet, across)
 
     mid = near.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = joined.join(near.select("node"), "node", "left_anti")
