@@ -50,7 +50,8 @@ from tallyloom.llm.common import record_batch
 LONG = 2048
 BLOCK = 4096
 MARGIN = 4
-CACHE = 100_000
+#: Stretches or pieces of a generation of a cache.
+CACHE = 250_000
 
 #: White space as the pattern's \s has it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -207,14 +208,27 @@ def _serial(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+class Remembered:
+    """A cache of two generations: when the young one is full it becomes the old one, so what is in use stays."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+
 class Encoder:
     """Text to ids. encode_blocks takes a text as an iterator of strings and never holds more than a few blocks."""
 
     def __init__(self, m: Merges):
         self.m = m
         self.added = regex.compile("|".join(map(regex.escape, sorted(m.added, key=len, reverse=True)))) if m.added else None
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.cache, self.pieces = Remembered(), Remembered()
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.parts(text)), dtype="<u4")
@@ -223,30 +237,25 @@ class Encoder:
         """Serialized ids (little-endian, 32 bits), stretch by stretch."""
         cache = self.cache
         for s in _STRETCH.findall(text or ""):
-            got = cache.get(s)
+            got = cache.young.get(s)
             if got is None:
                 if len(s) > LONG:
                     got = b"".join(_serial(t) for t in self.encode_blocks(s[k : k + BLOCK] for k in range(0, len(s), BLOCK)))
                 else:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    got = cache[s] = self._short(s)
+                    got = cache.put(s, cache.old.get(s) or self._short(s))
             yield got
 
     def _short(self, s: str) -> bytes:
-        out, pieces = [], self.pieces
-        for seg in self._segments(s):
-            if isinstance(seg, int):
-                out.append(_serial([seg]))
-                continue
-            for p in _PIECE.findall(seg):
-                got = pieces.get(p)
-                if got is None:
-                    if len(pieces) >= CACHE:
-                        pieces.clear()
-                    got = pieces[p] = _serial(merge_bytes(p.encode(), self.m))
-                out.append(got)
-        return b"".join(out)
+        if any(t in s for t in self.m.added):
+            return b"".join(_serial([x]) if isinstance(x, int) else self._plain(x) for x in self._segments(s))
+        return self._plain(s)
+
+    def _plain(self, s: str) -> bytes:
+        """A text without added tokens. One piece alone is remembered as a stretch, so pieces hold only parts of stretches."""
+        found, pieces = _PIECE.findall(s), self.pieces
+        if len(found) == 1:
+            return _serial(merge_bytes(s.encode(), self.m))
+        return b"".join([pieces.young.get(p) or pieces.put(p, pieces.old.get(p) or _serial(merge_bytes(p.encode(), self.m))) for p in found])
 
     def _segments(self, s: str) -> Iterator[str | int]:
         at = 0
