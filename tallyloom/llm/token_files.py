@@ -51,6 +51,8 @@ from tallyloom.llm.common import forget, kept, open_fs, record_batch, shared_dir
 MAGIC = b"TLTOKEN1"
 #: Remembered stretches of a generation.
 GENERATION = 500_000
+#: New stretches that go to the library in one text. Longer texts take it more time a stretch.
+TOGETHER = 250
 
 
 @dataclass(frozen=True)
@@ -101,8 +103,8 @@ class LibraryEncoder:
                 fresh[s] = self._alone(s)
             else:
                 new.append(s)
-        for k in range(0, len(new), 2000):
-            fresh.update(zip(new[k : k + 2000], self._together(new[k : k + 2000]), strict=True))
+        for k in range(0, len(new), TOGETHER):
+            fresh.update(zip(new[k : k + TOGETHER], self._together(new[k : k + TOGETHER]), strict=True))
         young.update((s, x) for s, x in fresh.items() if len(s) <= LONG)
         return [b"".join([x or fresh[s] for s, x in zip(c, g, strict=True)]) for c, g in zip(cut, got, strict=True)]
 
