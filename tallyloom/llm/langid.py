@@ -9,7 +9,8 @@ Bundling is linear, so training counts trigrams by language with a grouped aggre
 once; what comes to the driver is languages x dims sums.
 
 Cases. Text that is null or has no letter: `und`, score 0. No training rows: `und`, score 0. Ties: the language that
-sorts first. Null doc_id: not held out. Repeated rows: a row each. Letters are those of str.isalpha after str.lower.
+sorts first. Null doc_id: not held out. Repeated rows: a row each. More than max_languages labels: an error, as prototypes are
+held by every task. Letters are those of str.isalpha after str.lower.
 """
 
 from __future__ import annotations
