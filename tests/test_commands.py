@@ -63,5 +63,7 @@ def test_text_functions(spark):
     assert row(fx.description_lines(lit("x\ndesc_0: one: two\ndesc_1: three"))) == ["one: two", "three"] and row(fx.description_lines(lit("x"))) == ["No description was found."]
     assert row(fx.option_tokens(lit("-d, --delimiter <string>"))) == ["-d", "--delimiter"]
     assert tuple(row(fx.left_and_description(lit("-d, --del  text here")))) == ("-d, --del", "text here") and tuple(row(fx.left_and_description(lit("-d - text")))) == ("-d", "text")
+    assert row(fx.option_tokens(lit("(-a, --b: -c;d x -)"))) == ["-a", "--b", "-c;d", "-"] and row(fx.option_tokens(lit("plain"))) == []
+    assert tuple(row(fx.left_and_description(lit("-x")))) == ("-x", "") and tuple(row(fx.left_and_description(lit("-a - b  c - d")))) == ("-a - b", "c - d")
     assert row(fx.placeholder_for(lit("number of things"))) == "<id>" and row(fx.placeholder_for(lit("zzz"))) == "<arg>"
     assert row(fx.needs_argument(lit("zzz"), F.array(lit("-q")))) is False and row(fx.needs_argument(lit("zzz"), F.array(lit("--q")))) is True
