@@ -52,7 +52,7 @@ MAGIC = b"TLTOKEN1"
 #: Remembered stretches of a generation.
 GENERATION = 500_000
 #: New stretches that go to the library in one text. Longer texts take it more time a stretch.
-TOGETHER = 250
+TOGETHER = 64
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,8 @@ class LibraryEncoder:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _together(self, parts: list[str]) -> Iterator[bytes]:
-        ids = np.array(self.tokenizer.encode(self.mark.join(parts), add_special_tokens=False).ids, dtype="<u4")
+        got = self.tokenizer.encode_batch_fast([self.mark.join(parts)], add_special_tokens=False)[0]  # without offsets
+        ids = np.array(got.ids, dtype="<u4")
         cuts, raw = 4 * np.flatnonzero(ids == self.mark_id), ids.tobytes()
         for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True):
             yield raw[a:b]
@@ -93,20 +94,21 @@ class LibraryEncoder:
         """The serialized ids of each text."""
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
-        young, old, fresh, new = self.young, self.old, {}, []
+        young, old, alone, new = self.young, self.old, [], []
         cut = [_STRETCH.findall(t or "") for t in texts]
-        got = [list(map(young.get, c)) for c in cut]
-        for s in {s for c, g in zip(cut, got, strict=True) for s, x in zip(c, g, strict=True) if x is None}:
+        for s in set().union(*cut).difference(young):
             if (x := old.get(s)) is not None:
-                fresh[s] = x
-            elif self.mark is None or self.mark in s:
-                fresh[s] = self._alone(s)
+                young[s] = x
             else:
-                new.append(s)
+                (alone if self.mark is None or self.mark in s else new).append(s)
+        young.update((s, self._alone(s)) for s in alone)
         for k in range(0, len(new), TOGETHER):
-            fresh.update(zip(new[k : k + TOGETHER], self._together(new[k : k + TOGETHER]), strict=True))
-        young.update((s, x) for s, x in fresh.items() if len(s) <= LONG)
-        return [b"".join([x or fresh[s] for s, x in zip(c, g, strict=True)]) for c, g in zip(cut, got, strict=True)]
+            young.update(zip(new[k : k + TOGETHER], self._together(new[k : k + TOGETHER]), strict=True))
+        out = [b"".join(map(young.__getitem__, c)) for c in cut]
+        for s in [*alone, *new]:
+            if len(s) > LONG:
+                del young[s]
+        return out
 
 
 @lru_cache(maxsize=2)
