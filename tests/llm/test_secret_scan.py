@@ -1,6 +1,8 @@
+import hashlib
 import math
 import re
 from collections import Counter
+from itertools import groupby
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,9 +67,35 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert kinds("averylongwordwithoutanydigitsatall some-long-kebab-case-name-2024") == []
 
 
-def test_query_and_redact(spark, sf_dir):
-    rows = op8_secret_scan(spark, sf_dir).collect()
-    assert len(rows) == 200 and all(len(r["base_sha256"]) == 64 for r in rows)
+def brute_entropy(text):
+    found, at = [], 0
+    for inside, run in groupby(text or "", lambda c: c.isascii() and (c.isalnum() or c in "+/_=-")):
+        run = "".join(run)
+        if inside and len(run) >= 20 and not run.isalpha() and not any(re.fullmatch(a, run) for a in P.allow):
+            kind = "hex" if set(run) <= set("0123456789abcdefABCDEF") else "base64"
+            found += [(at + a, "entropy", at + b) for a, b in brute_windows(run, P.width[kind], P.least[kind])]
+        at += len(run)
+    return found
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    some = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    # Every document, some of them with what the tables have little of.
+    texts = [*AWKWARD, *TEXTS, *[f"{TEXTS[k % len(TEXTS)]} {t}" if k % 3 else t for k, t in enumerate(some)]]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in op8_secret_scan(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == list(range(len(texts)))
+    shown = lambda spans: ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+    for i, t in enumerate(texts):
+        base = brute_base(t)
+        kinds = Counter(k for _, k, _ in base)
+        everything = sorted([*base, *brute_entropy(t)], key=lambda s: (s[0], ("assign", "access", "hex", "entropy").index(s[1]), s[2]))
+        want = (kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(shown(base).encode()).hexdigest(), shown(everything))
+        assert tuple(rows[i][c] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")) == want
+    assert sum("entropy" in r["spans"] for r in rows.values()) > 100
+
+
+def test_awkward_rows_and_redact(spark):
     docs = with_clashes(awkward(spark))
     assert secret_spans(docs).count() == docs.count() and secret_spans(docs.limit(0)).count() == 0
     out = redact(documents(spark, [None, *TEXTS]))
