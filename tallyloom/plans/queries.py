@@ -219,12 +219,12 @@ def structure_tasks(spark, d):
 _GROUP = "g as (select conv_id, list(text order by turn) t, string_agg(text, ' ' order by turn) b from conversations group by conv_id)"
 
 
-@query(f"""with {_GROUP}, x as (select conv_id, 'task_block' kind, unnest(t) a, b from g union all
-select g.conv_id, 'task_task', g.t[i], g.t[j] from g, range(1, 1000) r(i), range(1, 1000) s(j) where i < j and j <= len(t) union all
+@query(f"""with {_GROUP}, p as (select conv_id, text, row_number() over (partition by conv_id order by turn) i from conversations), x as (select conv_id, 'task_block' kind, unnest(t) a, b from g union all
+select conv_id, 'task_task', p.text, q.text from p join p q using (conv_id) where p.i < q.i union all
 select conv_id, 'part_block', array_to_string(t[1:cast(floor(len(t) * 0.7) as int)], ' '), b from g where len(t) > 1)
 select conv_id, kind, md5(a) a, md5(b) b from x""")
 def task_pairs(spark, d):
-    return tasks.contrastive_pairs(_groups(spark, d), "conv_id").select("conv_id", "kind", F.md5("a").alias("a"), F.md5("b").alias("b"))
+    return tasks.contrastive_pairs(_t(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "kind", F.md5("a").alias("a"), F.md5("b").alias("b"))
 
 
 @query("select conv_id, turn, md5(text) a, md5(nxt) b from (select *, lead(text) over (partition by conv_id order by turn) nxt from conversations) where nxt is not null")

@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyloom.operators import clustering as cl
-from tallyloom.operators import models, rouge, tables
+from tallyloom.operators import models, rouge, tables, tasks
 from tallyloom.sources import readers, sinks
 from tallyloom.streaming import snapshots
 
@@ -134,3 +134,15 @@ def test_lines_of_a_large_file_keep_their_order(spark, tmp_path):
         assert got == [f"line {i}" for i in range(5000)] and rows.select("source", "pos").distinct().count() == 5003
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_later_pairs_do_not_depend_on_the_block(spark):
+    rows = [(g, i, f"{g}{i // 2}" if i % 5 else None) for g, n in (("a", 23), ("b", 1), ("c", 8)) for i in range(n)] + [(None, 0, "x"), (None, 1, "y"), ("d", 0, "same"), ("d", 0, "same")]
+    items = spark.createDataFrame(rows, "g string, pos int, text string").repartition(5)
+    want = []
+    for g in ("a", "b", "c", "d", None):
+        texts = [t for k, _, t in sorted((r for r in rows if r[0] == g), key=lambda r: r[1])]
+        want += [(g, texts[i], texts[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    for block in (1, 4, 1000):
+        got = [tuple(r) for r in tasks.later_pairs(items, "g", "pos", "text", block).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
