@@ -31,7 +31,7 @@ def linkage(dist: np.ndarray) -> list[tuple[float, int, int]]:
     d = dist.astype(float).copy()
     n = len(d)
     np.fill_diagonal(d, np.inf)
-    size, out = np.ones(n), []
+    size, alive, out = np.ones(n), np.ones(n, dtype=bool), []
     # The nearest of each row, the lowest of equal ones; a merge changes few of them, so the whole takes about n^2 steps.
     near = d.argmin(axis=1) if n else np.empty(0, dtype=int)
     least = d[np.arange(n), near]
@@ -44,10 +44,11 @@ def linkage(dist: np.ndarray) -> list[tuple[float, int, int]]:
         d[a, a] = np.inf
         d[b], d[:, b] = np.inf, np.inf
         size[a] += size[b]
+        alive[b] = False
         lost = (near == a) | (near == b)
         closer = ~lost & ((row < least) | ((row == least) & (a < near)))
         near[closer], least[closer] = a, row[closer]
-        again = np.flatnonzero(lost & np.isfinite(d).any(axis=1))
+        again = np.flatnonzero(lost & alive)
         again = np.append(again[again != a], a)
         near[again] = d[again].argmin(axis=1)
         least[again] = d[again, near[again]]
@@ -58,9 +59,9 @@ def linkage(dist: np.ndarray) -> list[tuple[float, int, int]]:
 def cut(merges: list[tuple[float, int, int]], n: int, threshold: float) -> np.ndarray:
     """Labels 0, 1, ... by first member; merges below the threshold hold."""
     root = list(range(n))
-    for height, a, b in merges:
+    for height, a, b in reversed(merges):  # where a went later is known when b, which goes once, joins it
         if height < threshold:
-            root = [a if r == b else r for r in root]
+            root[b] = root[a]
     order = {r: k for k, r in enumerate(dict.fromkeys(root))}
     return np.array([order[r] for r in root])
 
@@ -86,18 +87,22 @@ def spread(dist: np.ndarray) -> float:
 
 def best_cut(dist: np.ndarray) -> np.ndarray:
     """Stage 1: the cut with 2 to n/2 clusters and the best silhouette, the first of equal ones; one cluster if there is none."""
-    n, best, labels = len(dist), -2.0, np.zeros(len(dist), dtype=int)
+    n, best, last, labels = len(dist), -2.0, 0, np.zeros(len(dist), dtype=int)
     merges = linkage(dist)
     for th in THRESHOLDS:
         got = cut(merges, n, th)
         k = got.max() + 1
-        if 1 < k <= n // 2 and (s := silhouette(dist, got)) > best:
+        if 1 < k <= n // 2 and k != last and (s := silhouette(dist, got)) > best:  # as many clusters: the same cut
             best, labels = s, got
+        last = k
     return labels
 
 
 def _parts(items: list[int], labels: np.ndarray) -> list[list[int]]:
-    return [[x for x, l in zip(items, labels) if l == k] for k in range(labels.max() + 1)]
+    out: list[list[int]] = [[] for _ in range(labels.max() + 1)]
+    for x, k in zip(items, labels.tolist()):
+        out[k].append(x)
+    return out
 
 
 def resplit(items: list[int], dist: np.ndarray) -> list[list[int]]:
@@ -127,10 +132,8 @@ def tighten(items: list[int], dist: np.ndarray, limit: float) -> list[list[int]]
     d = dist[np.ix_(items, items)]
     merges = linkage(d)
     for k in range(2, len(items) + 1):
-        heights = sorted(m[0] for m in merges)
-        got = cut(merges, len(items), np.inf) if k == 1 else _cut_to(merges, len(items), k)
-        parts = _parts(list(range(len(items))), got)
-        if sum(spread(d[np.ix_(p, p)]) for p in parts) / len(parts) <= limit or not heights:
+        parts = _parts(list(range(len(items))), _cut_to(merges, len(items), k))
+        if sum(spread(d[np.ix_(p, p)]) for p in parts) / len(parts) <= limit:
             return [[items[x] for x in p] for p in parts]
     return [[x] for x in items]
 
