@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +107,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.merkle import fold, leaf_of, merkle_manifest
+
+    lowered = leaf_of(text=F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    found = merkle_manifest(table(spark, sf_dir, "documents"), {"shown_leaf": F.when(tampered, lowered).otherwise(leaf_of())})
+    steps = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(steps, 256).alias("proof_sha256"), fold(F.col("shown_leaf"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -116,4 +129,5 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_merkle": op11_merkle,
 }
