@@ -47,11 +47,11 @@ _MUL = _U(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class SuffixParams:
     #: Bytes of text in a block, about; a longer text is a block by itself.
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
     #: Bytes of pieces whose suffixes a task sorts at once, about.
     sort_bytes: int = 4 << 20
     #: Pieces of one anchor that go to one task as they are.
-    hot_pieces: int = 2000
+    hot_pieces: int = 30_000
 
 
 # ---- hashes and pieces
