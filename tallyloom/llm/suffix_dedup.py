@@ -5,7 +5,8 @@ Equal strings are brought together first, then sorted:
 1. Documents are packed into blocks of `block_bytes`, written once. Every window of 50 bytes has an anchor: the least hash
    among its strings of `ANCHOR` bytes. Equal windows have equal anchors. Neighbouring windows mostly share theirs, so a
    text falls into pieces, each a run of windows of one anchor.
-2. An anchor that one piece of the corpus has alone has no repeated window; a count by anchor drops these.
+2. An anchor that one piece of the corpus has alone has no repeated window. Blocks send their sorted anchors, cut to the
+   bits that the input's size needs, to slots of the range of hashes; each slot sends back which ones are not alone.
 3. The pieces of the other anchors, each distinct one once a block with the least id that has it, meet by anchor. Where
    an anchor has more than `hot_pieces` pieces they are cut into single windows first, which meet by their own hash, so no
    anchor is too large for a task. Equal windows meet either way, and one block sends each but once.
@@ -31,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tallyloom.llm.common import forget, kept, mix64, record_batch, text_of, tuned
+from tallyloom.llm.common import kept, mix64, record_batch, text_of, tuned
+from tallyloom.llm.kneser_ney import pack, unpack
 
 SIZE = 50
 ANCHOR = 16
@@ -46,10 +48,12 @@ _MUL = _U(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class SuffixParams:
-    #: Bytes of text in a block, about; a longer text is a block by itself.
-    block_bytes: int = 8 << 20
-    #: Bytes of pieces whose suffixes a task sorts at once, about.
-    sort_bytes: int = 4 << 20
+    #: Bytes of text in a block, about; a longer text is a block by itself. Raise it with the executors' memory and the input: blocks times slots is the number of messages.
+    block_bytes: int = 32 << 20
+    #: Anchors that a slot compares, about.
+    slot_anchors: int = 4_000_000
+    #: Bytes of pieces whose suffixes a task sorts, about.
+    sort_bytes: int = 2 << 20
     #: Pieces of one anchor that go to one task as they are.
     hot_pieces: int = 30_000
 
@@ -221,20 +225,20 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nda
 
 # ---- jobs
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
-_ANCHORS = pa.schema([("anchor", pa.int64()), ("block", pa.int64()), ("n", pa.int32()), ("again", pa.bool_())])
-_PIECES = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("piece", pa.int32()), ("string", pa.binary()), ("least", pa.int64()), ("most", pa.int64())])
-_FOUND = pa.schema([("block", pa.int64()), ("piece", pa.int32()), ("starts", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
+_BLOCKS = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
+_SENT = pa.schema([("slot", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
+_FLAGS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("flags", pa.binary()), ("cold", pa.int64()), ("hot", pa.int64())])
+_FOUND = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
 def _packed(size: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held, block = [], [], 0, TaskContext.get().partitionId() << 32
         z = zstandard.ZstdCompressor(level=3)
 
         def out() -> pa.RecordBatch:
-            return record_batch({"block": [block], "ids": [ids], "sizes": [[len(t) for t in texts]], "texts": [z.compress(b"".join(texts))]}, _BLOCKS)
+            return record_batch({"block": [block], "n_bytes": [held], "ids": [ids], "sizes": [[len(t) for t in texts]], "texts": [z.compress(b"".join(texts))]}, _BLOCKS)
 
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -248,45 +252,65 @@ def _packed(size: int):
         if texts:
             yield out()
 
-    return pack
+    return pack_texts
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
-    """A block at a time, with its texts."""
-    z = zstandard.ZstdDecompressor()
-    for b in batches:
-        for k in range(b.num_rows):
-            row = {name: b.column(name)[k].as_py() for name in ("block", "ids", "sizes")}
-            size = sum(row["sizes"])
-            whole = z.decompress(b.column("texts")[k].as_buffer(), max_output_size=size) if size else b""
-            ends = np.cumsum(row["sizes"])
-            row |= {name: np.sort(np.asarray(b.column(name)[k].values if b.column(name)[k].is_valid else [], np.int64).view(_U)) for name in ("cold", "hot") if name in b.schema.names}
-            row["found"] = b.column("found")[k].as_py() if "found" in b.schema.names else None
-            yield row, [whole[e - s : e] for e, s in zip(ends, row["sizes"], strict=True)]
-
-
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors of each block, with the number of distinct pieces of each, and whether a piece is there twice."""
-    for row, texts in _rows(batches):
-        anchors, marks = [], []
-        for t in texts:
-            t = np.frombuffer(t, np.uint8)
-            a, first, end = pieces(t)
+class _Block:
+    """A block's texts, the pieces of each, and the distinct anchors in order."""
+
+    def __init__(self, b: pa.RecordBatch, k: int):
+        get = lambda name: b.column(name)[k]
+        self.block, self.ids, self.sizes = (get(name).as_py() for name in ("block", "ids", "sizes"))
+        size = sum(self.sizes)
+        whole = zstandard.ZstdDecompressor().decompress(get("texts").as_buffer(), max_output_size=size) if size else b""
+        self.texts = [whole[e - s : e] for e, s in zip(np.cumsum(self.sizes), self.sizes, strict=True)]
+        self.order_ids = np.array([_LAST if i is None else i for i in self.ids], np.int64)
+        self.pieces: list = []
+        self.flags, self.found = ((get(name).as_py() or []) if name in b.schema.names else [] for name in ("flags", "found"))
+
+    def cut(self) -> None:
+        self.pieces = [pieces(np.frombuffer(t, np.uint8)) for t in self.texts]
+
+    def anchors(self) -> np.ndarray:
+        return np.unique(np.concatenate([a for a, _, _ in self.pieces]))
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, and of each: 0 if one piece has it once, 1 if one piece has it again, else the number of distinct pieces."""
+        marks = [np.empty(0, _U)]
+        for t, (a, first, end) in zip(self.texts, self.pieces, strict=True):
             if len(a):
-                h = string_hashes(t, SIZE)
+                h = string_hashes(np.frombuffer(t, np.uint8), SIZE)
                 with np.errstate(over="ignore"):
                     marks.append(mix64(h[first] * _MUL + h[end - 1] + (end - first).astype(_U)))
-                anchors.append(a)
-        if not anchors:
-            continue
-        a, m = np.concatenate(anchors), np.concatenate(marks)
+        a, m = np.concatenate([a for a, _, _ in self.pieces]), np.concatenate(marks)
         order = np.lexsort((m, a))
         a, m = a[order], m[order]
-        new = np.concatenate(([True], a[1:] != a[:-1]))
-        fresh = new | np.concatenate(([True], m[1:] != m[:-1]))
+        new = np.concatenate(([True], a[1:] != a[:-1]))[: len(a)]
+        fresh = new | np.concatenate(([True], m[1:] != m[:-1]))[: len(a)]
         heads = np.flatnonzero(new)
-        rows, n = np.diff(heads, append=len(a)), np.add.reduceat(fresh.astype(np.int32), heads)
-        yield record_batch({"anchor": a[heads].view(np.int64), "block": np.full(len(heads), row["block"], np.int64), "n": n.astype(np.int32), "again": rows > 1}, _ANCHORS)
+        n = np.add.reduceat(fresh.astype(np.int64), heads) if len(a) else np.empty(0, np.int64)
+        return a[heads], np.where(n > 1, n, np.diff(heads, append=len(a)) > 1).astype(np.int64)
+
+    def shared(self) -> tuple[dict[tuple[int, bytes], int], list[tuple[int, int, int]]]:
+        """The distinct strings that may repeat, by (key, string), numbered in order; and where each stands, as (document,
+        byte, number). Pieces of hot anchors are single windows, keyed by their own hash."""
+        z = zstandard.ZstdDecompressor()
+        flags = np.concatenate([np.frombuffer(z.decompress(x["flags"]), np.uint8) for x in sorted(self.flags, key=lambda x: x["slot"])])
+        anchors = self.anchors()
+        cold, hot = anchors[flags == 1], anchors[flags == 2]
+        numbers: dict[tuple[int, bytes], int] = {}
+        at = []
+        for d, (t, (a, first, end)) in enumerate(zip(self.texts, self.pieces, strict=True)):
+            use = np.flatnonzero(_among(cold, a))
+            for key, s, e in zip(a[use].tolist(), first[use].tolist(), end[use].tolist(), strict=True):
+                at.append((d, s, numbers.setdefault((key, t[s : e + SIZE - 1]), len(numbers))))
+            use = np.flatnonzero(_among(hot, a))
+            if len(use):
+                h = string_hashes(np.frombuffer(t, np.uint8), SIZE)
+                for s, e in zip(first[use].tolist(), end[use].tolist(), strict=True):
+                    for i in range(s, e):
+                        at.append((d, i, numbers.setdefault((int(h[i]), t[i : i + SIZE]), len(numbers))))
+        return numbers, at
 
 
 def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -294,135 +318,181 @@ def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def _shared(row: dict, texts: list[bytes]) -> tuple[dict[tuple[int, bytes], int], list[tuple[int, int, int]]]:
-    """The distinct strings of a block that may repeat, by (key, string), numbered in order; and where each stands, as
-    (document, byte, number). Pieces of hot anchors are single windows, keyed by their own hash."""
-    numbers: dict[tuple[int, bytes], int] = {}
-    at = []
-    for d, t in enumerate(texts):
-        a, first, end = pieces(np.frombuffer(t, np.uint8))
-        if not len(a):
-            continue
-        hot = _among(row["hot"], a)
-        use = np.flatnonzero(_among(row["cold"], a))
-        for key, s, e in zip(a[use].view(np.int64).tolist(), first[use].tolist(), end[use].tolist(), strict=True):
-            at.append((d, s, numbers.setdefault((key, t[s : e + SIZE - 1]), len(numbers))))
-        if hot.any():
-            h = string_hashes(np.frombuffer(t, np.uint8), SIZE).view(np.int64)
-            for s, e in zip(first[hot].tolist(), end[hot].tolist(), strict=True):
-                for i in range(s, e):
-                    at.append((d, i, numbers.setdefault((int(h[i]), t[i : i + SIZE]), len(numbers))))
-    return numbers, at
-
-
-def _ids(row: dict) -> np.ndarray:
-    return np.array([_LAST if i is None else i for i in row["ids"]], np.int64)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings that may repeat of each block, with the least and largest id that have them there."""
-    for row, texts in _rows(batches):
-        numbers, at = _shared(row, texts)
-        if not numbers:
-            continue
-        ids = _ids(row)
-        d, number = (np.array(c, np.int64) for c in list(zip(*at, strict=True))[::2])
-        least, most = np.full(len(numbers), _LAST, np.int64), np.full(len(numbers), np.iinfo(np.int64).min, np.int64)
-        np.minimum.at(least, number, ids[d])
-        np.maximum.at(most, number, ids[d])
-        keys = list(numbers)
-        for k in range(0, len(keys), 5000):
-            part = keys[k : k + 5000]
-            yield record_batch({"key": [x for x, _ in part], "block": [row["block"]] * len(part), "piece": np.arange(k, k + len(part), dtype=np.int32), "string": [s for _, s in part], "least": least[k : k + 5000], "most": most[k : k + 5000]}, _PIECES)
-
-
-def _solved(size: int):
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Strings of a task's keys; a share of the keys at a time where there are many."""
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        total = t["string"].nbytes
-        shares = max(1, -(-total // size))
-        share = (mix64(t["key"].to_numpy().view(_U)) >> _U(20)) % _U(shares)
-        for k in range(shares):
-            rows = t.filter(pa.array(share == k)) if shares > 1 else t
-            if rows.num_rows:
-                yield from _solve(rows)
-
-    return solve
-
-
-def _solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """block, piece, and the windows from each start on with the least id that has them, where the block has a larger one."""
-    strings, least, most = t["string"].to_pylist(), t["least"].to_numpy(), t["most"].to_numpy()
-    number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(s, len(number)) for s in strings], np.int64)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield _Block(b, k)
+
+
+def _anchored(bits: int, slots: int):
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct anchors of each block, cut to `bits`, by slot."""
+        edges = np.array([(k << 64) // slots for k in range(1, slots)], _U)
+        for b in _blocks(batches):
+            b.cut()
+            if not any(len(a) for a, _, _ in b.pieces):
+                continue
+            anchors, n = b.counted()
+            cuts = [0, *np.searchsorted(anchors, edges), len(anchors)]
+            short = anchors >> _U(64 - bits)
+            for slot, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if x < y:
+                    yield record_batch({"slot": [slot], "block": [b.block], "blob": [pack(a=np.diff(short[x:y], prepend=_U(0)), n=n[x:y])]}, _SENT)
+
+    return anchored
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[dict[str, np.ndarray]]]]:
+    """Of a task: the slot and block of each message, and the messages."""
+    slots, blocks, blobs = [], [], []
+    for b in batches:
+        slots += b.column("slot").to_pylist()
+        blocks += b.column("block").to_pylist()
+        blobs += [unpack(x.as_py()) for x in b.column("blob")]
+    if blobs:
+        yield slots, blocks, blobs
+
+
+def _flagged(hot: int):
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each message: 0 for an anchor that one piece of the corpus has alone, else 1, 2 for a hot one; and the pieces of both kinds."""
+        for slots, blocks, blobs in _held(batches):
+            key = np.concatenate([np.cumsum(x["a"], dtype=_U) for x in blobs])
+            n = np.concatenate([x["n"] for x in blobs]).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            heads = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) > 0)))
+            rows = np.diff(heads, append=len(key))
+            pieces_ = np.add.reduceat(np.maximum(n, 1)[order], heads)
+            alone = (rows == 1) & (n[order][heads] == 0)
+            flag = np.empty(len(key), np.uint8)
+            flag[order] = np.repeat(np.where(alone, 0, np.where(pieces_ > hot, 2, 1)), rows)
+            ends = np.cumsum([len(x["a"]) for x in blobs])
+            z = zstandard.ZstdCompressor(level=3)
+            for slot, block, x, e in zip(slots, blocks, blobs, ends, strict=True):
+                f, w = flag[e - len(x["a"]) : e], np.maximum(n[e - len(x["a"]) : e], 1)
+                yield record_batch({"block": [block], "slot": [slot], "flags": [z.compress(f.tobytes())], "cold": [int(w[f == 1].sum())], "hot": [int(w[f == 2].sum())]}, _FLAGS)
+
+    return flagged
+
+
+def _cut(tasks: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings that may repeat of each block, with the least and largest id that have them there, by task."""
+        z = zstandard.ZstdCompressor(level=3)
+        for b in _blocks(batches):
+            b.cut()
+            numbers, at = b.shared()
+            if not numbers:
+                continue
+            d, number = (np.array(c, np.int64) for c in list(zip(*at, strict=True))[::2])
+            del at
+            least, most = np.full(len(numbers), _LAST, np.int64), np.full(len(numbers), np.iinfo(np.int64).min, np.int64)
+            np.minimum.at(least, number, b.order_ids[d])
+            np.maximum.at(most, number, b.order_ids[d])
+            keys, strings = (list(c) for c in zip(*numbers, strict=True))
+            task = (mix64(np.array(keys, _U)) % _U(tasks)).astype(np.int64)
+            order = np.argsort(task, kind="stable")
+            cuts = np.searchsorted(task[order], np.arange(tasks + 1))
+            for k in range(tasks):
+                which = order[cuts[k] : cuts[k + 1]]
+                if len(which):
+                    own = [strings[i] for i in which]
+                    head = pack(size=np.array([len(x) for x in own], np.int64), number=np.diff(which, prepend=0), least=least[which], most=most[which])
+                    blob = len(head).to_bytes(8, "little") + head + z.compress(b"".join(own))
+                    yield record_batch({"slot": [k], "block": [b.block], "blob": [blob]}, _SENT)
+
+    return cut
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block, its strings with windows that have a smaller id than the block's largest for that string: number,
+    and the windows from each start on with the least id that has them."""
+    blocks, heads, number = [], [], {}
+    which = []
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        for k in range(b.num_rows):
+            blob = b.column("blob")[k].as_py()
+            at = 8 + int.from_bytes(blob[:8], "little")
+            x = unpack(blob[8:at])
+            sizes = x["size"].astype(np.int64)
+            text = z.decompress(blob[at:], max_output_size=int(sizes.sum()))
+            ends = np.cumsum(sizes)
+            which.append(np.array([number.setdefault(text[e - s : e], len(number)) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], np.int64))
+            heads.append((np.cumsum(x["number"].view(np.int64)), x["least"].view(np.int64), x["most"].view(np.int64)))
+            blocks.append(b.column("block")[k].as_py())
+    if not blocks:
+        return
     own = np.full(len(number), _LAST, np.int64)
-    np.minimum.at(own, which, least)
+    for w, (_, least, _) in zip(which, heads, strict=True):
+        np.minimum.at(own, w, least)
     ids, windows = least_ids(list(number), own)
     ends = np.cumsum(windows)
     new = np.concatenate(([True], ids[1:] != ids[:-1]))
     new[ends[:-1]] = True
-    heads = np.flatnonzero(new)
-    lows = np.searchsorted(heads, ends - windows)
-    highs = np.searchsorted(heads, ends)
+    first = np.flatnonzero(new)
+    low, high = np.searchsorted(first, ends - windows), np.searchsorted(first, ends)
+    starts, values = first - np.repeat(ends - windows, high - low), ids[first]
     smallest = np.minimum.reduceat(ids, ends - windows)
-    use = np.flatnonzero(smallest[which] < most)
-    starts = (heads - np.repeat(ends - windows, highs - lows)).tolist()
-    values = ids[heads].tolist()
-    blocks, numbers = t["block"].to_numpy(), t["piece"].to_numpy()
-    for k in range(0, len(use), 5000):
-        part = use[k : k + 5000]
-        w = which[part]
-        yield record_batch({"block": blocks[part], "piece": numbers[part], "starts": [starts[lows[x] : highs[x]] for x in w], "ids": [values[lows[x] : highs[x]] for x in w]}, _FOUND)
+    for block, w, (numbers, _, most) in zip(blocks, which, heads, strict=True):
+        use = np.flatnonzero(smallest[w] < most)
+        if len(use):
+            a, n = low[w[use]], (high - low)[w[use]]
+            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield record_batch({"block": [block], "blob": [pack(number=numbers[use], n=n, start=starts[at], id=values[at])]}, _FOUND)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every document of a block, cut."""
-    for row, texts in _rows(batches):
-        ids, sizes = row["ids"], np.array(row["sizes"], np.int64)
-        marks: list[list[tuple[int, int]]] = [[] for _ in texts]
-        if row["found"]:
-            numbers, at = _shared(row, texts)
+    for b in _blocks(batches):
+        marks: list[list[tuple[int, int]]] = [[] for _ in b.texts]
+        if b.found:
+            b.cut()
+            numbers, at = b.shared()
             lengths = [len(s) - SIZE + 1 for _, s in numbers]
-            found = {x["piece"]: list(zip(x["starts"], [*x["starts"][1:], lengths[x["piece"]]], x["ids"], strict=True)) for x in row["found"]}
+            found: dict[int, list[tuple[int, int, int]]] = {}
+            for blob in b.found:
+                x = {k: v.view(np.int64).tolist() for k, v in unpack(blob).items()}
+                k = 0
+                for number, n in zip(x["number"], x["n"], strict=True):
+                    found[number] = list(zip(x["start"][k : k + n], [*x["start"][k + 1 : k + n], lengths[number]], x["id"][k : k + n], strict=True))
+                    k += n
             for d, s, number in at:
-                for a, b, i in found.get(number, ()):
-                    if ids[d] is not None and i < ids[d]:
-                        marks[d].append((s + a, s + b + SIZE - 1))
+                for x, y, i in found.get(number, ()):
+                    if b.ids[d] is not None and i < b.ids[d]:
+                        marks[d].append((s + x, s + y + SIZE - 1))
         spans, rest = [], []
-        for t, m in zip(texts, marks, strict=True):
+        for t, m in zip(b.texts, marks, strict=True):
             m.sort()
             out: list[list[int]] = []
-            for a, b in m:
-                if out and a <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], b)
+            for x, y in m:
+                if out and x <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], y)
                 else:
-                    out.append([a, b])
+                    out.append([x, y])
             spans.append(out)
             edges = [0, *[x for s in out for x in s], len(t)]
-            rest.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if out else t)
-        for k in range(0, len(texts), 200):
+            rest.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if out else t)
+        for k in range(0, len(rest), 200):
             part = slice(k, k + 200)
-            yield record_batch({"doc_id": ids[part], "n_bytes": sizes[part], "removed": [[{"start": a, "end": b} for a, b in s] for s in spans[part]], "kept": rest[part]}, _OUT)
+            yield record_batch({"doc_id": b.ids[part], "n_bytes": b.sizes[part], "removed": [[{"start": x, "end": y} for x, y in s] for s in spans[part]], "kept": rest[part]}, _OUT)
 
 
 def cut_repeats(docs: DataFrame, p: SuffixParams = SuffixParams()) -> DataFrame:
     """doc_id, n_bytes, removed (maximal spans of bytes) and kept (the other bytes) of every row."""
     spark = tuned(docs.sparkSession)
-    blocks = kept(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packed(p.block_bytes), from_arrow_schema(_BLOCKS)), "suffix-blocks")
-    by_anchor = Window.partitionBy("anchor")
-    counted = blocks.mapInArrow(_anchored, from_arrow_schema(_ANCHORS)).select("*", F.count(F.lit(1)).over(by_anchor).alias("blocks"), F.sum("n").over(by_anchor).alias("pieces"))
-    flagged = kept(counted.filter("blocks > 1 or again or n > 1").select("anchor", "block", (F.col("pieces") > p.hot_pieces).alias("hot")), "suffix-anchors")
-    # about 70 bytes each, so a task's strings stay near sort_bytes
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-flagged.count() * 70 // p.sort_bytes))
-    of = lambda hot: F.collect_list(F.when(F.col("hot") == F.lit(hot), F.col("anchor")))
-    anchors = flagged.groupBy("block").agg(of(False).alias("cold"), of(True).alias("hot"))
-    strings = blocks.join(anchors, "block").mapInArrow(_cut, from_arrow_schema(_PIECES))
-    found = kept(strings.repartition(tasks, "key").mapInArrow(_solved(p.sort_bytes), from_arrow_schema(_FOUND)), "suffix-found")
-    by_block = found.groupBy("block").agg(F.collect_list(F.struct("piece", "starts", "ids")).alias("found"))
-    out = kept(blocks.join(anchors, "block", "left").join(by_block, "block", "left").mapInArrow(_removed, from_arrow_schema(_OUT)), "suffix-cut")
-    forget(blocks, flagged, found)
-    return out
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = lambda df, f, schema: df.mapInArrow(f, from_arrow_schema(schema))
+    blocks = kept(run(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), _packed(p.block_bytes), _BLOCKS), "suffix-blocks")
+    about = (blocks.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0) * 2 // (SIZE - ANCHOR + 2)
+    slots = max(least, -(-about // p.slot_anchors))
+    bits = min(64, max(16, about.bit_length() + 8))
+    flags = kept(run(run(blocks, _anchored(bits, slots), _SENT).repartitionById(slots, F.col("slot")), _flagged(p.hot_pieces), _FLAGS), "suffix-flags")
+    sums = flags.agg(F.sum("cold").alias("cold"), F.sum("hot").alias("hot")).first()
+    # a piece has about 70 bytes; a hot one becomes about 18 windows
+    tasks = max(least, -(-((sums["cold"] or 0) * 70 + (sums["hot"] or 0) * 18 * SIZE) // p.sort_bytes))
+    flags_of = flags.groupBy("block").agg(F.collect_list(F.struct("slot", "flags")).alias("flags"), (F.sum("cold") + F.sum("hot")).alias("any")).filter("any > 0").drop("any")
+    strings = run(blocks.join(flags_of, "block"), _cut(tasks), _SENT)
+    found = kept(run(strings.repartitionById(tasks, F.col("slot")), _solved, _FOUND), "suffix-found")
+    found_of = found.groupBy("block").agg(F.collect_list("blob").alias("found"))
+    return run(blocks.join(flags_of, "block", "left").join(found_of, "block", "left"), _removed, _OUT)
