@@ -15,7 +15,8 @@ Equal strings are brought together first, then sorted:
    groups of equal windows, and a group's least id goes back to the blocks that have a larger one.
 5. Blocks mark what repeats, and cut it.
 
-All comparisons are of bytes: hashes only decide what meets. Order and prefixes are computed up to `SIZE` bytes, as more is
+Hashes decide what meets, and within a block which pieces are one (by two of 64 bits); across blocks bytes are compared. Order
+and prefixes are computed up to `SIZE` bytes, as more is
 never asked. Texts are read whole; matches never cross documents, nor does one within a document alone count.
 
 Cases. Null text: as empty. Texts of fewer than 50 bytes stay whole. Rows with equal ids aren't smaller than each other, so
@@ -44,6 +45,9 @@ ANCHOR = 16
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
+_BYTES = mix64(np.arange(1, 257, dtype=_U))
+#: Bytes that are hashed at once, about: what numpy makes of them stays in a processor's cache.
+_AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -61,43 +65,62 @@ class SuffixParams:
 # ---- hashes and pieces
 
 
-def string_hashes(text: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every string of `size` bytes, by doubling: strings of powers of two are joined from halves."""
-    if len(text) < size:
-        return np.empty(0, _U)
-    power, factor, out, have = mix64(text.astype(_U) + _U(1)), _MUL, None, 0
-    width = 1
+def _doubled(text: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size a hash of every string of so many bytes: strings of powers of two are joined from halves, others from powers."""
+    power, factor, width = _BYTES[text], _MUL, 1
+    out: list[tuple[np.ndarray | None, int]] = [(None, 0)] * len(sizes)
     with np.errstate(over="ignore"):
-        while True:
-            if size & width:
-                n = len(text) - have - width + 1
-                out = power if out is None else out[:n] * factor + power[have : have + n]
-                have += width
-            if 2 * width > size:
-                return mix64(out)
-            power = power[:-width] * factor + power[width:]
+        while width <= max(sizes):
+            for k, size in enumerate(sizes):
+                h, have = out[k]
+                if size & width:
+                    n = max(0, len(text) - have - width + 1)
+                    out[k] = power[:n] if h is None else h[:n] * factor + power[have : have + n], have + width
+            if len(power) > width:
+                power = power[:-width] * factor + power[width:]
+            else:
+                power = power[:0]
             factor, width = mix64(factor + _U(width)), 2 * width
+        return [(h ^ (h >> _U(32))) * _MUL for h, _ in out]
+
 
+def string_hashes(text: np.ndarray, size: int) -> np.ndarray:
+    return _doubled(text, (size,))[0]
 
-def window_anchors(text: np.ndarray) -> np.ndarray:
-    """The least hash among the strings of ANCHOR bytes of each window of SIZE bytes."""
-    m, have, want = string_hashes(text, ANCHOR), 1, SIZE - ANCHOR + 1
+
+def _least(h: np.ndarray) -> np.ndarray:
+    """The least of the hashes of each window."""
+    have, want = 1, SIZE - ANCHOR + 1
     while 2 * have <= want:
-        m, have = np.minimum(m[:-have], m[have:]), 2 * have
+        h, have = np.minimum(h[:-have], h[have:]), 2 * have
     rest = want - have
-    return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
+    return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def pieces(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and end of windows of each piece of a text: runs of windows of one anchor, SIZE windows at most."""
+def pieces(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents that lie one after another in a text: anchor, first window, windows and content hash of each piece, a run
+    of windows of one anchor, SIZE windows at most."""
     if len(text) < SIZE:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-    a = window_anchors(text)
-    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-    n = np.diff(first, append=len(a))
+        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
+    grams, whole = _doubled(text, (ANCHOR, SIZE))
+    a = _least(grams)
+    long = ends - starts >= SIZE
+    first, last = starts[long], ends[long] - SIZE + 1
+    edge = np.zeros(len(a) + 1, np.int8)
+    edge[first] = 1
+    edge[last] = -1
+    inside = np.cumsum(edge, dtype=np.int8)[:-1] > 0
+    new = edge[:-1] != 0
+    new[0] = True
+    new[1:] |= a[1:] != a[:-1]
+    heads = np.flatnonzero(new)
+    n = np.diff(heads, append=len(a))[inside[heads]]
+    heads = heads[inside[heads]]
     parts = -(-n // SIZE)
-    at = np.repeat(first, parts) + SIZE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    return a[at], at, np.minimum(at + SIZE, np.repeat(first + n, parts))
+    done = SIZE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    at, n = np.repeat(heads, parts) + done, np.minimum(np.repeat(n, parts) - done, SIZE)
+    with np.errstate(over="ignore"):
+        return a[at], at, n, mix64(whole[at] * _MUL + whole[at + n - 1] + n.astype(_U))
 
 
 # ---- suffix sorting
@@ -256,66 +279,71 @@ def _packed(size: int):
 
 
 class _Block:
-    """A block's texts, the pieces of each, and the distinct anchors in order."""
+    """A block's documents, one after another, and their pieces."""
 
     def __init__(self, b: pa.RecordBatch, k: int):
         get = lambda name: b.column(name)[k]
-        self.block, self.ids, self.sizes = (get(name).as_py() for name in ("block", "ids", "sizes"))
-        size = sum(self.sizes)
-        whole = zstandard.ZstdDecompressor().decompress(get("texts").as_buffer(), max_output_size=size) if size else b""
-        self.texts = [whole[e - s : e] for e, s in zip(np.cumsum(self.sizes), self.sizes, strict=True)]
+        self.block, self.ids = get("block").as_py(), get("ids").as_py()
+        self.sizes = np.array(get("sizes").as_py(), np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        size = int(self.sizes.sum())
+        self.text = zstandard.ZstdDecompressor().decompress(get("texts").as_buffer(), max_output_size=size) if size else b""
         self.order_ids = np.array([_LAST if i is None else i for i in self.ids], np.int64)
-        self.pieces: list = []
         self.flags, self.found = ((get(name).as_py() or []) if name in b.schema.names else [] for name in ("flags", "found"))
 
-    def cut(self) -> None:
-        self.pieces = [pieces(np.frombuffer(t, np.uint8)) for t in self.texts]
-
-    def anchors(self) -> np.ndarray:
-        return np.unique(np.concatenate([a for a, _, _ in self.pieces]))
+    def pieces(self) -> tuple[np.ndarray, ...]:
+        data, out, k = np.frombuffer(self.text, np.uint8), [], 0
+        while k < len(self.sizes):
+            low = self.starts[k]
+            end = max(k + 1, int(np.searchsorted(self.ends, low + _AT_ONCE, "right")))
+            a, at, n, mark = pieces(data[low : self.ends[end - 1]], self.starts[k:end] - low, self.ends[k:end] - low)
+            out.append((a, at + low, n, mark))
+            k = end
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchors, and of each: 0 if one piece has it once, 1 if one piece has it again, else the number of distinct pieces."""
-        marks = [np.empty(0, _U)]
-        for t, (a, first, end) in zip(self.texts, self.pieces, strict=True):
-            if len(a):
-                h = string_hashes(np.frombuffer(t, np.uint8), SIZE)
-                with np.errstate(over="ignore"):
-                    marks.append(mix64(h[first] * _MUL + h[end - 1] + (end - first).astype(_U)))
-        a, m = np.concatenate([a for a, _, _ in self.pieces]), np.concatenate(marks)
-        order = np.lexsort((m, a))
-        a, m = a[order], m[order]
-        new = np.concatenate(([True], a[1:] != a[:-1]))[: len(a)]
-        fresh = new | np.concatenate(([True], m[1:] != m[:-1]))[: len(a)]
+        a, _, _, mark = self.pieces()
+        order = np.lexsort((mark, a))
+        a, mark = a[order], mark[order]
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        fresh = new.copy()
+        fresh[1:] |= mark[1:] != mark[:-1]
         heads = np.flatnonzero(new)
         n = np.add.reduceat(fresh.astype(np.int64), heads) if len(a) else np.empty(0, np.int64)
         return a[heads], np.where(n > 1, n, np.diff(heads, append=len(a)) > 1).astype(np.int64)
 
-    def shared(self) -> tuple[dict[tuple[int, bytes], int], list[tuple[int, int, int]]]:
-        """The distinct strings that may repeat, by (key, string), numbered in order; and where each stands, as (document,
-        byte, number). Pieces of hot anchors are single windows, keyed by their own hash."""
+    def shared(self) -> tuple[np.ndarray, ...]:
+        """The pieces that may repeat: for each distinct one its key, place and windows; for each piece its place and the
+        number of the distinct one. Pieces of hot anchors are single windows, keyed by their own hash. Pieces of a block
+        are the same if anchor and content hash are."""
+        a, at, n, mark = self.pieces()
+        anchors, which = np.unique(a, return_inverse=True)
         z = zstandard.ZstdDecompressor()
         flags = np.concatenate([np.frombuffer(z.decompress(x["flags"]), np.uint8) for x in sorted(self.flags, key=lambda x: x["slot"])])
-        anchors = self.anchors()
-        cold, hot = anchors[flags == 1], anchors[flags == 2]
-        numbers: dict[tuple[int, bytes], int] = {}
-        at = []
-        for d, (t, (a, first, end)) in enumerate(zip(self.texts, self.pieces, strict=True)):
-            use = np.flatnonzero(_among(cold, a))
-            for key, s, e in zip(a[use].tolist(), first[use].tolist(), end[use].tolist(), strict=True):
-                at.append((d, s, numbers.setdefault((key, t[s : e + SIZE - 1]), len(numbers))))
-            use = np.flatnonzero(_among(hot, a))
-            if len(use):
-                h = string_hashes(np.frombuffer(t, np.uint8), SIZE)
-                for s, e in zip(first[use].tolist(), end[use].tolist(), strict=True):
-                    for i in range(s, e):
-                        at.append((d, i, numbers.setdefault((int(h[i]), t[i : i + SIZE]), len(numbers))))
-        return numbers, at
-
-
-def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted known ones."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+        assert len(flags) == len(anchors)
+        flag = flags[which]
+        cold, hot = flag == 1, np.flatnonzero(flag == 2)
+        a, mark, first, m = a[cold], mark[cold], at[cold], n[cold]
+        if len(hot):
+            text = np.frombuffer(b"".join(self.text[x : x + y + SIZE - 1] for x, y in zip(at[hot].tolist(), n[hot].tolist(), strict=True)), np.uint8)
+            size = n[hot] + SIZE - 1
+            step = np.arange(n[hot].sum()) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+            h = string_hashes(text, SIZE)[np.repeat(np.cumsum(size) - size, n[hot]) + step]
+            a, mark = np.concatenate((a, h)), np.concatenate((mark, np.zeros(len(h), _U)))
+            first, m = np.concatenate((first, np.repeat(at[hot], n[hot]) + step)), np.concatenate((m, np.ones(len(h), np.int64)))
+        order = np.lexsort((mark, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+        number = np.empty(len(a), np.int64)
+        number[order] = np.cumsum(new) - 1
+        one = order[new]
+        return a[one], first[one], m[one], first, number
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
@@ -329,9 +357,6 @@ def _anchored(bits: int, slots: int):
         """The distinct anchors of each block, cut to `bits`, by slot."""
         edges = np.array([(k << 64) // slots for k in range(1, slots)], _U)
         for b in _blocks(batches):
-            b.cut()
-            if not any(len(a) for a, _, _ in b.pieces):
-                continue
             anchors, n = b.counted()
             cuts = [0, *np.searchsorted(anchors, edges), len(anchors)]
             short = anchors >> _U(64 - bits)
@@ -380,30 +405,50 @@ def _cut(tasks: int):
         """The strings that may repeat of each block, with the least and largest id that have them there, by task."""
         z = zstandard.ZstdCompressor(level=3)
         for b in _blocks(batches):
-            b.cut()
-            numbers, at = b.shared()
-            if not numbers:
+            keys, at, n, places, number = b.shared()
+            if not len(keys):
                 continue
-            d, number = (np.array(c, np.int64) for c in list(zip(*at, strict=True))[::2])
-            del at
-            least, most = np.full(len(numbers), _LAST, np.int64), np.full(len(numbers), np.iinfo(np.int64).min, np.int64)
-            np.minimum.at(least, number, b.order_ids[d])
-            np.maximum.at(most, number, b.order_ids[d])
-            keys, strings = (list(c) for c in zip(*numbers, strict=True))
-            task = (mix64(np.array(keys, _U)) % _U(tasks)).astype(np.int64)
+            ids = b.order_ids[b.document(places)]
+            least, most = np.full(len(keys), _LAST, np.int64), np.full(len(keys), np.iinfo(np.int64).min, np.int64)
+            np.minimum.at(least, number, ids)
+            np.maximum.at(most, number, ids)
+            task = (mix64(keys) % _U(tasks)).astype(np.int64)
             order = np.argsort(task, kind="stable")
             cuts = np.searchsorted(task[order], np.arange(tasks + 1))
             for k in range(tasks):
                 which = order[cuts[k] : cuts[k + 1]]
                 if len(which):
-                    own = [strings[i] for i in which]
-                    head = pack(size=np.array([len(x) for x in own], np.int64), number=np.diff(which, prepend=0), least=least[which], most=most[which])
+                    own = [b.text[x:y] for x, y in zip(at[which].tolist(), (at + n + SIZE - 1)[which].tolist(), strict=True)]
+                    head = pack(size=n[which] + SIZE - 1, number=np.diff(which, prepend=0), least=least[which], most=most[which])
                     blob = len(head).to_bytes(8, "little") + head + z.compress(b"".join(own))
                     yield record_batch({"slot": [k], "block": [b.block], "blob": [blob]}, _SENT)
 
     return cut
 
 
+def _least_runs(strings: list[bytes], own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each string the range of its entries in two lists, of first windows and of the least id from there on. A string
+    whose anchor no other one has shares no window and needs no sorting."""
+    size = np.array([len(x) for x in strings], np.int64)
+    text = np.frombuffer(b"\xff".join(strings), np.uint8)
+    _, kind, n = np.unique(_least(string_hashes(text, ANCHOR))[np.cumsum(size + 1) - size - 1], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(n[kind] > 1)
+    ids, windows = least_ids([strings[i] for i in several], own[several])
+    ends = np.cumsum(windows)
+    new = np.ones(len(ids), bool)
+    new[1:] = ids[1:] != ids[:-1]
+    new[ends[:-1]] = True
+    first = np.flatnonzero(new)
+    runs = np.ones(len(strings), np.int64)
+    runs[several] = np.searchsorted(first, ends) - np.searchsorted(first, ends - windows)
+    high = np.cumsum(runs)
+    low = high - runs
+    starts, values = np.zeros(high[-1], np.int64), np.repeat(own, runs)
+    to = np.repeat(low[several] - np.cumsum(runs[several]) + runs[several], runs[several]) + np.arange(len(first))
+    starts[to], values[to] = first - np.repeat(ends - windows, runs[several]), ids[first]
+    return low, high, starts, values
+
+
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block, its strings with windows that have a smaller id than the block's largest for that string: number,
     and the windows from each start on with the least id that has them."""
@@ -426,14 +471,8 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = np.full(len(number), _LAST, np.int64)
     for w, (_, least, _) in zip(which, heads, strict=True):
         np.minimum.at(own, w, least)
-    ids, windows = least_ids(list(number), own)
-    ends = np.cumsum(windows)
-    new = np.concatenate(([True], ids[1:] != ids[:-1]))
-    new[ends[:-1]] = True
-    first = np.flatnonzero(new)
-    low, high = np.searchsorted(first, ends - windows), np.searchsorted(first, ends)
-    starts, values = first - np.repeat(ends - windows, high - low), ids[first]
-    smallest = np.minimum.reduceat(ids, ends - windows)
+    low, high, starts, values = _least_runs(list(number), own)
+    smallest = np.minimum.reduceat(values, low)
     for block, w, (numbers, _, most) in zip(blocks, which, heads, strict=True):
         use = np.flatnonzero(smallest[w] < most)
         if len(use):
@@ -445,37 +484,50 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every document of a block, cut."""
     for b in _blocks(batches):
-        marks: list[list[tuple[int, int]]] = [[] for _ in b.texts]
+        spans: list[list[dict]] = [[] for _ in b.ids]
         if b.found:
-            b.cut()
-            numbers, at = b.shared()
-            lengths = [len(s) - SIZE + 1 for _, s in numbers]
-            found: dict[int, list[tuple[int, int, int]]] = {}
-            for blob in b.found:
-                x = {k: v.view(np.int64).tolist() for k, v in unpack(blob).items()}
-                k = 0
-                for number, n in zip(x["number"], x["n"], strict=True):
-                    found[number] = list(zip(x["start"][k : k + n], [*x["start"][k + 1 : k + n], lengths[number]], x["id"][k : k + n], strict=True))
-                    k += n
-            for d, s, number in at:
-                for x, y, i in found.get(number, ()):
-                    if b.ids[d] is not None and i < b.ids[d]:
-                        marks[d].append((s + x, s + y + SIZE - 1))
-        spans, rest = [], []
-        for t, m in zip(b.texts, marks, strict=True):
-            m.sort()
-            out: list[list[int]] = []
-            for x, y in m:
-                if out and x <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], y)
-                else:
-                    out.append([x, y])
-            spans.append(out)
-            edges = [0, *[x for s in out for x in s], len(t)]
-            rest.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if out else t)
+            _, _, windows, places, number = b.shared()
+            x = {k: np.concatenate(c).view(np.int64) for k, c in _columns(b.found).items()}
+            runs, at = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
+            runs[x["number"]], at[x["number"]] = x["n"], np.cumsum(x["n"]) - x["n"]
+            last = np.zeros(len(x["id"]), bool)
+            last[np.cumsum(x["n"]) - 1] = True
+            until = np.append(x["start"][1:], 0)
+            until[last] = windows[x["number"]]
+            hit = np.flatnonzero(runs[number])
+            n = runs[number[hit]]
+            run = np.repeat(at[number[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = np.repeat(places[hit], n)
+            doc = b.document(place)
+            known = np.array([i is not None for i in b.ids], bool)
+            use = known[doc] & (x["id"][run] < b.order_ids[doc])
+            place, run, doc = place[use], run[use], doc[use]
+            low, high = place + x["start"][run], place + until[run] + SIZE - 1
+            order = np.argsort(low, kind="stable")
+            low, high, doc = low[order], np.maximum.accumulate(high[order]), doc[order]
+            new = np.ones(len(low), bool)
+            new[1:] = (low[1:] > high[:-1]) | (doc[1:] != doc[:-1])
+            heads = np.flatnonzero(new)
+            if len(heads):
+                ends = high[np.append(heads[1:], len(low)) - 1]
+                for d, x0, x1 in zip(doc[heads].tolist(), (low[heads] - b.starts[doc[heads]]).tolist(), (ends - b.starts[doc[heads]]).tolist(), strict=True):
+                    spans[d].append({"start": x0, "end": x1})
+        rest = []
+        for x0, x1, gone in zip(b.starts.tolist(), b.ends.tolist(), spans, strict=True):
+            t = b.text[x0:x1]
+            edges = [0, *[x for s in gone for x in (s["start"], s["end"])], len(t)]
+            rest.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if gone else t)
         for k in range(0, len(rest), 200):
             part = slice(k, k + 200)
-            yield record_batch({"doc_id": b.ids[part], "n_bytes": b.sizes[part], "removed": [[{"start": x, "end": y} for x, y in s] for s in spans[part]], "kept": rest[part]}, _OUT)
+            yield record_batch({"doc_id": b.ids[part], "n_bytes": b.sizes[part], "removed": spans[part], "kept": rest[part]}, _OUT)
+
+
+def _columns(blobs: list[bytes]) -> dict[str, list[np.ndarray]]:
+    out: dict[str, list[np.ndarray]] = {}
+    for blob in blobs:
+        for name, c in unpack(blob).items():
+            out.setdefault(name, []).append(c)
+    return out
 
 
 def cut_repeats(docs: DataFrame, p: SuffixParams = SuffixParams()) -> DataFrame:

@@ -76,10 +76,17 @@ def test_hashes_depend_on_the_string_alone():
 
 
 def test_pieces_hold_every_window_once():
-    for text in (b"x" * 49, b"x" * 50, b"x" * 500, bytes(random.Random(1).choices(b"abcdef ", k=3000))):
-        a, first, end = pieces(np.frombuffer(text, np.uint8))
-        assert [i for s, e in zip(first, end) for i in range(s, e)] == list(range(max(0, len(text) - SIZE + 1)))
-        assert all(e - s <= SIZE for s, e in zip(first, end))
+    rng = random.Random(1)
+    texts = [b"x" * 49, b"", b"x" * 50, b"x" * 500, bytes(rng.choices(b"abcdef ", k=3000)), b"y", bytes(rng.choices(b"ab", k=51))]
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    a, first, n, mark = pieces(np.frombuffer(b"".join(texts), np.uint8), starts, ends)
+    assert [i for s, k in zip(first, n) for i in range(s, s + k)] == [i for s, e in zip(starts, ends) for i in range(s, e - SIZE + 1)]
+    assert n.max() <= SIZE and (n > 0).all()
+    alone = pieces(np.frombuffer(texts[4], np.uint8), np.array([0]), np.array([3000]))
+    at = np.searchsorted(first, starts[4])
+    for whole, one in zip((a, first - starts[4], n, mark), alone):
+        assert whole[at : at + len(one)].tolist() == one.tolist()
 
 
 def test_least_ids():
