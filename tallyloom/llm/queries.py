@@ -126,6 +126,30 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_period(docs: DataFrame) -> DataFrame:
+    """docs with a stretch of words in one text of ten, by its id, that repeats: words from a on are those of a .. a + p - 1 again and again."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("w").cast("bigint")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    some = docs.select("doc_id", "text", F.coalesce(h % 10 == 0, F.lit(False)).alias("some")).withColumn("w", F.when(F.col("some"), words))
+    again = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))), " ")
+    made = F.col("some") & (n > 0)
+    return some.withColumn("a", F.when(made, a)).withColumn("p", F.when(made, p)).select("doc_id", F.when(made, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(_with_period(table(spark, sf_dir, "documents")))
+    best = F.get(F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], y["length"] - x["length"]).when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"]).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("r"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(F.lit(1000) * F.col("r.length") / F.col("r.period"))
+    return found.select("doc_id", "n_runs", "r.start", "r.length", "r.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -139,4 +163,5 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_merkle": op11_merkle,
     "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
