@@ -53,7 +53,7 @@ _AT_ONCE = 1 << 18
 @dataclass(frozen=True)
 class SuffixParams:
     #: Bytes of text in a block, about; a longer text is a block by itself. Raise it with the executors' memory and the input: blocks times slots is the number of messages.
-    block_bytes: int = 16 << 20
+    block_bytes: int = 4 << 20
     #: Anchors that a slot compares, about.
     slot_anchors: int = 4_000_000
     #: Bytes of pieces whose suffixes a task sorts, about.
