@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import split_extension, split_triple
+from tallyloom.operators.ordered import renumber
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -36,16 +37,6 @@ def file_records(titles: DataFrame, title: str, number: Column, shift: int = 0)
     return t.select((number - shift).cast("string").alias("id"), F.col("_e.stem").alias("filename"), F.col("_e.extension").alias("extension"), F.col("_t.directory").alias("directory"), F.col("_t.app").alias("application"))
 
 
-def renumber(df: DataFrame, order: list[Column], start: int = 0, name: str = "n") -> DataFrame:
-    """Gapless numbers in the given order without putting all rows into one task: ranges are numbered apart and shifted
-    by the counts of the ranges before."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    within = Window.partitionBy("_p").orderBy("_m")
-    counts = ranged.groupBy("_p").count()
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
-    return ranged.withColumn("_k", F.row_number().over(within)).join(F.broadcast(before), "_p").withColumn(name, (F.col("_k") - 1 + F.col("_before") + start).cast("bigint")).drop("_p", "_m", "_k", "_before")
-
-
 def positional_split(df: DataFrame, number: str, total: int, cuts: dict[str, float]) -> DataFrame:
     """split by place: the first share of rows is the first part, and so on; what is left the last."""
     out, at, names = F, 0.0, list(cuts)
@@ -111,7 +102,7 @@ def sampled(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
     """All rows with their place in a seeded order, the same for any partitioning if the key tells rows apart."""
-    return renumber(df.withColumn("_by", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))), [F.col("_by"), F.col(key)], 0, name).drop("_by")
+    return renumber(df, [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)], 0, name)
 
 
 def zip_by_place(streams: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

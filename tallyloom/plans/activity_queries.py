@@ -88,6 +88,35 @@ def zip_streams(spark, d):
     return tables.zip_by_place({"one": (t("region"), "r_regionkey", "r_name"), "two": (t("nation"), "n_nationkey", "n_name"), "three": (t("benchmark"), "item_id", "item_id")})
 
 
+@query("select *, row_number() over (order by o_orderdate, o_orderkey) - 1 as number from orders")
+def renumber_orders(spark, d):
+    return tables.renumber(table(spark, d, "orders"), [F.col("o_orderdate"), F.col("o_orderkey")], 0, "number")
+
+
+@query("select *, row_number() over (order by source, doc_id) number from documents")
+def renumber_documents(spark, d):
+    return tables.renumber(table(spark, d, "documents"), [F.col("source"), F.col("doc_id")], 1, "number")
+
+
+@query("""with n as (select *, row_number() over (order by doc_id) - 1 n, count(*) over () total from documents)
+select * exclude (total), case when n < cast(floor(total * 0.85) as bigint) then 'train' when n < cast(floor(total * 0.95) as bigint) then 'validation' else 'test' end split from n""")
+def split_documents(spark, d):
+    docs = table(spark, d, "documents")
+    return tables.positional_split(tables.renumber(docs, [F.col("doc_id")]), "n", docs.count(), {"train": 0.85, "validation": 0.1, "test": 0.05})
+
+
+@query("select *, row_number() over (order by md5('7:' || doc_id), doc_id) - 1 place from documents")
+def shuffle_documents(spark, d):
+    return tables.seeded_shuffle(table(spark, d, "documents"), "doc_id", 7)
+
+
+@query("""with a as (select text, row_number() over (order by doc_id) k from documents), b as (select o_totalprice, row_number() over (order by o_orderkey) k from orders), c as (select url, row_number() over (order by page_id) k from pages)
+select coalesce(a.k, b.k, c.k) - 1 n, text, o_totalprice price, url from a full join b on a.k = b.k full join c on coalesce(a.k, b.k) = c.k""")
+def zip_tables(spark, d):
+    t = lambda n: table(spark, d, n)
+    return tables.zip_by_place({"text": (t("documents"), "doc_id", "text"), "price": (t("orders"), "o_orderkey", "o_totalprice"), "url": (t("pages"), "page_id", "url")})
+
+
 @query("with a as (select conv_id, count(*)::double n from conversations group by 1) select min(n) lo, max(n) hi, round(avg(n), 6) mean, median(n) med from a")
 def array_sizes(spark, d):
     """Least, largest, mean and median number of turns of the conversations' arrays."""

@@ -1,7 +1,8 @@
 """Readers of the activity formats. Each takes a frame of lines (source, pos, value) or a path, and returns typed rows.
 
 The order of lines has a meaning in most formats, so lines are numbered as they are read. A large file is read by blocks
-like any text, and the lines of each block are shifted by those of the blocks before it.
+like any text, and the lines of each block are shifted by those of the blocks before it. What is carried along a file (its
+headers, epochs, counts and next lines) is found in blocks of lines, with one row a block for what passes from one to the next.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.ordered import carried, counted, followed
+
 DICTIONARY = "map<string,array<struct<description:string,cmd:string,cmds:array<string>>>>"
 
 
@@ -43,11 +46,11 @@ def event_log(lines: DataFrame, host_prefix: str, first_only: bool = False) -> D
     """Rows of the poll log: source, block, ts, kind (opened or closed), window_id, desktop, host, title.
 
     A header `ts - text :` begins a block, a rule of dashes ends it. first_only keeps each block's first row."""
-    header = F.regexp_extract("value", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) - ", 1)
-    along = Window.partitionBy("source").orderBy("pos")
-    marked = lines.withColumn("ts", F.when(header != "", header)).withColumn("block", F.count("ts").over(along))
+    stamp = F.regexp_extract("value", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) - ", 1)
+    header = F.when(stamp != "", F.struct(stamp.alias("ts"), F.when(F.contains("value", F.lit("ferm")), "closed").otherwise("opened").alias("kind")))
+    marked = counted(lines, ["source"], "pos", stamp != "", "block")
+    head = carried(marked, ["source"], "pos", header, "header").select("*", "header.ts", "header.kind")
     per = Window.partitionBy("source", "block").orderBy("pos")
-    head = marked.withColumn("ts", F.first("ts").over(per)).withColumn("kind", F.when(F.first("value").over(per).contains("ferm"), "closed").otherwise("opened"))
     p = F.split(F.trim("value"), r"\s+", 4)
     rows = head.filter((F.col("block") > 0) & (F.size(p) == 4) & F.regexp_like("value", F.lit("^0x")) & p[2].startswith(host_prefix))
     rows = rows.withColumn("row", F.row_number().over(per))
@@ -57,12 +60,10 @@ def event_log(lines: DataFrame, host_prefix: str, first_only: bool = False) -> D
 def history(lines: DataFrame, keep_blank: bool = False) -> DataFrame:
     """Shell history with `#epoch` lines: source, pos, epoch, command. Any other `#` line resets the epoch."""
     is_hash = F.col("value").startswith("#")
-    along = Window.partitionBy("source").orderBy("pos")
-    seg = lines.withColumn("segment", F.sum(is_hash.cast("int")).over(along))
     epoch = F.expr("try_cast(substr(value, 2) as bigint)")
-    first = seg.withColumn("epoch", F.first(F.when(is_hash, epoch)).over(Window.partitionBy("source", "segment").orderBy("pos")))
+    along = carried(lines, ["source"], "pos", F.when(is_hash, F.struct(epoch.alias("epoch"))), "last").withColumn("epoch", F.col("last.epoch"))
     keep = F.lit(True) if keep_blank else F.trim("value") != ""
-    return first.filter(~is_hash & F.col("epoch").isNotNull() & keep).select("source", "pos", "epoch", F.trim("value").alias("command"))
+    return along.filter(~is_hash & F.col("epoch").isNotNull() & keep).select("source", "pos", "epoch", F.trim("value").alias("command"))
 
 
 def activity_commas(lines: DataFrame, legacy: bool = False) -> DataFrame:
@@ -102,7 +103,7 @@ def mime_types(spark: SparkSession, path: str) -> DataFrame:
 
 def tldr_pages(lines: DataFrame) -> DataFrame:
     """source, description and command: a `- text:` line and the next line that is not blank."""
-    rows = lines.filter(F.trim("value") != "").withColumn("next", F.lead("value").over(Window.partitionBy("source").orderBy("pos")))
+    rows = followed(lines.filter(F.trim("value") != ""), ["source"], "pos", "value", "next")
     return rows.filter(F.col("value").startswith("- ") & F.col("next").isNotNull()).select("source", "pos", F.regexp_replace(F.trim(F.substr("value", F.lit(3))), ":$", "").alias("description"), F.btrim(F.trim("next"), F.lit("`")).alias("command"))
 
 
@@ -110,8 +111,7 @@ def help_blocks(lines: DataFrame) -> DataFrame:
     """Option blocks of captured help text: a line that begins with an option and the deeper lines after it, in one."""
     head = F.regexp_like("value", F.lit(r"^\s{0,3}-{1,2}\S")) | F.regexp_like("value", F.lit(r"^\s+-{1,2}[A-Za-z?]"))
     more = F.regexp_like("value", F.lit(r"^(    |\t)")) & ~head
-    along = Window.partitionBy("source").orderBy("pos")
-    marked = lines.withColumn("run", F.sum((~more).cast("int")).over(along)).withColumn("opens", head)
+    marked = counted(lines, ["source"], "pos", ~more, "run").withColumn("opens", head)
     per = marked.groupBy("source", "run").agg(F.min("pos").alias("pos"), F.min_by("opens", "pos").alias("opens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: F.trim(x["value"])), " ").alias("block"))
     return per.filter("opens").select("source", "pos", F.trim("block").alias("block"))
 
