@@ -320,8 +320,7 @@ _CENT = "c as (select label target, list(m order by dim) v from (select label, d
 @query(f"with {_U}, {_CENT}, r as (select vec_id, label, target, row_number() over (partition by vec_id order by list_cosine_similarity(u.v, c.v) desc, target) rnk from u, c) select round(avg((rnk <= 3)::int), 6) accuracy from r where target = label")
 def retrieval_at_k(spark, d):
     e = _emb(spark, d)
-    ranked = similarity.rank_targets(e, similarity.centroids(e, "label"), "vec_id", "label")
-    return similarity.retrieval_accuracy(ranked, "label", 3).select(F.round("accuracy", 6).alias("accuracy"))
+    return similarity.retrieval_accuracy(e, similarity.centroids(e, "label"), "vec_id", "label", 3).select(F.round("accuracy", 6).alias("accuracy"))
 
 
 @query(f"with {_PAIR} select label, round(avg(1 - dist), 6) mean_sim, round(min(1 - dist), 6) min_sim, round(max(1 - dist), 6) max_sim, round(stddev_pop(1 - dist), 6) std_sim from p group by label")
@@ -335,6 +334,19 @@ def inter_overlap(spark, d):
     return similarity.group_overlap(_emb(spark, d), "label").withColumn("mean_sim", F.round("mean_sim", 6))
 
 
+@query(f"with {_U} select a.label a, b.label b, round(avg(list_cosine_similarity(a.v, b.v)), 6) mean_sim, round(max(list_cosine_similarity(a.v, b.v)), 6) max_sim from u a join u b on a.label < b.label group by all")
+def block_overlap(spark, d):
+    """Mean and largest cosine between the items of two groups."""
+    found = similarity.group_overlap(_emb(spark, d), "label", largest=True)
+    return found.select("a", "b", F.round("mean_sim", 6).alias("mean_sim"), F.round("max_sim", 6).alias("max_sim"))
+
+
+@query(f"with {_U} select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.v, b.v), 6) sim from u a join u b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) > 0.75")
+def close_vectors(spark, d):
+    """All pairs of vectors, each a group of its own, above the usual limit."""
+    return similarity.close_blocks(_emb(spark, d), "vec_id", least=0.75).withColumn("sim", F.round("sim", 6))
+
+
 @query(f"with {_PAIR}, n as (select label, count(*) n from u group by label) select n.label, n.n, round(coalesce(avg(dist), 0), 6) cohesion, round(coalesce(2 * sum(dist) / (any_value(n.n) * any_value(n.n)), 0), 6) cohesion_diag from n left join p using (label) group by n.label, n.n")
 def cohesion(spark, d):
     e = _emb(spark, d)
