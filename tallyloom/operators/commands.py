@@ -1,42 +1,44 @@
 """Shell commands: parts, tokens, elements, and descriptions by a dictionary of patterns.
 
-The dictionary is expanded to one row a concrete pattern and keyed by its sequence of command elements once; describing is
-then two equi joins by (command, key), so no pattern is expanded or compared again for each command.
+The command elements that are asked for, each distinct sequence once, meet the patterns of their command, which are walked as a
+trie (`pattern_trie.py`), so no pattern is expanded into all its texts. Describing is two equi joins with what was found.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyloom.functions.text import collapse_spaces
 from tallyloom.functions.token_types import looks, token_type, type_label
+from tallyloom.operators.pattern_trie import Trie, rows_of
+from tallyloom.operators.tables import find_patterns
 
 #: Commands whose joined flags are one option.
 WHOLE_FLAGS = ("nmap", "openssl", "ntlmrelayx")
+#: Words of descriptions.
+RUN_SCRIPT, COMMAND, NO_DESCRIPTION, WITH_SUDO = "Run the script '", "Command '", "No description", "with sudo "
 
-_TOKEN = re.compile(r"""\s*(?:("[^"]*"|'[^']*')|([^\s"'][^\s]*))""")
+#: A word: a quote that begins one runs to its partner and stays, one inside a word is a letter.
+WORD = r"""(?U)"[^"]*"|'[^']*'|[^\s"'][^\s]*"""
+_TOKEN = re.compile(WORD.removeprefix("(?U)"))
+#: Quoted text, plain text, and what parts commands.
+_PIECE = r"""("[^"]*(?:"|$)|'[^']*(?:'|$)|[^"'&|;]+|&&|\|\||[|;&])"""
+
+
+def words(text: Column) -> Column:
+    """Words parted by white space, quoted ones whole; with a quote left open, all that white space parts."""
+    found = F.regexp_extract_all(text, F.lit(f"({WORD.replace('(?U)', '(?U)', 1)})"), F.lit(1))
+    left_open = F.regexp_like(F.regexp_replace(text, WORD, ""), F.lit(r"(?U)\S"))
+    return F.when(left_open, F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).otherwise(found)
 
 
 def split_words(text: str) -> list[str]:
-    """Words parted by white space. A quote that begins a word runs to its partner and stays; one inside a word is a
-    letter. With a quote left open the text is split at white space only."""
-    out, at, end = [], 0, len(text)
-    while at < end:
-        if text[at].isspace():
-            at += 1
-            continue
-        m = _TOKEN.match(text, at)
-        if m is None:
-            return text.split()
-        out.append(m[1] or m[2])
-        at = m.end()
-    return out
+    """The same of one text."""
+    return text.split() if _TOKEN.sub("", text).strip() else _TOKEN.findall(text)
 
 
 def split_outside_quotes(text: str, marks: tuple[str, ...]) -> list[str]:
@@ -53,35 +55,11 @@ def split_outside_quotes(text: str, marks: tuple[str, ...]) -> list[str]:
     return [p.strip() for p in [*out, piece]]
 
 
-def expand(pattern: str) -> list[str]:
-    """All texts of a pattern: every {{a|b}} or {{[a|b]}} by each of its choices."""
-    holes = re.findall(r"\{\{(.*?)\}\}", pattern, re.S)
-    choices = []
-    for h in holes:
-        h = h.strip()
-        choices.append(split_outside_quotes(h[1:-1] if h.startswith("[") and h.endswith("]") else h, ("|",)))
-    out = []
-    for picked in product(*choices):
-        text = pattern
-        for h, c in zip(holes, picked, strict=True):
-            text = text.replace("{{" + h + "}}", c, 1)
-        out.append(" ".join(text.split()) if holes else text.strip())
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def words_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: split_words(t) if t is not None else None)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def parts_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [p for p in split_outside_quotes(t, ("&&", "||", "|", ";")) if p] if t is not None else None)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def expand_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: expand(t) if t is not None else None)
+def parts(text: Column) -> Column:
+    """The commands of a line, parted by && || | ; outside quotes."""
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1))
+    marked = F.array_join(F.transform(pieces, lambda p: F.when(p.isin("&&", "||", "|", ";"), "\x00").otherwise(p)), "")
+    return F.filter(F.transform(F.split(marked, "\x00"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
 
 
 def split_flags(words: Column) -> Column:
@@ -98,7 +76,7 @@ def elements(words: Column) -> Column:
     sub = F.when(F.regexp_like(second, F.lit("^[a-zA-Z]+$")), second)
     prefix = F.concat_ws(" ", words[0], sub)
     rest = F.transform(
-        F.slice(words, 2, 1 << 20),
+        F.slice(words, 2, F.greatest(F.size(words), F.lit(1))),
         lambda w, i: F.when(quoted(w), w).when(w.startswith("-"), F.concat_ws(" ", prefix, w)).when((i == 0) & sub.isNotNull(), prefix).otherwise(w),
     )
     return F.when(F.size(words) > 0, F.concat(F.slice(words, 1, 1), rest)).otherwise(words)
@@ -115,26 +93,76 @@ def command_key(elems: Column, main: Column, form=collapse_spaces) -> Column:
     return F.transform(F.filter(typed, lambda x: x["t"].isin("cmd", "cmdopt")), lambda x: x["e"])
 
 
-def pattern_table(dictionary: DataFrame) -> DataFrame:
-    """cmd_name, ord (file, entry, pattern, expansion), exact and loose (keys), description; patterns without command elements go."""
-    rows = dictionary.select("cmd_name", "description", "file", "entry_ord", "pattern_ord", F.posexplode(expand_udf("pattern")).alias("n", "text"))
-    rows = rows.withColumn("_words", words_udf("text")).withColumn("elems", elements(F.col("_words"))).drop("_words").filter(F.size("elems") > 0)
-    keyed = rows.select("cmd_name", "description", F.struct("file", "entry_ord", "pattern_ord", "n").alias("ord"), command_key(F.col("elems"), F.col("cmd_name")).alias("exact"), command_key(F.col("elems"), F.col("cmd_name"), match_form).alias("loose"))
-    return keyed.filter(F.size("exact") > 0)
-
-
-def first_by_key(patterns: DataFrame, key: str) -> DataFrame:
-    """The first pattern of each command and key."""
-    return patterns.groupBy("cmd_name", F.col(key).alias("key")).agg(F.min_by("description", "ord").alias("description"))
+def _element(head: list[str], place: int, word: str, main: str) -> str | None:
+    """The command element of a pattern's word, as elements() and command_key() make it; head: the first two words."""
+    sub = head[1] if len(head) > 1 and re.fullmatch("[a-zA-Z]+", head[1]) else None
+    prefix = f"{head[0]} {sub}" if sub else head[0]
+    if place == 0:
+        return word
+    quoted = (word.startswith("'") and word.endswith("'")) or (word.startswith('"') and word.endswith('"'))
+    e = word if quoted else f"{prefix} {word}" if word.startswith("-") else prefix if place == 1 and sub else word
+    t = e.strip()
+    if t and (t == main or t.startswith(main + " ") or " " in t and any(w.startswith("-") for w in t.split()[1:])):
+        return " ".join(t.split())
+    return None
+
+
+def _loose(element: str) -> str:
+    return re.sub(r"^(.*?)=\S+", r"\1={}", " ".join(element.split()))
+
+
+def tries(patterns: pd.DataFrame) -> dict[str, Trie]:
+    """The patterns of one command (pattern and order) as two tries, of exact elements and of those without values."""
+    exact, loose = Trie(), Trie()
+    for r in patterns.itertuples():
+        order = (r.file, r.entry_ord, r.pattern_ord)
+        for row in rows_of(r.pattern, split_outside_quotes, split_words, lambda head, i, w: _element(head, i, w, r.cmd_name)):
+            exact.add(order, row)
+            loose.add(order, [tuple(tuple(map(_loose, c)) for c in slot) for slot in row])
+    return {"exact": exact, "loose": loose}
+
+
+#: Distinct keys of one command that a task looks up.
+KEYS_AT_ONCE = 50_000
+
+
+def match_keys(dictionary: DataFrame, keys: DataFrame, at_once: int = KEYS_AT_ONCE) -> DataFrame:
+    """cmd_name, form, key and description: for each distinct key (cmd_name, form, key; form is exact or loose) the first pattern of its
+    command, by file, entry and place, with the same command elements. Keys that none matches are left out, so are patterns
+    without command elements. A command with many keys is dealt to several tasks, each with its patterns."""
+    keys = keys.filter("cmd_name is not null and size(key) > 0").distinct()
+    salts = keys.groupBy("cmd_name").agg(F.count(F.lit(1)).alias("n")).select("cmd_name", F.ceil(F.col("n") / at_once).alias("_salts"))
+    # names of their own, as both sides may come from one frame
+    rows = dictionary.select(F.col("cmd_name").alias("_name"), "pattern", "file", "entry_ord", "pattern_ord").join(salts.select(F.col("cmd_name").alias("_name"), F.col("_salts").alias("_of")), "_name")
+    rows = rows.select(F.col("_name").alias("_c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_of") - 1)).alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("pattern", "file", "entry_ord", "pattern_ord")])
+    dealt = keys.join(salts, "cmd_name").withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("_salts")))
+
+    def look(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or known.empty:
+            return pd.DataFrame(columns=["cmd_name", "form", "key", "file", "entry_ord", "pattern_ord"])
+        both = tries(known.rename(columns={"_c": "cmd_name"} | {f"_{c}": c for c in ("pattern", "file", "entry_ord", "pattern_ord")}))
+        found = [both[f].find(tuple(k)) for f, k in zip(asked["form"], asked["key"], strict=True)]
+        hit = [i for i, x in enumerate(found) if x is not None]
+        out = asked.iloc[hit][["cmd_name", "form", "key"]].reset_index(drop=True)
+        return pd.concat([out, pd.DataFrame([found[i] for i in hit], columns=["file", "entry_ord", "pattern_ord"])], axis=1)
+
+    kinds = rows.schema
+    met = dealt.groupBy("cmd_name", "_salt").cogroup(rows.groupBy("_c", "_s")).applyInPandas(
+        look, f"cmd_name string, form string, key array<string>, file {kinds['_file'].dataType.simpleString()}, entry_ord {kinds['_entry_ord'].dataType.simpleString()}, pattern_ord {kinds['_pattern_ord'].dataType.simpleString()}"
+    )
+    place = ["cmd_name", "file", "entry_ord", "pattern_ord"]
+    texts = dictionary.groupBy(*[F.col(c).alias(f"_{c}") for c in place]).agg(F.min("description").alias("description"))
+    same = [F.col(c) == F.col(f"_{c}") for c in place]
+    return met.join(texts, same).select("cmd_name", "form", "key", "description")
 
 
 def command_parts(df: DataFrame, col: str = "command") -> DataFrame:
     """Rows of df by part: part (from 0), sudo, text with flags repaired, elems."""
     text = F.trim(col)
     sudo = text.startswith("sudo ")
-    rows = df.withColumn("sudo", sudo).select("*", F.posexplode(parts_udf(F.when(sudo, F.trim(F.substr(text, F.lit(6)))).otherwise(text))).alias("part", "_text"))
-    rows = rows.withColumn("_words", words_udf("_text")).withColumn("text", F.array_join(split_flags(F.col("_words")), " "))
-    return rows.withColumn("_words", words_udf("text")).withColumn("elems", elements(F.col("_words"))).drop("_text", "_words")
+    rows = df.withColumn("sudo", sudo).select("*", F.posexplode(parts(F.when(sudo, F.trim(F.substr(text, F.lit(6)))).otherwise(text))).alias("part", "_text"))
+    rows = rows.withColumn("_words", words(F.col("_text"))).withColumn("text", F.array_join(split_flags(F.col("_words")), " "))
+    return rows.withColumn("_words", words(F.col("text"))).withColumn("elems", elements(F.col("_words"))).drop("_text", "_words")
 
 
 def describe_commands(df: DataFrame, dictionary: DataFrame, id_col: str = "id", col: str = "command") -> DataFrame:
@@ -142,23 +170,23 @@ def describe_commands(df: DataFrame, dictionary: DataFrame, id_col: str = "id",
 
     If a pattern has the same command elements in order, its description stands for all of them, with a line for every
     other element. Otherwise each element is looked up on its own, and labelled by its type where nothing is found."""
-    patterns = pattern_table(dictionary)
-    loose, exact = first_by_key(patterns, "loose"), first_by_key(patterns, "exact")
     rows = command_parts(df.select(F.col(id_col).alias("id"), F.col(col).alias("command"))).withColumn("main", F.get("elems", F.lit(0))).filter(F.col("main").isNotNull())
     rows = rows.withColumn("key", command_key(F.col("elems"), F.col("main"), match_form))
-    full = rows.join(loose.withColumnRenamed("cmd_name", "main").withColumn("hit", F.lit(True)), ["main", "key"], "left").withColumnRenamed("description", "full_text")
-    el = full.select("id", "part", "sudo", "main", "hit", "full_text", "elems", F.posexplode("elems").alias("i", "el"))
+    el = rows.select("id", "part", "sudo", "main", "key", "elems", F.posexplode("elems").alias("i", "el"))
     previous = F.when(F.col("i") > 0, F.get("elems", F.col("i") - 1))
     el = el.withColumn("type", token_type(F.col("el"), F.col("main"), previous, F.col("i"))).withColumn("plain", token_type(F.col("el"), F.col("main"), F.lit(None).cast("string"), F.col("i")))
-    el = el.withColumn("_words", words_udf("el")).withColumn("sub", elements(F.col("_words"))).drop("_words").withColumn("sub_exact", command_key(F.col("sub"), F.col("main"))).withColumn("sub_loose", command_key(F.col("sub"), F.col("main"), match_form))
+    el = el.withColumn("_words", words(F.col("el"))).withColumn("sub", elements(F.col("_words"))).drop("_words").withColumn("sub_exact", command_key(F.col("sub"), F.col("main"))).withColumn("sub_loose", command_key(F.col("sub"), F.col("main"), match_form))
     el = el.withColumn("single", F.size("sub_exact") == 1)
-    el = el.join(loose.select(F.col("cmd_name").alias("main"), F.col("key").alias("sub_loose"), F.col("description").alias("d1")), ["main", "sub_loose"], "left")
-    el = el.join(exact.select(F.col("cmd_name").alias("main"), F.col("key").alias("sub_exact"), F.col("description").alias("d2")), ["main", "sub_exact"], "left")
+    asked = lambda df, form, key: df.select(F.col("main").alias("cmd_name"), F.lit(form).alias("form"), F.col(key).alias("key"))
+    found = match_keys(dictionary, asked(rows, "loose", "key").unionByName(asked(el.filter("single"), "loose", "sub_loose")).unionByName(asked(el.filter("not single"), "exact", "sub_exact")))
+    of = lambda form, key, name: found.filter(F.col("form") == form).select(F.col("cmd_name").alias("main"), F.col("key").alias(key), F.col("description").alias(name), F.lit(True).alias(f"_{name}"))
+    el = el.join(of("loose", "key", "full_text").withColumnRenamed("_full_text", "hit"), ["main", "key"], "left")
+    el = el.join(of("loose", "sub_loose", "d1"), ["main", "sub_loose"], "left").join(of("exact", "sub_exact", "d2"), ["main", "sub_exact"], "left")
     label = F.concat(type_label(F.col("type")), F.lit(" '"), F.col("el"), F.lit("'"))
     command = F.col("plain").isin("cmd", "cmdopt")
-    line = F.when(F.col("hit"), F.when(command, F.concat(F.lit("desc_cmd: "), F.coalesce("full_text", F.lit("No description")))).otherwise(F.concat(F.lit("desc_arg_"), F.col("i"), F.lit(": "), label)))
+    line = F.when(F.col("hit"), F.when(command, F.concat(F.lit("desc_cmd: "), F.coalesce("full_text", F.lit(NO_DESCRIPTION)))).otherwise(F.concat(F.lit("desc_arg_"), F.col("i"), F.lit(": "), label)))
     alone = (
-        F.when(looks(F.col("el"), "script"), F.concat(F.lit("Run the script '"), F.col("el"), F.lit("'"))).when(F.col("i") == 0, F.concat(F.lit("Command '"), F.col("el"), F.lit("'")))
+        F.when(looks(F.col("el"), "script"), F.concat(F.lit(RUN_SCRIPT), F.col("el"), F.lit("'"))).when(F.col("i") == 0, F.concat(F.lit(COMMAND), F.col("el"), F.lit("'")))
         .otherwise(F.coalesce(F.when(F.col("single"), F.col("d1")).otherwise(F.col("d2")), label))
     )
     line = F.coalesce(line, F.concat(F.lit("desc_"), F.col("i"), F.lit(": "), alone))
@@ -166,7 +194,7 @@ def describe_commands(df: DataFrame, dictionary: DataFrame, id_col: str = "id",
     first = F.row_number().over(Window.partitionBy("id", "part", F.when(F.col("hit") & command, F.lit(-1)).otherwise(F.col("i"))).orderBy("i")) == 1
     lines = el.withColumn("line", line).withColumn("first", first).filter("first")
     out = lines.groupBy("id", "part", "sudo").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("ls"))
-    texts = F.transform("ls", lambda x, k: F.when(F.col("sudo") & (k == 0), F.concat(F.lit("with sudo "), x["line"])).otherwise(x["line"]))
+    texts = F.transform("ls", lambda x, k: F.when(F.col("sudo") & (k == 0), F.concat(F.lit(WITH_SUDO), x["line"])).otherwise(x["line"]))
     return out.select("id", "part", texts.alias("descriptions"))
 
 
@@ -182,6 +210,30 @@ def new_subcommands(dictionary: DataFrame, found: DataFrame) -> DataFrame:
     return found.dropDuplicates(["cmd_name", "subcommand"]).withColumn("pattern", pattern).join(dictionary.select("cmd_name", "pattern"), ["cmd_name", "pattern"], "left_anti").select("cmd_name", "pattern", "description")
 
 
+def _near(options: DataFrame, entries: DataFrame) -> DataFrame:
+    """cmd_name, odesc and entry_ord: the first entry of its command whose text holds an option's text, or is held by it. One pass
+    over the texts of a command each way; no pair is tried."""
+    kind = entries.schema["entry_ord"].dataType.simpleString()
+
+    def look(key: tuple, o: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        best: dict[str, int] = {}
+        texts = [t if t else None for t in o["text"]]
+        own = {t: int(n) for t, n in sorted(zip(e["text"], e["entry_ord"], strict=True), key=lambda x: -x[1]) if t}
+        for t, hit in zip(texts, find_patterns(texts, own), strict=True):
+            if hit is not None:
+                best[t] = hit
+        # the other way every option that an entry holds counts
+        held = find_patterns([t for t in own], {t: k for k, t in enumerate(dict.fromkeys(t for t in texts if t))}, every=True)
+        names = list(dict.fromkeys(t for t in texts if t))
+        for n, hits in zip(own.values(), held, strict=True):
+            for k in hits:
+                best[names[k]] = min(best.get(names[k], n), n)
+        rows = [(key[0], d, best[t]) for d, t in dict(zip(o["odesc"], texts, strict=True)).items() if t in best]
+        return pd.DataFrame(rows, columns=["cmd_name", "odesc", "entry_ord"])
+
+    return options.distinct().groupBy("cmd_name").cogroup(entries.groupBy("cmd_name")).applyInPandas(look, f"cmd_name string, odesc string, entry_ord {kind}")
+
+
 def merge_options(dictionary: DataFrame, options: DataFrame) -> DataFrame:
     """Entries (cmd_name, entry_ord, description, cmds) with options (cmd_name, description, variants) merged in: an option
     whose description holds, or is held by, an entry's extends the first such entry's cmds, sorted; one that is all
@@ -189,8 +241,7 @@ def merge_options(dictionary: DataFrame, options: DataFrame) -> DataFrame:
     entries = dictionary.groupBy("cmd_name", "entry_ord").agg(F.min("description").alias("description"), F.array_sort(F.collect_set("pattern")).alias("cmds"))
     o = options.select("cmd_name", F.col("description").alias("odesc"), "variants")
     low = lambda c: F.lower(F.trim(c))
-    near = (low(F.col("odesc")) != "") & (low(F.col("description")) != "") & (F.contains(low(F.col("odesc")), low(F.col("description"))) | F.contains(low(F.col("description")), low(F.col("odesc"))))
-    pairs = o.join(entries, "cmd_name").filter(near).groupBy("cmd_name", "odesc", "variants").agg(F.min("entry_ord").alias("entry_ord"))
+    pairs = o.join(_near(o.select("cmd_name", "odesc", low(F.col("odesc")).alias("text")), entries.select("cmd_name", "entry_ord", low(F.col("description")).alias("text"))), ["cmd_name", "odesc"])
     grown = pairs.groupBy("cmd_name", "entry_ord").agg(F.array_distinct(F.flatten(F.collect_list("variants"))).alias("more"))
     kept = entries.join(grown, ["cmd_name", "entry_ord"], "left").withColumn("cmds", F.array_sort(F.array_union("cmds", F.coalesce("more", F.array().cast("array<string>"))))).drop("more")
     known = entries.groupBy("cmd_name").agg(F.array_distinct(F.flatten(F.collect_list("cmds"))).alias("all"), F.max("entry_ord").alias("top"))

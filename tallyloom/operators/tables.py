@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import split_extension, split_triple
 from tallyloom.operators.ordered import renumber
+from tallyloom.sources.sinks import scratch
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -50,23 +52,76 @@ def anti_new(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return new.dropDuplicates([key]).join(known, key, "left_anti")
 
 
-#: Patterns that first_containing tries as one array; more are joined row by row.
-MOST_PATTERNS = 10_000
-
+#: Patterns that one automaton takes.
+PATTERNS_AT_ONCE = 50_000
+
+
+def find_patterns(texts: list[str | None], patterns: dict[str, int], every: bool = False) -> list:
+    """For each text the least number of a pattern that it contains, null if there is none; every: the set of all numbers. The
+    patterns are one automaton, so a text is read once, however many there are."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    empty = patterns.get("")
+    for p, n in patterns.items():
+        if p:
+            machine.add_word(p, n)
+    if not len(machine):
+        return [({empty} - {None} if every else empty) if t is not None else set() if every else None for t in texts]
+    machine.make_automaton()
+    out: list = []
+    for t in texts:
+        hits = (n for _, n in machine.iter(t)) if t else iter(())
+        if every:
+            out.append(set(hits) | ({empty} - {None} if t is not None else set()))
+        else:
+            best = empty if t is not None else None
+            for n in hits:
+                if best is None or n < best:
+                    best = n
+            out.append(best)
+    return out
 
-def first_containing(items: DataFrame, known: DataFrame, text: str, pattern: str, ord_: str) -> DataFrame:
-    """items with the first known pattern that their text contains, null if there is none. Repeated rows stay.
 
-    The patterns are one broadcast array, so no text is shuffled. Where there are more than MOST_PATTERNS, items and
-    patterns are joined and the least place is found by a row number instead."""
-    place = F.struct(F.col(ord_).alias("o"), F.col(pattern).alias("p"))
-    if known.count() <= MOST_PATTERNS:
-        all_ = known.agg(F.array_sort(F.collect_list(place)).alias("\x00known"))
-        hit = F.filter(F.col("`\x00known`"), lambda k: F.contains(F.lower(F.col(text)), F.lower(k["p"])))
-        return items.crossJoin(F.broadcast(all_)).select(*[F.col(c) for c in items.columns], F.get(hit, F.lit(0))["p"].alias(pattern))
-    rows = items.select(F.struct("*").alias("r"), F.monotonically_increasing_id().alias("n"))
-    met = rows.join(known.select(place.alias("k")), F.contains(F.lower(F.col(f"r.{text}")), F.lower(F.col("k.p"))), "left")
-    return met.groupBy("n").agg(F.first("r").alias("r"), F.min("k").alias("k")).select("r.*", F.col("k.p").alias(pattern))
+def _needed(patterns: list[tuple[str, int]]) -> dict[str, int]:
+    """Patterns with their numbers, without those that contain a pattern of a smaller number: they are never the first."""
+    least: dict[str, int] = {}
+    for p, n in patterns:
+        least[p] = min(n, least.get(p, n))
+    first = find_patterns(list(least), least)
+    return {p: n for (p, n), f in zip(least.items(), first, strict=True) if f == n}
+
+
+def _look_for(block):
+    def look(low: pd.Series, hit: pd.Series) -> pd.Series:
+        patterns, names = block.value
+        found = find_patterns([t if h is None else None for t, h in zip(low, hit, strict=True)], patterns)
+        return pd.Series([h if h is not None else names.get(n) for h, n in zip(hit, found, strict=True)], dtype=object)
+
+    return look
+
+
+def first_containing(items: DataFrame, known: DataFrame, text: str, pattern: str, ord_: str, at_once: int | None = None) -> DataFrame:
+    """items with the first known pattern, by ord_, then pattern, that their text contains, without regard to case; null if there
+    is none, or no text. Repeated rows stay; null patterns are none.
+
+    Patterns are numbered in order and cut into blocks of bounded size, from first to last. Each block is an automaton that is sent to the
+    tasks; texts stay where they are and are read once a block, and a text that has its hit is not looked at again."""
+    at_once = at_once or PATTERNS_AT_ONCE
+    ranked = renumber(known.filter(F.col(pattern).isNotNull()).select(F.col(ord_).alias("o"), F.col(pattern).alias("p")), [F.col("o"), F.col("p")])
+    total = ranked.count()
+    name = pattern if pattern not in items.columns else f"{pattern}_found"
+    out = items.withColumns({"\x00low": F.lower(text), "\x00hit": F.lit(None).cast("string")})
+    for first in range(0, total, at_once):
+        rows = ranked.filter((F.col("n") >= first) & (F.col("n") < first + at_once)).select("n", F.lower("p").alias("low"), "p").collect()
+        names = {r["n"]: r["p"] for r in rows}
+        block = items.sparkSession.sparkContext.broadcast((_needed([(r["low"], r["n"]) for r in rows]), names))
+        out = out.withColumn("\x00hit", F.pandas_udf(_look_for(block), "string")("\x00low", "\x00hit"))
+        if first + at_once < total:
+            path = scratch(items.sparkSession, "hits")
+            out.write.parquet(path)
+            out = items.sparkSession.read.schema(out.schema).parquet(path)
+    return out.select(*[F.col(f"`{c}`") for c in items.columns], F.col("\x00hit").alias(name))
 
 
 def token_frequency(df: DataFrame, tokens: Column) -> DataFrame:

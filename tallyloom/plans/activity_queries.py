@@ -53,7 +53,10 @@ def _dictionary(spark, d):
 
 @query("select c cmd_name, c || '|' || c || o as key, 'about ' || c description from (select 'c' || s_suppkey c from supplier), (values (' -a'), (' --all')) t(o)")
 def cmd_patterns(spark, d):
-    return commands.pattern_table(_dictionary(spark, d)).select("cmd_name", F.array_join("loose", "|").alias("key"), "description")
+    """What the patterns of each command say for its name with either option, and for one that they don't have."""
+    known = _dictionary(spark, d)
+    keys = known.select("cmd_name", F.lit("loose").alias("form"), F.explode(F.transform(F.array(F.lit(" -a"), F.lit(" --all"), F.lit(" -b")), lambda o: F.array("cmd_name", F.concat("cmd_name", o)))).alias("key"))
+    return commands.match_keys(known, keys).select("cmd_name", F.array_join("key", "|").alias("key"), "description")
 
 
 @query("select 'c' || p_partkey command, case when p_partkey in (select s_suppkey from supplier) then 'OK' else 'MISSING' end status from part")

@@ -1,9 +1,18 @@
+import random
+import re
+import time
+from itertools import product
+
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as fx
 from tallyloom.functions.token_types import token_type
-from tallyloom.operators import commands
+from tallyloom.operators import commands, tables
+from tallyloom.operators.pattern_trie import choices
 
 
 @pytest.mark.parametrize("text,want", [("a 'b c' d", ["a", "'b c'", "d"]), ('--f="x y" z', ['--f="x', 'y"', "z"]), ("a 'open", ["a", "'open"]), ("", []), ("  x  ", ["x"])])
@@ -11,9 +20,114 @@ def test_split_words(text, want):
     assert commands.split_words(text) == want
 
 
-def test_expand_is_the_product():
-    assert commands.expand("tar {{[-x|--extract]}} {{a|b}}") == ["tar -x a", "tar -x b", "tar --extract a", "tar --extract b"]
-    assert commands.expand(" plain ") == ["plain"]
+def expanded(pattern):
+    """All texts of a pattern: every place by each of its choices."""
+    holes = re.findall(r"\{\{(.*?)\}\}", pattern, re.S)
+    pieces = re.split(r"\{\{.*?\}\}", pattern, flags=re.S)
+    for picked in product(*[choices(h, commands.split_outside_quotes) for h in holes]):
+        yield "".join(x for pair in zip(pieces, [*picked, ""]) for x in pair)
+
+
+def plain_key(text, main, loose):
+    """The command elements of a text, each rule on its own."""
+    words = commands.split_words(text)
+    sub = words[1] if len(words) > 1 and re.fullmatch("[a-zA-Z]+", words[1]) else None
+    prefix = " ".join([words[0], sub] if sub else words[:1]) if words else ""
+    out = []
+    for i, w in enumerate(words):
+        quoted = w[0] in "'\"" and w.startswith(w[0]) and w.endswith(w[0])
+        e = w if i == 0 or quoted else f"{prefix} {w}" if w.startswith("-") else prefix if i == 1 and sub else w
+        if i == 0 or e == main or e.startswith(main + " ") or " " in e and any(x.startswith("-") for x in e.split()[1:]):
+            e = " ".join(e.split())
+            out.append(re.sub(r"^(.*?)=\S+", r"\1={}", e) if loose else e)
+    return tuple(out)
+
+
+PARTS = st.sampled_from(["x", "-a", "--long", "--v=1", "--v={{n}}", "{{[-a|--all]}}", "{{-b|-c d}}", "{{path}}", "{{sub|-a}}", "'q -z'", "'{{a|b}} -w'", "{{|-e}}", "p{{1|2}}-q", "{{on|off}}{{-|=}}x", '"open'])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(PARTS, max_size=5).map(lambda ps: " ".join(["x", *ps])), min_size=1, max_size=6), st.randoms(use_true_random=False))
+def test_trie_equals_all_texts(patterns, rng):
+    """The first pattern that one of a key's texts comes from, with all texts written out."""
+    both = commands.tries(pd.DataFrame([("x", "f", i, 0, p) for i, p in enumerate(patterns)], columns=["cmd_name", "file", "entry_ord", "pattern_ord", "pattern"]))
+    for form in ("exact", "loose"):
+        keys = {}
+        for i, p in enumerate(patterns):
+            for t in expanded(p):
+                keys.setdefault(plain_key(t, "x", form == "loose"), i)
+        others = [tuple(k[:-1]) for k in keys] + [(*k, "x -a") for k in keys]
+        for k in [*keys, *others]:
+            if k:
+                got = both[form].find(k)
+                assert (got and got[1]) == keys.get(k), (form, k, patterns)
+
+
+def test_places_are_not_multiplied():
+    """Forty places of two choices each: 2 ** 40 texts, forty steps."""
+    both = commands.tries(pd.DataFrame([("x", "f", 0, 0, "x " + " ".join("{{[-%s%d|--%s%d]}}" % (c, i, c, i) for i in range(20) for c in "ab"))], columns=["cmd_name", "file", "entry_ord", "pattern_ord", "pattern"]))
+    key = tuple(["x", *[f"x {'-' * (1 + i % 2)}{c}{i}" for i in range(20) for c in "ab"]])
+    assert both["exact"].find(key) and not both["exact"].find(key[:-1])
+
+
+def test_large_dictionary(spark):
+    """700 patterns and commands of all of them, dealt to several tasks, against all texts."""
+    rng = random.Random(8)
+    opts = [f"-{c}" for c in "abcdefgh"] + ["--force", "--name={{n}}", "{{[-o|--out]}}", "{{[-v|--verbose]}}", "{{path}}", "run", "{{up|down}}"]
+    d = [(f"f{i % 3}", f"c{i % 40}", i, 0, f"c{i % 40} " + " ".join(rng.choices(opts, k=rng.randint(0, 4))), f"text {i}") for i in range(700)]
+    keys, asked = {}, []
+    for f, c, e, n, p, text in sorted(d):
+        for t in expanded(p):
+            asked.append((c, t))
+            for form in ("loose", "exact"):
+                keys.setdefault((c, form, plain_key(t, c, form == "loose")), text)
+    asked += [(c, f"{c} -z"), ("c99", "c99 -a")]
+    want = {(c, form, k): keys[c, form, k] for c, t in asked for form in ("loose", "exact") if (k := plain_key(t, c, form == "loose")) and (c, form, k) in keys}
+    rows = [(c, form, list(plain_key(t, c, form == "loose"))) for c, t in asked for form in ("loose", "exact")]
+    dictionary = spark.createDataFrame(d, "file string, cmd_name string, entry_ord int, pattern_ord int, pattern string, description string")
+    found = commands.match_keys(dictionary, spark.createDataFrame(rows, "cmd_name string, form string, key array<string>"), at_once=20)
+    assert {(r["cmd_name"], r["form"], tuple(r["key"])): r["description"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("text", ["a && b || c", "a&&b", "echo 'x && y' | z;;w", 'say "it; is', "a & b &&& c", "x|y||z", "", "  ;  ", "it's; ok' | b"])
+def test_parts(spark, text):
+    want = [p for p in commands.split_outside_quotes(text, ("&&", "||", "|", ";")) if p]
+    assert spark.createDataFrame([(text,)], "t string").select(commands.parts(F.col("t")).alias("p")).first()["p"] == want
+
+
+@pytest.mark.parametrize("text", ["a 'b c' d", '--f="x y" z', "a 'open", "", "  x  ", "a\tb\u2003c", "'q'r \"s t\"", "don't stop"])
+def test_words(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(commands.words(F.col("t")).alias("w")).first()["w"] == commands.split_words(text)
+
+
+def plain_first(text, patterns):
+    return next((p for _, p in sorted(x for x in patterns if x[1] is not None) if p.lower() in text.lower()), None) if text is not None else None
+
+
+@pytest.mark.parametrize("at_once", [3, 50_000])
+def test_first_containing(spark, at_once):
+    rng = random.Random(3)
+    known = [(rng.randint(0, 30), "".join(rng.choices("abAB", k=rng.randint(1, 5)))) for _ in range(40)] + [(2, None)]
+    texts = ["".join(rng.choices("abc ", k=rng.randint(0, 12))) for _ in range(60)] + [None, "", "zzz"]
+    items = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "id int, t string")
+    df = spark.createDataFrame(known, "o int, p string")
+    got = tables.first_containing(items, df, "t", "p", "o", at_once)
+    assert sorted(map(repr, ((r["t"], r["p"]) for r in got.collect()))) == sorted(map(repr, ((t, plain_first(t, known)) for t in texts)))
+    everything = tables.first_containing(items, df.unionByName(spark.createDataFrame([(99, "")], "o int, p string")), "t", "p", "o", at_once)
+    assert {r["t"]: r["p"] for r in everything.collect()}["zzz"] == ""
+    assert tables.first_containing(items, df.limit(0), "t", "p", "o").filter("p is not null").count() == 0
+
+
+def test_time_is_flat_in_the_number_of_patterns():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij ", k=2000)) for _ in range(300)]
+    took = []
+    for n in (50, 5000):
+        patterns = {"".join(rng.choices("klmnop", k=9)): i for i in range(n)}
+        start = time.process_time()
+        assert not any(x is not None for x in tables.find_patterns(texts, patterns))
+        took.append(time.process_time() - start)
+    assert took[1] < 20 * took[0] + 0.2
 
 
 @pytest.mark.parametrize("token,main,prev,i,want", [
