@@ -16,6 +16,7 @@ from tallyloom.functions.text import collapse_spaces
 from tallyloom.functions.token_types import looks, token_type, type_label
 from tallyloom.operators.pattern_trie import Trie, rows_of
 from tallyloom.operators.tables import find_patterns
+from tallyloom.sources.sinks import written
 
 #: Commands whose joined flags are one option.
 WHOLE_FLAGS = ("nmap", "openssl", "ntlmrelayx")
@@ -130,7 +131,7 @@ def match_keys(dictionary: DataFrame, keys: DataFrame, at_once: int = KEYS_AT_ON
     """cmd_name, form, key and description: for each distinct key (cmd_name, form, key; form is exact or loose) the first pattern of its
     command, by file, entry and place, with the same command elements. Keys that none matches are left out, so are patterns
     without command elements. A command with many keys is dealt to several tasks, each with its patterns."""
-    keys = keys.filter("cmd_name is not null and size(key) > 0").distinct()
+    keys = written(keys.filter("cmd_name is not null and size(key) > 0").distinct(), "keys")
     salts = keys.groupBy("cmd_name").agg(F.count(F.lit(1)).alias("n")).select("cmd_name", F.ceil(F.col("n") / at_once).alias("_salts"))
     # names of their own, as both sides may come from one frame
     rows = dictionary.select(F.col("cmd_name").alias("_name"), "pattern", "file", "entry_ord", "pattern_ord").join(salts.select(F.col("cmd_name").alias("_name"), F.col("_salts").alias("_of")), "_name")
@@ -176,9 +177,10 @@ def describe_commands(df: DataFrame, dictionary: DataFrame, id_col: str = "id",
     previous = F.when(F.col("i") > 0, F.get("elems", F.col("i") - 1))
     el = el.withColumn("type", token_type(F.col("el"), F.col("main"), previous, F.col("i"))).withColumn("plain", token_type(F.col("el"), F.col("main"), F.lit(None).cast("string"), F.col("i")))
     el = el.withColumn("_words", words(F.col("el"))).withColumn("sub", elements(F.col("_words"))).drop("_words").withColumn("sub_exact", command_key(F.col("sub"), F.col("main"))).withColumn("sub_loose", command_key(F.col("sub"), F.col("main"), match_form))
-    el = el.withColumn("single", F.size("sub_exact") == 1)
+    el = written(el.withColumn("single", F.size("sub_exact") == 1), "elements")
     asked = lambda df, form, key: df.select(F.col("main").alias("cmd_name"), F.lit(form).alias("form"), F.col(key).alias("key"))
-    found = match_keys(dictionary, asked(rows, "loose", "key").unionByName(asked(el.filter("single"), "loose", "sub_loose")).unionByName(asked(el.filter("not single"), "exact", "sub_exact")))
+    found = match_keys(dictionary, asked(el.filter("i = 0"), "loose", "key").unionByName(asked(el.filter("single"), "loose", "sub_loose")).unionByName(asked(el.filter("not single"), "exact", "sub_exact")))
+    found = written(found, "descriptions")
     of = lambda form, key, name: found.filter(F.col("form") == form).select(F.col("cmd_name").alias("main"), F.col("key").alias(key), F.col("description").alias(name), F.lit(True).alias(f"_{name}"))
     el = el.join(of("loose", "key", "full_text").withColumnRenamed("_full_text", "hit"), ["main", "key"], "left")
     el = el.join(of("loose", "sub_loose", "d1"), ["main", "sub_loose"], "left").join(of("exact", "sub_exact", "d2"), ["main", "sub_exact"], "left")

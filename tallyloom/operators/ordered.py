@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.sources.sinks import scratch
+from tallyloom.sources.sinks import written
 
 #: Rows of a range, about.
 ROWS_PER_RANGE = 1_000_000
@@ -32,12 +32,9 @@ def with_ranges(df: DataFrame, key: Column, name: str, rows: int | None = None,
     parts = -(-rows // rows_per_range)
     if parts <= 1:
         return df.withColumn(name, F.lit(0))
-    spark = df.sparkSession
     picked = df.select(key.alias("k")).sample(min(1.0, SAMPLED_PER_RANGE * parts / rows), seed=1).agg(F.sort_array(F.collect_list(F.struct("k"))).alias("s"))
     bounds = picked.select(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / parts).cast("int")))).alias("\x00bounds"))
-    path = scratch(spark, "ranges")
-    bounds.write.parquet(path)
-    bounds = spark.read.schema(bounds.schema).parquet(path)
+    bounds = written(bounds, "ranges")
     steps = F.sequence(F.lit(parts.bit_length()), F.lit(0), F.lit(-1))
     with_key = df.withColumn("\x00key", F.struct(key.alias("k"))).join(F.broadcast(bounds))
     below = lambda i: F.coalesce(F.get("\x00bounds", i - 1) < F.col("\x00key"), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import split_extension, split_triple
 from tallyloom.operators.ordered import renumber
-from tallyloom.sources.sinks import scratch
+from tallyloom.sources.sinks import written
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -118,9 +118,7 @@ def first_containing(items: DataFrame, known: DataFrame, text: str, pattern: str
         block = items.sparkSession.sparkContext.broadcast((_needed([(r["low"], r["n"]) for r in rows]), names))
         out = out.withColumn("\x00hit", F.pandas_udf(_look_for(block), "string")("\x00low", "\x00hit"))
         if first + at_once < total:
-            path = scratch(items.sparkSession, "hits")
-            out.write.parquet(path)
-            out = items.sparkSession.read.schema(out.schema).parquet(path)
+            out = written(out, "hits")
     return out.select(*[F.col(f"`{c}`") for c in items.columns], F.col("\x00hit").alias(name))
 
 

@@ -54,3 +54,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = "file://" + own
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to a folder of scratch() and read back: for what is needed more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
