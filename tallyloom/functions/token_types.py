@@ -58,7 +58,8 @@ def token_type(token: Column, main: Column, previous: Column, index: Column) ->
     t = F.regexp_replace(token, r"^\s+|\s+$", "")
     inner = F.when(F.length(t) > 1, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise("")
     last = F.element_at(F.split(F.trim(previous), r"\s+"), -1)
-    later_option = F.exists(F.slice(F.split(t, r"\s+"), 2, 1 << 20), lambda w: w.startswith("-"))
+    later = F.split(t, r"\s+")
+    later_option = F.exists(F.slice(later, 2, F.greatest(F.size(later), F.lit(1))), lambda w: w.startswith("-"))
     ends = F.split(t, "-", 2)
     number = t.cast("string")
     port_like = F.coalesce(previous.isin(*PORT_AFTER), F.lit(False)) | (main.isin(*NETWORK_COMMANDS) & (number.try_cast("int").between(1, 65535)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as fx
-from tallyloom.functions.token_types import token_type, type_label
+from tallyloom.functions.token_types import HTTP_METHODS, NETWORK_COMMANDS, PATTERNS, PORT_AFTER, TCPDUMP_VALUES, token_type, type_label
 from tallyloom.operators import clustering, events, models, rouge, similarity, tables, tasks
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  read from here
 from tallyloom.plans.registry import table as _t
@@ -238,32 +238,31 @@ def ring_pairs(spark, d):
     return tasks.ring(b, "item_id", b.count(), ["item_id"])
 
 
-_HEAD = "regexp_extract(trim(text), '^[^ \\n\\t.,|]+') tok"
-
-
-def _type_sql(main: str) -> str:
-    octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    wd = "[\\p{L}\\p{N}_.-]"
-    rows = [
-        ("remote_target", f"^{wd}+@{wd}+(:/[\\p{{L}}\\p{{N}}_./-]*)?$"), ("domain", "^(?:[a-zA-Z0-9][a-zA-Z0-9-]*\\.)+(com|net|org|info|biz|name|xyz|online|site|tech|app|fr|us|uk|de|jp|io|edu|gov|mil)(?::[0-9]{1,5})?$"),
-        ("ip", f"^{octet}\\.{octet}\\.{octet}\\.{octet}$"), ("ipv6", "^([0-9a-fA-F]{0,4}:){1,7}[0-9a-fA-F]{0,4}$"), ("url", "(?i)^https?://[^\\s]+$"), ("cidr", f"^{octet}(\\.{octet}){{3}}/([0-9]|[12][0-9]|3[0-2])$"),
-    ]
-    whens = [f"when regexp_matches(tok, '{p}') then '{k}'" for k, p in rows]
-    whens.append("when regexp_matches(tok, '^[0-9]{1,5}-[0-9]{1,5}$') and try_cast(split_part(tok,'-',1) as int) <= 65535 and try_cast(split_part(tok,'-',2) as int) <= 65535 then 'port_range'")
-    whens.append(f"when regexp_matches(tok, '^[0-9]{{1,5}}$') then case when '{main}' in ('ssh','nc','nmap','telnet','curl','ftp') and tok::int between 1 and 65535 then 'port' else 'number' end")
-    whens.append("when regexp_matches(tok, '^-?[0-9]+(\\.[0-9]+)?$') then 'number' when lower(tok) = 'gw' then 'gateway' when upper(tok) in ('GET','POST','PUT','DELETE','PATCH','OPTIONS','HEAD') then 'http_method' when lower(tok) in ('nginx','apache') then 'server'")
-    whens.append("when regexp_matches(tok, '^[a-zA-Z][a-zA-Z0-9_-]{0,19}$') and not regexp_matches(tok, '(?i)^(A|AAAA|MX|CNAME|TXT|NS|SOA|PTR|SRV|CAA)$') then 'arg'")
-    for k, p in (("folder", "^(/|~)[\\p{L}\\p{N}_/-]+/?$"), ("file", f"^(?:/[\\p{{L}}\\p{{N}}_/-]+|\\.?/[\\p{{L}}\\p{{N}}_/-]+|{wd}+)\\.[\\p{{L}}\\p{{N}}_]+$"), ("device", "^/dev/[^\\s]+$")):
-        whens.append(f"when regexp_matches(tok, '{p}') then '{k}'")
-    return f"case when tok = '' then 'arg' when tok = '{main}' then 'cmd' when (tok[1] = '''' and tok[-1] = '''') or (tok[1] = '\"' and tok[-1] = '\"') then 'string' {' '.join(whens)} when tok[1] = '-' then 'option' else 'arg' end"
+def _type_sql(main: str, previous: str = "null::varchar", index: str = "1") -> str:
+    """The rules of token types as SQL over a column tok; the patterns and words are those of the column expression."""
+    like = lambda kind, t="t": f"regexp_matches({t}, '{PATTERNS[kind]}')"
+    words = lambda ws: ", ".join(f"'{w}'" for w in ws)
+    t, last = "trim(tok, ' ' || chr(9) || chr(10) || chr(13))", f"regexp_extract(trim({previous}), '([^ ]+)$', 1)"
+    port = "try_cast(string_split(t, '-')[{}] as int) <= 65535"
+    rules = [("t = ''", "arg"), (f"{index} = 0", "cmd"), (f"t = {main}", "cmd"), (f"starts_with(t, {main} || ' ')", "cmdopt"), ("contains(t, ' ') and len(list_filter(string_split(t, ' ')[2:], lambda w: starts_with(w, '-'))) > 0", "cmdopt")]
+    quoted = "len(t) > 0 and ((t[1] = chr(39) and t[-1] = chr(39)) or (t[1] = chr(34) and t[-1] = chr(34)))"
+    rules += [(f"{quoted} and {like('json', 't[2:-2]')}", "json"), (f"{quoted} and {like('url', 't[2:-2]')}", "url"), (quoted, "string"), (f"{main} = 'python' and {previous} = '-m'", "python_module")]
+    rules += [(like(k), k) for k in ("remote_target", "domain", "ip", "ipv6", "url", "cidr")]
+    rules += [(f"{like('port_range')} and {port.format(1)} and {port.format(2)}", "port_range"), (f"{like('port')} and (coalesce({previous} in ({words(PORT_AFTER)}), false) or ({main} in ({words(NETWORK_COMMANDS)}) and try_cast(t as int) between 1 and 65535))", "port")]
+    rules += [(like("port"), "number"), (like("number"), "number"), (f"{main} = 'tcpdump' and {last} = 'port'", "arg"), *[(f"{main} = 'tcpdump' and {last} = '{o}'", k) for o, k in TCPDUMP_VALUES.items()]]
+    rules += [("lower(t) = 'gw'", "gateway"), (f"{main} = 'hydra' and {last} = '-l'", "username"), (f"upper(t) in ({words(HTTP_METHODS)})", "http_method"), (f"{main} = 'python' and trim({previous}) like '%-m'", "python_module"), ("lower(t) in ('nginx', 'apache')", "server")]
+    rules += [(f"{like('word')} and not {like('dns_type')}", "arg"), *[(like(k), k) for k in ("folder", "file", "device", "envfile", "script", "archive")], ("starts_with(t, '-')", "option")]
+    cases = " ".join(f"when {c} then '{k}'" for c, k in rules)
+    return f"(select any_value(case {cases} else 'arg' end) from (select {t} t))"
 
 
 _TOK = """(select 'd' || doc_id || ':' || (i - 1) id, w[i] tok from (select doc_id, regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') w from documents), unnest(range(1, len(w) + 1)) t(i) union all select 'u' || page_id, url from pages
 union all select 'h' || page_id, split_part(split_part(url, '://', 2), '/', 1) from pages union all select 'p' || page_id, '/' || split_part(split_part(url, '://', 2), '/', 2) from pages union all select 'n' || o_orderkey, cast(o_orderkey as varchar) from orders)"""
 
 
-@query(f"select id, tok, {_type_sql('curl')} as type from {_TOK}")
+@query(f"""with k as (select id, tok from {_TOK}), y as (select tok, {_type_sql("'curl'")} as type from (select distinct tok from k)) select id, k.tok, type from k join y on k.tok is not distinct from y.tok""")
 def token_types(spark, d):
+    """Each distinct token is typed once, as a type depends on the token only where command and place are the same for all."""
     p = _t(spark, d, "pages")
     rest = F.split_part("url", F.lit("://"), F.lit(2))
     one = lambda df, mark, key, c: df.select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), c.alias("tok"))
@@ -271,7 +270,36 @@ def token_types(spark, d):
     rows = words.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string")).alias("id"), "tok").unionByName(one(p, "u", "page_id", F.col("url")))
     rows = rows.unionByName(one(p, "h", "page_id", F.split_part(rest, F.lit("/"), F.lit(1)))).unionByName(one(p, "p", "page_id", F.concat(F.lit("/"), F.split_part(rest, F.lit("/"), F.lit(2)))))
     rows = rows.unionByName(one(_t(spark, d, "orders"), "n", "o_orderkey", F.col("o_orderkey").cast("string")))
-    return rows.select("id", "tok", token_type(F.col("tok"), F.lit("curl"), F.lit(None).cast("string"), F.lit(1)).alias("type"))
+    types = rows.select(F.col("tok").alias("t")).distinct().withColumn("type", token_type(F.col("t"), F.lit("curl"), F.lit(None).cast("string"), F.lit(1)))
+    return rows.join(types, F.col("tok").eqNullSafe(F.col("t"))).select("id", "tok", "type")
+
+
+_MAINS = ("tcpdump", "hydra", "python", "curl", "ls", "host", "ssh", "git")
+_BEFORE = (None, "-i", "tcpdump -i", "tcpdump -w", "port", "tcpdump port", "-l", "hydra -l", "-m", "python -m", "-p", "--port", "http.server", "redis-cli -p")
+_SHAPES = (
+    "eth{n}", "{n}", "bob{n}", "json.tool", "cap{n}.pcap", "A", "nginx", "GW", "u{n}@host:/tmp/{n}", "10.0.{m}.{m}", "10.0.0.0/{m}", "{n}-{n}", "-{m}.5", "/etc/d{n}/", "./run{n}.sh", "a{n}.tar.gz", "-x", "'text {n}'", "\"http://a{n}.b\"", "'{{\"a\":{n}}}'",
+    "get", "web{n}.example.org", "https://x.y/{n}", "::{m}", "a -{n}", "ls -l", "", "curl run", "/dev/tty{n}", ".env{n}.conf", "99999", "mx",
+)
+
+
+def _context(spark, d):
+    """A token an order, with a command and what stands before it, so that all rules are met."""
+    n = F.col("o_orderkey")
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+    shape = F.replace(F.replace(pick(_SHAPES, n), F.lit("{n}"), n.cast("string")), F.lit("{m}"), (n % 40).cast("string"))
+    return _t(spark, d, "orders").select("o_orderkey", shape.alias("tok"), pick(_MAINS, F.floor(n / 3)).alias("main"), pick(_BEFORE, F.floor(n / 7)).alias("previous"), (n % 5).alias("i"))
+
+
+def _list(values) -> str:
+    quote = "'"
+    return "[" + ", ".join("null" if v is None else quote + v.replace(quote, 2 * quote) + quote for v in values) + "]"
+
+
+@query(f"""with c as (select o_orderkey, replace(replace(({_list(_SHAPES)})[o_orderkey % {len(_SHAPES)} + 1], '{{n}}', o_orderkey::varchar), '{{m}}', (o_orderkey % 40)::varchar) tok, ({_list(_MAINS)})[(o_orderkey // 3) % {len(_MAINS)} + 1] main,
+({_list(_BEFORE)})[(o_orderkey // 7) % {len(_BEFORE)} + 1] previous, o_orderkey % 5 i from orders) select o_orderkey, tok, main, previous, i, {_type_sql("main", "previous", "i")} as type from c""")
+def token_types_in_context(spark, d):
+    c = _context(spark, d)
+    return c.withColumn("type", token_type(F.col("tok"), F.col("main"), F.col("previous"), F.col("i")))
 
 
 _U = "u as (select vec_id, label, embedding::double[] v from embeddings)"
