@@ -1,8 +1,9 @@
-"""ROUGE scores of predictions against references, as columns; only the longest common subsequence needs Python."""
+"""ROUGE scores of predictions against references, as columns; stems and longest common subsequences need Python."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -33,11 +34,15 @@ def rouge_n(df: DataFrame, id_: str, pred: str, ref: str, n: int, stemmed: bool
     return df.select(id_).join(sums, id_, "left").select(id_, F.coalesce(f_measure(F.col("hits"), F.col("np"), F.col("nr")), F.lit(0.0)).alias("rouge"))
 
 
-#: The endings of Porter's algorithm (1980, with its author's later additions), each with what takes its place, in the order of
-#: trial; the first that fits decides. Steps 2 and 3 need a stem of measure above 0, step 4 above 1.
+#: The extended form of Porter's algorithm that scorers use. Words with stems of their own, and for each step
+#: the endings with what takes their place; the longest that fits decides. Steps 2 and 3 need a stem of measure above 0, step 4 above 1.
+IRREGULAR = {
+    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning",
+    "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
 STEP_2 = (
-    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"),
-    ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log"),
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"),
+    ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"),
 )
 STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
 STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
@@ -57,8 +62,9 @@ def _measure(stem_: str) -> int:
 
 
 def _ends_short(word: str) -> bool:
-    """Consonant, vowel, consonant, the last none of w, x, y."""
-    return _shape(word).endswith("cvc") and word[-1] not in "wxy"
+    """Consonant, vowel, consonant, the last none of w, x, y; or two letters, vowel and consonant."""
+    shape = _shape(word)
+    return shape.endswith("cvc") and word[-1] not in "wxy" or shape == "vc"
 
 
 def _ends_double(word: str) -> bool:
@@ -74,35 +80,52 @@ def _replaced(word: str, endings: tuple, least: int) -> str:
     return word
 
 
+def _no_plural(word: str) -> str:
+    if word.endswith("ies"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if word.endswith("sses"):
+        return word[:-2]
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
+
+
+def _no_past(word: str) -> str:
+    if word.endswith("ied"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if word.endswith("eed"):
+        return word[:-1] if _measure(word[:-3]) > 0 else word
+    cut = next((word[: -len(e)] for e in ("ed", "ing") if word.endswith(e) and "v" in _shape(word[: -len(e)])), None)
+    if cut is None:
+        return word
+    if cut.endswith(("at", "bl", "iz")):
+        return cut + "e"
+    if _ends_double(cut):
+        return cut if cut[-1] in "lsz" else cut[:-1]
+    return cut + "e" if _measure(cut) == 1 and _ends_short(cut) else cut
+
+
+def _second(word: str) -> str:
+    if word.endswith("alli") and _measure(word[:-4]) > 0:
+        return _second(word[:-2])
+    if word.endswith("logi"):
+        return word[:-1] if _measure(word[:-3]) > 0 else word
+    return _replaced(word, STEP_2, 0)
+
+
 @lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
-    """The stem of a word by Porter's algorithm. Words of up to three letters stay, as scorers leave them."""
+    """The stem of a word by the extended form of Porter's algorithm. Words of up to three letters stay, as scorers leave them."""
     if len(word) <= 3:
         return word
-    if word.endswith(("sses", "ies")):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    if word.endswith("eed"):
-        word = word[:-1] if _measure(word[:-3]) > 0 else word
-    else:
-        cut = next((word[: -len(e)] for e in ("ed", "ing") if word.endswith(e)), None)
-        if cut is not None and "v" in _shape(cut):
-            word = cut
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif _ends_double(word) and word[-1] not in "lsz":
-                word = word[:-1]
-            elif _measure(word) == 1 and _ends_short(word):
-                word += "e"
-    if word.endswith("y") and "v" in _shape(word[:-1]):
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    word = _no_past(_no_plural(word))
+    if word.endswith("y") and len(word) > 2 and _shape(word[:-1]).endswith("c"):
         word = word[:-1] + "i"
-    word = _replaced(word, STEP_2, 0)
-    word = _replaced(word, STEP_3, 0)
+    word = _replaced(_second(word), STEP_3, 0)
     word = _replaced(word, tuple((e, "") for e in STEP_4), 1)
     if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _ends_short(word[:-1]))):
         word = word[:-1]
-    return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
+    return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -110,11 +133,14 @@ def stem_udf(tokens_: pd.Series) -> pd.Series:
     return tokens_.map(lambda ws: [stem(w) for w in ws])
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def stem_lines_udf(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda ls: [[stem(w) for w in ws] for ws in ls])
+
+
 def union_common(pred: list[list[str]], ref: list[list[str]]) -> int:
     """Words of the reference's sentences that lie in a longest common subsequence with some sentence of the prediction,
     each word of the prediction counted as often as it is there."""
-    from collections import Counter
-
     left, hits = Counter(w for s in pred for w in s), 0
     for r in ref:
         on: set[int] = set()
@@ -127,44 +153,91 @@ def union_common(pred: list[list[str]], ref: list[list[str]]) -> int:
     return hits
 
 
+def _masks(b: list[str]) -> dict[str, int]:
+    """For each word the bits of its places."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    size = len(b) // 8 + 1
+    out = {}
+    for w, js in places.items():
+        bits = bytearray(size)
+        for j in js:
+            bits[j >> 3] |= 1 << (j & 7)
+        out[w] = int.from_bytes(bits, "little")
+    return out
+
+
+def _next(row: int, mask: int, full: int) -> int:
+    """The row of the table of common lengths below `row`. Bit j of a row is 0 where the length grows from j to j + 1 words of b."""
+    hit = row & mask
+    return ((row + hit) | (row - hit)) & full
+
+
+def common_length(a: list[str], b: list[str]) -> int:
+    """The length of a longest common subsequence: a row of the table is one number, a word of a a few operations on it."""
+    masks, full = _masks(b), (1 << len(b)) - 1
+    row = full
+    for w in a:
+        if w in masks:
+            row = _next(row, masks[w], full)
+    return len(b) - row.bit_count()
+
+
 def common_places(a: list[str], b: list[str]) -> list[int]:
-    """Places in a of one longest common subsequence."""
-    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    """Places in a of one longest common subsequence: from the ends, equal words are taken, else the last word of a goes
+    unless that of b alone loses nothing more. Rows are kept at every sqrt(len(a))-th word and made again between."""
+    masks, full = _masks(b), (1 << len(b)) - 1
+    step = max(1, int(len(a) ** 0.5))
+    kept, row = [full], full
+    for i, w in enumerate(a):
+        row = _next(row, masks.get(w, 0), full)
+        if (i + 1) % step == 0:
+            kept.append(row)
     out, i, j = [], len(a), len(b)
+    first, rows = len(a) + 1, []
+
+    def row_of(i: int) -> int:
+        nonlocal first, rows
+        if not first <= i < first + len(rows):
+            first = i // step * step
+            rows = [kept[i // step]]
+            for w in a[first : min(first + step, len(a))]:
+                rows.append(_next(rows[-1], masks.get(w, 0), full))
+        return rows[i - first]
+
+    grows = lambda i, j: not row_of(i) >> j & 1
+    length = lambda i, j: j - (row_of(i) & ((1 << j) - 1)).bit_count()
+    here, above = length(i, j), length(i - 1, j) if i else 0
     while i and j:
         if a[i - 1] == b[j - 1]:
             out.append(i - 1)
             i, j = i - 1, j - 1
-        elif t[i - 1][j] >= t[i][j - 1]:
-            i -= 1
+            here, above = length(i, j), length(i - 1, j) if i else 0
+            continue
+        left = here - grows(i, j - 1)
+        if left > above:
+            above -= grows(i - 1, j - 1)
+            here, j = left, j - 1
         else:
-            j -= 1
+            i -= 1
+            here, above = above, length(i - 1, j) if i else 0
     return out[::-1]
 
 
 @F.pandas_udf(T.LongType())
 def union_udf(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    lists = lambda x: [[stem(w) for w in s] for s in x]
-    return pd.Series([union_common(lists(p), lists(r)) for p, r in zip(pred, ref, strict=True)])
+    return pd.Series([union_common([list(s) for s in p], [list(s) for s in r]) for p, r in zip(pred, ref, strict=True)])
 
 
-def rouge_lsum(df: DataFrame, id_: str, pred: str, ref: str) -> DataFrame:
-    """id and rouge: F1 of the union of common subsequences of sentences, which are lines; stemmed."""
+def rouge_lsum(df: DataFrame, id_: str, pred: str, ref: str, stemmed: bool = True) -> DataFrame:
+    """id and rouge: F1 of the union of common subsequences of sentences, which are lines."""
     lines = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), tokens)
     size = lambda x: F.size(F.flatten(x))
-    return df.select(id_, lines(pred).alias("_p"), lines(ref).alias("_r")).select(id_, f_measure(union_udf("_p", "_r"), size(F.col("_p")), size(F.col("_r"))).alias("rouge"))
-
-
-def common_length(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b):
-            left, row[j + 1] = row[j + 1], left + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+    rows = df.select(id_, lines(pred).alias("_p"), lines(ref).alias("_r"))
+    if stemmed:
+        rows = rows.select(id_, stem_lines_udf("_p").alias("_p"), stem_lines_udf("_r").alias("_r"))
+    return rows.select(id_, f_measure(union_udf("_p", "_r"), size(F.col("_p")), size(F.col("_r"))).alias("rouge"))
 
 
 @F.pandas_udf(T.LongType())

@@ -424,7 +424,11 @@ def rouge2(spark, d):
     return rouge.rouge_n(_answers(spark, d), "id", "pred", "ref", 2).withColumn("rouge", F.round("rouge", 6))
 
 
-@query()
+@query("""with recursive a as (select conv_id || ':' || turn id, text pred, lead(text) over (partition by conv_id order by turn) ref from conversations),
+t as (select id, regexp_extract_all(lower(pred), '[a-z0-9]+') p, regexp_extract_all(lower(ref), '[a-z0-9]+') r from a where ref is not null),
+m as (select p.id, p.i, r.j from (select id, i, p[i] w from t, unnest(range(1, len(p) + 1)) x(i)) p join (select id, j, r[j] w from t, unnest(range(1, len(r) + 1)) x(j)) r on p.id = r.id and p.w = r.w),
+f as (select id, i, min(j) j, 1 k from m group by id, i union all select id, i, min(j) j, k from (select m.id, m.i, m.j, f.k + 1 k from f join m on f.id = m.id and m.i > f.i and m.j > f.j) group by id, i, k),
+s as (select id, max(k) k from f group by id) select t.id, round(coalesce(2.0 * k / (len(p) + len(r)), 0), 6) rouge from t left join s using (id)""")
 def rouge_l(spark, d):
     return rouge.rouge_l(_answers(spark, d), "id", "pred", "ref").withColumn("rouge", F.round("rouge", 6))
 
