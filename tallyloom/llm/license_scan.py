@@ -68,10 +68,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138"))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _grams(ws: Column, k: int) -> Column:
-    """(pos, hash, gram) of every run of k words; gram has them, parted by spaces."""
+def _grams(ws: Column, k: int, among: list[int] | None = None) -> Column:
+    """(pos, hash, gram) of every run of k words; gram has them, parted by spaces. among: only those with one of these hashes, so
+    few texts are put together."""
     places = F.when(F.size(ws) >= k, F.sequence(F.lit(0), F.size(ws) - k)).otherwise(F.array().cast("array<int>"))
     of = lambda i: [F.get(ws, i + j) for j in range(k)]
+    if among is not None:
+        places = F.filter(places, lambda i: F.xxhash64(*of(i)).isin(among))
     return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(*of(i)).alias("hash"), F.concat_ws(" ", *of(i)).alias("gram")))
 
 
@@ -86,9 +89,12 @@ def template_grams(spark, p: LicenseParams) -> DataFrame:
 
 def license_runs(docs: DataFrame, p: LicenseParams = LicenseParams()) -> DataFrame:
     """Merged diagonals: doc_id, text_hash, template, label, first and last (words, inclusive), coverage and verified."""
-    grams = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.explode(F.transform(F.array(words_of(F.col("text"))), lambda ws: _grams(ws, p.k))).alias("g"))
+    templates = template_grams(docs.sparkSession, p)
+    # fixed by the templates, at most 63 for each
+    among = [r["hash"] for r in templates.select("hash").distinct().collect()]
+    grams = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.explode(F.transform(F.array(words_of(F.col("text"))), lambda ws: _grams(ws, p.k, among))).alias("g"))
     grams = grams.select("doc_id", "text_hash", F.inline("g"))
-    votes = grams.join(F.broadcast(template_grams(docs.sparkSession, p)), "hash").filter(F.col("gram") == F.col("t_gram"))
+    votes = grams.join(F.broadcast(templates), "hash").filter(F.col("gram") == F.col("t_gram"))
     row = ["doc_id", "text_hash", "template"]
     place = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("t_pos"))
     by_diagonal = votes.groupBy(*row, "label", "t_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
