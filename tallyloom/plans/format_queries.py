@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.plans.registry import query, table
-from tallyloom.sources import readers, sinks
+from tallyloom.sources import readers, rejects, sinks
 from tallyloom.streaming import snapshots
 
 _TIME = "HH:mm:ss"
@@ -170,3 +170,30 @@ def stream_changes(spark, d):
     got = spark.read.schema(snapshots.OUT).parquet(out)
     day = F.floor(F.unix_timestamp("ts") / 86400)
     return got.groupBy("host", day.alias("day"), "kind", F.col("window").alias("window_title")).agg(F.count("*").alias("n"))
+
+
+@query(_ACTIVITY)
+def format_jdbc(spark, d):
+    """Commands in a database: three batches, one of them run twice, leave every row once. The database is Derby within this process."""
+    props = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    path = sinks.scratch(spark, "derby").removeprefix("file:").lstrip("/")
+    url, rows = f"jdbc:derby:/{path};create=true", _activity(spark, d)
+    for batch in (0, 1, 1, 2):
+        sinks.batch_jdbc(rows.filter(F.pmod(F.xxhash64("name"), F.lit(3)) == batch).coalesce(1), batch, url, "commands", props)
+    back = spark.read.jdbc(url, "commands", properties=props)
+    return back.select(*[back[c].cast(t).alias(c) for c, t in rows.dtypes])
+
+
+_SPOILT = """case event_id % 7 when 0 then cast(ts as date) || ', ' || strftime(ts, '%H:%M:%S') when 1 then 'someday, 1, 2, 0.5, x, y' when 2 then cast(ts as date) || ', 1, 2, much, x, event ' || event_id else cast(ts as date) || ', 1, 2, 0.5, x, event ' || event_id end"""
+
+
+@query(f"""select value, case event_id % 7 when 0 then 'fewer than 6 parts' when 1 then 'no date' else 'no number' end reason, count(*) n from (select event_id, {_SPOILT} as "value" from events where event_id % 7 < 3) group by all""")
+def format_bad_lines(spark, d):
+    """Lines that the reader of comma lines can't read, with the reason."""
+    e, k = table(spark, d, "events"), F.col("event_id") % 7
+    day, n = F.to_date("ts").cast("string"), F.col("event_id").cast("string")
+    value = (
+        F.when(k == 0, F.concat_ws(", ", day, F.date_format("ts", _TIME))).when(k == 1, F.lit("someday, 1, 2, 0.5, x, y")).when(k == 2, F.concat(day, F.lit(", 1, 2, much, x, event "), n))
+        .otherwise(F.concat(day, F.lit(", 1, 2, 0.5, x, event "), n))
+    )
+    return rejects.rejected(_text(spark, value, e, "spoilt"), "activity_commas").groupBy("value", "reason").agg(F.count("*").alias("n"))

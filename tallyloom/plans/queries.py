@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as fx
 from tallyloom.functions.token_types import HTTP_METHODS, NETWORK_COMMANDS, PATTERNS, PORT_AFTER, TCPDUMP_VALUES, token_type, type_label
-from tallyloom.operators import clustering, events, models, rouge, similarity, tables, tasks
+from tallyloom.operators import clustering, events, models, percentiles, rouge, similarity, tables, tasks
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  read from here
 from tallyloom.plans.registry import table as _t
 
@@ -193,6 +193,16 @@ def len_percentiles(spark, d):
     return _t(spark, d, "documents").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.round(F.avg(n), 6).alias("mean"), *q.values(), F.round(F.stddev_pop(n), 6).alias("sd"))
 
 
+_SHARES = (0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999)
+
+
+@query(" union all ".join(f"select {s}::double as \"share\", round(quantile_cont(l_extendedprice * (1 - l_discount) * (1 + l_tax), {s}), 6) as \"value\" from lineitem" for s in _SHARES))
+def exact_percentiles(spark, d):
+    """Percentiles of a value that is different in almost every row."""
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    return percentiles.exact_percentiles(_t(spark, d, "lineitem"), price, list(_SHARES)).withColumn("value", F.round("value", 6))
+
+
 @query("""with l as (select length(text)::double x from documents where text is not null), m as (select min(x) a, max(x) b from l)
 select case when a = b then 1 else least(cast(floor(30 * (x - a) / (b - a)) as bigint) + 1, 30) end bin, count(*) n from l, m group by 1""")
 def len_hist(spark, d):

@@ -33,13 +33,13 @@ def number(lines: DataFrame, order: list[Column], by: list[str] = ["source"]) ->
 def events(lines: DataFrame) -> DataFrame:
     """`date time title`: source, pos, date, time, title. Lines of fewer parts are left out."""
     p = F.split(F.trim("value"), " ", 3)
-    return lines.filter(F.size(p) == 3).select("source", "pos", p[0].cast("date").alias("date"), p[1].alias("time"), p[2].alias("title"))
+    return lines.filter(F.size(p) == 3).select("source", "pos", p[0].try_cast("date").alias("date"), p[1].alias("time"), p[2].alias("title"))
 
 
 def intervals(lines: DataFrame) -> DataFrame:
     """`date open close title...` parted by white space."""
     p = F.split(F.trim("value"), r"\s+")
-    return lines.filter(F.size(p) >= 4).select("source", "pos", p[0].cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), F.array_join(F.slice(p, 4, F.size(p)), " ").alias("title"))
+    return lines.filter(F.size(p) >= 4).select("source", "pos", p[0].try_cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), F.array_join(F.slice(p, 4, F.size(p)), " ").alias("title"))
 
 
 def event_log(lines: DataFrame, host_prefix: str, first_only: bool = False) -> DataFrame:
@@ -72,12 +72,12 @@ def activity_commas(lines: DataFrame, legacy: bool = False) -> DataFrame:
     rest = F.slice(p, 6, F.size(p))
     name = F.array_join(rest, " ") if legacy else F.trim(F.split("value", ",", 6)[5])
     kind = F.when(F.lower(p[4]).isin("commande", "command"), "Command").otherwise(p[4])
-    return lines.filter(F.size(p) >= 6).select("source", "pos", p[0].cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), p[3].try_cast("double").alias("minutes"), kind.alias("type"), name.alias("name"))
+    return lines.filter(F.size(p) >= 6).select("source", "pos", p[0].try_cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), p[3].try_cast("double").alias("minutes"), kind.alias("type"), name.alias("name"))
 
 
 def activity_tabs(lines: DataFrame) -> DataFrame:
     p = F.split("value", "\t")
-    return lines.filter((F.trim("value") != "") & (F.size(p) >= 6)).select("source", "pos", p[0].cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), p[3].try_cast("double").alias("minutes"), p[4].alias("type"), p[5].alias("name"))
+    return lines.filter((F.trim("value") != "") & (F.size(p) >= 6)).select("source", "pos", p[0].try_cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), p[3].try_cast("double").alias("minutes"), p[4].alias("type"), p[5].alias("name"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -44,6 +44,48 @@ def commands_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str
     df.drop("epoch").write.jdbc(url, table, mode="append", properties=properties)
 
 
+def _connection(spark: SparkSession, url: str, properties: dict[str, str]):
+    if "driver" in properties:
+        spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
+    known = spark._jvm.java.util.Properties()
+    for k, v in properties.items():
+        known.setProperty(k, v)
+    return spark._jvm.java.sql.DriverManager.getConnection(url, known)
+
+
+def _delete_batch(spark: SparkSession, url: str, table: str, properties: dict[str, str], batch: int) -> None:
+    con = _connection(spark, url, properties)
+    try:
+        quote = con.getMetaData().getIdentifierQuoteString()  # Spark has quoted the column's name
+        con.createStatement().executeUpdate(f"delete from {table} where {quote}batch_id{quote} = {int(batch)}")
+    finally:
+        con.close()
+
+
+def batch_jdbc(df: DataFrame, batch: int, url: str, table: str, properties: dict[str, str]) -> None:
+    """One batch of command activity, with its number in batch_id. Rows that an earlier attempt of the same batch has left go
+    first, so a batch that is run again leaves what it would have left the first time, wherever that one broke off."""
+    rows = df.drop("epoch").withColumn("batch_id", F.lit(batch).cast("bigint"))
+    if _exists(df.sparkSession, url, table, properties):
+        _delete_batch(df.sparkSession, url, table, properties, batch)
+    rows.write.jdbc(url, table, mode="append", properties=properties)
+
+
+def _exists(spark: SparkSession, url: str, table: str, properties: dict[str, str]) -> bool:
+    con = _connection(spark, url, properties)
+    try:
+        found = con.getMetaData().getTables(None, None, table.upper(), None)
+        return found.next() or con.getMetaData().getTables(None, None, table, None).next()
+    finally:
+        con.close()
+
+
+def stream_jdbc(commands: DataFrame, url: str, table: str, properties: dict[str, str], checkpoint: str):
+    """A stream of command activity into a database table, each batch once; returns the started query."""
+    write = lambda df, batch: batch_jdbc(df, batch, url, table, properties)
+    return commands.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset and Spark runs in one process, a temporary one that goes with it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

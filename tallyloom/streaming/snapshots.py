@@ -28,6 +28,37 @@ def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     yield pd.DataFrame(out, columns=["ts", "host", "kind", "window"])
 
 
-def window_changes(snapshots: DataFrame) -> DataFrame:
-    """snapshots: a stream (or, for tests, a stream of files) of ts, host and windows. State is one snapshot a host."""
-    return snapshots.groupBy("host").applyInPandasWithState(changes, OUT, "windows array<string>", "append", GroupStateTimeout.NoTimeout)
+def _until_silent(silent_ms: int):
+    def gone(host: str, before: Counter, last: int) -> list[tuple]:
+        """Its windows are closed at the time when nothing more was seen."""
+        return [(pd.Timestamp(last + silent_ms, unit="ms"), host, "closed", w) for w in sorted(before.elements())]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before, last, out = (Counter(state.get[0]), state.get[1], []) if state.exists else (None, 0, [])
+        if state.hasTimedOut:
+            out = gone(key[0], before, last)
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            for ts, windows in zip(rows["ts"], rows["windows"], strict=True):
+                now, at = Counter(windows), int(ts.timestamp() * 1000)
+                # a host that comes back before its silence was noticed
+                if before is not None and at - last > silent_ms:
+                    out, before = out + gone(key[0], before, last), None
+                if before is not None:
+                    out += [(ts, key[0], kind, w) for kind, diff in (("opened", now - before), ("closed", before - now)) for w in sorted(diff.elements())]
+                before, last = now, at
+            state.update((list(before.elements()), last))
+            state.setTimeoutTimestamp(max(last + silent_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["ts", "host", "kind", "window"])
+
+    return run
+
+
+def window_changes(snapshots: DataFrame, silent_ms: int | None = None, late: str = "0 seconds") -> DataFrame:
+    """snapshots: a stream of ts, host and windows. State is one snapshot a host. silent_ms: a host of which nothing is seen for so
+    long in the time of the stream has all its windows closed and is forgotten; then a snapshot is a base line again."""
+    if silent_ms is None:
+        return snapshots.groupBy("host").applyInPandasWithState(changes, OUT, "windows array<string>", "append", GroupStateTimeout.NoTimeout)
+    seen = snapshots.withWatermark("ts", late)
+    return seen.groupBy("host").applyInPandasWithState(_until_silent(silent_ms), OUT, "windows array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout)
