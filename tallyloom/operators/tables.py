@@ -148,14 +148,18 @@ def resume_point(df: DataFrame, number: str, pos: str) -> DataFrame:
     return df.agg(F.coalesce(F.max_by(number, pos), F.lit(0)).alias("last_number"))
 
 
+def _seeded(seed: int, key: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def sampled(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows in a seeded order that does not depend on partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(_seeded(seed, key), key).limit(n)
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
     """All rows with their place in a seeded order, the same for any partitioning if the key tells rows apart."""
-    return renumber(df, [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)], 0, name)
+    return renumber(df, [_seeded(seed, key), F.col(key)], 0, name)
 
 
 def zip_by_place(streams: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.operators import tasks
 from tallyloom.plans.registry import query, table
 from tallyloom.sources import readers, rejects, sinks
 from tallyloom.streaming import snapshots
@@ -197,3 +198,10 @@ def format_bad_lines(spark, d):
         .otherwise(F.concat(day, F.lit(", 1, 2, 0.5, x, event "), n))
     )
     return rejects.rejected(_text(spark, value, e, "spoilt"), "activity_commas").groupBy("value", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""with g as (select conv_id, turn, text, string_agg(text, ' ') over (partition by conv_id order by turn rows between unbounded preceding and unbounded following) b from conversations) select conv_id, md5(text) a, md5(b) b from g""")
+def format_pairs(spark, d):
+    """The pairs of tasks and blocks, saved and loaded again."""
+    made = tasks.contrastive_pairs(table(spark, d, "conversations"), "conv_id", "turn", "text").filter("kind = 'task_block'").select("conv_id", "a", "b")
+    return _back(spark, made, "pairs", sinks.pairs, lambda p: readers.pairs(spark, p)).select("conv_id", F.md5("a").alias("a"), F.md5("b").alias("b"))

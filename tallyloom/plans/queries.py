@@ -530,4 +530,4 @@ def type_labels(spark, d):
     return token_types(spark, d).select("type", type_label(F.col("type")).alias("label")).distinct()
 
 
-from tallyloom.plans import activity_queries, format_queries  # noqa: E402, F401  they register their queries
+from tallyloom.plans import activity_queries, format_queries, text_queries  # noqa: E402, F401  they register their queries

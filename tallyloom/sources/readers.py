@@ -80,6 +80,11 @@ def activity_tabs(lines: DataFrame) -> DataFrame:
     return lines.filter((F.trim("value") != "") & (F.size(p) >= 6)).select("source", "pos", p[0].try_cast("date").alias("date"), p[1].alias("open"), p[2].alias("close"), p[3].try_cast("double").alias("minutes"), p[4].alias("type"), p[5].alias("name"))
 
 
+def pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs that sinks.pairs() has saved; a folder without them is an error."""
+    return spark.read.parquet(path)
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

@@ -28,6 +28,11 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Pairs for training, saved whole; readers.pairs() loads them again."""
+    df.write.mode(mode).parquet(path)
+
+
 def by_date(df: DataFrame, path: str, ts: str = "ts", mode: str = "append") -> None:
     """The event log, one folder a day; a new day never touches the old ones."""
     df.withColumn("date", F.to_date(ts)).write.mode(mode).partitionBy("date").parquet(path)
