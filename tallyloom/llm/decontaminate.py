@@ -5,9 +5,10 @@ bounded size; each block becomes one automaton of all substrings of its items. A
 state and the longest matching length after each word tell which windows end there: `window` consecutive words of an
 item, or a whole item of fewer words. Words inside a window are hit; runs of hit words are spans.
 
-Blocks. A Spark job builds each block's automaton and writes it to a file in the shared folder; a worker reads it from
-there and keeps up to `held_blocks` of them, those used last. With more blocks than that, up to `batch_bytes` of text is
-held against one after another. So memory is bounded by blocks and a batch however large the benchmark is.
+Blocks. A Spark job builds each block's automaton and writes it to a file in the shared folder. Documents stream past
+`held_blocks` of them at a time, which a task loads once and keeps; with more blocks than that the documents, with what was
+found so far, are written and stream past the next ones. So a block is loaded once for each task however many batches
+it meets, and memory is bounded however large the benchmark is.
 
 Cases. Null or empty text has no words and no spans. Items without words match nothing. Items with the same item_id
 count once, null item_ids are not listed but their words are hit. An empty benchmark hits nothing. Repeated rows: a
@@ -21,14 +22,16 @@ import pickle
 import re
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type
 
-from tallyloom.llm.common import open_fs, record_batch, shared_dir, text_of, write_bytes
+from tallyloom.llm.common import kept, open_fs, record_batch, shared_dir, text_of, write_bytes
 
 #: Bytes outside [0-9A-Za-z\x80-\xff] to a space, capitals to small letters: then bytes.split gives the words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -42,7 +45,6 @@ class LeakParams:
     max_coverage: float = 0.8
     block_words: int = 100_000
     held_blocks: int = 4
-    batch_bytes: int = 16 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -198,21 +200,8 @@ def _automaton(uri: str, held_blocks: int) -> SuffixAutomaton:
     return _loaded[uri]
 
 
-def _batched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch | pa.Table]:
-    """Batches put together up to so many bytes."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.nbytes
-        if n >= size:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _matches(texts: list[str | None], uris: list[str], p: LeakParams) -> tuple[list[list], list[set]]:
-    """The windows found in each text, and the items."""
+def matches(texts: list[str | None], uris: list[str], p: LeakParams) -> tuple[list[list], list[set]]:
+    """The windows found in each text, and the items. uris: held_blocks at most."""
     spans, items = [[] for _ in texts], [set() for _ in texts]
     for uri in uris:
         auto = _automaton(uri, p.held_blocks)
@@ -223,24 +212,60 @@ def _matches(texts: list[str | None], uris: list[str], p: LeakParams) -> tuple[l
     return spans, items
 
 
+#: What the earlier blocks have found, beside the documents' own columns.
+_FOUND = "\x00found"
+_SPANS = pa.list_(pa.list_(pa.int64()))
+_SO_FAR = pa.struct([("spans", _SPANS), ("items", pa.list_(pa.string()))])
+
+
+def _past_blocks(docs: DataFrame, uris: list[str], p: LeakParams, last: Callable, out: T.StructType) -> DataFrame:
+    """docs past all blocks; last(batch, spans, items) makes the rows of a batch of what all have found."""
+
+    def so_far(b: pa.RecordBatch, group: list[str]) -> tuple[list[list], list[set]]:
+        spans, items = matches(b.column("text").to_pylist(), group, p)
+        if _FOUND in b.schema.names:
+            for k, x in enumerate(b.column(_FOUND).to_pylist()):
+                spans[k] += map(tuple, x["spans"])
+                items[k].update(x["items"])
+        return spans, items
+
+    def some(group: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                spans, items = so_far(b, group)
+                found = pa.array([{"spans": [list(x) for x in s], "items": list(i)} for s, i in zip(spans, items, strict=True)], _SO_FAR)
+                have = [n for n in b.schema.names if n != _FOUND]
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in have], found], names=[*have, _FOUND])
+
+        return run
+
+    def finish(group: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                spans, items = so_far(b, group)
+                yield from last(b.drop_columns([_FOUND]) if _FOUND in b.schema.names else b, spans, items)
+
+        return run
+
+    groups = [uris[k : k + p.held_blocks] for k in range(0, len(uris), p.held_blocks)] or [[]]
+    with_found = T.StructType([*docs.schema.fields, T.StructField(_FOUND, from_arrow_type(_SO_FAR))])
+    for group in groups[:-1]:
+        docs = kept(docs.mapInArrow(some(group), with_found), "past-blocks")
+    return docs.mapInArrow(finish(groups[-1]), out)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
     """doc_id, n_words, leak_spans (array of half-open word ranges, disjoint, in order) and leak_items (sorted item_ids as strings)."""
-    uris = write_blocks(benchmark, p)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("leak_spans", pa.list_(span)), ("leak_items", pa.list_(pa.string()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batched(batches, p.batch_bytes if len(uris) > p.held_blocks else 1):
-            texts = b.column("text").to_pylist()
-            spans, items = _matches(texts, uris, p)
-            yield record_batch({
-                "doc_id": b.column("doc_id").to_pylist(), "n_words": [len(words_of(t)) for t in texts], "leak_spans": [[{"start": s, "end": e} for s, e in _merge(x)] for x in spans],
-                "leak_items": [sorted(i for i in x if i is not None) for x in items],
-            }, schema)
+    def rows(b: pa.RecordBatch, spans: list[list], items: list[set]) -> Iterator[pa.RecordBatch]:
+        yield record_batch({
+            "doc_id": b.column("doc_id").to_pylist(), "n_words": [len(words_of(t)) for t in b.column("text").to_pylist()], "leak_spans": [[{"start": s, "end": e} for s, e in _merge(x)] for x in spans],
+            "leak_items": [sorted(i for i in x if i is not None) for x in items],
+        }, schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_words bigint, leak_spans array<struct<start:bigint,end:bigint>>, leak_items array<string>"
-    )
+    return _past_blocks(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), write_blocks(benchmark, p), p, rows, from_arrow_schema(schema))
 
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -251,8 +276,6 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakPara
 
     Short items (fewer words than min_span) don't count for removal: a few common words are no leak. All columns stay.
     """
-    uris = write_blocks(benchmark, p)
-
     def cleaned(t: str, found: list) -> str | None:
         cut = [x for x in _merge([x for x in found if x[1] - x[0] >= p.window]) if x[1] - x[0] >= p.min_span]
         if not cut:
@@ -266,13 +289,11 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakPara
             end = places[e - 1][1]
         return "".join([*out, t[end:]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batched(batches, p.batch_bytes if len(uris) > p.held_blocks else 1):
-            at = b.schema.get_field_index("text")
-            texts = b.column(at).to_pylist()
-            spans, _ = _matches(texts, uris, p)
-            clean = [t if t is None else cleaned(t, x) for t, x in zip(texts, spans, strict=True)]
-            stay = pa.array([t is None or c is not None for t, c in zip(texts, clean, strict=True)], pa.bool_())
-            yield from b.set_column(at, b.schema.field(at), pa.array(clean, b.schema.field(at).type)).filter(stay).to_batches()
+    def rows(b: pa.RecordBatch, spans: list[list], _: list[set]) -> Iterator[pa.RecordBatch]:
+        at = b.schema.get_field_index("text")
+        texts = b.column(at).to_pylist()
+        clean = [t if t is None else cleaned(t, x) for t, x in zip(texts, spans, strict=True)]
+        stay = pa.array([t is None or c is not None for t, c in zip(texts, clean, strict=True)], pa.bool_())
+        yield b.set_column(at, b.schema.field(at), pa.array(clean, b.schema.field(at).type)).filter(stay)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _past_blocks(docs, write_blocks(benchmark, p), p, rows, docs.schema)

@@ -56,7 +56,7 @@ def bench(spark, rows):
 def test_blocks_give_what_one_automaton_gives(spark, sf_dir):
     docs, b = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     key = lambda df: sorted((r["doc_id"], r["n_words"], str(r["leak_spans"]), str(r["leak_items"])) for r in df.collect())
-    many = LeakParams(block_words=100, batch_bytes=10_000)
+    many = LeakParams(block_words=100, held_blocks=3)
     assert key(find_leaks(docs, b)) == key(find_leaks(docs, b, many))
     texts = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
     assert texts(remove_leaks(docs, b)) == texts(remove_leaks(docs, b, many)) != texts(docs)
@@ -71,6 +71,18 @@ def test_blocks_are_built_by_their_own_tasks_only(spark, sf_dir, monkeypatch):
         assert decontaminate._automaton(uri, 3).window == 10 and len(decontaminate._loaded) <= 3
 
 
+def test_blocks_are_loaded_once_for_all_batches(spark, sf_dir, monkeypatch):
+    p = LeakParams(block_words=100, held_blocks=3)
+    uris = write_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), p)
+    loads, load = [], decontaminate.open_fs
+    monkeypatch.setattr(decontaminate, "open_fs", lambda uri: loads.append(uri) or load(uri))
+    decontaminate._loaded.clear()
+    for k in range(0, len(uris), p.held_blocks):
+        for batch in range(20):
+            decontaminate.matches([f"text {batch}", None], uris[k : k + p.held_blocks], p)
+    assert sorted(loads) == sorted(uris)
+
+
 def test_awkward_rows_and_removal(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     b = bench(spark, [(1, item), (1, item), (2, None), (3, ""), (4, "one two three"), (None, "same text here")])
