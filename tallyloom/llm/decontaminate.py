@@ -213,7 +213,7 @@ def matches(texts: list[str | None], uris: list[str], p: LeakParams) -> tuple[li
 
 
 #: What the earlier blocks have found, beside the documents' own columns.
-_FOUND = "\x00found"
+_FOUND = "spans of earlier blocks"
 _SPANS = pa.list_(pa.list_(pa.int64()))
 _SO_FAR = pa.struct([("spans", _SPANS), ("items", pa.list_(pa.string()))])
 
