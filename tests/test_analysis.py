@@ -111,8 +111,8 @@ def test_linkage_picks_the_lowest_of_equal_pairs():
 def test_first_containing_keeps_repeated_rows(spark, monkeypatch):
     items = spark.createDataFrame([(1, "A b c"), (1, "A b c"), (2, "none"), (3, None)], "id long, text string")
     known = spark.createDataFrame([(1, "c"), (0, "B"), (2, "a")], "o int, kw string")
-    for most in (10_000, 0):
-        monkeypatch.setattr(tables, "MOST_PATTERNS", most)
+    for most in (10_000, 1):
+        monkeypatch.setattr(tables, "PATTERNS_AT_ONCE", most)
         got = tables.first_containing(items, known, "text", "kw", "o").collect()
         assert sorted((r["id"], r["kw"]) for r in got if r["kw"]) == [(1, "B"), (1, "B")] and len(got) == 4
 
