@@ -1,7 +1,8 @@
 """Token files: every document's ids compressed on its own with a shared zstandard dictionary.
 
 Encoding uses the tokenizers library. Stretches of text between safe places (see bpe) are encoded once and remembered
-in a cache of bounded size, which gives the library's own ids for whole texts.
+in a cache of bounded size; a new stretch is cut into the pieces of the tokenizer's pattern, and the library's model merges each.
+That gives the library's own ids for whole texts. Where a file is no plain byte-level BPE, whole texts go to the library.
 
 The dictionary is trained on serialized id arrays of `sample_docs` documents, those with the smallest hash of doc_id;
 of each, `sample_pieces` pieces of `piece_bytes` at most, evenly spaced. It steers sizes only, never what is read back.
@@ -30,7 +31,10 @@ Cases. Null or empty text: just the end id. Null doc_id: sorts first. Empty tabl
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import string
 import struct
 import uuid
 import zlib
@@ -45,14 +49,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bpe import _STRETCH, LONG
+from tallyloom.llm.bpe import _PIECE, _STRETCH, _WS, LONG, byte_letters, check_spec
 from tallyloom.llm.common import forget, kept, open_fs, record_batch, shared_dir, write_bytes
 
 MAGIC = b"TLTOKEN1"
 #: Remembered stretches of a generation.
 GENERATION = 500_000
-#: New stretches that go to the library in one text. Longer texts take it more time a stretch.
-TOGETHER = 64
+#: Remembered pieces of stretches with several.
+PIECES = 100_000
+_WHITE = frozenset(re.findall(f"[{_WS}]", "".join(map(chr, range(0x3001)))))
+#: What the pattern of pieces keeps together after a word; the apostrophe has rules of its own.
+_MARKS = string.punctuation.replace("'", "")
 
 
 @dataclass(frozen=True)
@@ -67,50 +74,126 @@ class TokenFileParams:
     file_bytes: int = 16 << 20
 
 
+class _Known(dict):
+    """Serialized ids of stretches; those of one that is asked for the first time are made from its pieces'."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
+        self.letters, self.serial, self.pieces, self.old = _Letters(), _Serial(), {}, {}
+
+    def __missing__(self, key: str | tuple[str]) -> bytes:
+        if (ids := self.old.get(key)) is None:
+            first = type(key) is tuple
+            text = key[0] if first else key
+            if len(text) > LONG:
+                return library_ids(self.tokenizer, text if first or text[0] in _WHITE else " " + text)
+            word = text.rstrip(_MARKS)
+            if not word.isalpha():
+                ids = b"".join(map(self.piece, _PIECE.findall(text if first or text[0] in _WHITE else " " + text)))
+            elif len(word) == len(text):  # a word alone is one piece
+                ids = self.merged(text if first else " " + text)
+            else:  # a word and marks are two
+                ids = self[(word,) if first else word] + self.piece(text[len(word) :])
+        self[key] = ids
+        return ids
+
+    def merged(self, piece: str) -> bytes:
+        return b"".join([self.serial[t.id] for t in self.merge("".join(map(self.letters.__getitem__, piece)))])
+
+    def piece(self, p: str) -> bytes:
+        if (got := self.pieces.get(p)) is None:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            got = self.pieces[p] = self.merged(p)
+        return got
+
+    def turn(self) -> None:
+        """Two generations: when the young one is full it becomes the old one, so what is in use stays."""
+        if len(self) > GENERATION:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Letters(dict):
+    """A character: the letters that the vocabulary has for its bytes."""
+
+    def __init__(self):
+        super().__init__()
+        self.of_byte = byte_letters()
+
+    def __missing__(self, c: str) -> str:
+        self[c] = out = "".join(self.of_byte[b] for b in c.encode())
+        return out
+
+
+def library_ids(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 class LibraryEncoder:
+    """The library's ids of whole texts.
+
+    A plain byte-level BPE file: added tokens part a text, stretches are looked up, and the pieces of a new one go to the
+    library's model. Long stretches, and whole texts where the file is any other, go to the library as they are."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        #: An added token parts a text before anything else, so stretches between two of them are encoded as if each stood alone.
-        self.mark, self.mark_id = next(((t.content, i) for i, t in added.items()), (None, None))
-        #: Two generations: when the young one is full it becomes the old one, so what is in use stays.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _alone(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _together(self, parts: list[str]) -> Iterator[bytes]:
-        got = self.tokenizer.encode_batch_fast([self.mark.join(parts)], add_special_tokens=False)[0]  # without offsets
-        ids = np.array(got.ids, dtype="<u4")
-        cuts, raw = 4 * np.flatnonzero(ids == self.mark_id), ids.tobytes()
-        for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True):
-            yield raw[a:b]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        try:
+            check_spec(spec)
+            self.plain = True
+        except ValueError:
+            self.plain = False
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.known = _Known(self.tokenizer) if self.plain else None
+
+    def _encode(self, text: str) -> bytes:
+        if not self.plain:
+            return library_ids(self.tokenizer, text)
+        if any(t in text for t in self.added):
+            return b"".join(self.added[x] if x in self.added else self._encode(x) for x in self.parts.split(text) if x)
+        return b"".join(map(self.known.__getitem__, stretches(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The serialized ids of each text."""
-        if len(self.young) > GENERATION:
-            self.old, self.young = self.young, {}
-        young, old, alone, new = self.young, self.old, [], []
-        cut = [_STRETCH.findall(t or "") for t in texts]
-        for s in set().union(*cut).difference(young):
-            if (x := old.get(s)) is not None:
-                young[s] = x
-            else:
-                (alone if self.mark is None or self.mark in s else new).append(s)
-        young.update((s, self._alone(s)) for s in alone)
-        for k in range(0, len(new), TOGETHER):
-            young.update(zip(new[k : k + TOGETHER], self._together(new[k : k + TOGETHER]), strict=True))
-        out = [b"".join(map(young.__getitem__, c)) for c in cut]
-        for s in [*alone, *new]:
-            if len(s) > LONG:
-                del young[s]
+        if self.plain:
+            self.known.turn()
+        return [self._encode(t) if t else b"" for t in texts]
+
+
+class _Serial(dict):
+    def __missing__(self, i: int) -> bytes:
+        self[i] = out = i.to_bytes(4, "little")
         return out
 
 
+def stretches(text: str) -> list[str | tuple[str]]:
+    """The stretches of a text (see bpe). A string without white space at its start stands for itself after one space;
+    a stretch that has none before it, at the start of a text or a line, is in a tuple.
+
+    Words with one space between them and lines without two empty ones in a row are cut by plain splits: a line feed or a
+    pair of them before a word is a piece for each, and so is a single one at the end."""
+    out, empty = [], False
+    for k, line in enumerate(text.split("\n")):
+        words = line.split()
+        if " ".join(words) != line or (empty and not words):
+            found = _STRETCH.findall(text)
+            return found if found[0][0] in _WHITE else [(found[0],), *found[1:]]
+        if k:
+            out.append("\n")
+        empty = not words
+        if words:
+            out.append((words[0],))
+            out += words[1:]
+    return out
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)

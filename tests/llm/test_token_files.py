@@ -1,11 +1,14 @@
+import json
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tallyloom.llm.queries import op2_token_files
-from tallyloom.llm.token_files import TokenFile, TokenFileParams, read_dictionary, read_manifest, read_token_files, write_token_files
+from tallyloom.llm.token_files import LibraryEncoder, TokenFile, TokenFileParams, read_dictionary, read_manifest, read_token_files, write_token_files
 from tests.llm.helpers import awkward, documents, with_clashes
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,3 +67,23 @@ def test_files_beside_the_manifest_are_not_read(spark):
     with open(path.removeprefix("file://") + "/part-0000000-left.tokens", "wb") as f:
         f.write(b"what a lost attempt has left")
     assert read_token_files(spark, path).count() == 2
+
+
+@pytest.mark.parametrize("generation", [1, 500_000])
+def test_stretches_give_the_ids_of_whole_texts(monkeypatch, generation):
+    monkeypatch.setattr("tallyloom.llm.token_files.GENERATION", generation)
+    monkeypatch.setattr("tallyloom.llm.token_files.PIECES", 20)
+    parts = ["a", "b", " ", "  ", "\n", "\n\n", "\t", "\r", "é", "\u4e2d", "1", "'s", "'", ".", "$$", "foo!", "é!!", "\x1c", "\x85", "\u3000", "<|endoftext|>", "_", "x" * 3000]
+    rnd, enc = random.Random(7), LibraryEncoder(PATH)
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 9))) for _ in range(4000)] + [None, "", "\n", "one\n\ntwo\n", " one", "one "]
+    for k in range(0, len(texts), 100):
+        for t, ids in zip(texts[k : k + 100], enc.encode(texts[k : k + 100])):
+            assert np.frombuffer(ids, "<u4").tolist() == ids_of(t)[:-1], t
+
+
+def test_other_tokenizer_files_get_whole_texts(tmp_path):
+    spec = json.load(open(PATH))
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(spec))
+    enc = LibraryEncoder(str(tmp_path / "lower.json"))
+    assert not enc.plain and np.frombuffer(enc.encode(["Some WORDS here"])[0], "<u4").tolist() == ids_of("some words here")[:-1]
