@@ -1,16 +1,19 @@
 """Two-pass external shuffle into shards.
 
-Pass 1 scatters the rows over buckets by a seeded hash of doc_id and text, so many that a bucket fits a worker's memory. Pass 2 reads a bucket into one task, puts it in a fixed order (doc_id, then CRC-32 of
-the text), shuffles it with a seeded Fisher-Yates shuffle and writes it. A row's place in the whole order is the rows of
+Pass 1 scatters the rows over buckets by a seeded hash of doc_id and text, so many that a bucket fits a worker's memory.
+Pass 2 reads a bucket into one task, puts it in a fixed order (doc_id, CRC-32 of the text, that hash), shuffles it with a seeded Fisher-Yates shuffle and writes it. A row's place in the whole order is the rows of
 all earlier buckets plus its place in its own; cutting that order into `shards` runs whose lengths differ by at most one
 gives the law `rows`. As a bucket's rows are consecutive, it is written to one or two shards, not to all.
 
-The result depends on the rows, the seed and the bucket size only, not on the partitioning or on retried tasks. The
-order of equal rows (same doc_id and CRC-32) can't be told.
+The result depends on the rows, the seed and the bucket size only, not on the partitioning or on retried tasks. Rows of
+one doc_id whose texts differ are told apart by CRC-32 and hash; the order of rows that repeat both doc_id and text can't be told.
+
+The driver and each worker hold eight bytes for each bucket, so for each `bucket_bytes` of text.
 
 Cases. Null text: size 8, CRC-32 of no bytes. Copies of a text spread over buckets by their doc_id, rows of one doc_id or
 of none by their texts; only rows that repeat both share a bucket. A bucket is bounded by the hash unless these or single
-rows exceed it. Empty table: no rows. Input columns named shard or slot are replaced.
+rows exceed it. Empty table: no rows. An input column named shard or slot, in any case of letters, stays under that name
+with `_in` after it, as often as it takes to be the only one.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ class ShardParams:
     shards: int = 24
     seed: int = 20240229
     bucket_bytes: int = 32 << 20
-    #: Buckets at most; the driver holds a count for each. More than max_buckets * bucket_bytes of text needs larger values.
+    #: Buckets, a power of two, that are counted beside the size. If the size needs more, these are counted in a pass of their own.
     max_buckets: int = 1 << 16
 
 
@@ -41,8 +44,37 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint")
 
 
-def _fine(p: ShardParams) -> Column:
-    return F.pmod(F.xxhash64(F.lit(p.seed), "doc_id", "text"), F.lit(p.max_buckets)).cast("int")
+def _hash(p: ShardParams) -> Column:
+    return F.xxhash64(F.lit(p.seed), "doc_id", "text")
+
+
+def _bucket(p: ShardParams, buckets: int) -> Column:
+    return F.pmod(_hash(p), F.lit(buckets)).cast("int")
+
+
+def free_names(names: list[str], taken: set[str]) -> list[str]:
+    """The names, those in taken (lower case) with `_in` after them as often as it takes."""
+    used, out = taken | {n.lower() for n in names}, []
+    for n in names:
+        if n.lower() in taken:
+            while n.lower() in used:
+                n += "_in"
+            used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def bucket_rows(docs: DataFrame, p: ShardParams) -> np.ndarray:
+    """The rows of each bucket; the number of buckets is a power of two that follows from the size of all texts."""
+    counted = docs.groupBy(_bucket(p, p.max_buckets).alias("f")).agg(F.count("*").alias("n"), F.sum(size_of(F.col("text"))).alias("bytes")).toArrow()
+    size, buckets = sum(counted["bytes"].to_pylist()), 1
+    while buckets * p.bucket_bytes < size:
+        buckets *= 2
+    if buckets > p.max_buckets:
+        counted = docs.groupBy(_bucket(p, buckets).alias("f")).agg(F.count("*").alias("n")).toArrow()
+    rows = np.zeros(buckets, dtype=np.int64)
+    np.add.at(rows, counted["f"].to_numpy() % buckets, counted["n"].to_numpy())
+    return rows
 
 
 def shuffle_permutation(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -59,18 +91,9 @@ def write_shards(docs: DataFrame, p: ShardParams = ShardParams(), path: str | No
     """Write all rows with shard and slot to Parquet folders shard=0, shard=1, ... and return them as read back."""
     spark = docs.sparkSession
     path = path or shared_dir(spark, "shards")
-    docs = docs.drop("shard", "slot")
-    counts = docs.groupBy(_fine(p).alias("f")).agg(F.count("*").alias("n"), F.sum(size_of(F.col("text"))).alias("bytes")).collect()
-    total, size = sum(r["n"] for r in counts), sum(r["bytes"] for r in counts)
-    buckets = 1
-    while buckets * p.bucket_bytes < size:
-        buckets *= 2
-    if buckets > p.max_buckets:
-        raise ValueError(f"{size} bytes need {buckets} buckets of {p.bucket_bytes}; raise max_buckets or bucket_bytes")
-    rows = np.zeros(buckets, dtype=np.int64)
-    for r in counts:
-        rows[r["f"] % buckets] += r["n"]
-    first = np.concatenate(([0], np.cumsum(rows)[:-1]))
+    docs = docs.toDF(*free_names(docs.columns, {"shard", "slot"}))
+    rows = bucket_rows(docs, p)
+    buckets, total, first = len(rows), int(rows.sum()), np.cumsum(rows) - rows
     names = docs.columns
     out = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
@@ -82,7 +105,8 @@ def write_shards(docs: DataFrame, p: ShardParams = ShardParams(), path: str | No
         t = pa.Table.from_batches(have).combine_chunks()
         crc = np.array([zlib.crc32(text_of(x.as_py())) for x in t.column("text")], dtype=np.int64)
         ids = t.column("doc_id")
-        order = np.lexsort((crc, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
+        hashes = t.column(len(names) + 1).to_numpy()
+        order = np.lexsort((hashes, crc, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
         order = order[shuffle_permutation(t.num_rows, p.seed, bucket)]
         place = np.arange(t.num_rows, dtype=np.int64) + first[bucket]
         shard = (p.shards * (place + 1) + total - 1) // total - 1
@@ -92,7 +116,7 @@ def write_shards(docs: DataFrame, p: ShardParams = ShardParams(), path: str | No
             cols = [*part.columns[: len(names)], pa.array(shard[k : k + 500], pa.int32()), pa.array(slot[k : k + 500], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "shard", "slot"])
 
-    scattered = docs.withColumn("\x00bucket", F.pmod(_fine(p), F.lit(buckets)).cast("int"))
+    scattered = docs.withColumns({"\x00bucket": _bucket(p, buckets), "\x00hash": _hash(p)})
     scattered = scattered.repartitionById(buckets, F.col("`\x00bucket`"))
     scattered.mapInArrow(shuffled, out).write.partitionBy("shard").parquet(path)
     if not total:

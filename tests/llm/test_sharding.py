@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyloom.llm.queries import op6_sharding
-from tallyloom.llm.sharding import ShardParams, shuffle_permutation, write_shards
+from tallyloom.llm.sharding import ShardParams, bucket_rows, free_names, shuffle_permutation, write_shards
 from tests.llm.helpers import awkward, documents, with_clashes
 
 
@@ -48,7 +48,34 @@ def test_awkward_rows(spark):
     assert len(rows) == docs.count()
     check(rows, 24)
     assert write_shards(docs.limit(0)).count() == 0
-    assert set(write_shards(docs).columns) == set(docs.columns) | {"slot"}
+    assert set(write_shards(docs).columns) == set(docs.columns) | {"slot", "shard_in"}
+    assert Counter(r["shard_in"] for r in write_shards(docs).collect()) == Counter(r["shard"] for r in docs.collect())
+
+
+def test_names_that_clash(spark):
+    assert free_names(["Shard", "slot", "slot_in", "text"], {"shard", "slot"}) == ["Shard_in", "slot_in_in", "slot_in", "text"]
+    docs = spark.createDataFrame([(i, f"t {i}", f"s{i}", i * i, -i) for i in range(40)], "doc_id long, text string, SHARD string, slot int, slot_in int")
+    rows = write_shards(docs, ShardParams(shards=3)).collect()
+    assert sorted((r["doc_id"], r["SHARD_in"], r["slot_in_in"], r["slot_in"]) for r in rows) == [(i, f"s{i}", i * i, -i) for i in range(40)]
+    check(rows, 3)
+
+
+def test_more_buckets_than_are_counted_at_first(spark):
+    """The number of buckets that are counted beside the size changes nothing."""
+    docs = documents(spark, [f"text {i % 50} " * (i % 9) for i in range(900)])
+    place = lambda p: {r["doc_id"]: (r["shard"], r["slot"]) for r in write_shards(docs, p).collect()}
+    few = place(ShardParams(shards=7, bucket_bytes=2000, max_buckets=2))
+    assert few == place(ShardParams(shards=7, bucket_bytes=2000)) and len(few) == 900
+    assert len(bucket_rows(docs, ShardParams(bucket_bytes=2000, max_buckets=2))) > 2
+
+
+def test_texts_of_one_id_and_checksum(spark):
+    """Two texts of one doc_id and CRC-32 keep their places, whatever the partitioning."""
+    pair = ["plumless", "buckeroo"]  # a known collision
+    assert zlib.crc32(pair[0].encode()) == zlib.crc32(pair[1].encode())
+    docs = documents(spark, [*pair, *(f"w{i}" for i in range(30))], [1, 1, *range(2, 32)])
+    places = [sorted((r["text"], r["shard"], r["slot"]) for r in write_shards(docs.orderBy(o).repartition(n), ShardParams(shards=4)).collect()) for o, n in (("text", 1), (F.desc("text"), 1), ("doc_id", 6))]
+    assert places[0] == places[1] == places[2]
 
 
 def test_placement_matches_a_plain_version(spark):
