@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as fx
 from tallyloom.functions.token_types import HTTP_METHODS, NETWORK_COMMANDS, PATTERNS, PORT_AFTER, TCPDUMP_VALUES, token_type, type_label
-from tallyloom.operators import clustering, events, models, percentiles, rouge, similarity, tables, tasks
+from tallyloom.operators import clustering, events, linkage, models, percentiles, rouge, similarity, tables, tasks
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  read from here
 from tallyloom.plans.registry import table as _t
 
@@ -404,6 +404,13 @@ def cluster_stage1(spark, d):
     return clustering.cluster_groups(_emb(spark, d), "label", "vec_id", stage="first")
 
 
+@query()
+def linkage_rounds(spark, d):
+    """All vectors as one group, which needs no task of its own."""
+    m = linkage.linkage(_emb(spark, d), "vec_id")
+    return m.select(F.round("height", 6).alias("height"), "a", "b")
+
+
 @query()
 def cluster_full(spark, d):
     return clustering.cluster_groups(_emb(spark, d), "label", "vec_id")
