@@ -107,4 +107,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to a folder of scratch() and read back: for what is needed more than once."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def unwritten(*frames: DataFrame) -> None:
+    """Delete what written() has left for these frames, once nothing that is still to be computed reads it."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
