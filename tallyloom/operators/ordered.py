@@ -15,6 +15,8 @@ from tallyloom.sources.sinks import written
 
 #: Rows of a range, about.
 ROWS_PER_RANGE = 1_000_000
+#: Bytes of a range, about: of rows with long texts fewer make one.
+BYTES_PER_RANGE = 32 << 20
 #: Keys that are sampled for each range; their sorted list is the only thing that one task holds.
 SAMPLED_PER_RANGE = 60
 #: Lines of a source that make a block.
@@ -26,10 +28,18 @@ def _hashed(df: DataFrame) -> Column:
     return F.xxhash64(F.lit(0), *[F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
-def with_ranges(df: DataFrame, key: Column, name: str, rows: int | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """df with `name`, the number of its range by key, ascending. Ranges hold about rows_per_range rows; rows of one key are in one range."""
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    fixed = (T.NumericType, T.BooleanType, T.DatetimeType)
+    wide = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, fixed)]
+    return sum((F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) for c in wide), F.lit(8 * len(df.columns)))
+
+
+def with_ranges(df: DataFrame, key: Column, name: str, rows: int | None = None, rows_per_range: int = ROWS_PER_RANGE, bytes_: int = 0) -> DataFrame:
+    """df with `name`, the number of its range by key, ascending. Ranges hold about rows_per_range rows, and BYTES_PER_RANGE of the
+    bytes_ that all rows have; rows of one key are in one range."""
     rows = df.count() if rows is None else rows
-    parts = -(-rows // rows_per_range)
+    parts = max(-(-rows // rows_per_range), min(rows, -(-bytes_ // BYTES_PER_RANGE)))
     if parts <= 1:
         return df.withColumn(name, F.lit(0))
     picked = df.select(key.alias("k")).sample(min(1.0, SAMPLED_PER_RANGE * parts / rows), seed=1).agg(F.sort_array(F.collect_list(F.struct("k"))).alias("s"))
@@ -47,7 +57,8 @@ def renumber(df: DataFrame, order: list[Column], start: int = 0, name: str = "n"
     the whole row, so numbers are the same for any partitioning; equal rows are interchangeable. A column `name` of df is replaced."""
     cols = [c for c in df.columns if c != name]
     keyed = df.select(*[F.col(f"`{c}`") for c in cols], F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)], _hashed(df).alias("_h")).alias("\x00by"))
-    ranged = with_ranges(keyed, F.col("\x00by"), "\x00range", rows_per_range=rows_per_range)
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_bytes(df).cast("bigint")), F.lit(0)).alias("b")).first()
+    ranged = with_ranges(keyed, F.col("\x00by"), "\x00range", size["n"], rows_per_range, size["b"])
     counts = ranged.groupBy("\x00range").agg(F.count(F.lit(1)).alias("\x00rows"))
     # one row a range
     before = counts.select("\x00range", F.coalesce(F.sum("\x00rows").over(Window.orderBy("\x00range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("\x00before"))

@@ -117,3 +117,15 @@ def test_pairing_of_a_hot_title_in_ranges(spark):
                 closes.remove(near)
                 want += 1
     assert cut.count() == want
+
+
+def test_long_rows_make_more_ranges(spark, monkeypatch):
+    """A range is bounded by its bytes as well as by its rows."""
+    df = spark.range(400).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array(F.lit("y" * 50)).alias("more"))
+    monkeypatch.setattr(ordered, "BYTES_PER_RANGE", 40_000)
+    used = []
+    real = ordered.with_ranges
+    monkeypatch.setattr(ordered, "with_ranges", lambda *a, **k: used.append(real(*a, **k)) or used[-1])
+    got = tables.renumber(df.repartition(3), [F.col("id")]).collect()
+    assert sorted((r["id"], r["n"]) for r in got) == [(i, i) for i in range(400)]
+    assert used[0].groupBy("\x00range").agg(F.sum(F.length("text")).alias("b")).agg(F.count("*"), F.max("b") < 80_000).first()[0:2] >= (8, True)
