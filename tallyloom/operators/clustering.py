@@ -1,11 +1,14 @@
 """Staged average-linkage clustering of the tasks of a group.
 
-Linkage is sequential, so a group is clustered in one task; groups run in parallel, and one larger than `max_items` is
-refused rather than cut. The dendrogram is built once and cut at every threshold.
+Linkage is sequential, so a group is clustered in one task; groups run in parallel. The dendrogram is built once and cut at every threshold.
+A group of up to `max_items` has a matrix of distances. A larger one is held as its unit vectors only: mean distances between
+clusters, within one, and from an item to a cluster are all 1 less dot products of sums of unit vectors, so memory grows with the
+number of items, and time as its square. Both give the same clusters, unless distances between other than copies are equal.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +25,7 @@ class ClusterParams:
     singles_share: float = 0.2
     loose_above: float = 0.65
     tight_below: float = 0.5
+    #: Items of a group that has its distances as a matrix.
     max_items: int = 5000
 
 
@@ -179,14 +183,180 @@ def distances(vectors: np.ndarray) -> np.ndarray:
     return np.clip(1 - v @ v.T, 0, None)
 
 
+class Vectors:
+    """The same stages over unit vectors, without their distances."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+
+    def linkage(self, items: np.ndarray) -> list[tuple[float, int, int]]:
+        """Merges as linkage() gives them, by chains of nearest neighbours: each link is nearer than the one before, the last two are
+        each other's nearest and merge. Copies merge first."""
+        n, v = len(items), self.v[items]
+        out: list[tuple[float, int, int]] = []
+        first: dict[bytes, int] = {}
+        size = np.ones(n)
+        for i in range(n):
+            k = v[i].tobytes()
+            if v[i].any() and first.setdefault(k, i) != i:
+                out.append((0.0, first[k], i))
+                size[first[k]] += 1
+                size[i] = 0
+        live = np.flatnonzero(size)
+        name, size = live.copy(), size[live]
+        mean = v[live]  # of each cluster; cluster k is in row k until rows are closed up
+        height, alive = np.zeros(len(live)), np.ones(len(live), dtype=bool)
+        chain: list[int] = []
+        left, at = len(live), 0
+        while left > 1:
+            if not chain:
+                while not alive[at]:
+                    at += 1
+                chain.append(at)
+            a = chain[-1]
+            sim = mean @ mean[a]
+            sim[~alive] = -np.inf
+            sim[a] = -np.inf
+            b = int(sim.argmax())
+            if len(chain) > 1 and sim[chain[-2]] >= sim[b]:
+                b = chain[-2]
+                chain = chain[:-2]
+                h = max(0.0, 1 - float(sim[b]), height[a], height[b])
+                a, b = (a, b) if name[a] < name[b] else (b, a)
+                out.append((h, int(name[a]), int(name[b])))
+                mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+                size[a] += size[b]
+                height[a], alive[b] = h, False
+                left -= 1
+                if left * 2 < len(alive):  # close up
+                    keep = np.flatnonzero(alive)
+                    to = np.cumsum(alive) - 1
+                    chain, at = [int(to[c]) for c in chain], 0
+                    mean, size, height, name, alive = mean[keep], size[keep], height[keep], name[keep], np.ones(left, dtype=bool)
+            else:
+                chain.append(b)
+        return sorted(out, key=lambda m: m[0])  # stable, and no part is higher than what it is in
+
+    def spread(self, items: list[int]) -> float:
+        n = len(items)
+        if n < 2:
+            return 0.0
+        v = self.v[items]
+        total, own = v.sum(axis=0), float((v * v).sum())
+        return max(0.0, 1 - (float(total @ total) - own) / (n * (n - 1)))
+
+    def silhouette(self, items: np.ndarray, labels: np.ndarray) -> float:
+        v, k = self.v[items], labels.max() + 1
+        order = np.argsort(labels, kind="stable")
+        sizes = np.bincount(labels, minlength=k)
+        sums = np.add.reduceat(v[order], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+        means, total = sums / sizes[:, None], 0.0
+        for x in range(0, len(v), 256):
+            part, c = v[x : x + 256], labels[x : x + 256]
+            rows = np.arange(len(part))
+            sim = part @ means.T
+            own = sizes[c]
+            a = np.where(own > 1, 1 - (sim[rows, c] * own - (part * part).sum(axis=1)) / np.maximum(own - 1, 1), 0)
+            sim[rows, c] = -np.inf
+            a, b = np.maximum(a, 0), np.maximum(1 - sim.max(axis=1), 0)
+            total += float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum())
+        return total / len(v)
+
+    def best_cut(self, items: np.ndarray) -> np.ndarray:
+        n, best, last, labels = len(items), -2.0, 0, np.zeros(len(items), dtype=int)
+        merges = self.linkage(items)
+        for th in THRESHOLDS:
+            got = cut(merges, n, th)
+            k = got.max() + 1
+            if 1 < k <= n // 2 and k != last and (s := self.silhouette(items, got)) > best:
+                best, labels = s, got
+            last = k
+        return labels
+
+    def resplit(self, items: list[int]) -> list[list[int]]:
+        if len(items) == 2:
+            return [[items[0]], [items[1]]]
+        if len(items) == 3:
+            return [items[:2], items[2:]]
+        at = np.array(items)
+        merges, found = self.linkage(at), {}
+        tops = [h for h, _, _ in merges[-3:]]  # two or three clusters are left between the last heights only
+        for th in THRESHOLDS:
+            if tops[0] < th <= tops[-1]:
+                got = cut(merges, len(items), th)
+                k = got.max() + 1
+                if k in (2, 3):
+                    s = self.silhouette(at, got)
+                    if k not in found or s > found[k][0] or np.isclose(s, found[k][0]):
+                        found[k] = (s, got)
+        if not found:
+            half = len(items) // 2
+            return [items[:half], items[half:]]
+        k = 3 if 3 in found and (2 not in found or found[3][0] >= found[2][0]) else 2
+        return _parts(items, found[k][1])
+
+    def tighten(self, items: list[int], limit: float) -> list[list[int]]:
+        """From one cluster on the merges are undone one by one, and the mean of the spreads goes along."""
+        merges = self.linkage(np.array(items))
+        n = len(items)
+        # Sums, numbers and squares of all clusters of the tree, bottom up.
+        total, size, own, steps = self.v[items].copy(), np.ones(n), (self.v[items] ** 2).sum(axis=1), []
+        value = lambda s, m, q: max(0.0, 1 - (float(s @ s) - q) / (m * (m - 1))) if m > 1 else 0.0
+        now = np.zeros(n)
+        for _, a, b in merges:
+            before = now[a] + now[b]
+            total[a] += total[b]
+            size[a] += size[b]
+            own[a] += own[b]
+            now[a] = value(total[a], size[a], own[a])
+            steps.append(before - now[a])
+        mean = now[merges[-1][1]]
+        for k in range(2, n + 1):
+            mean += steps[n - k]
+            if mean / k <= limit:
+                return _parts(items, _cut_to(merges, n, k))
+        return [[x] for x in items]
+
+    def cluster(self, p: ClusterParams) -> np.ndarray:
+        n = len(self.v)
+        queue, final = deque(_parts(list(range(n)), self.best_cut(np.arange(n)))), []
+        while queue:
+            items = queue.popleft()
+            if len(items) > 1 and self.spread(items) > p.split_above:
+                queue += self.resplit(items)
+            else:
+                final.append(items)
+        singles = [x[0] for x in final if len(x) == 1]
+        if len(singles) / n >= p.singles_share and len(singles) > 1:
+            again = _parts(singles, self.best_cut(np.array(singles)))
+            final = [x for x in final if len(x) > 1] + again
+        spreads = [self.spread(x) for x in final]
+        done = [x for x, s in zip(final, spreads, strict=True) if s <= p.loose_above]
+        loose, new = deque(x for x, s in zip(final, spreads, strict=True) if s > p.loose_above), []
+        while loose:
+            items = loose.popleft()
+            if self.spread(items) <= p.tight_below:
+                new.append(items)
+                continue
+            for part in self.tighten(items, p.tight_below):
+                (loose if self.spread(part) > p.tight_below and len(part) < len(items) else new).append(part)
+        labels = np.zeros(n, dtype=int)
+        for k, items in enumerate([*new, *done]):
+            labels[items] = k
+        return labels
+
+
 def cluster_groups(df: DataFrame, group: str, id_: str, vec: str = "embedding", stage: str = "full", p: ClusterParams = ClusterParams()) -> DataFrame:
     """group, id and cluster of every item; stage "first" stops after the first cut."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > p.max_items:
-            raise ValueError(f"a group of {len(pdf)} items; the most is {p.max_items}")
         pdf = pdf.sort_values(id_)
-        d = distances(np.stack(pdf[vec].to_numpy()).astype(float))
+        v = np.stack(pdf[vec].to_numpy()).astype(float)
+        if len(pdf) > p.max_items:
+            large = Vectors(v)
+            labels = large.best_cut(np.arange(len(v))) if stage == "first" else large.cluster(p)
+            return pd.DataFrame({group: pdf[group], "id": pdf[id_], "cluster": labels})
+        d = distances(v)
         labels = (best_cut(d) if len(d) > 1 else np.zeros(len(d), dtype=int)) if stage == "first" else cluster(d, p)
         return pd.DataFrame({group: pdf[group], "id": pdf[id_], "cluster": labels})
 
