@@ -4,6 +4,8 @@ import tracemalloc
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyloom.operators import rouge
 
 
@@ -63,3 +65,15 @@ def test_union_of_lines(spark):
     df = spark.createDataFrame([(1, "the cats sat\non the mat", "a cat sat\nthe mat was on"), (2, None, "x"), (3, "", ""), (4, "same\nline", "same\nline")], "id int, p string, r string")
     assert {r["id"]: round(r["rouge"], 4) for r in rouge.rouge_lsum(df, "id", "p", "r").collect()} == {1: 0.6154, 2: 0.0, 3: 0.0, 4: 1.0}
     assert {r["id"]: round(r["rouge"], 4) for r in rouge.rouge_lsum(df, "id", "p", "r", stemmed=False).collect()} == {1: 0.4615, 2: 0.0, 3: 0.0, 4: 1.0}
+
+
+def test_python_gets_texts_not_lists_of_words(spark):
+    """Lists of words of a whole batch took the executors' Python memory; a batch is texts, and words exist for a row."""
+    df = spark.createDataFrame([(1, "Running dogs\nwere jumping", "the dogs ran\njumping"), (2, None, "a"), (3, "", "")], "id int, p string, r string")
+    sends = lambda q: [line for line in q._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in line]
+    for f, arg in ((rouge.rouge_n, (1, True)), (rouge.rouge_l, (True,)), (rouge.rouge_lsum, ())):
+        q = f(df, "id", "p", "r", *arg)
+        assert sends(q) and not [1 for u in q._jdf.queryExecution().analyzed().toString().splitlines() if "_udf(" in u]
+        assert {r["id"]: r["rouge"] > 0 for r in q.collect()} == {1: True, 2: False, 3: False}
+    words = df.select(rouge.stem_words(rouge.tokens(F.col("p"))).alias("w")).collect()
+    assert [r["w"] for r in words] == [[rouge.stem(w) for w in ("running", "dogs", "were", "jumping")], [], []]
