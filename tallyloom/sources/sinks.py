@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import glob
+import os
 import shutil
 import tempfile
 import uuid
@@ -85,6 +87,50 @@ def _exists(spark: SparkSession, url: str, table: str, properties: dict[str, str
         con.close()
 
 
+_CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _local(path: str) -> str:
+    if not path.startswith(("file:", "/")):
+        raise ValueError("an embedded database loads from and exports to local files only")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def _calls(spark: SparkSession, url: str, properties: dict[str, str], *statements: str) -> None:
+    con = _connection(spark, url, properties)
+    try:
+        for one in statements:
+            con.createStatement().execute(one)
+    finally:
+        con.close()
+
+
+def batch_embedded(df: DataFrame, batch: int, url: str, table: str, properties: dict[str, str]) -> None:
+    """batch_jdbc() for a Derby database within the driver's process, which tasks in other processes can't open: they write files, which the
+    database loads one after another. The batch's number has an index."""
+    spark, rows = df.sparkSession, df.drop("epoch").withColumn("batch_id", F.lit(batch).cast("bigint"))
+    if _exists(spark, url, table, properties):
+        _delete_batch(spark, url, table, properties, batch)
+    else:
+        rows.limit(0).write.jdbc(url, table, mode="append", properties=properties)  # makes the table; no task has a row
+        _calls(spark, url, properties, f'create index {table}_batch on {table} ("batch_id")')
+    path = scratch(spark, "load")
+    rows.write.options(**_CSV).csv(path)
+    files = sorted(glob.glob(f"{_local(path)}/part-*"))
+    load = "call syscs_util.syscs_import_table(null, '{}', '{}', ',', '\"', 'UTF-8', 0)"
+    _calls(spark, url, properties, *[load.format(table.upper(), f) for f in files])
+
+
+def back_embedded(spark: SparkSession, url: str, table: str, properties: dict[str, str], schema: str, batches: list[int]) -> DataFrame:
+    """The rows of these batches, exported to a file each."""
+    path = scratch(spark, "export")
+    os.makedirs(_local(path))
+    get = "call syscs_util.syscs_export_query('select * from {} where \"batch_id\" = {}', '{}/{}.csv', ',', '\"', 'UTF-8')"
+    _calls(spark, url, properties, *[get.format(table, int(b), _local(path), int(b)) for b in batches])
+    # what is quoted and empty is a text, what is not quoted is null
+    return spark.read.schema(schema).options(**_CSV, multiLine=True, nullValue="\x00").csv(path)
+
+
 def stream_jdbc(commands: DataFrame, url: str, table: str, properties: dict[str, str], checkpoint: str):
     """A stream of command activity into a database table, each batch once; returns the started query."""
     write = lambda df, batch: batch_jdbc(df, batch, url, table, properties)

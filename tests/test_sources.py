@@ -72,3 +72,14 @@ def test_jdbc_stream(spark, tmp_path):
     names = lambda: sorted(r["name"] for r in spark.read.jdbc(url, "commands", properties=DERBY).collect())
     want = sorted([f"cmd {i}" for i in [*range(6), 50, 51, 52]])
     assert names() == want
+
+
+def test_embedded_batches_keep_odd_texts_and_are_repeated_without_doubles(spark, tmp_path):
+    """Tasks never open the database, which lies in the driver's process."""
+    rows = [("a", 1.5), (' "b", c', 2.0), ("two\nlines", 3.0), ("", 4.0), (None, 5.0), ("é ", None)]
+    df = spark.createDataFrame(rows, "name string, minutes double").repartition(3)
+    url = f"jdbc:derby:{tmp_path}/own;create=true"
+    for batch in (0, 1, 1):
+        sinks.batch_embedded(df, batch, url, "commands", DERBY)
+    back = sinks.back_embedded(spark, url, "commands", DERBY, "name string, minutes double, batch_id bigint", [0, 1])
+    assert sorted(map(repr, (tuple(r) for r in back.collect()))) == sorted(repr((*r, b)) for r in rows for b in (0, 1))
