@@ -6,7 +6,10 @@ trie (`pattern_trie.py`), so no pattern is expanded into all its texts. Describi
 
 from __future__ import annotations
 
+import math
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -112,10 +115,9 @@ def _loose(element: str) -> str:
     return re.sub(r"^(.*?)=\S+", r"\1={}", " ".join(element.split()))
 
 
-def tries(patterns: pd.DataFrame) -> dict[str, Trie]:
-    """The patterns of one command (pattern and order) as two tries, of exact elements and of those without values."""
+def _tries(patterns: Iterable) -> dict[str, Trie]:
     exact, loose = Trie(), Trie()
-    for r in patterns.itertuples():
+    for r in patterns:
         order = (r.file, r.entry_ord, r.pattern_ord)
         for row in rows_of(r.pattern, split_outside_quotes, split_words, lambda head, i, w: _element(head, i, w, r.cmd_name)):
             exact.add(order, row)
@@ -123,32 +125,61 @@ def tries(patterns: pd.DataFrame) -> dict[str, Trie]:
     return {"exact": exact, "loose": loose}
 
 
+def tries(patterns: pd.DataFrame) -> dict[str, Trie]:
+    """The patterns of one command (pattern and order) as two tries, of exact elements and of those without values."""
+    return _tries(patterns.itertuples())
+
+
 #: Distinct keys of one command that a task looks up.
 KEYS_AT_ONCE = 50_000
+#: Rows of all commands that make a bucket, on average.
+BUCKET_ROWS = 10_000
+
+
+def _buckets(df: DataFrame, rows: int) -> int:
+    """How many buckets commands are dealt to, so that a bucket has many small commands, and all cores have buckets."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / BUCKET_ROWS))
+
+
+def _in_buckets(df: DataFrame, buckets: int):
+    """df grouped by _bucket. The number of partitions is set, as buckets are small in bytes but not in work, and would be put into one task."""
+    return df.repartition(buckets, "_bucket").groupBy("_bucket")
 
 
 def match_keys(dictionary: DataFrame, keys: DataFrame, at_once: int = KEYS_AT_ONCE) -> DataFrame:
     """cmd_name, form, key and description: for each distinct key (cmd_name, form, key; form is exact or loose) the first pattern of its
     command, by file, entry and place, with the same command elements. Keys that none matches are left out, so are patterns
-    without command elements. A command with many keys is dealt to several tasks, each with its patterns."""
+    without command elements. A command with many keys is dealt to several tasks, each with its patterns; commands with few share one."""
     keys = written(keys.filter("cmd_name is not null and size(key) > 0").distinct(), "keys")
     salts = keys.groupBy("cmd_name").agg(F.count(F.lit(1)).alias("n")).select("cmd_name", F.ceil(F.col("n") / at_once).alias("_salts"))
     # names of their own, as both sides may come from one frame
     rows = dictionary.select(F.col("cmd_name").alias("_name"), "pattern", "file", "entry_ord", "pattern_ord").join(salts.select(F.col("cmd_name").alias("_name"), F.col("_salts").alias("_of")), "_name")
-    rows = rows.select(F.col("_name").alias("_c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_of") - 1)).alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("pattern", "file", "entry_ord", "pattern_ord")])
-    dealt = keys.join(salts, "cmd_name").withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("_salts")))
+    buckets = _buckets(keys, keys.count() + (rows.agg(F.sum("_of")).first()[0] or 0))
+    bucket = lambda name, salt: F.pmod(F.xxhash64(name, salt), F.lit(buckets))
+    held = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_of") - 1), lambda salt: bucket(F.col("_name"), salt)))
+    rows = rows.select(F.col("_name").alias("_c"), F.explode(held).alias("_bucket"), *[F.col(c).alias(f"_{c}") for c in ("pattern", "file", "entry_ord", "pattern_ord")])
+    dealt = keys.join(salts, "cmd_name").withColumn("_bucket", bucket(F.col("cmd_name"), F.pmod(F.xxhash64("key"), F.col("_salts"))))
 
     def look(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or known.empty:
-            return pd.DataFrame(columns=["cmd_name", "form", "key", "file", "entry_ord", "pattern_ord"])
-        both = tries(known.rename(columns={"_c": "cmd_name"} | {f"_{c}": c for c in ("pattern", "file", "entry_ord", "pattern_ord")}))
-        found = [both[f].find(tuple(k)) for f, k in zip(asked["form"], asked["key"], strict=True)]
-        hit = [i for i, x in enumerate(found) if x is not None]
+        patterns, places = defaultdict(list), defaultdict(list)
+        for r in known.rename(columns={"_c": "cmd_name"} | {f"_{c}": c for c in ("pattern", "file", "entry_ord", "pattern_ord")}).itertuples():
+            patterns[r.cmd_name].append(r)
+        for i, name in enumerate(asked["cmd_name"]):
+            places[name].append(i)
+        forms, texts, hit, found = list(asked["form"]), list(asked["key"]), [], []
+        for name, at in places.items():
+            if name not in patterns:
+                continue
+            both = _tries(patterns.pop(name))
+            for i in at:
+                if (x := both[forms[i]].find(tuple(texts[i]))) is not None:
+                    hit.append(i)
+                    found.append(x)
         out = asked.iloc[hit][["cmd_name", "form", "key"]].reset_index(drop=True)
-        return pd.concat([out, pd.DataFrame([found[i] for i in hit], columns=["file", "entry_ord", "pattern_ord"])], axis=1)
+        return pd.concat([out, pd.DataFrame(found, columns=["file", "entry_ord", "pattern_ord"])], axis=1)
 
     kinds = rows.schema
-    met = dealt.groupBy("cmd_name", "_salt").cogroup(rows.groupBy("_c", "_s")).applyInPandas(
+    met = _in_buckets(dealt, buckets).cogroup(_in_buckets(rows, buckets)).applyInPandas(
         look, f"cmd_name string, form string, key array<string>, file {kinds['_file'].dataType.simpleString()}, entry_ord {kinds['_entry_ord'].dataType.simpleString()}, pattern_ord {kinds['_pattern_ord'].dataType.simpleString()}"
     )
     place = ["cmd_name", "file", "entry_ord", "pattern_ord"]
@@ -212,28 +243,41 @@ def new_subcommands(dictionary: DataFrame, found: DataFrame) -> DataFrame:
     return found.dropDuplicates(["cmd_name", "subcommand"]).withColumn("pattern", pattern).join(dictionary.select("cmd_name", "pattern"), ["cmd_name", "pattern"], "left_anti").select("cmd_name", "pattern", "description")
 
 
-def _near(options: DataFrame, entries: DataFrame) -> DataFrame:
+def _nearest(options: list[tuple[str, str | None]], entries: list[tuple[str | None, int]]) -> list[tuple[str, int]]:
+    """odesc and entry_ord of one command: its options as odesc and text, its entries as text and entry_ord."""
+    best: dict[str, int] = {}
+    texts = [t if t else None for _, t in options]
+    own = {t: int(n) for t, n in sorted(entries, key=lambda x: -x[1]) if t}
+    for t, hit in zip(texts, find_patterns(texts, own), strict=True):
+        if hit is not None:
+            best[t] = hit
+    # the other way every option that an entry holds counts
+    names = list(dict.fromkeys(t for t in texts if t))
+    held = find_patterns([t for t in own], {t: k for k, t in enumerate(names)}, every=True)
+    for n, hits in zip(own.values(), held, strict=True):
+        for k in hits:
+            best[names[k]] = min(best.get(names[k], n), n)
+    return [(d, best[t]) for d, t in dict(zip((d for d, _ in options), texts, strict=True)).items() if t in best]
+
+
+def _near(options: DataFrame, entries: DataFrame, rows: int) -> DataFrame:
     """cmd_name, odesc and entry_ord: the first entry of its command whose text holds an option's text, or is held by it. One pass
-    over the texts of a command each way; no pair is tried."""
+    over the texts of a command each way; no pair is tried. rows: how many rows both have at most."""
     kind = entries.schema["entry_ord"].dataType.simpleString()
 
     def look(key: tuple, o: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        best: dict[str, int] = {}
-        texts = [t if t else None for t in o["text"]]
-        own = {t: int(n) for t, n in sorted(zip(e["text"], e["entry_ord"], strict=True), key=lambda x: -x[1]) if t}
-        for t, hit in zip(texts, find_patterns(texts, own), strict=True):
-            if hit is not None:
-                best[t] = hit
-        # the other way every option that an entry holds counts
-        held = find_patterns([t for t in own], {t: k for k, t in enumerate(dict.fromkeys(t for t in texts if t))}, every=True)
-        names = list(dict.fromkeys(t for t in texts if t))
-        for n, hits in zip(own.values(), held, strict=True):
-            for k in hits:
-                best[names[k]] = min(best.get(names[k], n), n)
-        rows = [(key[0], d, best[t]) for d, t in dict(zip(o["odesc"], texts, strict=True)).items() if t in best]
-        return pd.DataFrame(rows, columns=["cmd_name", "odesc", "entry_ord"])
-
-    return options.distinct().groupBy("cmd_name").cogroup(entries.groupBy("cmd_name")).applyInPandas(look, f"cmd_name string, odesc string, entry_ord {kind}")
+        asked, known = defaultdict(list), defaultdict(list)
+        for name, d, t in zip(o["cmd_name"], o["odesc"], o["text"], strict=True):
+            asked[name].append((d, t))
+        for name, t, n in zip(e["_name"], e["_text"], e["_ord"], strict=True):
+            known[name].append((t, n))
+        return pd.DataFrame([(name, d, n) for name in asked for d, n in _nearest(asked[name], known[name])], columns=["cmd_name", "odesc", "entry_ord"])
+
+    buckets = _buckets(options, rows)
+    dealt = lambda df, name: _in_buckets(df.withColumn("_bucket", F.pmod(F.xxhash64(name), F.lit(buckets))), buckets)
+    # names of their own, as both sides may come from one frame
+    entries = entries.select(F.col("cmd_name").alias("_name"), F.col("text").alias("_text"), F.col("entry_ord").alias("_ord"))
+    return dealt(options.distinct(), "cmd_name").cogroup(dealt(entries, "_name")).applyInPandas(look, f"cmd_name string, odesc string, entry_ord {kind}")
 
 
 def merge_options(dictionary: DataFrame, options: DataFrame) -> DataFrame:
@@ -243,7 +287,7 @@ def merge_options(dictionary: DataFrame, options: DataFrame) -> DataFrame:
     entries = dictionary.groupBy("cmd_name", "entry_ord").agg(F.min("description").alias("description"), F.array_sort(F.collect_set("pattern")).alias("cmds"))
     o = options.select("cmd_name", F.col("description").alias("odesc"), "variants")
     low = lambda c: F.lower(F.trim(c))
-    pairs = o.join(_near(o.select("cmd_name", "odesc", low(F.col("odesc")).alias("text")), entries.select("cmd_name", "entry_ord", low(F.col("description")).alias("text"))), ["cmd_name", "odesc"])
+    pairs = o.join(_near(o.select("cmd_name", "odesc", low(F.col("odesc")).alias("text")), entries.select("cmd_name", "entry_ord", low(F.col("description")).alias("text")), dictionary.count() + options.count()), ["cmd_name", "odesc"])
     grown = pairs.groupBy("cmd_name", "entry_ord").agg(F.array_distinct(F.flatten(F.collect_list("variants"))).alias("more"))
     kept = entries.join(grown, ["cmd_name", "entry_ord"], "left").withColumn("cmds", F.array_sort(F.array_union("cmds", F.coalesce("more", F.array().cast("array<string>"))))).drop("more")
     known = entries.groupBy("cmd_name").agg(F.array_distinct(F.flatten(F.collect_list("cmds"))).alias("all"), F.max("entry_ord").alias("top"))

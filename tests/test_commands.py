@@ -89,6 +89,22 @@ def test_large_dictionary(spark):
     assert {(r["cmd_name"], r["form"], tuple(r["key"])): r["description"] for r in found.collect()} == want
 
 
+def test_many_small_commands(spark):
+    """4,000 commands with a pattern each share calls, and more than one task has some; a call for each of them took over 20 s."""
+    took = []
+    for n in (40, 4000):
+        d = spark.range(n).select(F.lit("f").alias("file"), F.concat(F.lit("c"), "id").alias("cmd_name"), F.lit(0).alias("entry_ord"), F.lit(0).alias("pattern_ord"), F.concat(F.lit("c"), "id", F.lit(" {{[-a|--all]}}")).alias("pattern"), F.concat(F.lit("about "), "id").alias("description"))
+        keys = d.select("cmd_name", F.lit("exact").alias("form"), F.explode(F.array(*[F.array("cmd_name", F.concat("cmd_name", F.lit(o))) for o in (" -a", " --all", " -b")])).alias("key"))
+        options = d.select("cmd_name", F.concat(F.lit("About "), F.substr("cmd_name", F.lit(2)), F.lit(" and more")).alias("description"), F.array(F.concat("cmd_name", F.lit(" -n"))).alias("variants"))
+        start = time.time()
+        found = commands.match_keys(d, keys).collect()
+        merged = commands.merge_options(d, options).collect()
+        took.append(time.time() - start)
+        assert sorted((r["cmd_name"], *r["key"], r["description"]) for r in found) == sorted((f"c{i}", f"c{i}", f"c{i} {o}", f"about {i}") for i in range(n) for o in ("-a", "--all"))
+        assert sorted((r["cmd_name"], r["entry_ord"], *r["cmds"]) for r in merged) == sorted((f"c{i}", 0, f"c{i} -n", f"c{i} {{{{[-a|--all]}}}}") for i in range(n))
+    assert took[1] < took[0] + 15
+
+
 @pytest.mark.parametrize("text", ["a && b || c", "a&&b", "echo 'x && y' | z;;w", 'say "it; is', "a & b &&& c", "x|y||z", "", "  ;  ", "it's; ok' | b"])
 def test_parts(spark, text):
     want = [p for p in commands.split_outside_quotes(text, ("&&", "||", "|", ";")) if p]
