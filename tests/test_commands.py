@@ -10,9 +10,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as fx
-from tallyloom.functions.token_types import token_type
+from tallyloom.functions.token_types import _by_rules, token_type
 from tallyloom.operators import commands, tables
 from tallyloom.operators.pattern_trie import choices
+from tallyloom.plans.queries import QUERIES
 
 
 @pytest.mark.parametrize("text,want", [("a 'b c' d", ["a", "'b c'", "d"]), ('--f="x y" z', ['--f="x', 'y"', "z"]), ("a 'open", ["a", "'open"]), ("", []), ("  x  ", ["x"])])
@@ -158,6 +159,25 @@ def test_token_type(spark, token, main, prev, i, want):
     assert df.select(token_type(F.col("t"), F.col("m"), F.col("p"), F.col("i")).alias("x")).first()["x"] == want
 
 
+def test_plain_words_are_typed_by_the_rules(spark):
+    """What is typed by one pattern has the type that the rules give, for all texts of few signs and for words that rules name."""
+    rng = random.Random(4)
+    signs = "aG9-_.:/@~'\"{}|!&,$ \tàÿſſK"
+    tokens = ["".join(t) for n in (0, 1, 2) for t in product(signs, repeat=n)] + ["".join(rng.choices(signs, k=rng.randint(3, 8))) for _ in range(3000)]
+    named = ["gw", "nginx", "apache", "get", "post", "pſt", "poſt", "po\ufb06", "head", "options", "patch", "mx", "aaaa", "srv", "a", "curl", "python", "ls", "ab12", "999999", "0123456", "65536", "80", "1-2", "a" * 21, "x\n", "x\u0085"]
+    tokens += [p + f(w) + e for w in named for f in (str.lower, str.upper, str.title) for p in ("", "-", "|") for e in ("", ".", ",", ".!!", ".a", "&&&", " ")]
+    df = spark.createDataFrame([(t, m, p, i) for t in [*dict.fromkeys(tokens), None] for m, p, i in (("curl", None, 1), ("python", "-m", 2), ("tcpdump", "tcpdump -i", 2), ("hydra", "hydra -l", 2), ("a", "port", 0), (None, None, 1))], "t string, m string, p string, i int")
+    args = [F.col("m"), F.col("p"), F.col("i")]
+    wrong = df.filter(~token_type(F.col("t"), *args).eqNullSafe(_by_rules(F.regexp_replace("t", r"^\s+|\s+$", ""), *args))).collect()
+    assert not wrong
+
+
+def test_token_types_move_no_rows(spark, sf_dir):
+    """Tokens are typed where they stand, so there is no shuffle, broadcast or sort of them."""
+    plan = QUERIES["token_types"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan" in plan and not re.search("Exchange|Join|Aggregate|Sort", plan)
+
+
 def test_elements_and_descriptions(spark):
     df = spark.createDataFrame([(0, "sudo tar -xv a.txt | git commit -m 'x y'"), (1, "ls -l"), (2, "nope ./go.b.sh 5")], "id long, command string")
     parts = {(r["id"], r["part"]): r["elems"] for r in commands.command_parts(df).collect()}
