@@ -3,9 +3,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from xxhash import xxh64_intdigest
 
-from tallyloom.llm.kneser_ney import END, LmParams, bigram_key, discounts, log_probabilities, pack_bigrams, score_documents, token_hashes, train_model, unpack_bigrams
+from tallyloom.llm import kneser_ney
+from tallyloom.llm.kneser_ney import END, LmParams, bigram_key, discounts, log_probabilities, pack_bigrams, score_documents, texts_hashes, token_hashes, train_model, unpack_bigrams
 from tallyloom.llm.queries import op7_kneser_ney
 from tests.llm.helpers import awkward, documents, with_clashes
 
@@ -106,3 +109,27 @@ def test_no_probability_is_zero(spark):
             assert np.isfinite(x).all() and (10**x).sum() == pytest.approx(1), texts
     for t in ([0, 5, 0, 0], [1, 0, 0, 0], [3, 9, 1, 40], [0, 0, 0, 0], [5, 1, 9, 9]):
         assert (discounts(t)[1:] > 0).all() and (discounts(t) <= [0, 1, 2, 3]).all()
+
+
+def test_hashes_of_many_texts_are_those_of_the_library():
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("aZé\u2003\x1c\x85\xa0\x00 \t\n\x0b\x0c\r"), rng.integers(0, 60))) for _ in range(200)]
+    texts += [None, "", " ", "x" * 31, "x" * 32, "Y" * 700, *("q" * k for k in range(1, 40))]
+    got, sizes = texts_hashes(pa.array(texts).slice(3))
+    want = [[xxh64_intdigest(w, 42) for w in (t or "").encode().lower().split()] + [int(END)] for t in texts[3:]]
+    assert got.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert [len(x) for x in texts_hashes(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_arrays_are_visited_once_for_many_batches(spark, monkeypatch):
+    """Before, each batch of 500 rows visited every array it needed: the visits grew as rows times buckets."""
+    docs = documents(spark, [f"w{i % 7} w{i % 11} w{i % 5}" for i in range(60)]).coalesce(1)
+    m, calls, real = train_model(docs), [], kneser_ney.log_probabilities
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        batches = docs.mapInArrow(lambda bs: bs, docs.schema).toArrow().to_batches(5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    monkeypatch.setattr(kneser_ney, "log_probabilities", lambda *a: calls.append(1) or real(*a))
+    out = list(kneser_ney.scorer(m)(iter(batches)))
+    assert len(batches) > 10 and len(calls) == 1 and sum(b.num_rows for b in out) == 60
