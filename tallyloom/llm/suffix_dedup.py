@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tallyloom.llm.common import kept, mix64, record_batch, text_of, tuned
+from tallyloom.llm.common import gathered, kept, mix64, record_batch, text_of, tuned
 from tallyloom.llm.kneser_ney import pack, unpack
 
 SIZE = 50
@@ -46,6 +46,9 @@ _LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 _BYTES = mix64(np.arange(1, 257, dtype=_U))
+_FACTORS = mix64(np.arange(301, 364, dtype=_U)) | _U(1)
+#: A block sends a message to each slot and to each task, so there are no more of these than the input or this number asks for, and a task sorts up to so many parts.
+_FEW, _PARTS = 200, 8
 #: Bytes that are hashed at once, about: what numpy makes of them stays in a processor's cache.
 _AT_ONCE = 1 << 18
 
@@ -56,7 +59,7 @@ class SuffixParams:
     block_bytes: int = 4 << 20
     #: Anchors that a slot compares, about.
     slot_anchors: int = 4_000_000
-    #: Bytes of pieces whose suffixes a task sorts, about.
+    #: Bytes of pieces whose suffixes are sorted at once, about.
     sort_bytes: int = 2 << 20
     #: Pieces of one anchor that go to one task as they are.
     hot_pieces: int = 30_000
@@ -65,27 +68,30 @@ class SuffixParams:
 # ---- hashes and pieces
 
 
-def _doubled(text: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """For each size a hash of every string of so many bytes: strings of powers of two are joined from halves, others from powers."""
-    power, factor, width = _BYTES[text], _MUL, 1
-    out: list[tuple[np.ndarray | None, int]] = [(None, 0)] * len(sizes)
-    with np.errstate(over="ignore"):
-        while width <= max(sizes):
-            for k, size in enumerate(sizes):
-                h, have = out[k]
-                if size & width:
-                    n = max(0, len(text) - have - width + 1)
-                    out[k] = power[:n] if h is None else h[:n] * factor + power[have : have + n], have + width
-            if len(power) > width:
-                power = power[:-width] * factor + power[width:]
-            else:
-                power = power[:0]
-            factor, width = mix64(factor + _U(width)), 2 * width
-        return [(h ^ (h >> _U(32))) * _MUL for h, _ in out]
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number."""
+    out = np.empty(max(0, len(text) - 7), _U)
+    for k in range(min(8, len(out))):
+        n = len(out[k::8])
+        out[k::8] = text[k : k + 8 * n].view("<u8")
+    return out
 
 
 def string_hashes(text: np.ndarray, size: int) -> np.ndarray:
-    return _doubled(text, (size,))[0]
+    """A hash of every string of so many bytes: a sum of its words, the last of which may overlap, each with a factor of its own."""
+    n = max(0, len(text) - size + 1)
+    if size < 8:
+        power = _BYTES[text]
+        parts = [power[k : k + n] for k in range(size)]
+    else:
+        words = _words(np.ascontiguousarray(text))
+        parts = [words[k : k + n] for k in [*range(0, size - 8, 8), size - 8]]
+    h = parts[0] * _FACTORS[0]
+    for part, factor in zip(parts[1:], _FACTORS[1:]):
+        h += part * factor
+    h ^= h >> _U(32)
+    h *= _MUL
+    return h
 
 
 def _least(h: np.ndarray) -> np.ndarray:
@@ -102,7 +108,7 @@ def pieces(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     of windows of one anchor, SIZE windows at most."""
     if len(text) < SIZE:
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
-    grams, whole = _doubled(text, (ANCHOR, SIZE))
+    grams = string_hashes(text, ANCHOR)
     a = _least(grams)
     long = ends - starts >= SIZE
     first, last = starts[long], ends[long] - SIZE + 1
@@ -119,8 +125,12 @@ def pieces(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     parts = -(-n // SIZE)
     done = SIZE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     at, n = np.repeat(heads, parts) + done, np.minimum(np.repeat(n, parts) - done, SIZE)
-    with np.errstate(over="ignore"):
-        return a[at], at, n, mix64(whole[at] * _MUL + whole[at + n - 1] + n.astype(_U))
+    # What a piece's first and last window hold is asked of these alone, from the hashes of their parts.
+    last = at + n - 1
+    mark = n.astype(_U)
+    for k, from_ in enumerate([*range(0, SIZE - ANCHOR, ANCHOR), SIZE - ANCHOR]):
+        mark += grams[at + from_] * _FACTORS[2 * k] + grams[last + from_] * _FACTORS[2 * k + 1]
+    return a[at], at, n, mix64(mark)
 
 
 # ---- suffix sorting
@@ -305,10 +315,14 @@ class _Block:
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchors, and of each: 0 if one piece has it once, 1 if one piece has it again, else the number of distinct pieces."""
         a, _, _, mark = self.pieces()
-        order = np.lexsort((mark, a))
+        order = np.argsort(a)
         a, mark = a[order], mark[order]
         new = np.ones(len(a), bool)
         new[1:] = a[1:] != a[:-1]
+        several = ~new
+        several[:-1] |= ~new[1:]
+        tied = np.flatnonzero(several)
+        mark[tied] = mark[tied[np.lexsort((mark[tied], a[tied]))]]
         fresh = new.copy()
         fresh[1:] |= mark[1:] != mark[:-1]
         heads = np.flatnonzero(new)
@@ -353,7 +367,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
 
 
 def _anchored(bits: int, slots: int):
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """The distinct anchors of each block, cut to `bits`, by slot."""
         edges = np.array([(k << 64) // slots for k in range(1, slots)], _U)
         for b in _blocks(batches):
@@ -362,9 +376,9 @@ def _anchored(bits: int, slots: int):
             short = anchors >> _U(64 - bits)
             for slot, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if x < y:
-                    yield record_batch({"slot": [slot], "block": [b.block], "blob": [pack(a=np.diff(short[x:y], prepend=_U(0)), n=n[x:y])]}, _SENT)
+                    yield slot, b.block, pack(a=np.diff(short[x:y], prepend=_U(0)), n=n[x:y])
 
-    return anchored
+    return lambda batches: gathered(anchored(batches), _SENT)
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[dict[str, np.ndarray]]]]:
@@ -379,7 +393,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[i
 
 
 def _flagged(hot: int):
-    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """For each message: 0 for an anchor that one piece of the corpus has alone, else 1, 2 for a hot one; and the pieces of both kinds."""
         for slots, blocks, blobs in _held(batches):
             key = np.concatenate([np.cumsum(x["a"], dtype=_U) for x in blobs])
@@ -395,14 +409,14 @@ def _flagged(hot: int):
             z = zstandard.ZstdCompressor(level=3)
             for slot, block, x, e in zip(slots, blocks, blobs, ends, strict=True):
                 f, w = flag[e - len(x["a"]) : e], np.maximum(n[e - len(x["a"]) : e], 1)
-                yield record_batch({"block": [block], "slot": [slot], "flags": [z.compress(f.tobytes())], "cold": [int(w[f == 1].sum())], "hot": [int(w[f == 2].sum())]}, _FLAGS)
+                yield block, slot, z.compress(f.tobytes()), int(w[f == 1].sum()), int(w[f == 2].sum())
 
-    return flagged
+    return lambda batches: gathered(flagged(batches), _FLAGS)
 
 
-def _cut(tasks: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The strings that may repeat of each block, with the least and largest id that have them there, by task."""
+def _cut(tasks: int, parts: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """The strings that may repeat of each block, with the least and largest id that have them there, by task and in the order of its parts."""
         z = zstandard.ZstdCompressor(level=3)
         for b in _blocks(batches):
             keys, at, n, places, number = b.shared()
@@ -412,18 +426,18 @@ def _cut(tasks: int):
             least, most = np.full(len(keys), _LAST, np.int64), np.full(len(keys), np.iinfo(np.int64).min, np.int64)
             np.minimum.at(least, number, ids)
             np.maximum.at(most, number, ids)
-            task = (mix64(keys) % _U(tasks)).astype(np.int64)
-            order = np.argsort(task, kind="stable")
-            cuts = np.searchsorted(task[order], np.arange(tasks + 1))
+            part = (mix64(keys) % _U(tasks * parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            cuts = np.searchsorted(part, np.arange(tasks + 1) * parts)
             for k in range(tasks):
                 which = order[cuts[k] : cuts[k + 1]]
                 if len(which):
                     own = [b.text[x:y] for x, y in zip(at[which].tolist(), (at + n + SIZE - 1)[which].tolist(), strict=True)]
-                    head = pack(size=n[which] + SIZE - 1, number=np.diff(which, prepend=0), least=least[which], most=most[which])
-                    blob = len(head).to_bytes(8, "little") + head + z.compress(b"".join(own))
-                    yield record_batch({"slot": [k], "block": [b.block], "blob": [blob]}, _SENT)
+                    head = pack(size=n[which] + SIZE - 1, number=np.diff(which, prepend=0), least=least[which], most=most[which], part=part[cuts[k] : cuts[k + 1]] - k * parts)
+                    yield k, b.block, len(head).to_bytes(8, "little") + head + z.compress(b"".join(own))
 
-    return cut
+    return lambda batches: gathered(cut(batches), _SENT)
 
 
 def _least_runs(strings: list[bytes], own: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -449,36 +463,46 @@ def _least_runs(strings: list[bytes], own: np.ndarray) -> tuple[np.ndarray, ...]
     return low, high, starts, values
 
 
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block, its strings with windows that have a smaller id than the block's largest for that string: number,
-    and the windows from each start on with the least id that has them."""
-    blocks, heads, number = [], [], {}
-    which = []
-    z = zstandard.ZstdDecompressor()
-    for b in batches:
-        for k in range(b.num_rows):
-            blob = b.column("blob")[k].as_py()
-            at = 8 + int.from_bytes(blob[:8], "little")
-            x = unpack(blob[8:at])
-            sizes = x["size"].astype(np.int64)
-            text = z.decompress(blob[at:], max_output_size=int(sizes.sum()))
-            ends = np.cumsum(sizes)
-            which.append(np.array([number.setdefault(text[e - s : e], len(number)) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], np.int64))
-            heads.append((np.cumsum(x["number"].view(np.int64)), x["least"].view(np.int64), x["most"].view(np.int64)))
-            blocks.append(b.column("block")[k].as_py())
-    if not blocks:
-        return
-    own = np.full(len(number), _LAST, np.int64)
-    for w, (_, least, _) in zip(which, heads, strict=True):
-        np.minimum.at(own, w, least)
-    low, high, starts, values = _least_runs(list(number), own)
-    smallest = np.minimum.reduceat(values, low)
-    for block, w, (numbers, _, most) in zip(blocks, which, heads, strict=True):
-        use = np.flatnonzero(smallest[w] < most)
-        if len(use):
-            a, n = low[w[use]], (high - low)[w[use]]
-            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-            yield record_batch({"block": [block], "blob": [pack(number=numbers[use], n=n, start=starts[at], id=values[at])]}, _FOUND)
+def _solved(parts: int):
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """For each block, its strings with windows that have a smaller id than the block's largest for that string: number,
+        and the windows from each start on with the least id that has them. A task's parts are sorted one after another."""
+        blocks, texts, heads = [], [], []
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            for k in range(b.num_rows):
+                blob = b.column("blob")[k].as_py()
+                at = 8 + int.from_bytes(blob[:8], "little")
+                x = {c: v.view(np.int64) for c, v in unpack(blob[8:at]).items()}
+                texts.append(z.decompress(blob[at:], max_output_size=int(x["size"].sum())))
+                heads.append((x["size"], np.cumsum(x["size"]), np.cumsum(x["number"]), x["least"], x["most"], np.searchsorted(x["part"], np.arange(parts + 1))))
+                blocks.append(b.column("block")[k].as_py())
+        if not blocks:
+            return
+        found: list[list[dict[str, np.ndarray]]] = [[] for _ in blocks]
+        for part in range(parts):
+            number, which = {}, []
+            for text, (size, end, *_, cuts) in zip(texts, heads, strict=True):
+                own = slice(cuts[part], cuts[part + 1])
+                which.append(np.array([number.setdefault(text[e - n : e], len(number)) for n, e in zip(size[own].tolist(), end[own].tolist(), strict=True)], np.int64))
+            if not number:
+                continue
+            own = np.full(len(number), _LAST, np.int64)
+            for w, (_, _, _, least, _, cuts) in zip(which, heads, strict=True):
+                np.minimum.at(own, w, least[cuts[part] : cuts[part + 1]])
+            low, high, starts, values = _least_runs(list(number), own)
+            smallest = np.minimum.reduceat(values, low)
+            for w, (_, _, numbers, _, most, cuts), out in zip(which, heads, found, strict=True):
+                use = np.flatnonzero(smallest[w] < most[cuts[part] : cuts[part + 1]])
+                if len(use):
+                    a, n = low[w[use]], (high - low)[w[use]]
+                    at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    out.append({"number": numbers[cuts[part] + use], "n": n, "start": starts[at], "id": values[at]})
+        for block, out in zip(blocks, found, strict=True):
+            if out:
+                yield block, pack(**{c: np.concatenate([x[c] for x in out]) for c in out[0]})
+
+    return lambda batches: gathered(solved(batches), _FOUND)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -537,14 +561,16 @@ def cut_repeats(docs: DataFrame, p: SuffixParams = SuffixParams()) -> DataFrame:
     run = lambda df, f, schema: df.mapInArrow(f, from_arrow_schema(schema))
     blocks = kept(run(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), _packed(p.block_bytes), _BLOCKS), "suffix-blocks")
     about = (blocks.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0) * 2 // (SIZE - ANCHOR + 2)
-    slots = max(least, -(-about // p.slot_anchors))
+    slots = max(min(least, _FEW), -(-about // p.slot_anchors))
     bits = min(64, max(16, about.bit_length() + 8))
     flags = kept(run(run(blocks, _anchored(bits, slots), _SENT).repartitionById(slots, F.col("slot")), _flagged(p.hot_pieces), _FLAGS), "suffix-flags")
     sums = flags.agg(F.sum("cold").alias("cold"), F.sum("hot").alias("hot")).first()
     # a piece has about 70 bytes; a hot one becomes about 18 windows
-    tasks = max(least, -(-((sums["cold"] or 0) * 70 + (sums["hot"] or 0) * 18 * SIZE) // p.sort_bytes))
+    sorts = max(least, -(-((sums["cold"] or 0) * 70 + (sums["hot"] or 0) * 18 * SIZE) // p.sort_bytes))
+    tasks = max(min(least, _FEW), -(-sorts // _PARTS))
+    parts = -(-sorts // tasks)
     flags_of = flags.groupBy("block").agg(F.collect_list(F.struct("slot", "flags")).alias("flags"), (F.sum("cold") + F.sum("hot")).alias("any")).filter("any > 0").drop("any")
-    strings = run(blocks.join(flags_of, "block"), _cut(tasks), _SENT)
-    found = kept(run(strings.repartitionById(tasks, F.col("slot")), _solved, _FOUND), "suffix-found")
+    strings = run(blocks.join(flags_of, "block"), _cut(tasks, parts), _SENT)
+    found = kept(run(strings.repartitionById(tasks, F.col("slot")), _solved(parts), _FOUND), "suffix-found")
     found_of = found.groupBy("block").agg(F.collect_list("blob").alias("found"))
     return run(blocks.join(flags_of, "block", "left").join(found_of, "block", "left"), _removed, _OUT)

@@ -2,10 +2,13 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tallyloom.llm import suffix_dedup
+from tallyloom.llm.common import gathered
 from tallyloom.llm.queries import op12_suffix_dedup
 from tallyloom.llm.suffix_dedup import SIZE, SuffixParams, common_prefixes, cut_repeats, least_ids, pieces, string_hashes, suffix_order
 
@@ -146,3 +149,18 @@ def test_query(spark, sf_dir):
     got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in op12_suffix_dedup(spark, sf_dir).collect()}
     assert got == want
     assert any(v[1] for v in want.values())
+
+
+def test_a_block_sends_few_messages_however_many_sorts(spark, monkeypatch):
+    """Before, each block sent a message to each sort, and each of them was a batch by itself."""
+    sent, real, rows = [], suffix_dedup._cut, _corpus()
+    monkeypatch.setattr(suffix_dedup, "_FEW", 1)
+    monkeypatch.setattr(suffix_dedup, "_cut", lambda *a: sent.append(a) or real(*a))
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCUMENTS).repartition(3)
+    assert shown(cut_repeats(df, SuffixParams(block_bytes=4000, sort_bytes=700))) == plain(rows)
+    ((tasks, parts),) = sent
+    assert parts == 8 and 1 < tasks < 30
+    schema = pa.schema([("k", pa.int32()), ("blob", pa.binary())])
+    assert [b.num_rows for b in gathered(((k, b"x" * 100) for k in range(1200)), schema)] == [500, 500, 200]
+    assert [b.num_rows for b in gathered(((k, b"x" * 100) for k in range(5)), schema, bytes_most=150)] == [2, 2, 1]
+    assert list(gathered([], schema)) == []
