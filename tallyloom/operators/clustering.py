@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Thresholds 0.45 to 0.84, and the limits of the stages.
 THRESHOLDS = tuple(round(0.45 + 0.01 * k, 2) for k in range(40))
@@ -183,6 +184,26 @@ def distances(vectors: np.ndarray) -> np.ndarray:
     return np.clip(1 - v @ v.T, 0, None)
 
 
+#: Items of a group that shares a task with few others.
+LARGE = 1000
+#: Clusters beyond which nearest ones are asked in rounds, as long as one of so many clusters merges in a round.
+ROUNDS_ABOVE, ROUND_SHARE = 64, 32
+
+
+def _nearest(mean: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The other row of largest product of each asked row, and that product."""
+    near, most = np.zeros(len(asked), dtype=int), np.zeros(len(asked))
+    step = max(16, (4 << 20) // max(1, len(mean)))
+    for x in range(0, len(asked), step):
+        rows = asked[x : x + step]
+        at = np.arange(len(rows))
+        sim = mean[rows] @ mean.T
+        sim[at, rows] = -np.inf
+        near[x : x + step] = to = sim.argmax(axis=1)
+        most[x : x + step] = sim[at, to]
+    return near, most
+
+
 class Vectors:
     """The same stages over unit vectors, without their distances."""
 
@@ -190,8 +211,9 @@ class Vectors:
         self.v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
     def linkage(self, items: np.ndarray) -> list[tuple[float, int, int]]:
-        """Merges as linkage() gives them, by chains of nearest neighbours: each link is nearer than the one before, the last two are
-        each other's nearest and merge. Copies merge first."""
+        """Merges as linkage() gives them. Copies merge first. Then, as long as these are many, all pairs that are each other's nearest merge at
+        once, and nearest ones are products of blocks, asked again of new clusters and those whose nearest has merged. The rest
+        goes by chains of nearest neighbours: each link is nearer than the one before, the last two are each other's nearest and merge."""
         n, v = len(items), self.v[items]
         out: list[tuple[float, int, int]] = []
         first: dict[bytes, int] = {}
@@ -205,9 +227,30 @@ class Vectors:
         live = np.flatnonzero(size)
         name, size = live.copy(), size[live]
         mean = v[live]  # of each cluster; cluster k is in row k until rows are closed up
-        height, alive = np.zeros(len(live)), np.ones(len(live), dtype=bool)
+        height = np.zeros(len(live))
+        near, sim = _nearest(mean, np.arange(len(live) if len(live) > ROUNDS_ABOVE else 0))
+        while len(mean) > ROUNDS_ABOVE:
+            here = np.arange(len(mean))
+            a = np.flatnonzero((near[near] == here) & (here < near))
+            if len(a) * ROUND_SHARE < len(mean):
+                break
+            b = near[a]
+            h = np.maximum(np.maximum(0.0, 1 - sim[a]), np.maximum(height[a], height[b]))
+            a, b = np.where(name[a] < name[b], a, b), np.where(name[a] < name[b], b, a)
+            out += zip(h.tolist(), name[a].tolist(), name[b].tolist())
+            mean[a] = (size[a, None] * mean[a] + size[b, None] * mean[b]) / (size[a] + size[b])[:, None]
+            size[a] += size[b]
+            height[a] = h
+            again, keep = np.zeros(len(mean), dtype=bool), np.ones(len(mean), dtype=bool)
+            again[a], keep[b] = True, False
+            again = (again | again[near] | ~keep[near])[keep]
+            near = (np.cumsum(keep) - 1)[near[keep]]
+            mean, size, height, name, sim = mean[keep], size[keep], height[keep], name[keep], sim[keep]
+            again = np.flatnonzero(again)
+            near[again], sim[again] = _nearest(mean, again)
+        alive = np.ones(len(mean), dtype=bool)
         chain: list[int] = []
-        left, at = len(live), 0
+        left, at = len(mean), 0
         while left > 1:
             if not chain:
                 while not alive[at]:
@@ -245,30 +288,38 @@ class Vectors:
         total, own = v.sum(axis=0), float((v * v).sum())
         return max(0.0, 1 - (float(total @ total) - own) / (n * (n - 1)))
 
-    def silhouette(self, items: np.ndarray, labels: np.ndarray) -> float:
+    def silhouette(self, items: np.ndarray, labels: np.ndarray, near: dict[str, np.ndarray] | None = None) -> float:
+        """near, empty at first, keeps each item's nearest other cluster from a cut to a coarser one: a cluster that has not merged stays the
+        nearest, as no merge brings anything closer. Items that are clusters by themselves have none."""
         v, k = self.v[items], labels.max() + 1
         order = np.argsort(labels, kind="stable")
         sizes = np.bincount(labels, minlength=k)
-        sums = np.add.reduceat(v[order], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
-        means, total = sums / sizes[:, None], 0.0
-        for x in range(0, len(v), 256):
-            part, c = v[x : x + 256], labels[x : x + 256]
-            rows = np.arange(len(part))
-            sim = part @ means.T
-            own = sizes[c]
-            a = np.where(own > 1, 1 - (sim[rows, c] * own - (part * part).sum(axis=1)) / np.maximum(own - 1, 1), 0)
-            sim[rows, c] = -np.inf
-            a, b = np.maximum(a, 0), np.maximum(1 - sim.max(axis=1), 0)
-            total += float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum())
-        return total / len(v)
+        first = np.cumsum(sizes) - sizes
+        means, heads = np.add.reduceat(v[order], first, axis=0) / sizes[:, None], order[first]
+        near = {} if near is None else near
+        if not near:
+            near.update(head=np.full(len(v), -1), size=np.zeros(len(v), dtype=int), sim=np.zeros(len(v)))
+        own, of = sizes[labels], labels[near["head"]]
+        ask = np.flatnonzero((own > 1) & ((heads[of] != near["head"]) | (sizes[of] != near["size"])))
+        for x in range(0, len(ask), 256):
+            rows = ask[x : x + 256]
+            sim = v[rows] @ means.T
+            sim[np.arange(len(rows)), labels[rows]] = -np.inf
+            to = sim.argmax(axis=1)
+            near["head"][rows], near["size"][rows], near["sim"][rows] = heads[to], sizes[to], sim[np.arange(len(rows)), to]
+        use = np.flatnonzero(own > 1)
+        v, c, own = v[use], labels[use], own[use]
+        a = np.maximum(1 - ((v * means[c]).sum(axis=1) * own - (v * v).sum(axis=1)) / (own - 1), 0)
+        b = np.maximum(1 - near["sim"][use], 0)
+        return float(((b - a) / np.maximum(np.maximum(a, b), 1e-300)).sum()) / len(items)
 
     def best_cut(self, items: np.ndarray) -> np.ndarray:
         n, best, last, labels = len(items), -2.0, 0, np.zeros(len(items), dtype=int)
-        merges = self.linkage(items)
+        merges, near = self.linkage(items), {}
         for th in THRESHOLDS:
             got = cut(merges, n, th)
             k = got.max() + 1
-            if 1 < k <= n // 2 and k != last and (s := self.silhouette(items, got)) > best:
+            if 1 < k <= n // 2 and k != last and (s := self.silhouette(items, got, near)) > best:
                 best, labels = s, got
             last = k
         return labels
@@ -360,5 +411,9 @@ def cluster_groups(df: DataFrame, group: str, id_: str, vec: str = "embedding",
         labels = (best_cut(d) if len(d) > 1 else np.zeros(len(d), dtype=int)) if stage == "first" else cluster(d, p)
         return pd.DataFrame({group: pdf[group], "id": pdf[id_], "cluster": labels})
 
-    kind = dict(df.dtypes)
-    return df.select(group, id_, vec).groupBy(group).applyInPandas(run, f"{group} {kind[group]}, id {kind[id_]}, cluster bigint")
+    kind, rows = dict(df.dtypes), df.select(group, id_, vec)
+    # By their bytes large groups would share a task, however long each takes; so many partitions are not joined by Spark, and few groups meet in one.
+    large = rows.groupBy(group).count().filter(F.col("count") > LARGE).count()
+    if large:
+        rows = rows.repartition(min(2000, 16 * large), group)
+    return rows.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, id {kind[id_]}, cluster bigint")
