format_poll_log: lines are numbered without a sort, only headers and rows are moved, and once

Symptom: format_poll_log spilled to disk. Its plan numbered all lines of the text by a shuffle and a sort, did that again for each of five branches, then shuffled and sorted all lines four more times for the windows and joins of counted() and carried().
Evidence: with events at 60 times sf0.1 (6 million events, 24 million lines; event log of 3 executors of 2 cores, 1.8 GB heap, 12 shuffle partitions) 1951 MB were spilled, 2168 MB shuffled, 620 s JVM CPU, 470 MB peak in a task. the profiler at sf0.1, too small to spill: 45 MB shuffled, 1167 s JVM CPU and 68 s GC a GB, 920 MB peak of an executor, 14 Window, 17 Sort, 26 Exchange.
Fix: ordered_lines() writes the lines once with the ids they are read with, and a place is the id less the first id of its file block. event_log() drops lines that are neither headers nor rows before anything is moved and writes what it keeps, so patterns are matched once. counted(), carried() and followed() take a block column that several calls share, and join their one row a block of 65,536 lines (or a file, if shorter) by broadcast, so rows are shuffled and sorted once.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1101 -> 697 s, shuffle 2.10 -> 0.24 GB, spill 0.30 -> 0.00 GB, read 1.97 -> 1.24 GB, longest task 17 -> 17 s, most memory of a task 671 -> 369 MB; at 6 GB of input CPU 5175 -> 2048 s, shuffle 11.53 -> 1.47 GB, spill 14.42 -> 1.32 GB, read 12.09 -> 7.38 GB, longest task 41 -> 47 s, most memory of a task 1208 -> 973 MB; with hot keys, at 1 GB of input CPU 1078 -> 690 s, shuffle 2.04 -> 0.23 GB, spill 0.28 -> 0.00 GB, read 1.95 -> 1.22 GB, longest task 17 -> 16 s, most memory of a task 671 -> 369 MB.

@@ -71,49 +71,52 @@ def block_of(pos: str) -> Column:
     return F.floor(F.col(pos) / LINES_PER_BLOCK)
 
 
-def _carried_in(summary: DataFrame, by: list[str], value: Column) -> DataFrame:
-    """For each block, value over the blocks of its source before it."""
-    return summary.select(*by, "\x00block", value.alias("\x00in"))
+def _blocked(rows: DataFrame, pos: str, block: str | None) -> tuple[DataFrame, str, list[str]]:
+    """rows with a block of lines, the column's name, and what to drop of it at the end."""
+    return (rows, block, []) if block else (rows.withColumn("\x00block", block_of(pos)), "\x00block", ["\x00block"])
 
 
-def _before(by: list[str]) -> Window:
-    return Window.partitionBy(*by).orderBy("\x00block").rowsBetween(Window.unboundedPreceding, -1)
+def _before(by: list[str], at: str) -> Window:
+    return Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _joined(rows: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with what comes in to their block; null keys are keys."""
-    s = summary.select(*[F.col(c).alias(f"\x00s{i}") for i, c in enumerate(by)], F.col("\x00block").alias("\x00sb"), "\x00in")
-    same = F.col("\x00block") == F.col("\x00sb")
+def _joined(rows: DataFrame, summary: DataFrame, by: list[str], at: str, value: Column) -> DataFrame:
+    """Rows with what comes in to their block: value over the blocks of its source before it, or after it. Null keys are keys. There is one
+    row a block of LINES_PER_BLOCK lines, which is broadcast, so rows stay where and in the order they are."""
+    s = summary.select(*[F.col(c).alias(f"\x00s{i}") for i, c in enumerate(by)], F.col(at).alias("\x00sb"), value.alias("\x00in"))
+    same = F.col(at) == F.col("\x00sb")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"\x00s{i}"))
-    return rows.join(s, same, "left").drop("\x00sb", *[f"\x00s{i}" for i in range(len(by))])
-
-
-def counted(rows: DataFrame, by: list[str], pos: str, mark: Column, name: str, block: Column | None = None) -> DataFrame:
-    """rows with the number of marked rows of their source up to themselves."""
-    b = rows.withColumn("\x00block", block_of(pos) if block is None else block).withColumn("\x00m", F.coalesce(mark, F.lit(False)).cast("bigint"))
-    sums = b.groupBy(*by, "\x00block").agg(F.sum("\x00m").alias("\x00n"))
-    own = F.sum("\x00m").over(Window.partitionBy(*by, "\x00block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    met = _joined(b, _carried_in(sums, by, F.sum("\x00n").over(_before(by))), by)
-    return met.withColumn(name, own + F.coalesce("\x00in", F.lit(0))).drop("\x00block", "\x00m", "\x00in")
-
-
-def carried(rows: DataFrame, by: list[str], pos: str, value: Column, name: str, block: Column | None = None) -> DataFrame:
-    """rows with the last value of their source, up to themselves, that is not null."""
-    b = rows.withColumn("\x00block", block_of(pos) if block is None else block).withColumn("\x00v", value)
-    last = b.filter("`\x00v` is not null").groupBy(*by, "\x00block").agg(F.max_by("\x00v", pos).alias("\x00l"))
-    every = b.select(*by, "\x00block").distinct().withColumn("\x00l", F.lit(None).cast(last.schema["\x00l"].dataType))
-    ends = every.unionByName(last).groupBy(*by, "\x00block").agg(F.first("\x00l", ignorenulls=True).alias("\x00l"))
-    own = F.last("\x00v", ignorenulls=True).over(Window.partitionBy(*by, "\x00block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    met = _joined(b, _carried_in(ends, by, F.last("\x00l", ignorenulls=True).over(_before(by))), by)
-    return met.withColumn(name, F.coalesce(own, "\x00in")).drop("\x00block", "\x00v", "\x00in")
-
-
-def followed(rows: DataFrame, by: list[str], pos: str, value: str, name: str, block: Column | None = None) -> DataFrame:
-    """rows with the value of the next row of their source; null for the last one."""
-    b = rows.withColumn("\x00block", block_of(pos) if block is None else block)
-    heads = b.groupBy(*by, "\x00block").agg(F.min_by(F.struct(value), pos).alias("\x00h"))
-    along = Window.partitionBy(*by).orderBy("\x00block")
-    own = F.lead(F.struct(value)).over(Window.partitionBy(*by, "\x00block").orderBy(pos))
-    met = _joined(b, _carried_in(heads, by, F.lead("\x00h").over(along)), by)
-    return met.withColumn(name, F.coalesce(own, "\x00in")[value]).drop("\x00block", "\x00in")
+    return rows.join(F.broadcast(s), same, "left").drop("\x00sb", *[f"\x00s{i}" for i in range(len(by))])
+
+
+def counted(rows: DataFrame, by: list[str], pos: str, mark: Column, name: str, block: str | None = None) -> DataFrame:
+    """rows with the number of marked rows of their source up to themselves. block: a column of rows that has block_of(pos); it stays, and
+    rows that are handled by it several times are moved and sorted once."""
+    b, at, extra = _blocked(rows, pos, block)
+    b = b.withColumn("\x00m", F.coalesce(mark, F.lit(False)).cast("bigint"))
+    sums = b.groupBy(*by, at).agg(F.sum("\x00m").alias("\x00n"))
+    own = F.sum("\x00m").over(Window.partitionBy(*by, at).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    met = _joined(b.withColumn(name, own), sums, by, at, F.sum("\x00n").over(_before(by, at)))
+    return met.withColumn(name, F.col(name) + F.coalesce("\x00in", F.lit(0))).drop("\x00m", "\x00in", *extra)
+
+
+def carried(rows: DataFrame, by: list[str], pos: str, value: Column, name: str, block: str | None = None) -> DataFrame:
+    """rows with the last value of their source, up to themselves, that is not null. block: as for counted()."""
+    b, at, extra = _blocked(rows, pos, block)
+    b = b.withColumn("\x00v", value)
+    last = b.filter("`\x00v` is not null").groupBy(*by, at).agg(F.max_by("\x00v", pos).alias("\x00l"))
+    every = b.select(*by, at).distinct().withColumn("\x00l", F.lit(None).cast(last.schema["\x00l"].dataType))
+    ends = every.unionByName(last).groupBy(*by, at).agg(F.first("\x00l", ignorenulls=True).alias("\x00l"))
+    own = F.last("\x00v", ignorenulls=True).over(Window.partitionBy(*by, at).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    met = _joined(b.withColumn(name, own), ends, by, at, F.last("\x00l", ignorenulls=True).over(_before(by, at)))
+    return met.withColumn(name, F.coalesce(name, "\x00in")).drop("\x00v", "\x00in", *extra)
+
+
+def followed(rows: DataFrame, by: list[str], pos: str, value: str, name: str, block: str | None = None) -> DataFrame:
+    """rows with the value of the next row of their source; null for the last one. block: as for counted()."""
+    b, at, extra = _blocked(rows, pos, block)
+    heads = b.groupBy(*by, at).agg(F.min_by(F.struct(value), pos).alias("\x00h"))
+    own = F.lead(F.struct(value)).over(Window.partitionBy(*by, at).orderBy(pos))
+    met = _joined(b.withColumn(name, own), heads, by, at, F.lead("\x00h").over(Window.partitionBy(*by).orderBy(at)))
+    return met.withColumn(name, F.coalesce(name, "\x00in")[value]).drop("\x00in", *extra)

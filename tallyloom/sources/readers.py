@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordered import carried, counted, followed
+from tallyloom.operators.ordered import block_of, carried, counted, followed
+from tallyloom.sources.sinks import written
 
 DICTIONARY = "map<string,array<struct<description:string,cmd:string,cmds:array<string>>>>"
 
@@ -18,12 +19,13 @@ DICTIONARY = "map<string,array<struct<description:string,cmd:string,cmds:array<s
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """source (file), pos (from 0) and value of every line."""
     at = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block")]
-    rows = spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("n"), "value")
-    within = F.row_number().over(Window.partitionBy("source", "block").orderBy("n")) - 1
-    counts = rows.groupBy("source", "block").agg(F.count("*").alias("lines"))
+    # one task reads a file block from its first line to its last, so their ids have no gaps; written, as another scan could deal blocks to other tasks
+    rows = written(spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("n"), "value"), "lines")
+    blocks = rows.groupBy("source", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
     before = F.coalesce(F.sum("lines").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = counts.select("source", "block", before.alias("before"))
-    return rows.withColumn("k", within).join(shifts, ["source", "block"]).select("source", (F.col("k") + F.col("before")).cast("int").alias("pos"), "value")
+    # one row a file block, as the driver's own list of them has
+    shifts = F.broadcast(blocks.select("source", "block", (before - F.col("first")).alias("shift")))
+    return rows.join(shifts, ["source", "block"]).select("source", (F.col("n") + F.col("shift")).cast("int").alias("pos"), "value")
 
 
 def number(lines: DataFrame, order: list[Column], by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
@@ -48,11 +50,15 @@ def event_log(lines: DataFrame, host_prefix: str, first_only: bool = False) -> D
     A header `ts - text :` begins a block, a rule of dashes ends it. first_only keeps each block's first row."""
     stamp = F.regexp_extract("value", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) - ", 1)
     header = F.when(stamp != "", F.struct(stamp.alias("ts"), F.when(F.contains("value", F.lit("ferm")), "closed").otherwise("opened").alias("kind")))
-    marked = counted(lines, ["source"], "pos", stamp != "", "block")
-    head = carried(marked, ["source"], "pos", header, "header").select("*", "header.ts", "header.kind")
-    per = Window.partitionBy("source", "block").orderBy("pos")
     p = F.split(F.trim("value"), r"\s+", 4)
-    rows = head.filter((F.col("block") > 0) & (F.size(p) == 4) & F.regexp_like("value", F.lit("^0x")) & p[2].startswith(host_prefix))
+    is_row = F.col("value").startswith("0x") & (F.size(p) == 4) & p[2].startswith(host_prefix)
+    # other lines neither begin a block nor are returned, so they are not moved; what is kept is written, so that no scan below parses lines again
+    kept = lines.filter((stamp != "") | is_row).select("source", "pos", block_of("pos").alias("lines"), header.alias("header"), F.when(stamp == "", F.col("value")).alias("value"))
+    kept = written(kept, "log")
+    marked = counted(kept, ["source"], "pos", F.col("header").isNotNull(), "block", "lines")
+    head = carried(marked, ["source"], "pos", F.col("header"), "header", "lines").select("*", "header.ts", "header.kind")
+    per = Window.partitionBy("source", "block").orderBy("pos")
+    rows = head.filter((F.col("block") > 0) & F.col("value").isNotNull())
     rows = rows.withColumn("row", F.row_number().over(per))
     return rows.filter((F.col("row") == 1) | F.lit(not first_only)).select("source", "block", "pos", F.col("ts").cast("timestamp").alias("ts"), "kind", p[0].alias("window_id"), p[1].alias("desktop"), p[2].alias("host"), p[3].alias("title"))
 

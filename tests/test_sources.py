@@ -83,3 +83,47 @@ def test_embedded_batches_keep_odd_texts_and_are_repeated_without_doubles(spark,
         sinks.batch_embedded(df, batch, url, "commands", DERBY)
     back = sinks.back_embedded(spark, url, "commands", DERBY, "name string, minutes double, batch_id bigint", [0, 1])
     assert sorted(map(repr, (tuple(r) for r in back.collect()))) == sorted(repr((*r, b)) for r in rows for b in (0, 1))
+
+
+@pytest.fixture
+def small_files(spark):
+    """Text is read in many small pieces."""
+    for k in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.set(f"spark.sql.files.{k}", "200")
+    yield
+    for k in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{k}")
+
+
+def test_lines_keep_their_places_and_are_not_sorted(spark, tmp_path, small_files):
+    texts = {f"{i}.txt": [f"line {k} of {i}" + "x" * (k * i % 70) if k % 9 else "" for k in range(n)] for i, n in enumerate((90, 1, 0, 40))}
+    for name, values in texts.items():
+        (tmp_path / name).write_text("".join(f"{v}\n" for v in values))
+    got = readers.ordered_lines(spark, str(tmp_path))
+    assert "row_number" not in got.filter("value <> ''")._jdf.queryExecution().executedPlan().toString()
+    for name, values in texts.items():
+        rows = got.filter(F.col("source").endswith(f"/{name}")).orderBy("pos").collect()
+        assert [(r["pos"], r["value"]) for r in rows] == list(enumerate(values))
+
+
+POLL = [
+    "0x1 0 me before", "2024-01-01 10:00:00 - Nouvelles :", "0x2 0 me a  b", "0x2 0 me a  b", "0x3 0 other c", "-----", None, "", " 0x4 0 me d", "0x5 0 me", "2024-01-01 10:00:02 - Fenêtres fermées :", "-----",
+    "2024-01-01 10:00:04 - x ferm", "0x6 1 me2 e", "0x0", "2024-13-01 10:00:04- y", "0x7\t1\tme f",
+]
+
+
+def test_poll_log_moves_and_sorts_only_headers_and_rows_and_once(spark, monkeypatch):
+    from tallyloom.operators import ordered
+
+    rows = [(s, i, v) for s in ("a", None) for i, v in enumerate(POLL)]
+    frame = spark.createDataFrame([*rows, *rows[:3]], "source string, pos int, value string").repartition(5)  # some lines come twice
+    of = lambda first: sorted((r["source"] or "", r["block"], r["pos"], r["ts"].strftime("%S"), r["kind"], r["window_id"], r["host"], r["title"]) for r in readers.event_log(frame, "me", first).collect())
+    whole, first = of(False), of(True)
+    one = lambda s, k: [(s, k, 2, "00", "opened", "0x2", "me", "a  b"), (s, k, 3, "00", "opened", "0x2", "me", "a  b"), (s, k + 2, 13, "04", "closed", "0x6", "me2", "e"), (s, k + 2, 16, "04", "closed", "0x7", "me", "f")]
+    assert [x for x in whole if x[0] == ""] == one("", 1)
+    assert {x[3:] for x in whole if x[0] == "a"} == {x[3:] for x in one("", 1)}, "lines that come twice are in two blocks"
+    monkeypatch.setattr(ordered, "LINES_PER_BLOCK", 3)
+    assert [x[2:] for x in of(False) if x[0] == ""] == [x[2:] for x in whole if x[0] == ""] and [x for x in of(True) if x[0] == ""] == [x for x in first if x[0] == ""]
+    plan = readers.event_log(frame, "me").select("ts", "kind", "window_id", "title")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", pos#") and sum(", pos#" in x for x in plan.splitlines() if "Sort [" in x) == 1, "one sort of rows"
+    assert not any("SortMergeJoin" in x for x in plan.splitlines())
