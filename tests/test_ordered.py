@@ -129,3 +129,21 @@ def test_long_rows_make_more_ranges(spark, monkeypatch):
     got = tables.renumber(df.repartition(3), [F.col("id")]).collect()
     assert sorted((r["id"], r["n"]) for r in got) == [(i, i) for i in range(400)]
     assert used[0].groupBy("\x00range").agg(F.sum(F.length("text")).alias("b")).agg(F.count("*"), F.max("b") < 80_000).first()[0:2] >= (8, True)
+
+
+def test_ranges_are_searched_without_a_join_and_have_a_task_each(spark, aqe):
+    rng = random.Random(3)
+    rows = [(None if i % 7 == 0 else 5 if i % 5 == 0 else rng.randint(0, 9), rng.choice(["a", "b", None]), i // 2) for i in range(1000)]  # pairs of rows share i, many share k
+    df = spark.createDataFrame(rows, "k int, s string, i int").repartition(6)
+    got = tables.renumber(df, [F.col("k"), F.col("i")], 1, "n", rows_per_range=40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "aggregate(" not in plan
+    first = lambda v: (v is not None, v)
+    out = got.select("*", F.spark_partition_id().alias("task")).orderBy("n").collect()
+    assert [r["n"] for r in out] == list(range(1, 1001))
+    assert [(r["k"], r["i"]) for r in out] == [(k, i) for k, _, i in sorted(rows, key=lambda r: (first(r[0]), first(r[2])))]
+    assert sorted(map(repr, rows)) == sorted(repr((r["k"], r["s"], r["i"])) for r in out)
+    assert len({r["task"] for r in out}) > 15 and max(sum(r["task"] == t for r in out) for t in {r["task"] for r in out}) < 120
+    ranged = ordered.with_ranges(df, F.col("i"), "part", rows_per_range=40).select("i", "part").distinct().orderBy("i").collect()
+    assert len(ranged) == 500, "rows of one key are in one range"
+    assert [r["part"] for r in ranged] == sorted(r["part"] for r in ranged) and {r["part"] for r in ranged} == set(range(25))
